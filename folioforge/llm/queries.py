@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, token_counts
+from . import secrets, sharding, token_counts
 from .common import table
 
 #: The folder of the public tokenizer files; None: the installed package's own.
@@ -21,6 +21,10 @@ def tokenizer_path(name: str, folder: str | None = TOKENIZERS) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -30,6 +34,7 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secret_scan": op5_secret_scan,
     "op7_token_counts": op7_token_counts,
     "op8_byte_shards": op8_byte_shards,
 }
