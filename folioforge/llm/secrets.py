@@ -361,11 +361,14 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     def joined(spans: F.Column) -> F.Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     kinds = [r.kind for r in BASE_RULES]
     base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return secret_spans(docs, rules).select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds),
+        *map(count, kinds),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
