@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, sharding, simhash, token_counts
+from . import packing, secrets, sharding, simhash, token_counts
 from .common import table
 
 #: The folder of the public tokenizer files; None: the installed package's own.
@@ -21,6 +21,10 @@ def tokenizer_path(name: str, folder: str | None = TOKENIZERS) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bm25_packing": op1_bm25_packing,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op7_token_counts": op7_token_counts,
