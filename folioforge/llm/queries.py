@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, sharding, simhash, token_counts
+from . import decontaminate, packing, secrets, sharding, simhash, token_counts
 from .common import table
 
 #: The folder of the public tokenizer files; None: the installed package's own.
@@ -25,6 +25,10 @@ def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_packing": op1_bm25_packing,
+    "op2_string_tiling": op2_string_tiling,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op7_token_counts": op7_token_counts,
