@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secrets, sharding, simhash, token_counts
+from . import bottomk, decontaminate, packing, secrets, sharding, simhash, token_counts
 from .common import table
 
 #: The folder of the public tokenizer files; None: the installed package's own.
@@ -37,6 +37,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.edited_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_string_tiling": op2_string_tiling,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
+    "op6_bottom_k": op6_bottom_k,
     "op7_token_counts": op7_token_counts,
     "op8_byte_shards": op8_byte_shards,
 }
