@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, decontaminate, packing, secrets, sharding, simhash, token_counts
+from . import bottomk, decontaminate, packing, secrets, sharding, simhash, token_counts, toxicity
 from .common import table
 
 #: The folder of the public tokenizer files; None: the installed package's own.
@@ -49,6 +49,10 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"), 16)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_string_tiling": op2_string_tiling,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bottom_k": op6_bottom_k,
     "op7_token_counts": op7_token_counts,
     "op8_byte_shards": op8_byte_shards,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op8_byte_shards": sharding.ORACLE_SQL}
