@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, decontaminate, packing, secrets, sharding, simhash, token_counts, toxicity
+from . import bottomk, decontaminate, extraction, packing, secrets, sharding, simhash, token_counts, toxicity
 from .common import table
 
 #: The folder of the public tokenizer files; None: the installed package's own.
@@ -53,6 +53,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_string_tiling": op2_string_tiling,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_byte_shards": op8_byte_shards,
     "op9_toxicity": op9_toxicity,
+    "op10_html_crf": op10_html_crf,
 }
 
 ORACLES: dict[str, str] = {"op8_byte_shards": sharding.ORACLE_SQL}
