@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, decontaminate, extraction, packing, secrets, sharding, simhash, token_counts, toxicity
+from . import bottomk, decontaminate, extraction, packing, secrets, sharding, simhash, substring, token_counts, toxicity
 from .common import table
 
 #: The folder of the public tokenizer files; None: the installed package's own.
@@ -29,6 +29,10 @@ def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_string_tiling": op2_string_tiling,
+    "op3_fm_index": op3_fm_index,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_bottom_k": op6_bottom_k,
