@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_crf": op10_html_crf,
 }
 
-ORACLES: dict[str, str] = {"op8_byte_shards": sharding.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_fm_index": substring.ORACLE_SQL, "op8_byte_shards": sharding.ORACLE_SQL}

@@ -329,7 +329,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with each secret (overlapping spans as one) replaced by the mark; a null text stays null."""
+    """The same rows and columns, with each secret (overlapping spans as one) replaced by the mark and ``n_chars`` counted anew; a null text stays null."""
     scanner = Scanner(rules)
     names, schema = docs.columns, docs.schema
 
@@ -350,6 +350,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
                             done = max(done, e)
                         values[i] = b"".join([*out, text[done:]]).decode()
                     columns[at] = pa.array(values, columns[at].type)
+                    if "n_chars" in names:
+                        n = names.index("n_chars")
+                        counts = columns[n].to_pylist()
+                        for i in hit:
+                            counts[i] = len(values[i])
+                        columns[n] = pa.array(counts, columns[n].type)
                 yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
     return docs.mapInArrow(run, schema)

@@ -269,3 +269,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     gone = F.when(F.col("sha") == F.sha2(F.lit(""), 256), F.col("n_words")).otherwise(F.lit(0)).cast("long")
     done = documents.where("sha IS NOT NULL").select("doc_id", "n_words", gone.alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return done.unionByName(pending)
+
+
+#: Windows as joined words, the least document of each, and the words that no repeated window covers.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), i AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13
+), k AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') AS s FROM i
+), f AS (SELECT s, min(doc_id) AS m FROM k GROUP BY s
+), r AS (SELECT doc_id, p FROM k JOIN f USING (s) WHERE m < doc_id
+), g AS (SELECT DISTINCT doc_id, p + o AS q FROM r, (SELECT unnest(range(13)) AS o)
+), u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d
+), v AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.q) AS kept, count(*) AS n FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.q = g.q GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN v USING (doc_id)
+"""
