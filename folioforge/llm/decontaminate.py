@@ -187,6 +187,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold:
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, bound: int = BROADCAST_BYTES) -> DataFrame:
     """The rows and columns of docs without the documents into which an item leaks; one pass for each part of the benchmark."""
     spark, schema = docs.sparkSession, docs.schema
+    folded = "_folded"
+    while folded in docs.columns:
+        folded += "_"
     out = docs
     for items in _parts(benchmark, least, bound, "item_id", "text"):
         sent = spark.sparkContext.broadcast(items)
@@ -194,12 +197,12 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for batch in batches:
-                for part, texts in slices(batch, "_folded"):
+                for part, texts in slices(batch, folded):
                     keep = np.ones(texts.n, dtype=bool)
                     for d, k, words, covered in items.candidates(texts):
                         if keep[d] and sum(t[2] for t in tiles(words, items.words[k], covered, items.least)) >= threshold * len(items.words[k]):
                             keep[d] = False
                     yield part.select(schema.names).filter(pa.array(keep))
 
-        out = out.withColumn("_folded", F.lower(F.col("text"))).mapInArrow(run, schema)
+        out = out.withColumn(folded, F.lower(F.col("text"))).mapInArrow(run, schema)
     return out
