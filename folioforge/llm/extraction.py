@@ -283,7 +283,10 @@ def label_by_article(page: list[Block]) -> list[int] | None:
 
 def train(pages: DataFrame, max_pages: int = MAX_PAGES, html_col: str = "html") -> Field:
     """The field trained on a sample of the pages (those with the least hashes) and on the written ones."""
-    sample = pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) < 1 << 18)).select(html_col, F.xxhash64(html_col).alias("h")).orderBy("h").limit(max_pages)
+    some = pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) < 1 << 18)).select(html_col, F.xxhash64(html_col).alias("h"))
+    # The least hashes are found without their pages, so that a task sends the driver only numbers; equal pages count once.
+    least = [r["h"] for r in some.groupBy("h").agg(F.count("*")).orderBy("h").limit(max_pages).select("h").collect()]
+    sample = some.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h")
     data = []
     for row in sample.collect():  # at most max_pages pages of at most 256 KB
         page = blocks(row[html_col])

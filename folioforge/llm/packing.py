@@ -16,7 +16,9 @@ ignored; an empty table gives no rows. A lost task is run again on the same rows
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Texts, string_views
 
 SHARD_BYTES = 8 << 20
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 600_000
 CACHE_BYTES = 64
 #: BM25's saturation and length parameters, and the words of a seed that are looked up.
 K1, B, QUERY_WORDS = 1.2, 0.75, 24
@@ -35,8 +37,17 @@ K1, B, QUERY_WORDS = 1.2, 0.75, 24
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+#: Words of Latin letters, ASCII digits and ASCII signs; the letters, each digit and the signs between are tokens apart.
+_PLAIN = re.compile("[a-zß-öø-ɏ!-~]*")
+_PIECES = re.compile("[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+")
+
+
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit values, by a dictionary of words."""
+    """Ids of texts as little-endian unsigned 32-bit values, by a dictionary of words and one of their pieces.
+
+    A plain word is lower-cased and cut as the tokenizer would cut it, so that words which differ in capitals and
+    punctuation share pieces; any other word (with an apostrophe, a special token's sign, other letters) goes whole.
+    """
 
     def __init__(self, path: str):
         import os
@@ -46,6 +57,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -54,18 +66,38 @@ class WordEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    @staticmethod
+    def _cut(word: str) -> list[str]:
+        low = word.lower()
+        if low.isascii() and low.isalpha():
+            return [low]
+        if "'" in low or "<" in low or not _PLAIN.fullmatch(low):
+            return [word]
+        return _PIECES.findall(low)
+
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """The ids of each text, then the end id."""
         split = [t.split() for t in texts]
         if len(self.ids) > CACHE_ENTRIES:
             self.ids.clear()
         ids = self.ids
-        new = list({w for words in split for w in words if w not in ids})
+        new = list(set().union(*(filterfalse(ids.__contains__, words) for words in split)))
         long = [w for w in new if len(w) > CACHE_BYTES]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                ids[w] = np.array(e.ids, dtype="<u4").tobytes()
+        cut = [self._cut(w.decode()) for w in new]
+        if len(self.pieces) > CACHE_ENTRIES:
+            self.pieces.clear()
+        pieces = self.pieces
+        wanted = list({p for parts in cut for p in parts if p not in pieces})
+        for at in range(0, len(wanted), 4096):
+            some = wanted[at : at + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                pieces[p] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, parts in zip(new, cut):
+            ids[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        for parts in cut:
+            for p in parts:
+                if len(p) > CACHE_BYTES:
+                    pieces.pop(p, None)
         last, get = np.array([end], dtype="<u4").tobytes(), ids.__getitem__
         out = [b"".join(map(get, words)) + last for words in split]
         for w in long:

@@ -21,7 +21,8 @@ HEADINGS = ("section-title", "section-header", "chapter-title", "title", "headli
 COMPLETION = ("સમાપ્ત", "समाप्त", "સંપૂર્ણ", "संपूर्ण", "ઇતિ", "इति")
 PENALTY = {"orthography": 0.4, "no-number": 0.35, "duplicate-number": 0.3, "out-of-sequence": 0.3, "recovered-number": 0.2, "very-short": 0.15, "spans-pages": 0.1, "hyphen-join": 0.05, "contains-quotation": 0.05}
 SHORT = 40
-_OPENED, _ENDED = "\u0001", "\u0002"
+#: Marks within a block: before and after an own number, before and after one in another script (control characters, cleaned away later).
+_OPENED, _ENDED, _MAYBE, _CLOSED = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def admitted_scripts(language: str) -> list[str]:
@@ -54,6 +55,48 @@ def printed_page(tag: Column, text: Column, script: str) -> Column:
     return F.when(rank.isNotNull() & (number["script"] == script), F.struct(rank.alias("rank"), number["value"].alias("number")))
 
 
+def _pieces(blocks: DataFrame, script: str, end: str) -> DataFrame:
+    """The pieces of blocks between the numbers that end passages: (…, k, body, ends, digits, recovered).
+
+    A number in another script ends a passage only where it abuts another such number and goes on from the last number
+    accepted: those numbers are marked first, decided run by run (a fold over the few of them between two own numbers),
+    and the text of those refused is put together again.
+    """
+    other = "".join(f"{d[0]}-{d[9]}" for k, d in s.DIGITS.items() if k != script)
+    danda = "(?:॥|।।)"
+    pair = f"({danda}\\s*[{other}]+\\s*{danda})(\\s*{danda})?(\\s*)([{other}]+)(\\s*{danda})"
+    marked = F.regexp_replace(F.regexp_replace("text", end, f"$1{_OPENED}$2{_ENDED}"), pair, f"$1$2{_MAYBE}$3$4{_CLOSED}$5{_ENDED}")
+    p = blocks.select("book", "page", "pos", "section", "quotation", F.posexplode(F.split(marked, _ENDED)).alias("k", "piece"))
+    own, maybe = F.split("piece", _OPENED), F.split("piece", _MAYBE)
+    p = p.withColumn("own", F.size(own) > 1).withColumn("maybe", F.size(maybe) > 1)
+    digits = F.when(F.col("own"), F.get(own, F.lit(1))).when(F.col("maybe"), F.trim(F.split(F.get(maybe, F.lit(1)), _CLOSED)[0]))
+    p = p.withColumn("digits", digits).withColumn("value", t.parse_number(F.col("digits"))["value"])
+    book = Window.partitionBy("book").orderBy("page", "pos", "k")
+    marks = p.where("own OR maybe").withColumn("run", F.sum(F.col("own").cast("int")).over(book.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    tries = F.array_sort(F.collect_list(F.when(F.col("maybe"), F.struct("page", "pos", "k", "value"))))
+    runs = marks.groupBy("book", "run").agg(F.max(F.when(F.col("own"), F.col("value"))).alias("last"), tries.alias("tries")).where(F.size("tries") > 0)
+    nothing = F.filter("tries", lambda x: F.lit(False))
+    taken = F.aggregate(
+        "tries",
+        F.struct(F.col("last").alias("last"), nothing.alias("taken")),
+        lambda a, x: F.when(x["value"] == a["last"] + 1, F.struct(x["value"].alias("last"), F.concat(a["taken"], F.array(x)).alias("taken"))).otherwise(a),
+    )["taken"]
+    accepted = runs.select("book", F.explode(taken).alias("x")).select("book", "x.page", "x.pos", "x.k", F.lit(True).alias("recovered"))
+    p = p.join(accepted, ["book", "page", "pos", "k"], "left").withColumn("recovered", F.coalesce("recovered", F.lit(False)))
+    p = p.withColumn("ends", F.col("own") | F.col("recovered"))
+    whole = F.regexp_replace("piece", f"[{_MAYBE}{_CLOSED}]", "")
+    p = p.withColumn("body", F.when(F.col("own"), own[0]).when(F.col("recovered"), maybe[0]).otherwise(whole))
+    block = Window.partitionBy("book", "page", "pos").orderBy("k")
+    p = p.withColumn("part", F.coalesce(F.sum(F.col("ends").cast("int")).over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = F.array_sort(F.collect_list(F.struct("k", "body")))
+    return p.groupBy("book", "page", "pos", "section", "quotation", F.col("part").alias("k")).agg(
+        F.trim(F.array_join(F.transform(rows, lambda x: x["body"]), "")).alias("body"),
+        F.bool_or("ends").alias("ends"),
+        F.max(F.when(F.col("ends"), F.col("digits"))).alias("digits"),
+        F.bool_or("recovered").alias("recovered"),
+    )
+
+
 def segment(blocks: DataFrame, script: str, admitted: list[str]) -> DataFrame:
     """Passages of blocks (book, page, pos, tag, text): section, number, text, pages, fragments, flags and confidence."""
     digits = s.DIGITS[script]
@@ -64,10 +107,7 @@ def segment(blocks: DataFrame, script: str, admitted: list[str]) -> DataFrame:
     book = Window.partitionBy("book").orderBy("page", "pos")
     before, upto = book.rowsBetween(Window.unboundedPreceding, -1), book.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = b.withColumn("section", F.sum(F.col("heading").cast("int")).over(upto) + F.coalesce(F.sum(F.col("closes").cast("int")).over(before), F.lit(0)))
-    pieces = F.split(F.regexp_replace("text", end, f"$1{_OPENED}$2{_ENDED}"), _ENDED)
-    p = b.where("NOT heading AND NOT closes").select("book", "page", "pos", "section", "quotation", F.posexplode(pieces).alias("k", "piece"))
-    parts = F.split("piece", _OPENED)
-    p = p.withColumn("ends", F.size(parts) > 1).withColumn("digits", F.get(parts, F.lit(1))).withColumn("body", F.trim(parts[0]))
+    p = _pieces(b.where("NOT heading AND NOT closes").select("book", "page", "pos", "section", "quotation", "text"), script, end)
     # A piece that is nothing but the opening danda of its number carries no text of its own.
     p = p.withColumn("bare", F.col("ends") & F.regexp_like("body", F.lit("^(?:॥|।।)$"))).where("ends OR body <> ''")
     order = Window.partitionBy("book", "section").orderBy("page", "pos", "k")
@@ -79,11 +119,12 @@ def segment(blocks: DataFrame, script: str, admitted: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("page", "pos", "k", F.concat(apart, "body").alias("t")))).alias("f"),
         F.max("digits").alias("digits"),
         F.bool_or("quotation").alias("quotation"),
+        F.bool_or("recovered").alias("recovered"),
         F.count_if(~F.col("bare")).alias("n_texts"),
         F.min(F.struct("page", "pos", "k")).alias("at"),
     ).where("n_texts > 0")
     raw = F.array_join(F.transform("f", lambda x: x["t"]), "")
-    out = grouped.select("book", "section", "passage", "quotation", "at", raw.alias("raw"), t.parse_number(F.col("digits"))["value"].alias("number"), F.array_distinct(F.transform("f", lambda x: x["page"])).alias("pages"), F.size("f").cast("long").alias("fragments"))
+    out = grouped.select("book", "section", "passage", "quotation", "recovered", "at", raw.alias("raw"), t.parse_number(F.col("digits"))["value"].alias("number"), F.array_distinct(F.transform("f", lambda x: x["page"])).alias("pages"), F.size("f").cast("long").alias("fragments"))
     joined = t.join_lines(t.clean_characters(F.col("raw"))["text"])
     clean = t.strip_footnotes(t.reorder_matras(joined, script), script)["text"] if script in s.PRE_BASE_MATRA else joined
     out = out.withColumn("text", clean).withColumn("hyphen", F.regexp_like("raw", F.lit("[-­‐]\\s*\n\\s*\\S"))).withColumn("faults", t.orthography(F.col("text"), script)["violations"])
@@ -92,6 +133,7 @@ def segment(blocks: DataFrame, script: str, admitted: list[str]) -> DataFrame:
     flags = {
         "no-number": F.col("number").isNull(), "duplicate-number": F.col("duplicate_number"), "out-of-sequence": F.col("out_of_sequence"), "orthography": F.col("faults") > 0,
         "spans-pages": F.size("pages") > 1, "hyphen-join": F.col("hyphen"), "very-short": F.length("text") < SHORT, "contains-quotation": F.col("quotation"),
+        "recovered-number": F.col("recovered"),
     }
     penalty = sum((F.when(c, F.lit(PENALTY[f])).otherwise(0.0) for f, c in flags.items()), F.lit(0.0))
     return out.select(

@@ -164,6 +164,21 @@ def test_segmentation(spark):
     assert out[0]["confidence"] == 1.0 and out[3]["confidence"] == 0.5
 
 
+def test_a_flattened_pair_is_recovered(spark):
+    shloka = "कर्मण्येवाधिकारस्ते मा फलेषु कदाचन"
+    b = [
+        (1, 1, 0, "paragraph", "પહેલો ફકરો જે પૂરતો લાંબો છે કે ટૂંકો ન ગણાય તેવો છે ॥૧૫૭॥"),
+        (1, 1, 1, "paragraph", f"{shloka} ॥२॥१५८॥"),
+        (1, 1, 2, "paragraph", f"{shloka} ॥१॥ {shloka} ॥३॥ ॥९॥"),
+        (1, 1, 3, "paragraph", "બીજો ॥૧૫૯॥"),
+    ]
+    df = spark.createDataFrame(b, "book int, page int, pos int, tag string, text string")
+    out = seg.segment(df, "gujr", ["gujr", "deva"]).orderBy("pos").collect()
+    assert [r["number"] for r in out] == [157, 158, 159]
+    assert out[1]["text"] == f"{shloka} ॥२॥" and {"recovered-number", "contains-quotation"} <= set(out[1]["flags"])
+    assert out[2]["text"] == f"{shloka} ॥१॥ {shloka} ॥३॥ ॥९॥\nબીજો ॥" and "recovered-number" not in out[2]["flags"]
+
+
 def test_page_specs_and_files(spark, tmp_path):
     df = spark.createDataFrame([("3, 1-2, 5-", 6), ("9-", 6), ("2-1", 6)], "spec string, n int")
     assert sorted(r["page"] for r in pages.pages_of_spec(df, "spec", "n").collect()) == [1, 2, 3, 5, 6]
