@@ -189,8 +189,7 @@ def format_number(col: Column, script: str) -> Column:
 def english_word_rate(col: Column) -> Column:
     """The share of common English words among a text's words of a to z; 0 below eight words."""
     words = F.regexp_extract_all(F.lower(col), F.lit("[a-z]+"), F.lit(0))
-    known = F.array(*map(F.lit, ENGLISH_WORDS))
-    hits = F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+    hits = F.size(F.filter(words, lambda w: w.isin(ENGLISH_WORDS)))  # a hash set
     return F.when(F.size(words) < 8, F.lit(0.0)).otherwise(hits.cast("double") / F.size(words))
 
 

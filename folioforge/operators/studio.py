@@ -45,7 +45,7 @@ def queue(verses: DataFrame, divisions: DataFrame, where: Column, by_confidence:
         joined.orderBy(*order)
         .offset(offset)
         .limit(min(limit, MOST))
-        .select("book_id", "division_id", "id", "ordinal", "division_ordinal", "status", "confidence", (F.col("text") != F.col("ocr_text")).alias("edited"), F.length("text").alias("chars"), F.left("text", F.lit(PREVIEW)).alias("preview"))
+        .select("book_id", "division_id", "id", "ordinal", "division_ordinal", "status", "confidence", (F.col("text") != F.col("ocr_text")).alias("edited"), F.length("text").cast("long").alias("chars"), F.left("text", F.lit(PREVIEW)).alias("preview"))
     )
 
 

@@ -74,10 +74,10 @@ def triage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.triage_documents(triage.classify_pages(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), ["source"], "doc_id")
 
 
-_KINDS_SQL = ", ".join(f"count_if(verdict = '{k}') AS n_{k.replace('-', '_')}" for k in triage.STRATEGY_RANK)
+_KINDS_SQL = ", ".join(f"count_if(verdict = '{k}')::BIGINT AS n_{k.replace('-', '_')}" for k in triage.STRATEGY_RANK)
 
 
-@query(_SOURCES_SQL + f" SELECT {_KINDS_SQL}, count_if(verdict <> 'unicode-text') AS needing_ocr, count(*) AS total FROM w")
+@query(_SOURCES_SQL + f" SELECT {_KINDS_SQL}, count_if(verdict <> 'unicode-text')::BIGINT AS needing_ocr, count(*) AS total FROM w")
 def triage_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources by verdict, and how many need recognition."""
     return triage.inventory_summary(triage_sources(spark, sf_dir))
@@ -86,7 +86,7 @@ def triage_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- relational reads -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_custkey AS book_id, count_if(o_orderstatus = 'F') AS n_f, count_if(o_orderstatus = 'O') AS n_o, count_if(o_orderstatus = 'P') AS n_p, count(*) AS total FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS book_id, count_if(o_orderstatus = 'F')::BIGINT AS n_f, count_if(o_orderstatus = 'O')::BIGINT AS n_o, count_if(o_orderstatus = 'P')::BIGINT AS n_p, count(*) AS total FROM orders GROUP BY 1")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status counts of each book, zero-filled."""
     return studio.status_counts(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "book_id"), ["book_id"], ("F", "O", "P"), "o_orderstatus")
@@ -381,8 +381,8 @@ def release_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_UNITS_SQL.strip()}, n AS (SELECT count_if(change = 'added') AS verses_added, count_if(change = 'retired') AS verses_retired, count_if(change = 'changed') AS verses_changed, 0::BIGINT AS divisions_added, 0::BIGINT AS divisions_retired, "
-    "count_if(change = 'retired' AND substr(ref, strpos(ref, '#d') + 2)::BIGINT % 2 = 0) AS refs_aliased, count_if(change = 'retired' AND substr(ref, strpos(ref, '#d') + 2)::BIGINT % 2 <> 0) AS refs_dropped FROM changes) "
+    f"WITH {_UNITS_SQL.strip()}, n AS (SELECT count_if(change = 'added')::BIGINT AS verses_added, count_if(change = 'retired')::BIGINT AS verses_retired, count_if(change = 'changed')::BIGINT AS verses_changed, 0::BIGINT AS divisions_added, 0::BIGINT AS divisions_retired, "
+    "count_if(change = 'retired' AND substr(ref, strpos(ref, '#d') + 2)::BIGINT % 2 = 0)::BIGINT AS refs_aliased, count_if(change = 'retired' AND substr(ref, strpos(ref, '#d') + 2)::BIGINT % 2 <> 0)::BIGINT AS refs_dropped FROM changes) "
     "SELECT *, CASE WHEN verses_retired > 0 THEN 'major' WHEN verses_added > 0 THEN 'minor' WHEN verses_changed > 0 THEN 'patch' END AS required_bump FROM n"
 )
 def release_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
