@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, HASH_BYTES = 2 << 20, 1 << 18
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: the separators of words.
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -126,10 +126,20 @@ def _rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes (modulo 2**64, then mixed) of byte spans, from one prefix sum over the slice."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    return _rolled(data.astype(np.uint64) + np.uint64(1), starts, ends, _BYTE_R)
+    """Polynomial hashes (modulo 2**64, then mixed) of byte spans that follow each other, from prefix sums over runs of them.
+
+    A run has ``HASH_BYTES`` at most (or one longer span), so the 64-bit copies of its bytes stay small.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(int(np.searchsorted(ends, low + HASH_BYTES, side="right")), i + 1)
+        values = data[low : int(ends[j - 1])].astype(np.uint64)
+        values += np.uint64(1)
+        out[i:j] = _rolled(values, starts[i:j] - low, ends[i:j] - low, _BYTE_R)
+        i = j
+    return out
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:

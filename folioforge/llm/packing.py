@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Texts, string_views
 
-SHARD_BYTES = 8 << 20
-CACHE_ENTRIES = 600_000
+SHARD_BYTES = 4 << 20
+CACHE_ENTRIES = 300_000
 CACHE_BYTES = 64
 #: BM25's saturation and length parameters, and the words of a seed that are looked up.
 K1, B, QUERY_WORDS = 1.2, 0.75, 24
@@ -81,7 +80,7 @@ class WordEncoder:
         if len(self.ids) > CACHE_ENTRIES:
             self.ids.clear()
         ids = self.ids
-        new = list(set().union(*(filterfalse(ids.__contains__, words) for words in split)))
+        new = list(set().union(*split).difference(ids))
         long = [w for w in new if len(w) > CACHE_BYTES]
         cut = [self._cut(w.decode()) for w in new]
         if len(self.pieces) > CACHE_ENTRIES:

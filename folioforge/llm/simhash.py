@@ -182,7 +182,7 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 
 #: Wide fingerprints: 64-bit words of one, and those that are compared first, with the radius allowed to them in standard deviations.
 WIDE_WORDS, FIRST_WORDS, FIRST_SIGMAS = 8, 2, 4.0
-WIDE_TILE = 4096
+WIDE_TILE, WIDE_STRIP = 16_384, 64
 
 
 def wide_radius(similarity: float, bits: int, sigmas: float = 0.0) -> int:
@@ -234,8 +234,8 @@ def compare_wide(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, s
     radius = wide_radius(similarity, 64 * a.shape[1], 0.5)
     columns = [np.ascontiguousarray(b[:, k]) for k in range(FIRST_WORDS)]
     found_i, found_j = [], []
-    for at in range(0, len(a), STRIP):
-        strip = a[at : at + STRIP]
+    for at in range(0, len(a), WIDE_STRIP):
+        strip = a[at : at + WIDE_STRIP]
         apart = np.bitwise_count(strip[:, 0, None] ^ columns[0][None, :])
         for k in range(1, FIRST_WORDS):
             apart += np.bitwise_count(strip[:, k, None] ^ columns[k][None, :])
