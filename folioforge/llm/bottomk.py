@@ -142,7 +142,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         copy = F.struct(F.try_element_at(target, key).alias("bucket"), F.lit(True).alias("look"))
         places = F.when(is_first, F.filter(F.array(own, copy), lambda p: p["bucket"].isNotNull())).otherwise(F.array(own))
     dealt = rows.withColumn("p", F.explode(places)).select("p.bucket", "p.look", "doc_id", "text", "tie")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "look", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    return dealt.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "look", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
 
 
 def edited_digest(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
