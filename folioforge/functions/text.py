@@ -24,18 +24,26 @@ def count(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern)).cast("long")
 
 
+def count_class(col: Column, char_class: str) -> Column:
+    """Characters of a class: what is missing when their runs are taken out, which makes no array of matches."""
+    return (F.length(col) - F.length(F.regexp_replace(col, f"{char_class}+", ""))).cast("long")
+
+
 def script_profile(col: Column) -> Column:
     """Letters by script (gujr, deva, latn, other), their total, the dominant script and its share of the total."""
-    n = {k: count(col, c) for k, c in s.SCRIPT_CLASS.items()}
-    neutral = count(col, s.cls(s.NEUTRAL))
-    n["other"] = F.length(col).cast("long") - neutral - n["gujr"] - n["deva"] - n["latn"]
-    total = n["gujr"] + n["deva"] + n["latn"] + n["other"]
-    most = F.greatest(*n.values())
-    dominant = F.when(total == 0, F.lit(None).cast("string"))
-    for k in s.PREFERENCE:
-        dominant = dominant.when(n[k] == most, F.lit(k))
-    share = F.when(total == 0, F.lit(0.0)).otherwise(most.cast("double") / total)
-    return F.struct(*(n[k].alias(k) for k in ("gujr", "deva", "latn", "other")), total.alias("total"), dominant.alias("dominant"), share.alias("share"))
+    counts = F.struct(*(count_class(col, c).alias(k) for k, c in s.SCRIPT_CLASS.items()), (F.length(col).cast("long") - count_class(col, s.cls(s.NEUTRAL))).alias("total"))
+
+    def profile(c: Column) -> Column:
+        n = {k: c[k] for k in s.SCRIPT_CLASS}
+        n["other"] = c["total"] - c["gujr"] - c["deva"] - c["latn"]
+        most = F.greatest(*n.values())
+        dominant = F.when(c["total"] == 0, F.lit(None).cast("string"))
+        for k in s.PREFERENCE:
+            dominant = dominant.when(n[k] == most, F.lit(k))
+        share = F.when(c["total"] == 0, F.lit(0.0)).otherwise(most.cast("double") / c["total"])
+        return F.struct(*(n[k].alias(k) for k in ("gujr", "deva", "latn", "other")), c["total"].alias("total"), dominant.alias("dominant"), share.alias("share"))
+
+    return F.transform(F.array(counts), profile)[0]  # each class is counted once
 
 
 def script_share(col: Column, script: str) -> Column:
@@ -108,7 +116,7 @@ def orthography(col: Column, script: str) -> Column:
         "virama_before_vowel_sign": count(col, f"{V}(?={S})"),
         "virama_without_base": count(col, f"(?<!{C})(?<!{C}{N}){V}"),
     }
-    examined = count(col, s.cls(s.VOWEL_SIGNS, s.VIRAMAS, s.CONSONANTS))
+    examined = count_class(col, s.cls(s.VOWEL_SIGNS, s.VIRAMAS, s.CONSONANTS))
     lost = ((examined >= 300) & ~F.contains(col, F.lit(chr(s.PRE_BASE_MATRA[script])))).cast("long")
     total = reduce(lambda a, b: a + b, kinds.values()) + lost
     rate = F.when(examined == 0, F.lit(0.0)).otherwise(total * F.lit(1000.0) / examined)
@@ -189,8 +197,12 @@ def format_number(col: Column, script: str) -> Column:
 def english_word_rate(col: Column) -> Column:
     """The share of common English words among a text's words of a to z; 0 below eight words."""
     words = F.regexp_extract_all(F.lower(col), F.lit("[a-z]+"), F.lit(0))
-    hits = F.size(F.filter(words, lambda w: w.isin(ENGLISH_WORDS)))  # a hash set
-    return F.when(F.size(words) < 8, F.lit(0.0)).otherwise(hits.cast("double") / F.size(words))
+
+    def rate(w: Column) -> Column:
+        hits = F.size(F.filter(w, lambda x: x.isin(ENGLISH_WORDS)))  # a hash set
+        return F.when(F.size(w) < 8, F.lit(0.0)).otherwise(hits.cast("double") / F.size(w))
+
+    return F.transform(F.array(words), rate)[0]  # the words are found once
 
 
 def english_word_rate_by_pattern(col: Column) -> Column:
