@@ -28,24 +28,24 @@ from pyspark.sql import functions as F
 from .common import Texts, string_views
 
 SHARD_BYTES = 4 << 20
-CACHE_ENTRIES = 300_000
-CACHE_BYTES = 64
+CACHE_ENTRIES = 600_000
+CACHE_CHARS = 64
 #: BM25's saturation and length parameters, and the words of a seed that are looked up.
 K1, B, QUERY_WORDS = 1.2, 0.75, 24
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-#: Words of Latin letters, ASCII digits and ASCII signs; the letters, each digit and the signs between are tokens apart.
-_PLAIN = re.compile("[a-zß-öø-ɏ!-~]*")
-_PIECES = re.compile("[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+")
+#: Plain texts have Latin letters, ASCII digits, signs and blanks only; runs of letters, each digit and runs of signs are tokenized apart.
+_PLAIN = re.compile("[a-zß-öø-ɏ!-~ \t\n\r\x0b\f]*")
+_PIECES = re.compile("[a-zß-öø-ɏ]+|[0-9]|[!-/:-@[-`{-~]+")
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit values, by a dictionary of words and one of their pieces.
+    """Ids of texts as little-endian unsigned 32-bit values, by a dictionary of the pieces that the tokenizer encodes apart.
 
-    A plain word is lower-cased and cut as the tokenizer would cut it, so that words which differ in capitals and
-    punctuation share pieces; any other word (with an apostrophe, a special token's sign, other letters) goes whole.
+    A plain text is lower-cased and cut as the tokenizer would cut it. Of any other text (with an apostrophe, a special
+    token's sign, other letters) the plain words are cut likewise and the others go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -55,8 +55,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, n in vocabulary.items():
+            self.ends[n] = token.endswith("</w>")
+        self.ids: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -66,41 +69,49 @@ class WordEncoder:
         return _ENCODERS[path]
 
     @staticmethod
-    def _cut(word: str) -> list[str]:
-        low = word.lower()
-        if low.isascii() and low.isalpha():
-            return [low]
-        if "'" in low or "<" in low or not _PLAIN.fullmatch(low):
-            return [word]
-        return _PIECES.findall(low)
+    def cut(text: str) -> list[str]:
+        low = text.lower()
+        if "'" not in low and "<" not in low and _PLAIN.fullmatch(low):
+            return _PIECES.findall(low)
+        out = []
+        for word in text.encode().split():  # ASCII blanks only, as in plain texts
+            word = word.decode()
+            low = word.lower()
+            if "'" in low or "<" in low or not _PLAIN.fullmatch(low):
+                out.append(word)
+            else:
+                out += _PIECES.findall(low)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [p for p in new if _PIECES.fullmatch(p) and "'" not in p and "<" not in p]
+        whole = set(new).difference(plain)
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(some):  # the vocabulary doesn't mark where a piece ends
+                whole.update(some)
+                continue
+            body = ids.tobytes()
+            self.ids.update(zip(some, (body[a:b] for a, b in zip([0, *cuts], cuts))))
+        if whole:
+            some = list(whole)
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.ids[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """The ids of each text, then the end id."""
-        split = [t.split() for t in texts]
+        split = [self.cut(t.decode()) for t in texts]
         if len(self.ids) > CACHE_ENTRIES:
             self.ids.clear()
-        ids = self.ids
-        new = list(set().union(*split).difference(ids))
-        long = [w for w in new if len(w) > CACHE_BYTES]
-        cut = [self._cut(w.decode()) for w in new]
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        pieces = self.pieces
-        wanted = list({p for parts in cut for p in parts if p not in pieces})
-        for at in range(0, len(wanted), 4096):
-            some = wanted[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                pieces[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, parts in zip(new, cut):
-            ids[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
-        for parts in cut:
-            for p in parts:
-                if len(p) > CACHE_BYTES:
-                    pieces.pop(p, None)
-        last, get = np.array([end], dtype="<u4").tobytes(), ids.__getitem__
-        out = [b"".join(map(get, words)) + last for words in split]
-        for w in long:
-            del ids[w]
+        new = list(set().union(*split).difference(self.ids))
+        self._learn(new)
+        last, get = np.array([end], dtype="<u4").tobytes(), self.ids.__getitem__
+        out = [b"".join(map(get, pieces)) + last for pieces in split]
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del self.ids[p]
         return out
 
 
