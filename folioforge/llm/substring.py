@@ -35,7 +35,7 @@ WINDOW, GRAM = 13, 4
 #: Windows of a segment (bits of a mask), texts with an anchor from which its windows are dealt by themselves, words of a shard.
 SEGMENT_WINDOWS, HOT, SHARD_WORDS = 32, 4000, 250_000
 #: Segments that a task holds before it hands them on.
-HELD_SEGMENTS = 60_000
+HELD_SEGMENTS = 40_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -79,6 +79,13 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("k", "text").mapInArrow(run, "anchor long, k long")
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, as Python objects of a piece take several times its memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _copies(rows: DataFrame) -> DataFrame:
     """(k) of the rows whose whole text stands in a document with a smaller id."""
     narrow = rows.select("k", "id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
@@ -112,7 +119,7 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PART_TYPES)], _PARTS)
                 held.clear()
 
-        for batch in batches:
+        for batch in _small(batches):
             out: list[list] = [[] for _ in range(8)]
             ks, doc_ids, ids, bodies, copies, lists, hots = (batch.column(c).to_pylist() for c in range(7))
             for k, doc_id, own, body, copy, some, hot in zip(ks, doc_ids, ids, bodies, copies, lists, hots):
@@ -207,7 +214,7 @@ def _finish(pending: DataFrame, window: int) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _small(batches):
             removed, shas = [], []
             for body, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = unpack(body).split()
