@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, least: int = 64 << 20) -> DataFrame:
+    """The same rows dealt to all cores where the table is small: a small file is one row group, hence one task.
+
+    From ``least`` bytes for each core on the input's own splits are many enough and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * least else df
+
+
 def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("id"), (F.row_number().over(w) - 1).cast("long").alias("ordinal"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind"))

@@ -17,7 +17,7 @@ from ..operators import sequence as seq
 from ..operators import structure as st
 from ..operators import studio, triage, versions
 from ..sources.pages import page_spec_sql, sample_places
-from .derived import CTE, INDIC_SQL, divisions, indic, table, verses
+from .derived import CTE, INDIC_SQL, divisions, indic, spread, table, verses
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,7 +58,7 @@ _TRIAGE_SQL = f"WITH src AS (SELECT doc_id, source, coalesce(text, '') AS text F
 @query(_TRIAGE_SQL + " SELECT doc_id, total AS chars, dominant, round(share, 6) AS share, round(english_rate, 6) AS english_rate, strategy FROM v")
 def triage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One verdict for each document: script, share of common words, strategy."""
-    pages = triage.classify_pages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pages = triage.classify_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return pages.select("doc_id", "chars", "dominant", F.round("share", 6).alias("share"), F.round("english_rate", 6).alias("english_rate"), "strategy")
 
 
@@ -71,7 +71,7 @@ w AS (SELECT source, pages, evidence, lead_strategy, lead_pages, CASE WHEN evide
 @query(_SOURCES_SQL + " SELECT *, verdict <> 'unicode-text' AS needs_ocr FROM w")
 def triage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of each source over its documents."""
-    return triage.triage_documents(triage.classify_pages(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), ["source"], "doc_id")
+    return triage.triage_documents(triage.classify_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))), ["source"], "doc_id")
 
 
 _KINDS_SQL = ", ".join(f"count_if(verdict = '{k}')::BIGINT AS n_{k.replace('-', '_')}" for k in triage.STRATEGY_RANK)
@@ -251,7 +251,7 @@ _INDIC_SRC = f"WITH src AS (SELECT doc_id, {INDIC_SQL} AS text FROM documents)"
 
 
 def _indic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", indic(F.col("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", indic(F.col("text")).alias("text"))
 
 
 @query(_INDIC_SRC + f",{_PROFILE_SQL} SELECT doc_id, gujr, deva, latn, other, total, dominant, round(share, 6) AS share FROM p")
@@ -555,7 +555,7 @@ def block_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def segmented_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of books in Indic letters, with flags and confidence (windows and look-behind: tested by fixtures)."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"))
     number = F.concat(F.lit(" ॥"), t.format_number(F.col("turn") + 1, "gujr"), F.lit("॥ "))
     tag = F.when(F.col("role") == "system", "section-title").otherwise("paragraph")
     text = F.concat(indic(F.col("text")), number)
