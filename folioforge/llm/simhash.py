@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import product
 from operator import and_
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, materialize, mix, slices, string_views
+from .common import Texts, gram_hashes, materialize, mix, slices, string_views
 from .components import components
 
 BLOCKS = 4
@@ -180,15 +180,37 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 64-bit words of one, and those that are compared first, with the radius allowed to them in standard deviations.
-WIDE_WORDS, FIRST_WORDS, FIRST_SIGMAS = 8, 2, 4.0
+#: Wide fingerprints: 64-bit words of one, those that are compared first, and the margin of candidates in standard deviations.
+WIDE_WORDS, FIRST_WORDS, SIGMAS = 8, 2, 5.0
 WIDE_TILE, WIDE_STRIP = 16_384, 64
+#: Sets below this size have radii of their own; shingles that a block of exact comparison holds.
+FEW, BLOCK_SHINGLES = 128, 1 << 19
 
 
-def wide_radius(similarity: float, bits: int, sigmas: float = 0.0) -> int:
-    """Bits in which fingerprints of two sets of this resemblance differ on average (and so many standard deviations more)."""
-    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(bits * share + sigmas * math.sqrt(bits * share * (1 - share)))
+def wide_share(similarity: float, n: int, m: int) -> float:
+    """The chance that a bit differs between sets of n and m hashes with the least overlap of this resemblance (0: there is none)."""
+    common = math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    if common > min(n, m):
+        return 0.0
+
+    def coins(k: int) -> np.ndarray:
+        return np.array([math.comb(k, x) / 2**k for x in range(k + 1)])
+
+    def above(k: int, half: int) -> np.ndarray:
+        """For each number of common hashes with the bit: the chance that, with k others, over half have it."""
+        tail = np.append(np.cumsum(coins(k)[::-1])[::-1], 0.0)
+        return tail[np.clip(half + 1 - np.arange(common + 1), 0, k + 1)]
+
+    a, b = above(n - common, n // 2), above(m - common, m // 2)
+    return float((coins(common) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+@cache
+def wide_radii(similarity: float, bits: int) -> np.ndarray:
+    """By the lesser of two sets' sizes (the last entry: ``FEW`` and more), bits that fingerprints of this resemblance may differ in."""
+    shares = [max((wide_share(similarity, n, m) for m in range(n, int(n / similarity + 1e-9) + 1)), default=0.0) for n in range(FEW)]
+    shares.append(max(math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi, *shares[FEW // 2 :]))
+    return np.array([int(bits * p + SIGMAS * math.sqrt(bits * p * (1 - p))) for p in shares])
 
 
 def wide_simhash(hashes: np.ndarray, words: int = WIDE_WORDS) -> bytes:
@@ -206,32 +228,41 @@ def wide_simhash(hashes: np.ndarray, words: int = WIDE_WORDS) -> bytes:
     return np.packbits(total * 2 > n, bitorder="little").tobytes()
 
 
+def shingle_sets(texts: Texts, size: int) -> list[np.ndarray]:
+    """Each text's set of shingle hashes, in order; fewer words than a shingle make one of all."""
+    starts, ends, first = texts.words()
+    words = texts.word_hashes(starts, ends)
+    grams, out = gram_hashes(words, size), []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        out.append(np.unique(grams[a : b - size + 1] if b - a >= size else gram_hashes(words[a:b], b - a) if b > a else words[:0]))
+    return out
+
+
+def set_key(own: np.ndarray) -> int:
+    """A set of hashes as a signed 64-bit value."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64))
+
+
 def wide_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, n): the wide fingerprint of every row's set of shingles (lower-case words), and how many it has."""
+    """(doc_id, node, fp, n) of every row: the key of its set of shingles (lower-case words), the wide fingerprint and the size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in slices(batch, "text"):
-                starts, ends, first = texts.words()
-                words = texts.word_hashes(starts, ends)
-                grams = gram_hashes(words, size)
-                fps, ns = [], []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    own = grams[a : b - size + 1] if b - a >= size else gram_hashes(words[a:b], b - a) if b > a else words[:0]
-                    own = np.unique(own)
-                    ns.append(len(own))
-                    fps.append(wide_simhash(own))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps, pa.binary()), pa.array(ns, pa.int64())], ["doc_id", "fp", "n"])
+                sets = shingle_sets(texts, size)
+                columns = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([wide_simhash(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *columns], ["doc_id", "node", "fp", "n"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp binary, n long")
+    return rows.mapInArrow(run, "doc_id long, node long, fp binary, n long")
 
 
 def compare_wide(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two tiles of wide fingerprints: positions in a and in b."""
+    """A spanning forest of the candidate links between two tiles of wide fingerprints: positions in a and in b."""
     offset = 0 if same else len(a)
-    first = wide_radius(similarity, 64 * FIRST_WORDS, FIRST_SIGMAS)
-    radius = wide_radius(similarity, 64 * a.shape[1], 0.5)
+    first, radii = wide_radii(similarity, 64 * FIRST_WORDS).max(), wide_radii(similarity, 64 * a.shape[1])
     columns = [np.ascontiguousarray(b[:, k]) for k in range(FIRST_WORDS)]
     found_i, found_j = [], []
     for at in range(0, len(a), WIDE_STRIP):
@@ -245,7 +276,7 @@ def compare_wide(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, s
         i, j = i[ok], j[ok]
         for s in range(0, len(i), 1 << 18):
             p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-            near = np.bitwise_count(a[p] ^ b[q]).sum(axis=1, dtype=np.int64) <= radius
+            near = np.bitwise_count(a[p] ^ b[q]).sum(axis=1, dtype=np.int64) <= radii[np.minimum(np.minimum(na[p], nb[q]), FEW)]
             p, q = p[near], q[near]
             if len(p) > STRIP:
                 keep = forest(p, q + offset, offset + len(b))
@@ -260,7 +291,7 @@ def compare_wide(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, s
 
 
 def similar_links(classes: DataFrame, similarity: float, tile: int = WIDE_TILE) -> DataFrame:
-    """(a, b): ids of classes (fp, n, rep) that connect all pairs of at least this similarity.
+    """(a, b): ids of classes (fp, n, rep) that connect all candidates, pairs that may have at least this similarity.
 
     Sets of a resemblance have sizes in that ratio at least, so a cell of sizes is compared with itself and the next one.
     A tile is sent once to each tile that it is compared with.
@@ -297,15 +328,92 @@ def similar_links(classes: DataFrame, similarity: float, tile: int = WIDE_TILE)
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def resembling(a: list[np.ndarray], b: list[np.ndarray], fa: np.ndarray, fb: np.ndarray, similarity: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets of at least this resemblance between two blocks (or within one): positions in a and in b.
+
+    A set is compared with all candidates that no link has joined to it yet, so copies of each other cost a comparison each.
+    """
+    offset, radii = 0 if same else len(a), wide_radii(similarity, 64 * WIDE_WORDS)
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    label = np.arange(offset + len(b))
+    found_i, found_j = [], []
+    for i, own in enumerate(a):
+        lo = i + 1 if same else 0
+        least, most = np.minimum(na[i], nb[lo:]), np.maximum(na[i], nb[lo:])
+        near = np.bitwise_count(fa[i] ^ fb[lo:]).sum(axis=1, dtype=np.int64) <= radii[np.minimum(least, FEW)]
+        j = np.flatnonzero(near & (least >= similarity * most) & (label[offset + lo :] != label[i])) + lo
+        if not len(j) or not len(own):
+            continue
+        others = np.concatenate([b[k] for k in j.tolist()])
+        hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(nb[j]) - nb[j])
+        for k in j[common >= similarity * (na[i] + nb[j] - common) - 1e-9].tolist():
+            if label[offset + k] != label[i]:
+                label[label == label[offset + k]] = label[i]
+                found_i.append(i)
+                found_j.append(k)
+    return np.array(found_i, dtype=np.int64), np.array(found_j, dtype=np.int64)
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(a, b): nodes of classes (node, fp, n, rep) that connect all pairs of at least this similarity, by their sets of shingles.
+
+    Each such pair lies in one group (node, component), as ``components`` lists candidates. The sets of a group are dealt to blocks of about
+    ``BLOCK_SHINGLES``, and each block meets itself and the group's other blocks.
+    """
+    whole = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())  # the least nodes too
+    wanted = materialize(classes.join(whole, "node"), "candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch, "text"):
+                own = shingle_sets(texts, size)
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.lower(F.col("text")).alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi").select("text")
+    own = texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    parts = wanted.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    placed = wanted.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(own, "node")
+    blocks = materialize(placed.groupBy("component", "parts", "part").agg(F.collect_list(F.struct("fp", "node", "shingles")).alias("rows")), "blocks")
+    within = blocks.select("rows", F.expr("slice(rows, 1, 0)").alias("rows_b"))
+    several = blocks.where("parts > 1")
+    left = several.select("component", F.col("part").alias("to"), "rows")
+    right = several.where("part > 0").select("component", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("to"), F.col("rows").alias("rows_b"))
+    pairs = within.unionByName(left.join(right, ["component", "to"]).select("rows", "rows_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for r in range(batch.num_rows):
+                sides = []
+                for c in range(2):
+                    fps, nodes, shingles = batch.column(c).slice(r, 1).flatten().flatten()
+                    body, _ = string_views(fps)
+                    data, at = string_views(shingles)
+                    sides.append((np.frombuffer(body.tobytes(), np.uint64).reshape(-1, WIDE_WORDS), nodes.to_numpy(), [np.frombuffer(data[s:e].tobytes(), np.uint64) for s, e in zip(at[:-1], at[1:])]))
+                (fa, ra, a), (fb, rb, b) = sides
+                same = not len(rb)
+                i, j = resembling(a, a, fa, fa, similarity, True) if same else resembling(a, b, fa, fb, similarity, False)
+                out_a.append(ra[i])
+                out_b.append((ra if same else rb)[j])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """The rows and columns of docs with one document of each component of near copies: the one with the least id, once.
 
-    Near copies have shingles of this resemblance, as estimated from ``WIDE_WORDS`` * 64 bits (its standard error is 0.02).
-    Rows with a null id are kept as they are.
+    Near copies have shingles of this resemblance. Wide fingerprints find candidates, with ``SIGMAS`` standard deviations of
+    margin; the sets of shingles decide. Rows with a null id are kept as they are.
     """
-    prints = materialize(wide_fingerprints(docs, size), "fingerprints")
-    classes = materialize(prints.groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(similar_links(classes, similarity)).where("node <> component").select(F.col("node").alias("rep"))
-    keep = materialize(classes.join(found, "rep", "left_anti").where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct(), "kept")
-    once = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id IS NOT NULL")
+    prints = wide_fingerprints(named, size)
+    classes = materialize(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("rep")), "classes")
+    groups = components(similar_links(classes.select("fp", "n", F.col("node").alias("rep")), similarity))
+    found = components(verified_links(named, classes, groups, similarity, size)).select("node", "component")
+    of = classes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
+    keep = materialize(of.agg(F.min("rep").alias("doc_id")).select("doc_id").distinct(), "kept")
+    once = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

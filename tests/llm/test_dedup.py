@@ -90,6 +90,21 @@ def test_keep_one_keeps_clean_documents_and_one_of_each_group(spark):
     assert simhash.keep_one(make(spark, [])).count() == 0
 
 
+def test_near_copies_are_decided_by_their_shingles(spark, monkeypatch):
+    rows, want = [], []
+    for k in range(120):
+        # 100 common shingles of 5 words, then 13 (0.794) or 12 (0.806) of each text's own
+        common, own = [f"c{k}_{x}" for x in range(104)], 13 if k % 2 else 12
+        rows += [(2 * k, " ".join([*common, *(f"a{k}_{x}" for x in range(own))])), (2 * k + 1, " ".join([*common, *(f"b{k}_{x}" for x in range(own))]))]
+        want += [2 * k, 2 * k + 1] if k % 2 else [2 * k]
+    short = "one two three four five six seven eight nine".split()  # 5 shingles; 4 of 5 are common
+    rows += [(1000, " ".join(short)), (1001, " ".join(short[:8]))]
+    got = lambda: sorted(r["doc_id"] for r in simhash.keep_one(make(spark, rows)).collect())
+    assert got() == [*want, 1000]
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 60)  # each set is a block of its own
+    assert got() == [*want, 1000]
+
+
 def brute_removed(rows, window=13):
     big = 1 << 62
     first = {}
