@@ -3,7 +3,7 @@
 The writer is a noisy channel: letters are replaced by look-alike digits and signs, repeated, or set apart by spaces and
 marks. A token that shows such signs becomes a lattice of characters (each sign may be itself or a letter, a run may be
 one or two letters, a mark between letters may be nothing), and the Viterbi path under a character trigram model is the
-restored text. The trigram counts are those of all documents, added up in Spark.
+restored text, whatever the length of a token or a spaced run. The trigram counts are those of all documents, added up in Spark.
 
 Restored words are looked up in a lexicon of words and word beginnings that labelled toxic documents have far more often
 than clean ones, and a logistic model of how many of a text's words are listed, and how strongly, gives the score. Both are
@@ -36,7 +36,7 @@ MAX_LABELLED = 8192
 THRESHOLD = 0.7
 #: Buckets of words and beginnings, entries of the lexicon, the least toxic texts and the least log-ratio of an entry.
 BUCKETS, LEXICON, LEAST_TEXTS, LEAST_RATIO = 1 << 21, 65_536, 4, math.log(6)
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 256
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -107,18 +107,18 @@ class CharacterModel:
     def restore(self, token: str) -> str:
         """The likeliest text behind a token of lower-case characters."""
         n = len(token)
-        # best[i]: for the last two symbols, the cost so far and the text so far
-        best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(n + 1)]
-        best[0][0, 0] = (0.0, "")
+        runs = [1] * n
+        for i in range(n - 2, -1, -1):
+            if token[i] == token[i + 1]:
+                runs[i] = runs[i + 1] + 1
+        # best[i]: for the last two symbols, the cost so far and the way there (what was written last, the way before it)
+        best: list[dict[tuple[int, int], tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
+        best[0][0, 0] = (0.0, None)
         for i in range(n):
             if not best[i]:
                 continue
-            c = token[i]
-            run = 1
-            while i + run < n and token[i + run] == c:
-                run += 1
-            edges = self._edges(c, run)
-            for (a, b), (cost, text) in best[i].items():
+            edges = self._edges(token[i], runs[i])
+            for (a, b), (cost, way) in best[i].items():
                 for step, out, extra in edges:
                     x, y, total = a, b, cost + extra
                     for ch in out:
@@ -127,9 +127,19 @@ class CharacterModel:
                         x, y = y, s
                     have = best[i + step].get((x, y))
                     if have is None or total < have[0]:
-                        best[i + step][x, y] = (total, text + out)
-        ends = [(cost - self.logp[(a << 12) | (b << 6)], text) for (a, b), (cost, text) in best[n].items()]
-        return min(ends)[1] if ends else token
+                        best[i + step][x, y] = (total, (out, way))
+            best[i] = {}
+        ends = [(cost - self.logp[(a << 12) | (b << 6)], way) for (a, b), (cost, way) in best[n].items()]
+        least = min((cost for cost, _ in ends), default=0.0)
+        return min((self._written(way) for cost, way in ends if cost == least), default=token)
+
+    @staticmethod
+    def _written(way: tuple | None) -> str:
+        out = []
+        while way:
+            out.append(way[0])
+            way = way[1]
+        return "".join(reversed(out))
 
     @staticmethod
     def _edges(c: str, run: int) -> list[tuple[int, str, float]]:
@@ -179,7 +189,7 @@ class Reader:
         if low.isalpha() and not _SUSPECT.search(low):
             return [low]
         low = low.strip(_EDGES).rstrip("$@")
-        if _SUSPECT.search(low) and len(low) <= 64:
+        if _SUSPECT.search(low):
             # Words as they stand count beside the restored ones.
             return [*_WORDS.findall(low), *_WORDS.findall(self.model.restore(low))]
         return _WORDS.findall(low)
@@ -190,7 +200,7 @@ class Reader:
             return []
         out: list[str] = []
         for m in _SPACED.finditer(text):
-            out += _WORDS.findall(self.model.restore(m[0].lower()[:128]))
+            out += _WORDS.findall(self.model.restore(m[0].lower()))
         return [w for w in out if len(w) > 2]
 
 
@@ -220,7 +230,9 @@ class Scorer:
         for t in tokens:
             w = seen.get(t)
             if w is None:
-                w = seen[t] = self.weight(t[:256])
+                w = self.weight(t)
+                if len(t) <= CACHE_CHARS:
+                    seen[t] = w
             if w:
                 hits.append(w)
         hits += [w for w in (max((self.lexicon.get(b, 0.0) for b in entries(x)), default=0.0) for x in self.reader.spaced(text, tokens)) if w]
@@ -252,8 +264,8 @@ def _listed(sample: DataFrame, reader: Reader) -> dict[int, float]:
                 for t in tokens:
                     e = known.get(t)
                     if e is None:
-                        e = [b for w in reader.words(t[:256]) for b in entries(w)]
-                        if len(known) < CACHE_ENTRIES // 3:
+                        e = [b for w in reader.words(t) for b in entries(w)]
+                        if len(known) < CACHE_ENTRIES // 3 and len(t) <= CACHE_CHARS:
                             known[t] = e
                     found.update(e)
                 for w in reader.spaced(text or "", tokens):

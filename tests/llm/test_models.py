@@ -49,6 +49,23 @@ def test_restoration():
     assert [model.restore(x) for x in ("1d10t", "$tup1d", "st.u.p.i.d", "idiiiooot", "i d i o t", "the", "l0ser")] == ["idiot", "stupid", "stupid", "idiot", "idiot", "the", "loser"]
 
 
+def test_long_runs_and_tokens_are_read_to_their_end():
+    counts = np.zeros(64**3)
+    text = "  " + "  ".join(["idiot", "stupid", "the", "loser", "and", "only", "from"] * 50) + "  "
+    s = toxicity.SYMBOL_OF[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")].astype(int)
+    np.add.at(counts, (s[:-2] << 12) | (s[1:-1] << 6) | s[2:], 1)
+    reader = toxicity.Reader(toxicity.CharacterModel(counts))
+    words = ["the", "only", "from"] * 20 + ["stupid"]
+    spaced = "  ".join(" ".join(w) for w in words)
+    assert "stupid" in reader.spaced(spaced, set(spaced.split()))
+    for mark in ".-_":
+        assert "stupid" in "".join(reader.words((mark * 2).join(mark.join(w) for w in words)))
+    scorer = toxicity.Scorer(reader, {toxicity.entries("stupid")[0]: 2.0}, np.zeros(7), np.ones(7), np.zeros(7), 0.0)
+    assert scorer.summary("only," * 60 + "stupid")[5] == 2.0
+    letters = "l.o.s.e.r." * 2000
+    assert "".join(reader.model.restore(letters).split()) == "loser" * 2000
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.scores(make(spark, [(1, "x")]), none).collect()] == [0.0]
