@@ -246,17 +246,17 @@ def set_key(own: np.ndarray) -> int:
 
 
 def wide_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, fp, n) of every row: the key of its set of shingles (lower-case words), the wide fingerprint and the size."""
+    """(doc_id, row, node, fp, n): a hash of every row, the key of its set of shingles (lower-case words), the wide fingerprint and the size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in slices(batch, "text"):
                 sets = shingle_sets(texts, size)
                 columns = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([wide_simhash(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays([rows.column(0), *columns], ["doc_id", "node", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *columns], ["doc_id", "row", "node", "fp", "n"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, fp binary, n long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(*docs.columns).alias("row"), F.lower(F.col(text_col)).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, node long, fp binary, n long")
 
 
 def compare_wide(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -403,17 +403,17 @@ def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, simil
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """The rows and columns of docs with one document of each component of near copies: the one with the least id, once.
+    """The rows and columns of docs with one row of each component of near copies: the one with the least id (then hash of the row), once.
 
     Near copies have shingles of this resemblance. Wide fingerprints find candidates, with ``SIGMAS`` standard deviations of
     margin; the sets of shingles decide. Rows with a null id are kept as they are.
     """
     named = docs.where("doc_id IS NOT NULL")
     prints = wide_fingerprints(named, size)
-    classes = materialize(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("rep")), "classes")
+    classes = materialize(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("doc_id", "row")).alias("least")).select("node", "fp", "n", "least.*").withColumnRenamed("doc_id", "rep"), "classes")
     groups = components(similar_links(classes.select("fp", "n", F.col("node").alias("rep")), similarity))
     found = components(verified_links(named, classes, groups, similarity, size)).select("node", "component")
     of = classes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
-    keep = materialize(of.agg(F.min("rep").alias("doc_id")).select("doc_id").distinct(), "kept")
-    once = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = materialize(of.agg(F.min(F.struct("rep", "row")).alias("least")).select(F.col("least.rep").alias("doc_id"), F.col("least.row").alias("_row")), "kept")
+    once = named.withColumn("_row", F.xxhash64(*docs.columns)).join(keep, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
     return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

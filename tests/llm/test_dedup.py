@@ -105,6 +105,11 @@ def test_near_copies_are_decided_by_their_shingles(spark, monkeypatch):
     assert got() == [*want, 1000]
 
 
+def test_two_texts_of_one_id_are_kept(spark):
+    rows = [(1, "one two three four five six"), (1, "other words that stand for themselves here"), (2, "one two three four five six")]
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(make(spark, rows)).collect()) == rows[:2]
+
+
 def brute_removed(rows, window=13):
     big = 1 << 62
     first = {}
