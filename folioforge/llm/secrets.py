@@ -4,13 +4,18 @@ Rule expressions are compiled to one automaton over bytes: their syntax trees be
 makes it deterministic (a set always holds the start of every rule, so matches may begin anywhere), and partition
 refinement minimises it. Bytes that no rule tells apart share a class. The result is one array of transitions and one
 of rule masks. Documents are scanned side by side: at each step one gather moves all documents of a slice on by one
-byte, so a byte is read once for all rules together. Documents in which a rule accepted are then resolved to spans: a
-match begins after the last byte at which no rule was under way, and the rule's own anchored automaton gives its longest
-end. Per kind the spans are the leftmost non-overlapping ones; those that fail the kind's length are dropped after
-matching.
-
-Defined results: null and empty texts have no spans; spans are in code points, the end exclusive; repeated rows are
-scanned each for itself; extra columns are ignored (``redact`` keeps them).
+byte, so a byte is read once for all rules together. Documents in which a rule accepted are then resolved to spans: the
+automaton of the reversed rule, run backwards once, marks every byte at which a match begins, and the rule's own anchored
+automaton gives the longest end of the first mark behind the match before. So each byte of such a document is read three
+times for a rule at most, whatever the text. Per kind the spans are the leftmost non-overlapping ones; those that fail the
+kind's length are dropped after matching.
+
+A rule must die with the first byte behind its match, as all of ``RULES`` do; else that scan reads bytes again.
+
+Defined results: null and empty texts have no spans; an empty table gives no rows; spans are in code points, the end
+exclusive; spans of several kinds may overlap, and equal starts stand in the order of the rules; very long texts are
+scanned whole, in time linear in their length; repeated rows are scanned each for itself, whatever their ids; extra
+columns are ignored, whatever their names (``redact`` keeps them).
 """
 
 from __future__ import annotations
@@ -144,15 +149,31 @@ class Automaton:
     masks: list[int] | None = None
 
 
-def compile_rules(rules: tuple[Rule, ...], anywhere: bool) -> Automaton:
-    """The minimal automaton of all rules; ``anywhere``: matches may begin at each byte, else only at the first."""
+def reversed_tree(tree) -> list:
+    """A parsed expression that matches the same texts read from their end."""
+    out = []
+    for op, arg in reversed(list(tree)):
+        if op is ops.SUBPATTERN:
+            arg = (*arg[:3], reversed_tree(arg[3]))
+        elif op is ops.BRANCH:
+            arg = (arg[0], [reversed_tree(branch) for branch in arg[1]])
+        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT):
+            arg = (*arg[:2], reversed_tree(arg[2]))
+        out.append((op, arg))
+    return out
+
+
+def compile_rules(rules: tuple[Rule, ...], anywhere: bool, backward: bool = False) -> Automaton:
+    """The minimal automaton of all rules; ``anywhere``: matches may begin at each byte, else only at the first; ``backward``: of texts read from their end."""
     nfa = Nfa()
     begins, ends = [], {}
     for k, rule in enumerate(rules):
         begins.append(nfa.state())
         tree = list(parser.parse(rule.pattern))
         loops = [i for i, (op, arg) in enumerate(tree) if op is ops.MAX_REPEAT and arg[1] is ops.MAXREPEAT and arg[2][0][0] is ops.IN]
-        if anywhere and loops:
+        if backward:
+            tree = reversed_tree(tree)
+        elif anywhere and loops:
             # A match shows with the least of its first run of a class of bytes; the rule's own automaton finds its end.
             least, _, inner = tree[loops[0]][1]
             tree = [*tree[: loops[0]], (ops.MAX_REPEAT, (least, least, inner))]
@@ -211,14 +232,15 @@ def compile_rules(rules: tuple[Rule, ...], anywhere: bool) -> Automaton:
 
 
 class Scanner:
-    """All rules compiled together, and each by itself for the ends of its matches."""
+    """All rules compiled together, and each by itself for the beginnings and the ends of its matches."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.all = compile_rules(rules, True)
         self.each = [compile_rules((r,), False) for r in rules]
+        self.back = [compile_rules((r,), True, True) for r in rules]
         self.head = compile_rules((Rule("head", _ASSIGN_HEAD),), False)
-        for a in (self.all, *self.each, self.head):
+        for a in (self.all, *self.each, *self.back, self.head):
             a.steps, a.masks = a.step.tolist(), a.accepts.tolist()
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -249,33 +271,35 @@ class Scanner:
         out[order] = seen
         return out
 
-    def spans(self, text: bytes) -> list[tuple[str, int, int]]:
-        """All spans of a document in bytes, by start, then kind in the order of the rules."""
-        a = self.all
-        classes = a.class_of[np.frombuffer(text, dtype=np.uint8)].tobytes()
-        step, accepts = a.steps, a.masks
-        events: list[tuple[int, int, int]] = []
-        s, rest = 0, 0
-        for i, c in enumerate(classes):
-            s = step[s + c]
-            if s == 0:
-                rest = i + 1
-            elif accepts[s]:
-                events.append((i, accepts[s], rest))
-        out = []
-        for k, (rule, own) in enumerate(zip(self.rules, self.each)):
-            mine, done = own.class_of[np.frombuffer(text, dtype=np.uint8)].tobytes(), 0
-            for i, mask, rest in events:
-                if not mask >> k & 1 or i < done:
-                    continue
-                for begin in range(max(rest, done), i + 1):
-                    if (end := self._longest(own, mine, begin)) > i:
-                        done = end
-                        if self._long_enough(rule, text, begin, end):
-                            out.append((begin, k, end))
-                        break
+    def spans(self, text: bytes, mask: int = -1) -> list[tuple[str, int, int]]:
+        """All spans of a document in bytes, by start, then kind in the order of the rules; only rules of the mask are looked for."""
+        data, out = np.frombuffer(text, dtype=np.uint8), []
+        for k, (rule, own, back) in enumerate(zip(self.rules, self.each, self.back)):
+            if not mask >> k & 1:
+                continue
+            begins, done, mine = self._begins(back, data), 0, own.class_of[data].tobytes()
+            at = 0
+            while at < len(begins):
+                begin = int(begins[at])
+                done = self._longest(own, mine, begin)
+                if self._long_enough(rule, text, begin, done):
+                    out.append((begin, k, done))
+                at = int(np.searchsorted(begins, done))
         return [(self.rules[k].kind, b, e) for b, k, e in sorted(out)]
 
+    @staticmethod
+    def _begins(a: Automaton, data: np.ndarray) -> np.ndarray:
+        """The bytes at which a match begins, by one pass from the text's end."""
+        step, accepts, s = a.steps, a.masks, 0
+        marks = bytearray(len(data))
+        at = len(data)
+        for c in a.class_of[data[::-1]].tobytes():
+            at -= 1
+            s = step[s + c]
+            if accepts[s]:
+                marks[at] = 1
+        return np.flatnonzero(np.frombuffer(marks, dtype=np.uint8))
+
     def _longest(self, a: Automaton, classes: bytes, at: int) -> int:
         step, accepts, s, end = a.steps, a.masks, 0, -1
         for i in range(at, len(classes)):
@@ -299,7 +323,9 @@ class Scanner:
 def _code_points(text: bytes, spans: list[tuple[str, int, int]]) -> list[dict]:
     if text.isascii():
         return [{"kind": k, "start": b, "end": e} for k, b, e in spans]
-    return [{"kind": k, "start": len(text[:b].decode()), "end": len(text[:e].decode())} for k, b, e in spans]
+    # Code points begin at all bytes but 0x80 to 0xBF; they are counted once.
+    before = np.concatenate([[0], np.cumsum(np.frombuffer(text, dtype=np.int8) >= -64)])
+    return [{"kind": k, "start": int(before[b]), "end": int(before[e])} for k, b, e in spans]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -310,9 +336,10 @@ def _scan(batches: Iterator[pa.RecordBatch], scanner: Scanner) -> Iterator[tuple
     for batch in batches:
         for rows, texts in slices(batch, "text", SCAN_BYTES):
             found: list[list[dict]] = [[]] * texts.n
-            for i in np.flatnonzero(scanner.hits(texts.data, texts.offsets)):
+            masks = scanner.hits(texts.data, texts.offsets)
+            for i in np.flatnonzero(masks).tolist():
                 text = texts.text(i)
-                found[i] = _code_points(text, scanner.spans(text))
+                found[i] = _code_points(text, scanner.spans(text, int(masks[i])))
             yield rows, found
 
 
@@ -337,14 +364,15 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         at = names.index(text_col)
         for batch in batches:
             for rows, texts in slices(batch, text_col, SCAN_BYTES):
-                hit = np.flatnonzero(scanner.hits(texts.data, texts.offsets))
+                masks = scanner.hits(texts.data, texts.offsets)
+                hit = np.flatnonzero(masks).tolist()
                 columns = list(rows.columns)
                 if len(hit):
                     values = columns[at].to_pylist()
                     for i in hit:
                         text = texts.text(i)
                         out, done = [], 0
-                        for _, b, e in scanner.spans(text):
+                        for _, b, e in scanner.spans(text, int(masks[i])):
                             if b >= done:
                                 out += [text[done:b], mark.encode()]
                             done = max(done, e)
