@@ -7,12 +7,16 @@ population counts do, so only tiles of cells at most ``radius`` apart are compar
 and bit count in numpy, block by block. No pair within the radius is lost. A pair of tiles hands on a spanning forest of
 its links, not all of them, and the links become components in distributed rounds.
 
-Work is quadratic in the number of distinct fingerprints (about 1/20 of all pairs are compared); rows, shuffles and
-memory are linear: a fingerprint is sent to the cells around its own, at most 65, and no task holds more than two tiles.
+Work is quadratic in the number of distinct fingerprints (about 1/20 of all pairs are compared). A fingerprint is sent to
+the tiles of the cells around its own, of which there are at most 65; a tile of a cell is a join key of its own, so the
+fullest cell is no single task, and no task holds more than two tiles. In the wide form (near copies by resemblance) the
+tiles of a cell form stripes of about the square root of their number, and a tile is sent once to each stripe that it
+meets: the copies of a row grow with the square root of the number of rows.
 
 Defined results: a null text is empty; a text without words has fingerprint zero; fewer words than a shingle make one
-shingle of all; rows with equal ids are one document with two texts (both are compared); a null id never names a
-component; an empty table gives no rows; extra columns are ignored by ``fingerprints`` and kept by ``keep_one``.
+shingle of all; rows with equal ids are one document with several texts: its rows are one component with all that any
+of them reaches; a null id never names a component and links nothing; repeated rows are kept; very long texts are read
+whole; an empty table gives no rows; extra columns are ignored by ``fingerprints`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -32,9 +36,9 @@ from .common import Texts, gram_hashes, materialize, mix, slices, string_views
 from .components import components
 
 BLOCKS = 4
-TILE = 2048
-#: Rows of a tile compared at once with all of the other tile.
-STRIP = 256
+TILE = 8192
+#: Pairs of fingerprints that are compared at once, and links of them from which only a spanning forest is kept.
+PAIRS, STRIP = 1 << 19, 256
 
 
 def simhash(text: bytes, size: int = 3, seed: int = 42) -> int:
@@ -94,8 +98,9 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tupl
     """A spanning forest of the links between two tiles (or within one): positions in a and in b."""
     offset = 0 if same else len(a)
     found_i, found_j = [], []
-    for at in range(0, len(a), STRIP):
-        strip = a[at : at + STRIP]
+    rows = max(1, PAIRS // max(1, len(b)))
+    for at in range(0, len(a), rows):
+        strip = a[at : at + rows]
         near = np.bitwise_count(strip[:, None] ^ b[None, :]) <= radius
         i, j = np.nonzero(near)
         i = i + at
@@ -127,7 +132,7 @@ def links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
         .agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
     )
     tiles = materialize(tiles, "tiles")
-    # Each tile goes to the cells at most the radius below its own in the order of steps; at step 0 a cell meets itself.
+    # Each tile goes to the tiles of the cells at most the radius below its own in the order of steps; at step 0 a cell meets itself.
     steps = [d for d in product(range(-radius, radius + 1), repeat=BLOCKS) if sum(map(abs, d)) <= radius and d >= (0,) * BLOCKS]
     offsets = F.array(*(F.array(*map(F.lit, d)) for d in steps))
     counts = [F.pmod(F.floor(F.col("cell") / base**k), F.lit(base)).cast("int") for k in range(BLOCKS)]
@@ -139,8 +144,10 @@ def links(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
             sum((t * base**k for k, t in enumerate(to)), F.lit(0)).alias("cell"),
             *(F.col(c).alias(f"{c}_b") for c in ("cell", "part", "fps", "reps")),
         )
+        .join(F.broadcast(sizes), "cell")  # at most 17**4 cells; those without rows drop out
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("cell") == F.col("cell_b"), F.col("part_b")).otherwise(F.col("parts") - 1))))
     )
-    pairs = tiles.join(right, "cell").where("cell <> cell_b OR part <= part_b")
+    pairs = tiles.join(right, ["cell", "part"])
     pairs = pairs.select("fps", "reps", "fps_b", "reps_b", F.expr("cell = cell_b AND part = part_b").alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +172,19 @@ def list_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
 
 
+def shared_ids(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): ids of classes (fp, rep) that rows of one document id (doc_id, fp) connect."""
+    several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("doc_id")
+    of = prints.join(several, "doc_id").join(classes, "fp").select("doc_id", "rep")
+    return of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; the component's id is the smallest doc_id reachable over links."""
+    """(doc_id, fp, component_id) of every row; the component's id is the smallest doc_id reachable over links and shared ids."""
     prints = materialize(fingerprints(docs, size, seed), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(links(classes, radius))
+    found = components(links(classes, radius).unionByName(shared_ids(prints, classes)))
     named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    # Rows that share an id belong together even where their texts differ.
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -294,7 +307,8 @@ def similar_links(classes: DataFrame, similarity: float, tile: int = WIDE_TILE)
     """(a, b): ids of classes (fp, n, rep) that connect all candidates, pairs that may have at least this similarity.
 
     Sets of a resemblance have sizes in that ratio at least, so a cell of sizes is compared with itself and the next one.
-    A tile is sent once to each tile that it is compared with.
+    The tiles of a cell form stripes; a tile is sent once to each stripe that it is compared with, and meets its tiles there
+    one by one.
     """
     cell = F.when(F.col("n") > 0, F.floor(F.ln(F.col("n").cast("double")) / -math.log(similarity) + 1e-9) + 1).otherwise(0).cast("int")
     placed = materialize(classes.where("rep IS NOT NULL").withColumn("cell", cell), "cells")
@@ -305,11 +319,19 @@ def similar_links(classes: DataFrame, similarity: float, tile: int = WIDE_TILE)
         .agg(F.collect_list(F.struct("fp", "n", "rep")).alias("rows"))
     )
     tiles = materialize(tiles, "tiles")
-    left = tiles.select("cell", F.col("part").alias("to"), "rows")
-    own = tiles.select("cell", "cell", "part", "rows", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("to")).toDF("cell", "cell_b", "part_b", "rows_b", "to")
+
+    def stripe(part: F.Column, parts: F.Column) -> F.Column:
+        return F.floor(part / F.ceil(F.sqrt(parts))).cast("int")
+
+    home = tiles.select("cell", stripe(F.col("part"), F.col("parts")).alias("stripe"), F.col("part").alias("part_a"), "rows")
+    visits = [F.struct(F.col("cell").alias("cell"), F.col("parts").alias("parts"), F.col("part").alias("last")), F.struct((F.col("cell") - 1).alias("cell"), F.col("below").alias("parts"), (F.col("below") - 1).alias("last"))]
     lower = sizes.select((F.col("cell") + 1).alias("cell"), F.col("parts").alias("below"))
-    next_ = tiles.join(F.broadcast(lower), "cell").select((F.col("cell") - 1).alias("cell"), F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("rows").alias("rows_b"), F.explode(F.sequence(F.lit(0), F.col("below") - 1)).alias("to"))
-    pairs = left.join(own.unionByName(next_), ["cell", "to"]).select("rows", "rows_b", F.expr("cell = cell_b AND `to` = part_b").alias("same"))
+    guests = (
+        tiles.join(F.broadcast(lower), "cell", "left")  # a row for each power of 1 / similarity
+        .select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("rows").alias("rows_b"), F.explode(F.filter(F.array(*visits), lambda v: v["parts"].isNotNull())).alias("v"))
+        .select("cell_b", "part_b", "rows_b", F.col("v.cell").alias("cell"), F.explode(F.sequence(F.lit(0), stripe(F.col("v.last"), F.col("v.parts")))).alias("stripe"))
+    )
+    pairs = guests.join(home, ["cell", "stripe"]).where("cell <> cell_b OR part_a <= part_b").select("rows", "rows_b", F.expr("cell = cell_b AND part_a = part_b").alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,21 +21,24 @@ def brute_fingerprint(text):
 
 
 def brute_components(prints, radius):
-    least = {f: min((d for d, g in prints if g == f and d is not None), default=None) for _, f in prints}
-    nodes, parent = list(least), {}
+    """The component of each fingerprint: rows are linked by near fingerprints and by a common id."""
+    nodes = list(dict.fromkeys(prints))
+    parent = list(range(len(nodes)))
 
     def find(x):
-        while parent.get(x, x) != x:
+        while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in nodes:
-        for b in nodes:
-            if least[a] is not None and least[b] is not None and (a ^ b).bit_count() <= radius:
-                parent.setdefault(find(least[a]), find(least[a]))
-                x, y = find(least[a]), find(least[b])
-                parent[max(x, y)] = min(x, y)
-    return {f: find(least[f]) if least[f] is not None else None for f in nodes}
+    for i, (d, f) in enumerate(nodes):
+        for j, (e, g) in enumerate(nodes):
+            if f == g or (d is not None and d == e) or (d is not None and e is not None and (f ^ g).bit_count() <= radius):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(nodes):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return {f: least.get(find(i)) for i, (_, f) in enumerate(nodes)}
 
 
 def test_simhash_components_agree_with_brute_force(spark):
@@ -47,6 +50,13 @@ def test_simhash_components_agree_with_brute_force(spark):
     assert simhash.near_duplicate_digest(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_link_their_texts(spark):
+    a, b = "alpha beta gamma delta", "one two three four five"
+    rows = [(3, a), (7, a), (5, b), (7, b), (9, "something else entirely here"), (None, b), (None, "x")]
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["component_id"]) for r in simhash.near_duplicate_digest(make(spark, rows)).collect() if r["component_id"] is not None)
+    assert got == [(-1, 3), (3, 3), (5, 3), (7, 3), (7, 3), (9, 9)]
+
+
 def test_tiles_lose_no_link(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(60)]
