@@ -42,6 +42,47 @@ def test_a_dropped_match_still_uses_up_its_text(spark):
     assert [tuple(s) for s in got] == brute_spans('secret=token="abcdefgh"')
 
 
+def rest_spans(text):
+    """The spans of the kinds that ``brute_spans`` leaves out."""
+    out = []
+    for k, rule in enumerate(secrets.RULES):
+        if rule.kind in ("slack", "jwt", "private_key"):
+            out += [(m.start(), k, rule.kind, m.end()) for m in re.finditer(rule.pattern, text) if len(m[0]) >= rule.least]
+    return sorted(out)
+
+
+def test_added_rules_agree_with_expressions():
+    rng = random.Random(12)
+    pieces = ["eyJ", ".", "a", "Zz0", "_", " ", "xoxb-", "xox", "-----BEGIN ", "PRIVATE KEY", "-----", "RSA ", "é", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"]
+    scanner = secrets.Scanner()
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        got = [(s["kind"], s["start"], s["end"]) for s in secrets._code_points(text.encode(), scanner.spans(text.encode())) if s["kind"] in ("slack", "jwt", "private_key")]
+        assert got == [(kind, a, b) for a, _, kind, b in rest_spans(text)]
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "-----BEGIN ", "secret=", "0123456789abcdef", "eyJa.", "AKIAAKI", "password : é ", "xoxb-"])
+def test_long_hostile_texts_take_seconds(piece):
+    import time
+
+    scanner, text = secrets.Scanner(), piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    got = secrets._code_points(text.encode(), scanner.spans(text.encode()))
+    assert time.process_time() - start < 20
+    want = sorted([*((a, kind, b) for kind, a, b in brute_spans(text)), *((m.start(), "slack", m.end()) for m in re.finditer("xox[abprs]-[A-Za-z0-9-]+", text) if len(m[0]) >= 15)])
+    assert [(s["start"], s["kind"], s["end"]) for s in got if s["kind"] not in ("jwt", "private_key")] == want
+    assert not [s for s in got if s["kind"] in ("jwt", "private_key")]
+
+
+def test_rows_of_one_id_and_clashing_columns_are_scanned_each(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh1", "x", 1), (1, "token=abcdefgh1", "x", 1), (1, "clean", "x", 1), (None, "secret: 12345678", None, None)], "doc_id long, text string, spans string, n_hex int")
+    out = secrets.secret_digest(df).collect()
+    assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in out) == [(0, 1), (1, 0), (1, 1), (1, 1)]
+    kept = secrets.redact(df)
+    assert kept.columns == df.columns and sorted(r["text"] for r in kept.collect()) == ["[SECRET]", "[SECRET]", "[SECRET]", "clean"]
+    assert secrets.redact(df.limit(0)).count() == 0
+
+
 def test_redaction(spark):
     df = make(spark, [(1, "é password: hunter2hunter2 end"), (2, None), (3, "clean")])
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(df).collect()}
@@ -87,12 +128,70 @@ def test_packing_round_trip(spark):
     assert repeated.where("start = 0").count() == 2
 
 
+def shard_of(bodies):
+    return packing.Words(packing.Texts(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)])))
+
+
+def test_full_tables_change_no_id(monkeypatch):
+    monkeypatch.setattr(packing, "WORD_ENTRIES", 40)
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 30)
+    encoder = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    for _ in range(12):
+        bodies = [" ".join(rng.choice(["a", "Bee's", "x" * 90, "é́", f"w{rng.randrange(60)},", "<|endoftext|>", "1234"]) for _ in range(rng.randint(0, 30))) for _ in range(9)]
+        ids, begin = encoder.encode(shard_of([b.encode() for b in bodies]), 1)
+        for k, b in enumerate(bodies):
+            assert ids[begin[k] : begin[k + 1]].tolist() == [*encoder.tokenizer.encode(b, add_special_tokens=False).ids, 1]
+
+
 def test_neighbours_share_rare_words():
-    bodies = [b"alpha beta gamma", b"one two three", b"gamma delta alpha", b"two four one", b"", b"lonely"]
-    texts = packing.Texts(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)]))
-    index = packing.Bm25(texts)
+    index = packing.Bm25(shard_of([b"alpha beta gamma", b"one two three", b"gamma delta alpha", b"two four one", b"", b"lonely"]))
     assert index.neighbours(0, np.array([True, False, False, False, False, False])).tolist() == [2]
-    assert list(packing.reading_order(index, np.array([5, 5, 5, 5, 1, 1]), 10, 0)) == [0, 2, 3, 1, 4, 5] or list(packing.reading_order(index, np.array([5, 5, 5, 5, 1, 1]), 10, 0))[:2] == [0, 2]
+    assert list(packing.reading_order(index, np.array([5, 5, 5, 5, 1, 1]), 10, 0)) == [0, 2, 1, 3, 4, 5]
+
+
+def brute_bm25(bodies, seed):
+    docs = [b.split() for b in bodies]
+    mean, n = sum(map(len, docs)) / len(docs), len(docs)
+    out = []
+    for d in docs:
+        s = 0.0
+        for w in set(docs[seed]):
+            df, tf = sum(w in x for x in docs), d.count(w)
+            if df > 1:
+                s += np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) if tf else 0.0
+        out.append(s)
+    return out
+
+
+def test_scores_are_those_of_all_words():
+    rng = random.Random(9)
+    bodies = [" ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(0, 120))).encode() for _ in range(90)]
+    index = packing.Bm25(shard_of(bodies))
+    assert len(index.rows) and len(index.doc)
+    for seed in range(0, 90, 7):
+        assert index.scores(seed) == pytest.approx(brute_bm25(bodies, seed), rel=1e-4, abs=1e-4)
+        used = np.zeros(90, dtype=bool)
+        order = index.neighbours(seed, used).tolist()
+        assert index.scores(seed)[order].tolist() == sorted(index.scores(seed)[order].tolist(), reverse=True) and len(order) >= min(64, (index.scores(seed) > 0).sum())
+
+
+def test_related_texts_are_routed_together(spark):
+    rng = random.Random(2)
+    vocabulary = [f"r{k}" for k in range(5000)]
+    rows = []
+    for k in range(300):
+        words = [rng.choice(vocabulary) for _ in range(80)]
+        near = [*words[:20], "edit", *words[21:]]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(near))]
+    rows += [(5000 + k, "the same words in every copy") for k in range(400)] + [(7, None), (None, "x"), (None, "")]
+    out = packing.routed(make(spark, rows).repartition(3)).rdd.mapPartitionsWithIndex(lambda i, rs: ((i, r["doc_id"]) for r in rs)).collect()
+    assert sorted(str(d) for _, d in out) == sorted(str(d) for d, _ in rows)
+    place = {d: i for i, (_, d) in enumerate(out)}
+    beside = [abs(place[k] - place[1000 + k]) == 1 for k in range(300)]
+    assert np.mean(beside) > 0.9
+    sizes = np.bincount([i for i, _ in out])
+    assert len(sizes) == 4 and sizes.max() < 2 * sizes.min()  # 400 copies have one key
 
 
 def test_shards(spark):
