@@ -7,8 +7,15 @@ labelled pages of two sorts: a sample of at most ``max_pages`` of the given page
 are labelled by that element, and pages written here from layouts with known labels, which also show other containers
 and the boxes that may stand inside an article (adverts, forms, comments, notices).
 
-Defined results: null and empty pages have an empty text; a page without a main block too; repeated rows are read each
-for itself; extra columns are ignored; text in broken markup goes to the block that is open there.
+Of the given pages only those of less than ``MAX_BYTES`` are drawn into the sample, so that the sample is bounded in bytes
+too; all pages are read, whatever their size.
+
+Defined results: null and empty pages have an empty text; a page without a main block too; an empty table gives no rows;
+very long pages are read whole, in time linear in their length; of two label sequences of equal score that with no main
+text at the first difference from the end is taken; repeated rows are read each for itself, whatever their ids; extra
+columns are ignored, whatever their names; text in broken markup goes to the block that is open there. Content of scripts,
+styles, templates, titles and of the controls ``select`` and ``textarea`` is no text; formulas, drawings and the fallback
+texts of media are.
 """
 
 from __future__ import annotations
@@ -16,16 +23,17 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Element, blocks
 
-MAX_PAGES, WRITTEN_PAGES, EPOCHS = 200, 300, 6
+#: Pages of the sample and the bytes that each has fewer of, pages written from layouts, and rounds over all of them.
+MAX_PAGES, MAX_BYTES, WRITTEN_PAGES, EPOCHS = 200, 1 << 18, 300, 6
 
 #: Class words that stand for a kind of box (fixed values).
 KINDS = {
@@ -44,28 +52,44 @@ KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
 _TAGS = set("article main section nav header footer aside form div p li ul ol table td th tr h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption button fieldset legend dl dt dd address body details summary dialog".split())
 
 
-@lru_cache(maxsize=50_000)
-def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    """Features of the ancestors: tags and kinds of boxes above, and the nearest box that says what it is."""
-    out, nearest = {"bias"}, ""
-    for element in path:
-        tag, *words = element.split(" ")
-        if tag in _TAGS:
-            out.add(f"in:{tag}")
-        kinds = {KIND_OF[w] for w in words if w in KIND_OF}
-        if tag in ("nav", "header", "footer", "aside", "form", "article", "main", "button", "dialog"):
-            kinds.add({"nav": "menu", "header": "head", "footer": "foot", "aside": "side", "article": "main", "dialog": "note", "button": "form"}.get(tag, tag))
+#: What boxes of some tags are.
+TAG_KINDS = {"nav": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "article": "main", "main": "main", "button": "form", "dialog": "note"}
+
+
+@dataclass(frozen=True)
+class PathState:
+    """What the ancestors of a block come to: their features, and the nearest box that says what it is."""
+
+    features: frozenset[str] = frozenset({"bias"})
+    nearest: str = ""
+    leaf: str = ""
+
+    def inside(self, element: Element) -> PathState:
+        """The state one element further in."""
+        kinds = {KIND_OF[w] for w in element.words if w in KIND_OF}
+        if element.tag in TAG_KINDS:
+            kinds.add(TAG_KINDS[element.tag])
+        more = {f"kind:{k}" for k in kinds}
+        if element.tag in _TAGS:
+            more.add(f"in:{element.tag}")
         bad = kinds - {"main"}
-        for k in kinds:
-            out.add(f"kind:{k}")
-        if bad:
-            nearest = min(bad)
-        elif "main" in kinds and tag != "body":
-            nearest = "main"
-    out.add(f"nearest:{nearest or 'none'}")
-    if path:
-        out.add(f"leaf:{path[-1].split(' ')[0]}")
-    return tuple(sorted(out))
+        nearest = min(bad) if bad else "main" if "main" in kinds and element.tag != "body" else self.nearest
+        return PathState(self.features if more <= self.features else self.features | more, nearest, element.tag)
+
+    def all(self) -> list[str]:
+        return sorted([*self.features, f"nearest:{self.nearest or 'none'}", *([f"leaf:{self.leaf}"] if self.leaf else [])])
+
+
+def path_state(inside: Element | None) -> PathState:
+    """The state of the elements around a block; each element's is made from that of the one around it, once."""
+    todo = []
+    while inside is not None and "state" not in inside.notes:
+        todo.append(inside)
+        inside = inside.above
+    state = inside.notes["state"] if inside is not None else PathState()
+    for element in reversed(todo):
+        state = element.notes["state"] = state.inside(element)
+    return state
 
 
 def text_features(block: Block) -> tuple[str, ...]:
@@ -89,16 +113,17 @@ class Field:
         self.weights: dict[str, float] = {}
         self.step = np.zeros((2, 2))
         self.first = np.zeros(2)
-        self._paths: dict[tuple[str, ...], float] = {}
+        self._paths: dict[PathState, float] = {}
 
     def unary(self, page: list[Block]) -> list[float]:
         get, paths, out = self.weights.get, self._paths, []
         for b in page:
-            s = paths.get(b.path)
+            state = path_state(b.inside)
+            s = paths.get(state)
             if s is None:
                 if len(paths) > 50_000:
                     paths.clear()
-                s = paths[b.path] = sum(get(f, 0.0) for f in path_features(b.path))
+                s = paths[state] = sum(get(f, 0.0) for f in state.all())
             out.append(s + sum(get(f, 0.0) for f in text_features(b)))
         return out
 
@@ -124,7 +149,7 @@ class Field:
     def train(self, pages: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS, rate: float = 0.3, seed: int = 7) -> None:
         """Adaptive gradient ascent on the conditional log-likelihood, a page at a time, with a small ridge."""
         rng = random.Random(seed)
-        ready = [([(*path_features(b.path), *text_features(b)) for b in page], labels) for page, labels in pages if page]
+        ready = [([(*path_state(b.inside).all(), *text_features(b)) for b in page], labels) for page, labels in pages if page]
         size: dict[str, float] = {}
         step_size, first_size = np.full((2, 2), 1e-6), np.full(2, 1e-6)
         for _ in range(epochs):
@@ -270,25 +295,26 @@ def written_pages(n: int, seed: int = 11) -> list[tuple[str, list[tuple[str, int
 
 def label_by_article(page: list[Block]) -> list[int] | None:
     """Labels of a page with an article: its blocks, but for those in boxes of another kind; None: there is no article."""
-    if not any("article" == e.split(" ")[0] for b in page for e in b.path):
+    paths = [b.inside.path() if b.inside else [] for b in page]
+    if not any(e.tag == "article" for path in paths for e in path):
         return None
     out = []
-    for b in page:
-        inside = [k for k, e in enumerate(b.path) if e.split(" ")[0] == "article"]
-        rest = b.path[inside[0] + 1 :] if inside else ()
-        own = {KIND_OF.get(w, "main") for e in rest for w in e.split(" ")[1:]} | {e.split(" ")[0] for e in rest} & {"nav", "aside", "footer", "form"}
+    for path in paths:
+        inside = [k for k, e in enumerate(path) if e.tag == "article"]
+        rest = path[inside[0] + 1 :] if inside else []
+        own = {KIND_OF.get(w, "main") for e in rest for w in e.words} | {e.tag for e in rest} & {"nav", "aside", "footer", "form"}
         out.append(int(bool(inside) and not own - {"main"}))
     return out
 
 
 def train(pages: DataFrame, max_pages: int = MAX_PAGES, html_col: str = "html") -> Field:
     """The field trained on a sample of the pages (those with the least hashes) and on the written ones."""
-    some = pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) < 1 << 18)).select(html_col, F.xxhash64(html_col).alias("h"))
+    some = pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) < MAX_BYTES)).select(html_col, F.xxhash64(html_col).alias("h"))
     # The least hashes are found without their pages, so that a task sends the driver only numbers; equal pages count once.
     least = [r["h"] for r in some.groupBy("h").agg(F.count("*")).orderBy("h").limit(max_pages).select("h").collect()]
     sample = some.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h")
     data = []
-    for row in sample.collect():  # at most max_pages pages of at most 256 KB
+    for row in sample.collect():  # at most max_pages pages of less than MAX_BYTES
         page = blocks(row[html_col])
         labels = label_by_article(page)
         if labels:

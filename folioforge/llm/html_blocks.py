@@ -1,129 +1,195 @@
-"""Leaf blocks of HTML pages: their text, their ancestors, and how much of them is links."""
+"""Leaf blocks of HTML pages: their text, their ancestors, and how much of them is links.
+
+Tags are read as HTML's tokenizer reads them: an attribute value ends at its own quote or, without one, at white space or
+``>``; a lone quote is part of a name or value. A page is read once, in time linear in its length: a tag or comment that
+the page's end cuts off hides what is left of the page, a quote or an element that is never closed is looked for once, and
+the open elements are found by tables of their places, not by walks over the stack.
+"""
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S
-)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_BLANK = r"[ \t\n\f\r]"
+_ATTRIBUTE = rf"""[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:{_BLANK}*+={_BLANK}*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r"'>][^ \t\n\f\r>]*+)?+)?+"""
+_TAG = re.compile(rf"(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{_ATTRIBUTE})*+)>")
+_MARKS = re.compile(rf"""([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:{_BLANK}*+={_BLANK}*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\f\r"'>][^ \t\n\f\r>]*+))?+)?+""")
 _SPLIT = re.compile(r"[^a-z]+")
 
-#: Fixed values of HTML: elements whose content is no text, elements without an end, and elements that don't end a block.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video"}
+#: Fixed values of HTML: elements whose content is no text of the page, those of them that an open end makes the rest of
+#: the page, elements without an end, and elements that don't end a block.
+RAW = {"script", "style", "template", "textarea", "select", "title"}
+OPEN_ENDED = {"script", "style"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input map area".split())
-#: What a start tag closes when it is open above it, up to the first of the barriers.
+INLINE = set(
+    "a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input map area "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
+    "svg g text tspan noscript iframe object canvas audio video embed param source track".split()
+)
+#: What a start tag closes when it is open above it, up to the first of the barriers; the last three close all of them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+CLOSES_ALL = ("tr", "tbody", "tfoot")
 BARRIERS = {"ul", "ol", "dl", "table", "select", "body", "article", "section", "main", "nav", "aside", "footer", "header"}
 
 
+@dataclass(eq=False)
+class Element:
+    """An open element that ends a block: its tag, the words of its class, id and role, and the one around it."""
+
+    tag: str
+    words: tuple[str, ...]
+    above: Element | None
+    #: What readers of blocks keep here (the features of a path are made from those of the path above).
+    notes: dict = field(default_factory=dict, repr=False)
+
+    def path(self) -> list[Element]:
+        """The elements from the outside in."""
+        out, at = [], self
+        while at is not None:
+            out.append(at)
+            at = at.above
+        return out[::-1]
+
+
 @dataclass(frozen=True)
 class Block:
-    """A leaf block: its text with white space made single, the ancestors from the outside in, and the length of link text."""
+    """A leaf block: its text with white space made single, the innermost element around it, and the length of link text."""
 
     text: str
-    path: tuple[str, ...]
+    inside: Element | None
     linked: int
 
 
-def _mark(tag: str, attributes: str) -> str:
-    """An element of a path: the tag, then the words of its class, id and role."""
+def _words(attributes: str) -> tuple[str, ...]:
+    """The words of an element's class, id and role, sorted."""
     if "=" not in attributes:
-        return tag
-    words = {w for m in _MARK.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w}
-    return " ".join([tag, *sorted(words)]) if words else tag
+        return ()
+    values = (m[2] or m[3] or m[4] or "" for m in _MARKS.finditer(attributes) if m[1].lower() in ("class", "id", "role"))
+    return tuple(sorted({w for v in values for w in _SPLIT.split(v.lower()) if w}))
+
+
+class _Stack:
+    """The open elements, with the places of each tag, of blocks and of barriers."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.barriers: list[int] = []
+        self.elements: list[Element] = []
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        k = len(self.tags)
+        self.tags.append(tag)
+        self.at.setdefault(tag, []).append(k)
+        if tag not in INLINE:
+            self.blocks.append(k)
+            self.elements.append(Element(tag, words, self.elements[-1] if self.elements else None))
+        if tag in BARRIERS:
+            self.barriers.append(k)
+
+    def pop(self, k: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.tags) > k:
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+                self.elements.pop()
+            if tag in BARRIERS:
+                self.barriers.pop()
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page's body in their order; blocks without text are left out."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = _Stack()
     texts: list[str] = []
-    linked = links = 0
-    path: tuple[str, ...] | None = None
+    linked = 0
     at, n = 0, len(page)
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                out.append(Block(text, tuple(m for _, m in stack if m), linked))
+                out.append(Block(text, stack.elements[-1] if stack.elements else None, linked))
             texts.clear()
         linked = 0
 
-    def pop(k: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
-    search = _TOKEN.search
-    while at < n:
-        m = search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            text = page[at:end]
+    def read(text: str) -> None:
+        nonlocal linked
+        if text:
             if "&" in text:
                 text = html.unescape(text)
             texts.append(text)
-            if links:
+            if stack.at.get("a"):
                 linked += len(text.strip())
-        if not m:
+
+    def skipped(tag: str, start: int) -> int:
+        """Where the page goes on behind an element whose content is no text."""
+        if tag not in unclosed:
+            close = re.compile(rf"</{re.escape(tag)}(?=[ \t\n\f\r/>])", re.I).search(page, start)
+            if close:
+                end = page.find(">", close.end())
+                return end + 1 if end >= 0 else n
+            unclosed.add(tag)
+        return n if tag in OPEN_ENDED else start
+
+    while at < n:
+        begin = page.find("<", at)
+        while begin >= 0 and not (begin + 1 < n and (page[begin + 1] in "!?/" or "a" <= page[begin + 1].lower() <= "z")):
+            begin = page.find("<", begin + 1)  # no markup: a sign of the text
+        read(page[at : begin if begin >= 0 else n])
+        if begin < 0:
             break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        m = _TAG.match(page, begin + 1)
+        if not m:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 2)
+                at = end + 3 if end >= 0 else n
+            elif page[begin + 1] in "!?" or page[begin + 1] == "/" and not page[begin + 2 : begin + 3].isalpha():
+                end = page.find(">", begin + 2)
+                at = end + 1 if end >= 0 else n
+            else:
+                at = n  # the page ends inside a tag
             continue
-        tag = tag.lower()
+        at = m.end()
+        tag = m[2].lower()
+        block = tag not in INLINE
         if m[1]:
-            block = tag not in INLINE
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if block:
-                        flush()
-                    pop(k)
-                    break
-                if not block and stack[k][0] not in INLINE:
-                    break  # an inline end tag closes nothing outside its block
-            else:
-                if block:
-                    flush()
+            k = stack.last(tag)
+            if block:
+                flush()
+            if k >= 0 and (block or k > (stack.blocks[-1] if stack.blocks else -1)):  # an inline end tag closes nothing outside its block
+                stack.pop(k)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if not m[0].endswith("/>") else None
-            if close:
-                at = close.end()
-            elif not m[0].endswith("/>"):
-                at = n
+            at = skipped(tag, at)
             continue
-        if tag not in INLINE:
+        if block:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":  # any block ends a paragraph
-                    pop(k)
+            if stack.blocks and stack.tags[stack.blocks[-1]] == "p":  # any block ends a paragraph
+                stack.pop(stack.blocks[-1])
+            closes = CLOSES.get(tag)
+            while closes:
+                k = max(map(stack.last, closes))
+                if k <= (stack.barriers[-1] if stack.barriers else -1):
                     break
-                if stack[k][0] not in INLINE:
+                stack.pop(k)
+                if tag not in CLOSES_ALL:
                     break
-            closes = CLOSES.get(tag)
-            if closes:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in BARRIERS:
-                        break
-                    if stack[k][0] in closes:
-                        pop(k)
-                        if tag not in ("tr", "tbody", "tfoot"):
-                            break
         elif tag == "br":
             texts.append(" ")
-        if tag in VOID:
-            continue
-        if tag == "a":
-            links += 1
-        stack.append((tag, "" if tag in INLINE else _mark(tag, m[3])))
+        if tag not in VOID:
+            stack.push(tag, _words(m[3]) if block else ())
     flush()
     return out

@@ -94,6 +94,51 @@ def test_main_text(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+def leaf(page):
+    return [(b.text, [e.tag for e in (b.inside.path() if b.inside else [])]) for b in blocks(page)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=it's>Hello world</p>x", [("Hello world", ["p"]), ("x", [])]),
+        ('<a b="c>d">e</a> <i x=a"b>f</i>', [("e f", [])]),
+        ("x<math><mi>y</mi></math>z", [("xyz", [])]),
+        ("<p>a<svg><title>t</title><text>in</text></svg> b<noscript>n</noscript>", [("ain bn", ["p"])]),
+        ("<p>k<select><option>o</select>l<textarea>m</textarea></p>", [("kl", ["p"])]),
+        ("<select><p>never closed", [("never closed", ["p"])]),
+        ("a < b <3 &amp; c</>d</ e>f<!-->g<!-- h --!>i-->j<?k>l<!m>n", [("a < b <3 & cdfgjln", [])]),
+        ("<script>x<p>y", []),
+        ("<style>a</style >b<script>c</SCRIPT\n>d", [("bd", [])]),
+        ("<p>broken < a <b", [("broken < a", ["p"])]),
+        ("<ul><li>a<li>b<ul><li>c</ul>d<li>e</ul>", [("a", ["ul", "li"]), ("b", ["ul", "li"]), ("c", ["ul", "li", "ul", "li"]), ("d", ["ul", "li"]), ("e", ["ul", "li"])]),
+        ("<table><tr><td>1<td>2<tr><th>3</table>4", [("1", ["table", "tr", "td"]), ("2", ["table", "tr", "td"]), ("3", ["table", "tr", "th"]), ("4", [])]),
+        ("<div><b>x</div>y</b>z", [("x", ["div"]), ("yz", [])]),
+    ],
+)
+def test_markup_is_read_as_html_reads_it(page, want):
+    assert leaf(page) == want
+
+
+@pytest.mark.parametrize("piece", ['<a b="', "<a b='", "<", "<b>", "<div>x", "<select>", "</script", "<!--", "</i>", "<li>x", "<td>", "<p>", "<b><div>", "<a =", "&amp", "<b></i><div></p>"])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    found = blocks(piece * 60_000)
+    extraction.Field().unary(found)
+    assert time.process_time() - start < 15
+
+
+def test_long_pages_rows_of_one_id_and_clashing_columns(spark):
+    body = "".join(f"<p>Sentence number {k} of the long article stands here, with words.</p>" for k in range(30_000))
+    page = f"<nav><a href=x>Home</a></nav><article><h1>Title of it</h1>{body}</article><footer>&copy; x</footer>"
+    df = spark.createDataFrame([(1, "u", page, "x", 1), (1, "v", PAGE, "x", 2), (1, "v", PAGE, "x", 2), (None, "w", "<article><p>One sentence of an article, with some words in it.</p></article>", None, None)], "page_id long, url string, html string, text string, n_chars int")
+    out = sorted((r["url"], r["n_chars"]) for r in extraction.extract(df).collect())
+    assert [u for u, _ in out] == ["u", "v", "v", "w"] and out[0][1] == len("Title of it") + sum(2 + len(f"Sentence number {k} of the long article stands here, with words.") for k in range(30_000))
+    assert out[1] == out[2]
+
+
 def test_field_on_pages_it_has_not_seen():
     field = extraction.Field()
     field.train([(blocks(h), [y for _, y in ls]) for h, ls in extraction.written_pages(150, seed=1)])
