@@ -1,8 +1,4 @@
-"""Audited normalisation of scripture text: the one text function that needs Unicode normal forms, hence Python.
-
-The Arrow function returns the clean text with every repair; ``normalized_text`` is the form without an audit and stays in
-the JVM where a text is plain ASCII.
-"""
+"""Audited normalisation of scripture text, and normal forms: the text functions that Spark has no expression for, hence Python."""
 
 from __future__ import annotations
 
@@ -99,6 +95,16 @@ def normalize(col: Column, script: str, join: bool = True, footnotes: bool = Tru
     return run(col)
 
 
+@F.pandas_udf(T.StringType())
+def _nfkd(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+
+def nfkd(col: Column) -> Column:
+    """Unicode normal form KD: letters apart from their marks."""
+    return _nfkd(col)
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")

@@ -57,8 +57,9 @@ def fnv1a64(text: Column) -> Column:
 
     The product modulo 2**64 is taken in two halves, as Spark has no unsigned 64-bit numbers: longs, no overflow.
     """
-    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substr(F.hex(F.encode(text, "UTF-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    bytes_ = F.when(F.octet_length(text) == 0, F.array().cast("array<bigint>")).otherwise(bytes_)
+    # Two hexadecimal digits a byte, encoded once.
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    bytes_ = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long"))
     start = F.struct(F.lit(FNV_OFFSET >> 32).cast("long").alias("hi"), F.lit(FNV_OFFSET & 0xFFFFFFFF).cast("long").alias("lo"))
     mask = F.lit(0xFFFFFFFF).cast("long")
 

@@ -24,9 +24,9 @@ def count(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern)).cast("long")
 
 
-def count_class(col: Column, char_class: str) -> Column:
-    """Characters of a class: what is missing when their runs are taken out, which makes no array of matches."""
-    return (F.length(col) - F.length(F.regexp_replace(col, f"{char_class}+", ""))).cast("long")
+def count_class(col: Column, char_class: str, runs: bool = True) -> Column:
+    """Characters of a class: what is missing when their runs (or each, for a pattern of one character) are taken out, which makes no array of matches."""
+    return (F.length(col) - F.length(F.regexp_replace(col, f"{char_class}+" if runs else char_class, ""))).cast("long")
 
 
 def script_profile(col: Column) -> Column:
@@ -75,6 +75,16 @@ def akshara_spans(col: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.struct(ends[i - 1].alias("start"), ends[i].alias("end")))
 
 
+def akshara_summary(col: Column, limit: int, ellipsis: str = "…") -> Column:
+    """(aksharas, preview): the number of syllables and the text cut to ``limit`` of them; they are found once."""
+
+    def both(units: Column) -> Column:
+        cut = F.concat(F.rtrim(F.array_join(F.slice(units, 1, limit), "")), F.lit(ellipsis))
+        return F.struct(F.size(units).cast("long").alias("aksharas"), F.when(F.size(units) <= limit, F.array_join(units, "")).otherwise(cut).alias("preview"))
+
+    return F.transform(F.array(aksharas(col)), both)[0]
+
+
 def is_akshara_boundary(col: Column, offset: Column) -> Column:
     """Whether a text may be cut at an offset without cutting a syllable."""
     lengths = F.transform(aksharas(col), lambda x: F.length(x))
@@ -111,16 +121,24 @@ def orthography(col: Column, script: str) -> Column:
         return F.struct(*(zero.alias(n) for n in names), F.lit(0.0).alias("rate"))
     C, S, N, V = s.C, s.S, s.N, s.V
     kinds = {
-        "adjacent_vowel_signs": count(col, f"(?<={S}){S}"),
-        "vowel_sign_without_base": count(col, f"(?<!{S})(?<!{C})(?<!{C}{N})(?<!{V})(?<!{V}{N}){S}"),
-        "virama_before_vowel_sign": count(col, f"{V}(?={S})"),
-        "virama_without_base": count(col, f"(?<!{C})(?<!{C}{N}){V}"),
+        "adjacent_vowel_signs": f"(?<={S}){S}",
+        "vowel_sign_without_base": f"(?<!{S})(?<!{C})(?<!{C}{N})(?<!{V})(?<!{V}{N}){S}",
+        "virama_before_vowel_sign": f"{V}(?={S})",
+        "virama_without_base": f"(?<!{C})(?<!{C}{N}){V}",
     }
-    examined = count_class(col, s.cls(s.VOWEL_SIGNS, s.VIRAMAS, s.CONSONANTS))
-    lost = ((examined >= 300) & ~F.contains(col, F.lit(chr(s.PRE_BASE_MATRA[script])))).cast("long")
-    total = reduce(lambda a, b: a + b, kinds.values()) + lost
-    rate = F.when(examined == 0, F.lit(0.0)).otherwise(total * F.lit(1000.0) / examined)
-    return F.struct(*(v.alias(k) for k, v in kinds.items()), lost.alias("no_pre_base_matra"), total.alias("violations"), examined.alias("examined"), rate.alias("rate"))
+    counts = F.struct(
+        *(count_class(col, k, False).alias(name) for name, k in kinds.items()),
+        count_class(col, s.cls(s.VOWEL_SIGNS, s.VIRAMAS, s.CONSONANTS)).alias("examined"),
+        F.contains(col, F.lit(chr(s.PRE_BASE_MATRA[script]))).alias("has_matra"),
+    )
+
+    def report(c: Column) -> Column:
+        lost = ((c["examined"] >= 300) & ~c["has_matra"]).cast("long")
+        total = reduce(lambda a, b: a + b, (c[k] for k in kinds)) + lost
+        rate = F.when(c["examined"] == 0, F.lit(0.0)).otherwise(total * F.lit(1000.0) / c["examined"])
+        return F.struct(*(c[k].alias(k) for k in kinds), lost.alias("no_pre_base_matra"), total.alias("violations"), c["examined"].alias("examined"), rate.alias("rate"))
+
+    return F.transform(F.array(counts), report)[0]  # each pattern is counted once
 
 
 def reorder_matras(col: Column, script: str) -> Column:
@@ -155,6 +173,20 @@ def clean_characters(col: Column) -> Column:
     return F.struct(text.alias("text"), count(col, CONTROLS).alias("controls_removed"))
 
 
+#: White space of any kind, line ends among it.
+WHITE = f"[\\s{BLANKS[1:]}"
+
+
+def trim_start(col: Column) -> Column:
+    """The text without white space of any kind at its beginning."""
+    return F.regexp_replace(col, f"^{WHITE}+", "")
+
+
+def trim_end(col: Column) -> Column:
+    """The text without white space of any kind at its end."""
+    return F.regexp_replace(col, f"(?<!{WHITE}){WHITE}+\\z", "")
+
+
 def join_lines(col: Column, join: bool = True) -> Column:
     """Printed lines as running text: paragraphs stay apart by a line feed, a hyphen at a line's end joins its word."""
     text = F.regexp_replace(F.regexp_replace(col, "^\\s+|\\s+$", ""), "\n\\s*\n\\s*", "\u0001")
@@ -205,14 +237,6 @@ def english_word_rate(col: Column) -> Column:
     return F.transform(F.array(words), rate)[0]  # the words are found once
 
 
-def english_word_rate_by_pattern(col: Column) -> Column:
-    """The same rate by one count over the text, without an array of its words: the form for large texts."""
-    low = F.lower(col)
-    words = F.regexp_count(low, F.lit("[a-z]+"))
-    hits = F.regexp_count(low, F.lit(f"(?<![a-z])(?:{'|'.join(sorted(ENGLISH_WORDS, key=lambda w: (-len(w), w)))})(?![a-z])"))
-    return F.when(words < 8, F.lit(0.0)).otherwise(hits.cast("double") / words)
-
-
 def slugify(col: Column) -> Column:
     """Lower-case words of a to z and digits, joined by hyphens."""
     return F.regexp_replace(F.regexp_replace(F.lower(col), "[^a-z0-9]+", "-"), "^-+|-+$", "")

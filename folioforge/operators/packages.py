@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .structure import _issue
+from ..functions.refs import bump_between
+from .versions import latest
 
 
 def pick_localized(entries: Column, tag: Column) -> Column:
@@ -30,12 +31,6 @@ def patch_map(old: Column, patch: Column) -> Column:
     return F.map_concat(keep, patch)
 
 
-def needs_human(fields: dict[str, Column], placeholder: str = "unknown") -> Column:
-    """The names of fields that are empty or still a placeholder, in their order."""
-    marks = [F.when(c.isNull() | (F.trim(c) == "") | (F.lower(c) == placeholder), F.lit(n)) for n, c in fields.items()]
-    return F.filter(F.array(*marks), lambda x: x.isNotNull())
-
-
 def printed_pages(sources: list[DataFrame]) -> DataFrame:
     """(page, printed): the first printed number known for a page over tables (page, printed) in the order of trust."""
     rows = [t.select("page", "printed", F.lit(k).alias("rank")) for k, t in enumerate(sources)]
@@ -65,13 +60,67 @@ def run_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def export_gates(verses: DataFrame, divisions: DataFrame, releases: DataFrame, versions: DataFrame) -> DataFrame:
-    """What keeps books (book_id, version) from being exported: unproofed or orphaned verses, empty divisions, released versions."""
-    raw = _issue(verses.where("status = 'raw' AND NOT orphaned"), "verse-not-proofed", F.concat_ws("#", "division_id", "id"))
-    lost = _issue(verses.where("orphaned AND status <> 'raw'"), "orphan-with-work", F.concat_ws("#", "division_id", "id"), "warning")
-    empty = divisions.join(verses.where("NOT orphaned").select("book_id", F.col("division_id").alias("id")), ["book_id", "id"], "left_anti")
-    done = versions.join(releases.select("book_id", F.col("content_version").alias("version")), ["book_id", "version"], "left_semi")
-    return raw.unionByName(lost).unionByName(_issue(empty, "division-empty", F.col("id"), "warning")).unionByName(_issue(done, "version-released", F.col("version")))
+def unknown_fields(edition: Column, license_id: Column, script: Column, title_gu: Column) -> Column:
+    """What only a person can settle about a book: its edition, its licence, and in Gujarati script its title as printed."""
+    marks = [
+        F.when(edition.isNull() | (edition == "unknown"), F.lit("source.edition")),
+        F.when(license_id.isNull() | (license_id == "unknown"), F.lit("license.id")),
+        F.when((script == "gujr") & title_gu.isNull(), F.lit("title.gu")),
+    ]
+    return F.filter(F.array(*marks), lambda x: x.isNotNull())
+
+
+def export_gates(books: DataFrame, verses: DataFrame, releases: DataFrame, existing: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """(book_id, code, detail): what keeps books (book_id, version, unknown) from being exported.
+
+    A book needs passages, all of them approved (orphaned ones don't count), nothing left that only a person can settle, a
+    version (book_id, version) that no package has yet and that is newer than the latest release (book_id,
+    content_version), and that release must be readable.
+    """
+    n = verses.where("NOT orphaned").groupBy("book_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "approved").alias("ok"), F.count_if(F.col("status") == "proofed").alias("proofed"), F.count_if(F.col("status") == "raw").alias("raw"))
+    last = latest(releases.select("book_id", "content_version"), ["book_id"], "content_version").withColumnRenamed("content_version", "last")
+    lost = unreadable.select("book_id", F.col("content_version").alias("last")).distinct().withColumn("lost", F.lit(True))
+    j = books.join(n, "book_id", "left").join(existing.select("book_id", "version").distinct().withColumn("made", F.lit(True)), ["book_id", "version"], "left")
+    j = j.join(last.join(lost, ["book_id", "last"], "left"), "book_id", "left")
+    waiting = F.concat_ws(" ", F.lit("proofed"), F.col("proofed").cast("string"), F.lit("raw"), F.col("raw").cast("string"))
+
+    def gate(cond: Column, code: str, detail: Column) -> Column:
+        return F.when(cond, F.array(F.struct(F.lit(code).alias("code"), detail.cast("string").alias("detail")))).otherwise(F.array().cast("array<struct<code:string,detail:string>>"))
+
+    gates = F.concat(
+        gate(F.col("n").isNull(), "no-passages", F.lit("")),
+        gate(F.col("ok") < F.col("n"), "not-approved", waiting),
+        F.transform("unknown", lambda u: F.struct(F.lit("still-unknown").alias("code"), u.alias("detail"))),
+        gate(F.coalesce("made", F.lit(False)), "package-exists", F.col("version")),
+        gate(F.coalesce(bump_between(F.col("last"), F.col("version")).isNull() & F.col("last").isNotNull(), F.lit(False)), "version-not-newer", F.col("last")),
+        gate(F.coalesce("lost", F.lit(False)), "release-unreadable", F.col("last")),
+    )
+    return j.select("book_id", F.inline(gates))
+
+
+def publish_gates(candidates: DataFrame, releases: DataFrame, unreadable: DataFrame, audits: DataFrame) -> DataFrame:
+    """(book_id, code, detail): what keeps packages from being published.
+
+    candidates: (book_id, version, package_id, package_version, package_status), null where the package can't be read;
+    audits: (book_id, severity, code, path) against the latest release, of which the errors count.
+    """
+    released = releases.select("book_id", F.col("content_version").alias("version")).distinct().withColumn("released", F.lit(True))
+    last = latest(releases.select("book_id", "content_version"), ["book_id"], "content_version").withColumnRenamed("content_version", "last")
+    lost = unreadable.select("book_id", F.col("content_version").alias("last")).distinct().withColumn("lost", F.lit(True))
+    j = candidates.join(released, ["book_id", "version"], "left").join(last.join(lost, ["book_id", "last"], "left"), "book_id", "left")
+    readable = F.col("package_id").isNotNull()
+    marks = [
+        (~readable, "package-unreadable", F.col("version")),
+        (readable & (F.col("package_id") != F.col("book_id").cast("string")), "package-of-another-book", F.col("package_id")),
+        (readable & (F.col("package_version") != F.col("version")), "package-version-differs", F.col("package_version")),
+        (readable & (F.col("package_status") != "proofed"), "package-not-proofed", F.col("package_status")),
+        (readable & F.col("released"), "version-released", F.col("version")),
+        (readable & F.col("lost"), "release-unreadable", F.col("last")),
+    ]
+    found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), d.cast("string").alias("detail"))) for c, code, d in marks)), lambda x: x.isNotNull())
+    own = j.select("book_id", F.inline(found))
+    errors = audits.where("severity = 'error'").join(candidates.where(readable).select("book_id"), "book_id", "left_semi")
+    return own.unionByName(errors.select("book_id", "code", F.col("path").alias("detail")))
 
 
 def verse_history(revisions: DataFrame, verse: str, most: int = 50) -> DataFrame:
@@ -79,16 +128,6 @@ def verse_history(revisions: DataFrame, verse: str, most: int = 50) -> DataFrame
     return revisions.where(F.col("verse_key") == verse).orderBy(F.desc("at"), "id").limit(most)
 
 
-def insert_verses(verses: DataFrame, new: DataFrame) -> DataFrame:
-    """Verses with new ones (book_id, division_id, id, after, text) put behind the ordinal they name; later ones move up."""
-    columns = [c for c in verses.columns if c != "ordinal"]
-    old = verses.withColumn("_o", F.col("ordinal").cast("double"))
-    rows = new.select("*", (F.col("after") + 0.5).alias("_o")).drop("after")
-    j = old.unionByName(rows, allowMissingColumns=True)
-    order = F.row_number().over(Window.partitionBy("book_id", "division_id").orderBy("_o", "id"))
-    return j.withColumn("ordinal", order.cast("long") - 1).select(*columns, "ordinal")
-
-
 def font_usage(declared: DataFrame, drawn: DataFrame) -> DataFrame:
     """Declared fonts (path, name) with a mark whether a page draws with them (path, font_names)."""
     used = drawn.select("path", F.explode("font_names").alias("name")).distinct().withColumn("used", F.lit(True))

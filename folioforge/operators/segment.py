@@ -34,7 +34,10 @@ def admitted_scripts(language: str) -> list[str]:
 
 def route(tag: Column, text: Column, admitted: list[str]) -> Column:
     """Where a block goes: dropped, set-aside, notes or body; the order of the rules matters."""
-    p = t.script_profile(text)
+    return _route(tag, text, t.script_profile(text), admitted)
+
+
+def _route(tag: Column, text: Column, p: Column, admitted: list[str]) -> Column:
     foreign = F.lit(False) if not admitted else (p["total"] > 0) & ~F.coalesce(p["dominant"].isin(*admitted), F.lit(False))
     return F.when(F.trim(text) == "", "dropped").when(tag.isin(*FURNITURE, *NO_TEXT) | foreign, "set-aside").when(tag.isin(*NOTES), "notes").otherwise("body")
 
@@ -101,8 +104,14 @@ def segment(blocks: DataFrame, script: str, admitted: list[str]) -> DataFrame:
     """Passages of blocks (book, page, pos, tag, text): section, number, text, pages, fragments, flags and confidence."""
     digits = s.DIGITS[script]
     end = f"(॥|।।)\\s*([{digits[0]}-{digits[9]}]+)\\s*(?:॥|।।)"
-    dominant = t.script_profile(F.col("text"))["dominant"]
-    b = blocks.where(route(F.col("tag"), F.col("text"), admitted) == "body").withColumn("quotation", F.coalesce(dominant != script, F.lit(False)))
+
+
+    def placed(p: Column) -> Column:
+        return F.struct(_route(F.col("tag"), F.col("text"), p, admitted).alias("bucket"), F.coalesce(p["dominant"] != script, F.lit(False)).alias("quotation"))
+
+    # The profile of a block is taken once: what decides about the block is generated from it, not put into filters.
+    places = F.transform(F.array(t.script_profile(F.col("text"))), placed)
+    b = blocks.select("*", F.explode(F.filter(places, lambda x: x["bucket"] == "body")).alias("_place")).withColumn("quotation", F.col("_place.quotation")).drop("_place")
     b = b.withColumn("heading", F.col("tag").isin(*HEADINGS) & ~F.col("quotation")).withColumn("closes", ~F.col("heading") & is_end_marker(F.col("text")))
     book = Window.partitionBy("book").orderBy("page", "pos")
     before, upto = book.rowsBetween(Window.unboundedPreceding, -1), book.rowsBetween(Window.unboundedPreceding, Window.currentRow)

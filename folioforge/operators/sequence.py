@@ -12,7 +12,7 @@ def check_sequence(rows: DataFrame) -> DataFrame:
 
     A run ends where the numbers step back for the first time in a division that isn't the one it began in. For each
     run: its first division, first and last number, count, numbers missing between, repeated ones, and ones that don't
-    follow their predecessor.
+    follow their predecessor. What is missing stands as gaps (start, end), inclusive, so that one misread number makes one gap.
     """
     book = Window.partitionBy("book").orderBy("pos")
     n = rows.where("number IS NOT NULL").withColumn("p", F.lag("number").over(book))
@@ -21,13 +21,15 @@ def check_sequence(rows: DataFrame) -> DataFrame:
     n = n.withColumn("opens", F.col("back") & first)
     n = n.withColumn("run", F.sum(F.col("opens").cast("int")).over(book.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     n = n.withColumn("k", F.row_number().over(Window.partitionBy("book", "run", "number").orderBy("pos")))
+    n = n.withColumn("below", F.lag("number").over(Window.partitionBy("book", "run").orderBy("number", "pos")))
+    gap = F.when(F.col("number") > F.col("below") + 1, F.struct((F.col("below") + 1).alias("start"), (F.col("number") - 1).alias("end")))
     lo, hi = F.min("number"), F.max("number")
     return n.groupBy("book", "run").agg(
         F.min_by("division", "pos").alias("division"),
         lo.alias("first"),
         hi.alias("last"),
         F.count("*").alias("numbered"),
-        F.array_except(F.sequence(lo, hi), F.collect_set("number")).alias("missing"),
+        F.array_sort(F.collect_list(gap)).alias("missing"),
         F.array_sort(F.collect_set(F.when(F.col("k") > 1, F.col("number")))).alias("duplicates"),
         F.array_sort(F.collect_set(F.when(~F.col("opens") & (F.col("number") != F.col("p") + 1), F.col("number")))).alias("out_of_order"),
     )
@@ -55,14 +57,6 @@ def unique_ids(rows: DataFrame, keys: list[str], id_col: str, order: list[str])
     return rows.withColumn("unique_id", F.when(n > 1, F.concat_ws("-", id_col, n.cast("string"))).otherwise(F.col(id_col)))
 
 
-def free_id(wanted: DataFrame, taken: DataFrame, keys: list[str], most: int = 99) -> DataFrame:
-    """Adds free_id to wanted (keys, id): the id itself, else the least suffix from 2 to ``most`` that isn't taken (null: none)."""
-    tries = wanted.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("_try", F.when(F.col("_n") == 1, F.col("id")).otherwise(F.concat_ws("-", "id", F.col("_n").cast("string"))))
-    left = tries.join(taken.select(*keys, F.col("id").alias("_try")), [*keys, "_try"], "left_anti")
-    best = left.groupBy(*keys, "id").agg(F.min_by("_try", "_n").alias("free_id"))
-    return wanted.join(best, [*keys, "id"], "left")
-
-
 def ordinals(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Adds ordinal: the place of each row within keys, from 0."""
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
@@ -85,7 +79,28 @@ def vote(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return ranked.select(*group, F.when(F.col("second").isNull() | (F.col("n") > F.col("second")), F.col(value)).alias("winner"), F.col("n").alias("votes"))
 
 
+def titles_from_heads(passages: DataFrame, heads: DataFrame) -> DataFrame:
+    """(book, section, title) of sections that the running heads of their pages name.
+
+    passages: (book, section, pages); heads: (book, page, head), a row for each line. The commonest head of a book (of
+    ties the first seen) names the book, not a section; of the others the commonest on a section's pages (counted for each
+    passage on a page) is its title, unless two are equally common.
+    """
+    wide = heads.groupBy("book", "head").agg(F.count("*").alias("n"), F.min("page").alias("seen"))
+    top = wide.withColumn("r", F.row_number().over(Window.partitionBy("book").orderBy(F.desc("n"), "seen", "head"))).where("r = 1").select("book", "head")
+    own = heads.join(top, ["book", "head"], "left_anti")
+    on = passages.select("book", "section", F.explode("pages").alias("page")).join(own, ["book", "page"])
+    return vote(on, ["book", "section"], "head").where("winner IS NOT NULL").select("book", "section", F.col("winner").alias("title"))
+
+
 def within_rate(events: DataFrame, key: list[str], ts: str, capacity: int, seconds: int = 60) -> DataFrame:
-    """Adds in_window and allowed: how many events a key had in the last seconds, and whether they are within capacity."""
-    w = Window.partitionBy(*key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("in_window", F.count("*").over(w)).withColumn("allowed", F.col("in_window") <= capacity)
+    """Adds in_window and allowed: how many events a key had in the last seconds, and whether they are within capacity.
+
+    A key is cut into stretches of ``seconds``; each event also stands in the stretch after its own, where it only counts.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = F.floor(micros / (seconds * 1_000_000))
+    rows = events.withColumn("_at", micros).withColumn("_stretch", F.explode(F.array(own, own + 1))).withColumn("_own", F.col("_stretch") == own)
+    w = Window.partitionBy(*key, "_stretch").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    counted = rows.withColumn("in_window", F.count("*").over(w)).where("_own")
+    return counted.withColumn("allowed", F.col("in_window") <= capacity).drop("_at", "_stretch", "_own")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-STATUSES = ("raw", "proofed", "verified")
+STATUSES = ("raw", "proofed", "approved")
 PREVIEW, DEFAULT_LIMIT, MOST, HISTORY = 120, 50, 200, 50
 
 
@@ -64,6 +64,32 @@ def books_with_counts(books: DataFrame, rows: DataFrame, statuses: tuple[str, ..
     return books.join(counts, "book_id", "left").fillna(0, subset=names)
 
 
+def book_overview(books: DataFrame, divisions: DataFrame, verses: DataFrame, notes: DataFrame, set_aside: DataFrame) -> DataFrame:
+    """Books (book_id, …) with their counts: live passages by status, orphaned ones (of known divisions), divisions, notes, blocks set aside and those unresolved."""
+    known = verses.join(divisions.select("book_id", F.col("id").alias("division_id")), ["book_id", "division_id"], "left_semi")
+    parts = [
+        status_counts(verses.where(~F.col("orphaned")), ["book_id"], STATUSES),
+        known.groupBy("book_id").agg(F.count_if("orphaned").alias("orphaned")),
+        divisions.groupBy("book_id").agg(F.count("*").alias("divisions")),
+        notes.groupBy("book_id").agg(F.count("*").alias("notes")),
+        set_aside.groupBy("book_id").agg(F.count("*").alias("set_aside"), F.count_if(~F.col("resolved")).alias("set_aside_unresolved")),
+    ]
+    out = books
+    for p in parts:
+        out = out.join(p, "book_id", "left")
+    return out.fillna(0, [c for p in parts for c in p.columns if c != "book_id"])
+
+
+def queue_total(verses: DataFrame, where: Column) -> DataFrame:
+    """One row: how many verses the whole queue has."""
+    return verses.where(where).agg(F.count("*").alias("total"))
+
+
+def with_evidence(verses: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Verses (ref, …) with the evidence of their ref (nulls where there is none)."""
+    return verses.join(evidence, "ref", "left")
+
+
 def existing(rows: DataFrame, others: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Adds whether a row's key is among others."""
     marks = others.select(*keys).distinct().withColumn(name, F.lit(True))
@@ -152,34 +178,6 @@ def patch_verses(verses: DataFrame, patches: DataFrame) -> DataFrame:
     return out
 
 
-def split_verses(verses: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Verses after cuts (book_id, division_id, id, offset): a tail row without number, flagged and with its lineage; later ordinals move up."""
-    keys = ["book_id", "division_id", "id"]
-    j = verses.join(cuts.select(*keys, "offset"), keys, "left")
-    head = F.struct(F.when(F.col("offset").isNull(), F.col("text")).otherwise(F.rtrim(F.left("text", F.col("offset")))).alias("text"), F.col("id").alias("id"), F.col("number").alias("number"), F.lit(0).alias("part"))
-    tail = F.struct(F.ltrim(F.substr("text", F.col("offset") + 1)).alias("text"), F.concat(F.col("id").cast("string"), F.lit("-b")).alias("id"), F.lit(None).cast(verses.schema["number"].dataType).alias("number"), F.lit(1).alias("part"))
-    parts = F.filter(F.array(head, tail), lambda p: (p["part"] == 0) | F.col("offset").isNotNull())
-    rows = j.withColumn("origin_id", F.col("id")).withColumn("p", F.explode(parts))
-    order = F.row_number().over(Window.partitionBy("book_id", "division_id").orderBy("ordinal", "p.part"))
-    return rows.select("book_id", "division_id", F.col("p.id").alias("id"), (order.cast("long") - 1).alias("ordinal"), F.col("p.number").alias("number"), F.col("p.text").alias("text"), F.when(F.col("p.part") == 1, F.array(F.col("origin_id"))).otherwise(F.array().cast("array<string>")).alias("lineage"))
-
-
-def merge_verses(verses: DataFrame, merges: DataFrame) -> DataFrame:
-    """Verses after merges (book_id, division_id, id): each named verse takes in the one after it; ordinals close up."""
-    w = Window.partitionBy("book_id", "division_id").orderBy("ordinal")
-    marked = verses.join(merges.select("book_id", "division_id", "id", F.lit(True).alias("_m")), ["book_id", "division_id", "id"], "left")
-    taken = F.coalesce(F.lag("_m").over(w), F.lit(False))
-    rows = marked.withColumn("_taken", taken).withColumn("_next", F.struct(F.lead("text").over(w).alias("text"), F.lead("id").over(w).alias("id")))
-    merged = F.col("_m") & F.col("_next.id").isNotNull()
-    out = rows.withColumn("text", F.when(merged, F.concat_ws("\n", "text", "_next.text")).otherwise(F.col("text"))).withColumn("lineage", F.when(merged, F.array(F.col("_next.id").cast("string"))).otherwise(F.array().cast("array<string>")))
-    return ordinal_again(out.where("NOT _taken").drop("_m", "_taken", "_next"))
-
-
-def ordinal_again(verses: DataFrame) -> DataFrame:
-    """Ordinals without gaps within each division, in the same order."""
-    return verses.withColumn("ordinal", F.row_number().over(Window.partitionBy("book_id", "division_id").orderBy("ordinal")).cast("long") - 1)
-
-
 def page_context(verses: DataFrame, notes: DataFrame, set_aside: DataFrame, book: object, page: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What stands on one page: its verses, notes and blocks set aside."""
     own = (F.col("book_id") == book) & (F.col("page") == page)

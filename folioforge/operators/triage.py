@@ -11,11 +11,14 @@ from ..functions import text as t
 #: Thresholds of the rules, and the order of strategies and confidences in reports.
 LEAST_CHARS, IMAGE_SHARE, INDIC_SHARE, ENGLISH_RATE, FAULT_RATE, CONSENSUS = 32, 0.5, 0.5, 0.12, 1.0, 0.8
 STRATEGY_RANK = {"unicode-text": 0, "scanned": 1, "broken-encoding": 2, "legacy-text": 3, "mixed": 4, "unknown": 5}
+CANDIDATE_RANK = {"unicode-text": 0, "legacy-text": 1, "broken-encoding": 2, "scanned": 3, "mixed": 4, "unknown": 5}
 CONFIDENCE_RANK = {"high": 0, "medium": 1, "low": 2}
+LEAST_SAMPLED = 3
 LEGACY_FAMILIES = (
-    "shreeguj shreelipi gopika terafont lmg avantika bhashabharti saumil ekatra gujaratitimes gujaratisaral harikrishna ghanshyam sulekh vakil akshargujarati "
-    "krutidev devlys chanakya aps-dv apsdv shreedev kiran yogeshweb walkman"
-).split()
+    "shreeguj", "shreelipi", "gopika", "terafont", "lmg", "avantika", "bhashabharti", "saumil", "ekatra", "gujaratitimes",
+    "gujaratisaral", "harikrishna", "ghanshyam", "sulekh", "vakil", "akshargujarati", "krutidev", "devlys", "chanakya", "aps-dv",
+    "apsdv", "shreedev", "kiran", "yogeshweb", "walkman",
+)
 PLAIN_ENCODINGS = ("WinAnsiEncoding", "MacRomanEncoding", "MacExpertEncoding", "StandardEncoding", "PDFDocEncoding")
 
 
@@ -69,7 +72,19 @@ def inventory_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(*(F.count_if(F.col("verdict") == s).alias(f"n_{s.replace('-', '_')}") for s in STRATEGY_RANK), F.count_if("needs_ocr").alias("needing_ocr"), F.count("*").alias("total"))
 
 
+def confidence_of(verdict: Column, consensus: Column, sampled: Column, corroborated: Column) -> Column:
+    """How sure a verdict is: high where all sampled pages agree (a legacy text needs a legacy font too), medium from the consensus share on."""
+    return (
+        F.when(verdict.isin("mixed", "unknown") | (sampled < LEAST_SAMPLED), "low")
+        .when((consensus == 1) & ((verdict != "legacy-text") | corroborated), "high")
+        .when(consensus >= CONSENSUS, "medium")
+        .otherwise("low")
+    )
+
+
 def rank_candidates(verdicts: DataFrame, key: str) -> DataFrame:
-    """Documents by how soon they can be worked on: strategy, then fewest pages; unknown ones are left out."""
-    rank = F.create_map(*(F.lit(x) for kv in STRATEGY_RANK.items() for x in kv))
-    return verdicts.where("verdict <> 'unknown'").withColumn("rank", rank[F.col("verdict")]).orderBy("rank", F.col("pages").asc_nulls_last(), key)
+    """Documents (verdict, confidence, pages) by how soon they can be worked on: strategy, confidence, then fewest pages; unknown ones are left out."""
+    rank = F.create_map(*(F.lit(x) for kv in CANDIDATE_RANK.items() for x in kv))
+    sure = F.create_map(*(F.lit(x) for kv in CONFIDENCE_RANK.items() for x in kv))
+    rows = verdicts.where("verdict <> 'unknown'").withColumn("rank", rank[F.col("verdict")]).withColumn("confidence_rank", sure[F.col("confidence")])
+    return rows.orderBy("rank", "confidence_rank", F.col("pages").asc_nulls_last(), key)

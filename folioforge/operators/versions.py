@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.refs import bump_between, bump_rank, version_key
+from ..sources.shared import materialize
 
 HOPS = 16
 
@@ -24,8 +25,16 @@ def diff_units(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.withColumn("change", change).where("change IS NOT NULL").select("ref", F.coalesce("kind_before", "kind_after").alias("kind"), "change")
 
 
-def release_diff(changes: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Counts over ``diff_units`` rows: added, retired and changed verses and divisions, retired refs with and without an alias, the bump required."""
+def diff_layers(before: DataFrame, after: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(…, layer_id, change) of declared layers (…, layer_id) that were added or removed, by the keys of a release if there are any."""
+    on = [*(keys or []), "layer_id"]
+    j = before.select(*on).distinct().withColumn("_b", F.lit(True)).join(after.select(*on).distinct().withColumn("_a", F.lit(True)), on, "full_outer")
+    change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed")
+    return j.withColumn("change", change).where("change IS NOT NULL").select(*on, "change")
+
+
+def release_diff(changes: DataFrame, aliases: DataFrame, layers: DataFrame | None = None) -> DataFrame:
+    """Counts over ``diff_units`` and ``diff_layers`` rows: added, retired and changed verses, divisions and layers, retired refs with and without an alias, the bump required."""
     j = changes.join(aliases.select(F.col("source").alias("ref"), F.lit(True).alias("aliased")).distinct(), "ref", "left")
 
     def n(change: str, kind: str | None = None) -> F.Column:
@@ -43,23 +52,42 @@ def release_diff(changes: DataFrame, aliases: DataFrame) -> DataFrame:
         F.count_if((F.col("change") == "retired") & F.col("aliased")).alias("refs_aliased"),
         F.count_if((F.col("change") == "retired") & F.col("aliased").isNull()).alias("refs_dropped"),
     )
-    return counts.withColumn("required_bump", required_bump(F.col("verses_retired") + F.col("divisions_retired"), F.col("verses_added") + F.col("divisions_added"), F.col("verses_changed")))
+    none = F.lit(0).cast("long")
+    if layers is None:
+        counts = counts.withColumn("layers_added", none).withColumn("layers_removed", none)
+    else:
+        counts = counts.crossJoin(layers.agg(n("added").alias("layers_added"), n("removed").alias("layers_removed")))  # one row each
+    added = F.col("verses_added") + F.col("divisions_added") + F.col("layers_added")
+    return counts.withColumn("required_bump", required_bump(F.col("verses_retired") + F.col("divisions_retired"), added, F.col("verses_changed"), F.col("layers_removed")))
+
+
+def required_bump(retired: F.Column, added: F.Column, changed: F.Column, layers_removed: F.Column) -> F.Column:
+    """The least part of a version that must rise: a ref or a layer less is major, more of either minor, other texts patch; null: nothing changed."""
+    return F.when((retired > 0) | (layers_removed > 0), "major").when(added > 0, "minor").when(changed > 0, "patch")
 
 
-def required_bump(retired: F.Column, added: F.Column, changed: F.Column) -> F.Column:
-    return F.when(retired > 0, "major").when(added > 0, "minor").when(changed > 0, "patch")
+def describe_change() -> F.Column:
+    """What a row of ``release_diff`` counts, in words."""
+    parts = [("verses_retired", "retired verse refs"), ("divisions_retired", "retired divisions"), ("layers_removed", "removed layers"), ("verses_added", "new verses"), ("divisions_added", "new divisions"), ("layers_added", "new layers"), ("verses_changed", "corrected verses")]
+    said = F.concat_ws(", ", *(F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {words}"))) for c, words in parts))
+    return F.when(said == "", "nothing").otherwise(said)
 
 
 def audit_releases(pairs: DataFrame) -> DataFrame:
-    """(book_id, code, severity) of pairs (book_id, version_before, version_after, required_bump): what is wrong with the new version's number."""
+    """(book_id, versions, code, severity) of pairs (book_id, version_before, version_after, required_bump[, book_before]): what is wrong with the new release.
+
+    A package of another book is that and nothing else.
+    """
     bump = bump_between(F.col("version_before"), F.col("version_after"))
+    other = F.col("book_before") != F.col("book_id") if "book_before" in pairs.columns else F.lit(False)
     code = (
-        F.when(bump.isNull(), "release-version-not-newer")
+        F.when(other, "release-book-mismatch")
+        .when(bump.isNull(), "release-version-not-newer")
         .when(F.col("required_bump").isNull(), "release-content-unchanged")
         .when(bump_rank(bump) < bump_rank(F.col("required_bump")), "release-bump-understates-change")
     )
     out = pairs.select("book_id", "version_before", "version_after", code.alias("code")).where("code IS NOT NULL")
-    return out.withColumn("severity", F.when(F.col("code") == "release-version-not-newer", "error").otherwise("warning"))
+    return out.withColumn("severity", F.when(F.col("code").isin("release-version-not-newer", "release-book-mismatch"), "error").otherwise("warning"))
 
 
 def dropped_refs(changes: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -81,7 +109,7 @@ def latest(releases: DataFrame, group: list[str], version: str) -> DataFrame:
 
 
 def catalog(releases: DataFrame, group: str, version: str) -> DataFrame:
-    """For each group its versions, newest first, their number and the latest."""
+    """For each group its versions, newest first, their number and the latest; a row holds all versions of one book."""
     rows = F.array_sort(F.collect_list(F.struct(version_key(F.col(version)).alias("k"), F.col(version).alias("v"))))
     versions = F.transform(F.reverse(rows), lambda r: r["v"])
     return releases.groupBy(group).agg(versions.alias("versions")).select(group, F.size("versions").cast("long").alias("n_versions"), F.col("versions")[0].alias("latest"), F.array_join("versions", ",").alias("versions"))
@@ -90,18 +118,22 @@ def catalog(releases: DataFrame, group: str, version: str) -> DataFrame:
 def follow(starts: DataFrame, edges: DataFrame, live: DataFrame, hops: int = HOPS) -> DataFrame:
     """(source, target) of starts (ref) that reach a live ref over edges (source, target) in at most ``hops`` steps.
 
-    Each start's chain ends at the first live ref. A round joins the frontier only, and rounds end when it is empty; a
-    cycle never reaches a live ref and runs out of hops.
+    Each start's chain ends at the first live ref. A round joins the refs still under way with the edges and is written
+    down; rounds end when nothing is under way. A cycle never reaches a live ref and runs out of hops.
     """
+    step = edges.groupBy(F.col("source").alias("at")).agg(F.min("target").alias("next"))
     alive = live.select(F.col("ref").alias("at")).distinct().withColumn("alive", F.lit(True))
-    step = edges.select(F.col("source").alias("at"), F.col("target").alias("next")).groupBy("at").agg(F.min("next").alias("next"))
-    # Doubling: after k rounds a jump is 2**k steps, stopped at the first live ref.
-    jump = step.join(alive.withColumnRenamed("at", "next"), "next", "left").select("at", "next", F.coalesce("alive", F.lit(False)).alias("done"))
-    rounds = max(1, (hops - 1).bit_length())
-    for _ in range(rounds):
-        further = jump.select(F.col("at").alias("next"), F.col("next").alias("_n"), F.col("done").alias("_d"))
-        jump = jump.join(further, "next", "left").select("at", F.when(F.col("done"), F.col("next")).otherwise(F.col("_n")).alias("next"), (F.col("done") | F.coalesce("_d", F.lit(False))).alias("done")).where("next IS NOT NULL")
-    return starts.select(F.col("ref").alias("at")).join(jump.where("done"), "at").select(F.col("at").alias("source"), F.col("next").alias("target"))
+    going = starts.select(F.col("ref").alias("source"), F.col("ref").alias("at")).distinct()
+    found = None
+    for _ in range(hops):
+        moved = going.join(step, "at").select("source", F.col("next").alias("at")).join(alive, "at", "left")
+        moved = materialize(moved.select("source", "at", F.coalesce("alive", F.lit(False)).alias("alive")), "hop")
+        here = moved.where("alive").select("source", F.col("at").alias("target"))
+        found = here if found is None else found.unionByName(here)
+        going = moved.where("NOT alive").select("source", "at")
+        if going.isEmpty():
+            break
+    return found
 
 
 def migrate(refs: DataFrame, live: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -114,6 +146,11 @@ def migrate(refs: DataFrame, live: DataFrame, aliases: DataFrame) -> DataFrame:
     return j.select("ref", F.when(F.col("alive"), F.col("ref")).otherwise(F.col("target")).alias("target"), status.alias("status"))
 
 
+def summarize_migration(migrations: DataFrame) -> DataFrame:
+    """One row: how many refs of ``migrate`` are live, rewritten and orphaned."""
+    return migrations.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("live", "rewritten", "orphaned")))
+
+
 def nearest_live_ancestor(refs: DataFrame, live: DataFrame) -> DataFrame:
     """(ref, ancestor): the innermost container of each ref that is live, else its book."""
     book = F.regexp_extract("ref", "^[^/#]+", 0)

@@ -19,14 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, least: int = 64 << 20) -> DataFrame:
-    """The same rows dealt to all cores where the table is small: a small file is one row group, hence one task.
-
-    From ``least`` bytes for each core on the input's own splits are many enough and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * least else df
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt evenly to tasks: what is done to whole texts costs many times the shuffle, and a file's row groups may be few or uneven."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +40,7 @@ def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("division_id"),
         F.col("ordinal").alias("id"),
         "ordinal",
-        F.when(F.col("l_returnflag") == "A", "raw").when(F.col("l_returnflag") == "R", "proofed").otherwise("verified").alias("status"),
+        F.when(F.col("l_returnflag") == "A", "raw").when(F.col("l_returnflag") == "R", "proofed").otherwise("approved").alias("status"),
         text.alias("text"),
         F.when(F.col("l_tax") > 0.05, text).otherwise(F.concat(text, F.lit("."))).alias("ocr_text"),
         F.when(F.col("l_tax") > 0, F.floor((1 - F.col("l_discount")) * 100 + 0.5) / 100).alias("confidence"),
@@ -65,7 +60,7 @@ divisions AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS ordinal FROM lineitem
 ), verses AS (
   SELECT o_custkey AS book_id, l_orderkey AS division_id, ordinal AS id, ordinal,
-    CASE l_returnflag WHEN 'A' THEN 'raw' WHEN 'R' THEN 'proofed' ELSE 'verified' END AS status,
+    CASE l_returnflag WHEN 'A' THEN 'raw' WHEN 'R' THEN 'proofed' ELSE 'approved' END AS status,
     'passage ' || l_partkey || ' of ' || l_suppkey AS text,
     'passage ' || l_partkey || ' of ' || l_suppkey || CASE WHEN l_tax > 0.05 THEN '' ELSE '.' END AS ocr_text,
     CASE WHEN l_tax > 0 THEN floor((1 - l_discount) * 100 + 0.5) / 100 END AS confidence,
@@ -77,6 +72,25 @@ divisions AS (
 )"""
 
 
+def edited_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verses as they are edited: ids by place, numbers as text, white space around some texts, pages and lineage."""
+    v = verses(spark, sf_dir)
+    text = F.when(F.col("ordinal") % 2 == 1, F.concat(F.lit("  "), "text", F.lit(" "))).otherwise(F.col("text"))
+    lineage = F.when(F.col("ordinal") % 4 == 2, F.array(F.lit("old#1"), F.lit("old#2"))).otherwise(F.array(F.lit("old#1")))
+    return v.select(
+        "book_id", "division_id", F.concat(F.lit("p7-"), (F.col("ordinal") + 1).cast("string")).alias("id"), "ordinal", F.col("number").cast("string").alias("number"), F.lit("prose").alias("form"), text.alias("text"), "ocr_text", "status",
+        "origin", lineage.alias("lineage"), "confidence", "flags", F.array(F.lit(7), F.lit(8)).alias("pages"),
+    )
+
+
+#: The same verses in SQL, behind ``CTE``.
+EDITED_CTE = """, e AS (
+  SELECT book_id, division_id, 'p7-' || (ordinal + 1) AS id, ordinal, number::VARCHAR AS number, CASE WHEN ordinal % 2 = 1 THEN '  ' || text || ' ' ELSE text END AS text, ocr_text, status, origin,
+    CASE WHEN ordinal % 4 = 2 THEN ['old#1', 'old#2'] ELSE ['old#1'] END AS lineage, confidence, flags, [7, 8] AS pages, count(*) OVER (PARTITION BY book_id, division_id) AS n
+  FROM verses
+)"""
+
+
 def indic(col: F.Column) -> F.Column:
     return F.translate(F.lower(col), LATIN, INDIC)
 

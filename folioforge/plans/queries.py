@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,31 +9,16 @@ from pyspark.sql.window import Window
 from ..functions import refs as r
 from ..functions import scripts as s
 from ..functions import text as t
-from ..functions.normalize import normalize
+from ..functions.normalize import nfkd, normalize
 from ..operators import segment as seg
 from ..operators import sequence as seq
 from ..operators import structure as st
 from ..operators import studio, triage, versions
 from ..sources.pages import page_spec_sql, sample_places
-from .derived import CTE, INDIC_SQL, divisions, indic, spread, table, verses
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
+from .derived import INDIC_SQL, divisions, indic, spread, table, verses
+from .registry import ORACLES, QUERIES, query, with_tables
 
-    return add
-
-
-def _with(sql: str) -> str:
-    return f"WITH {CTE.strip()}\n{sql}"
+_with = with_tables
 
 
 # --- the flagship: triage of documents -----------------------------------------------------------------------------
@@ -197,7 +180,7 @@ def sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of printed numbers and what is wrong in them."""
     out = seq.check_sequence(_numbered(spark, sf_dir))
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return out.select("book", "run", "division", "first", "last", "numbered", F.size("missing").cast("long").alias("n_missing"), join("duplicates").alias("duplicates"), join("out_of_order").alias("out_of_order"))
+    return out.select("book", "run", "division", "first", "last", "numbered", F.aggregate("missing", F.lit(0).cast("long"), lambda a, g: a + g["end"] - g["start"] + 1).alias("n_missing"), join("duplicates").alias("duplicates"), join("out_of_order").alias("out_of_order"))
 
 
 @query(
@@ -278,8 +261,9 @@ def orthography(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def orthography_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kinds of impossible sequences, their rate, and syllables (look-behind: no SQL)."""
-    o = _indic(spark, sf_dir).select("doc_id", t.orthography(F.col("text"), "gujr").alias("o"), t.count_aksharas(F.col("text")).alias("aksharas"), t.truncate_aksharas(F.col("text"), 12).alias("preview"))
-    return o.select("doc_id", "o.*", "aksharas", "preview")
+    text = F.col("text")
+    o = _indic(spark, sf_dir).select("doc_id", F.explode(F.array(F.struct(t.orthography(text, "gujr").alias("o"), t.akshara_summary(text, 12).alias("a")))).alias("x"))
+    return o.select("doc_id", "x.o.*", "x.a.*")
 
 
 @query()
@@ -289,10 +273,16 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", F.col("n.text").alias("text"), F.size("n.repairs").cast("long").alias("n_repairs"), F.col("n.lines_joined").cast("long").alias("lines_joined"), F.col("n.controls_removed").cast("long").alias("controls_removed"), F.col("n.changed").alias("changed"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug, translate(text, '0123456789', '૦૧૨૩૪૫૬૭૮૯') AS digits FROM documents")
+_MARKED = {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü", "y": "ýÿ"}
+_APART_SQL = "lower(text)"
+for _base, _letters in _MARKED.items():
+    _APART_SQL = f"regexp_replace({_APART_SQL}, '[{_letters}]', '{_base}-', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_APART_SQL}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, translate(text, '0123456789', '૦૧૨૩૪૫૬૭૮૯') AS digits FROM documents")
 def slugs_and_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs of the beginnings of texts, and texts with the digits of another script."""
-    return table(spark, sf_dir, "documents").select("doc_id", t.slugify(F.left("text", F.lit(80))).alias("slug"), t.convert_digits(F.col("text"), "gujr").alias("digits"))
+    """Slugs of whole texts (letters apart from their marks), and texts with the digits of another script."""
+    return table(spark, sf_dir, "documents").select("doc_id", t.slugify(nfkd(F.col("text"))).alias("slug"), t.convert_digits(F.col("text"), "gujr").alias("digits"))
 
 
 @query("SELECT p_partkey, try_cast(p_partkey * 37 AS BIGINT) AS value, 'gujr' AS script, translate((p_partkey * 37)::VARCHAR, '0123456789', '૦૧૨૩૪૫૬૭૮૯') AS printed FROM part")
@@ -349,8 +339,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH x AS ({_RELEASES}), d AS (SELECT DISTINCT book_id, version FROM x), k AS (SELECT *, {_KEY_SQL} AS k, lag(version) OVER (PARTITION BY book_id ORDER BY version) AS version_before FROM d), "
     "m AS (SELECT *, list_transform(string_split(version_before, '.'), lambda x: x::BIGINT) AS b, CASE length(book_id) % 3 WHEN 0 THEN 'major' WHEN 1 THEN 'minor' ELSE 'patch' END AS required_bump FROM k WHERE version_before IS NOT NULL), "
     "n AS (SELECT *, CASE WHEN NOT k > b THEN NULL WHEN k[1] <> b[1] THEN 3 WHEN k[2] <> b[2] THEN 2 ELSE 1 END AS bump FROM m) "
-    "SELECT book_id, version_before, version AS version_after, CASE WHEN bump IS NULL THEN 'release-version-not-newer' ELSE 'release-bump-understates-change' END AS code, CASE WHEN bump IS NULL THEN 'error' ELSE 'warning' END AS severity "
-    "FROM n WHERE bump IS NULL OR bump < CASE required_bump WHEN 'major' THEN 3 WHEN 'minor' THEN 2 ELSE 1 END"
+    "SELECT book_id, version_before, version AS version_after, CASE WHEN k[3] = 4 THEN 'release-book-mismatch' WHEN bump IS NULL THEN 'release-version-not-newer' ELSE 'release-bump-understates-change' END AS code, CASE WHEN bump IS NULL OR k[3] = 4 THEN 'error' ELSE 'warning' END AS severity "
+    "FROM n WHERE k[3] = 4 OR bump IS NULL OR bump < CASE required_bump WHEN 'major' THEN 3 WHEN 'minor' THEN 2 ELSE 1 END"
 )
 def release_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with version numbers, release by release."""
@@ -358,7 +348,8 @@ def release_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = d.withColumn("version_before", F.lag("version").over(Window.partitionBy("book_id").orderBy("version"))).where("version_before IS NOT NULL")
     n = F.length("book_id") % 3
     need = F.when(n == 0, "major").when(n == 1, "minor").otherwise("patch")
-    return versions.audit_releases(pairs.select("book_id", "version_before", F.col("version").alias("version_after"), need.alias("required_bump")))
+    other = F.when(F.endswith("version", F.lit(".4")), "another").otherwise(F.col("book_id"))
+    return versions.audit_releases(pairs.select("book_id", "version_before", F.col("version").alias("version_after"), need.alias("required_bump"), other.alias("book_before")))
 
 
 _UNITS_SQL = """
@@ -383,7 +374,7 @@ def release_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH {_UNITS_SQL.strip()}, n AS (SELECT count_if(change = 'added')::BIGINT AS verses_added, count_if(change = 'retired')::BIGINT AS verses_retired, count_if(change = 'changed')::BIGINT AS verses_changed, 0::BIGINT AS divisions_added, 0::BIGINT AS divisions_retired, "
     "count_if(change = 'retired' AND substr(ref, strpos(ref, '#d') + 2)::BIGINT % 2 = 0)::BIGINT AS refs_aliased, count_if(change = 'retired' AND substr(ref, strpos(ref, '#d') + 2)::BIGINT % 2 <> 0)::BIGINT AS refs_dropped FROM changes) "
-    "SELECT *, CASE WHEN verses_retired > 0 THEN 'major' WHEN verses_added > 0 THEN 'minor' WHEN verses_changed > 0 THEN 'patch' END AS required_bump FROM n"
+    "SELECT *, 0::BIGINT AS layers_added, 0::BIGINT AS layers_removed, CASE WHEN verses_retired > 0 THEN 'major' WHEN verses_added > 0 THEN 'minor' WHEN verses_changed > 0 THEN 'patch' END AS required_bump FROM n"
 )
 def release_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of a release and the bump it requires."""
@@ -478,18 +469,6 @@ def patched_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studio.patch_verses(v, p).select("book_id", "division_id", "id", "text", "number", "status", "ocr_changed", "action")
 
 
-@query(
-    _with("SELECT 1").rsplit("SELECT 1", 1)[0].rstrip()
-    + """, x AS (SELECT book_id, division_id, ordinal, id::VARCHAR AS id, 0 AS part, CASE WHEN ordinal % 3 = 0 THEN rtrim(left(text, 8)) ELSE text END AS text, number FROM verses
-UNION ALL SELECT book_id, division_id, ordinal, id || '-b', 1, ltrim(substr(text, 9)), NULL FROM verses WHERE ordinal % 3 = 0)
-SELECT book_id, division_id, id, row_number() OVER (PARTITION BY book_id, division_id ORDER BY ordinal, part) - 1 AS ordinal, number, text FROM x"""
-)
-def split_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verses after some were cut in two."""
-    v = verses(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
-    return studio.split_verses(v, v.where("ordinal % 3 = 0").select("book_id", "division_id", "id", F.lit(8).alias("offset"))).select("book_id", "division_id", "id", "ordinal", "number", "text")
-
-
 # --- structure ------------------------------------------------------------------------------------------------------
 
 _TREE_SQL = """
@@ -503,13 +482,13 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rg, na, cu = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
     top = rg.select(F.concat(F.lit("w/r"), text(F.col("r_regionkey"))).alias("ref"), F.lit("w").alias("parent_ref"), F.concat(F.lit("r"), text(F.col("r_regionkey") % 3)).alias("id"), F.col("r_regionkey").cast("long").alias("ord"))
     region = F.concat(F.lit("w/r"), text(F.col("n_regionkey")))
-    nation = F.concat(region, F.lit("/n"), text(F.col("n_nationkey")))
+    nation = F.concat(region, F.lit("/n"), text(F.col("n_nationkey")))  # 25 nations, whatever the scale
     mid = na.select(nation.alias("ref"), region.alias("parent_ref"), F.concat(F.lit("n"), text(F.col("n_nationkey") % 4)).alias("id"), (F.col("n_nationkey") + 100).cast("long").alias("ord"))
     low = cu.join(F.broadcast(na), cu["c_nationkey"] == na["n_nationkey"]).select(F.concat(nation, F.lit("#c"), text(F.col("c_custkey"))).alias("ref"), nation.alias("parent_ref"), F.concat(F.lit("c"), text(F.col("c_custkey") % 1000)).alias("id"), (F.col("c_custkey") + 1000).alias("ord"))
     return top.unionByName(mid).unionByName(low)
 
 
-@query(f"WITH {_TREE_SQL.strip()} SELECT 'error' AS severity, 'duplicate-sibling-id' AS code, ref AS path FROM units QUALIFY row_number() OVER (PARTITION BY parent_ref, id ORDER BY ord) > 1")
+@query(f"WITH {_TREE_SQL.strip()} SELECT 'error' AS severity, 'duplicate-sibling-id' AS code, parent_ref AS path FROM units QUALIFY row_number() OVER (PARTITION BY parent_ref, id ORDER BY ord) > 1")
 def sibling_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units whose id a sibling has already."""
     return st.sibling_issues(_units(spark, sf_dir))
@@ -528,8 +507,8 @@ def nearest_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_TREE_SQL.strip()}, a AS (SELECT ref AS source, CASE WHEN ord % 4 = 0 THEN ref WHEN ord % 4 = 1 THEN 'other/x' WHEN ord % 4 = 2 THEN 'Not A Ref' ELSE 'w/gone' END AS target, ord FROM units WHERE ord % 5 = 0), live AS (SELECT ref FROM units WHERE ord % 2 = 0) "
-    "SELECT 'error' AS severity, 'alias-source-live' AS code, source AS path FROM a WHERE source IN (SELECT ref FROM live) UNION ALL "
-    "SELECT 'error', CASE ord % 4 WHEN 1 THEN 'alias-foreign-book' WHEN 2 THEN 'alias-unparseable' ELSE 'alias-target-missing' END, target FROM a WHERE ord % 4 <> 0 OR target NOT IN (SELECT ref FROM live)"
+    "SELECT 'error' AS severity, 'alias-source-live' AS code, '/aliases/' || source AS path FROM a WHERE source IN (SELECT ref FROM live) UNION ALL "
+    "SELECT 'error', CASE ord % 4 WHEN 1 THEN 'alias-foreign-book' WHEN 2 THEN 'alias-unparseable' ELSE 'alias-target-missing' END, '/aliases/' || source FROM a WHERE ord % 4 <> 0 OR target NOT IN (SELECT ref FROM live)"
 )
 def alias_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with aliases, one issue for each side at most."""
@@ -591,3 +570,6 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = rollup(table(spark, sf_dir, "events"), "1 hour")
     return out.select("event_type", F.col("window.start").alias("hour"), "n", F.round("total", 4).alias("total"))
+
+
+from . import editing, scalars  # noqa: E402, F401  (they register their queries)

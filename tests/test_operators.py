@@ -47,22 +47,40 @@ def test_sequence_runs_agree_with_a_fold(spark):
     df = spark.createDataFrame(data, "book int, division string, pos int, number int")
     got = {}
     for r in seq.check_sequence(df).orderBy("book", "run").collect():
-        got.setdefault(r["book"], []).append((r["division"], r["first"], r["last"], sorted(r["missing"]), r["duplicates"], r["out_of_order"]))
+        got.setdefault(r["book"], []).append((r["division"], r["first"], r["last"], [n for g in r["missing"] for n in range(g["start"], g["end"] + 1)], r["duplicates"], r["out_of_order"]))
     assert got == {b: w for b, w in want.items() if w}
 
 
+def test_one_misread_number_is_one_gap(spark):
+    df = spark.createDataFrame([(1, "a", 1, 5), (1, "a", 2, 900_000_000_000), (1, "a", 3, 6)], "book int, division string, pos int, number long")
+    r = seq.check_sequence(df).first()
+    assert [(g["start"], g["end"]) for g in r["missing"]] == [(7, 899_999_999_999)] and r["out_of_order"] == [6, 900_000_000_000]
+
+
+def test_sliding_rates_agree_with_brute_force(spark):
+    rng = random.Random(7)
+    data = [(k, rng.choice("ab"), rng.randrange(0, 400)) for k in range(300)]
+    df = spark.createDataFrame(data, "id int, key string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["id"]: (r["in_window"], r["allowed"]) for r in seq.within_rate(df, ["key"], "ts", 20).collect()}
+    count = {k: sum(1 for _, b, t in data if b == a and s - 60 <= t <= s) for k, a, s in data}
+    assert got == {k: (n, n <= 20) for k, n in count.items()}
+
+
+def test_titles_from_running_heads(spark):
+    heads = spark.createDataFrame([(1, p, "BOOK") for p in range(6)] + [(1, 0, "A"), (1, 1, "A"), (1, 1, "B"), (1, 3, "C"), (1, 4, "D")], "book int, page int, head string")
+    passages = spark.createDataFrame([(1, 0, [0, 1]), (1, 1, [3, 4]), (1, 2, [5]), (1, 0, [1])], "book int, section int, pages array<int>")
+    assert rows(seq.titles_from_heads(passages, heads), "section") == [(1, 0, "A")]
+
+
 def test_flags_reset_at_a_division_only(spark):
     df = spark.createDataFrame([(1, "a", 1, 1), (1, "a", 2, 2), (1, "b", 3, 1), (1, "b", 4, 2), (1, "b", 5, 1), (1, "b", 6, None)], "book int, division string, pos int, number int")
     out = rows(seq.number_flags(df).select("pos", "duplicate_number", "out_of_sequence"), "pos")
     assert out == [(1, False, False), (2, False, False), (3, False, False), (4, False, False), (5, True, True), (6, False, False)]
 
 
-def test_vote_tie_and_free_ids(spark):
+def test_vote_tie(spark):
     df = spark.createDataFrame([("s", "x"), ("s", "x"), ("s", "y"), ("t", "x"), ("t", "y"), ("u", None)], "g string, v string")
     assert rows(seq.vote(df, ["g"], "v"), "g") == [("s", "x", 2), ("t", None, 1)]
-    wanted = spark.createDataFrame([("d", "v1"), ("d", "v9")], "k string, id string")
-    taken = spark.createDataFrame([("d", "v1"), ("d", "v1-2")], "k string, id string")
-    assert rows(seq.free_id(wanted, taken, ["k"]).select("id", "free_id"), "id") == [("v1", "v1-3"), ("v9", "v9")]
 
 
 def test_import_rules(spark):
@@ -87,13 +105,6 @@ def test_import_rules(spark):
     assert out["new"]["action"] == "inserted" and out["new"]["status"] == "raw"
 
 
-def test_merge_and_split(spark):
-    v = spark.createDataFrame([(1, "d", "a", 0, 1, "ab cd"), (1, "d", "b", 1, 2, "ef"), (1, "d", "c", 2, 3, "gh")], "book_id int, division_id string, id string, ordinal long, number int, text string")
-    cut = spark.createDataFrame([(1, "d", "a", 3)], "book_id int, division_id string, id string, offset int")
-    assert rows(studio.split_verses(v, cut).select("ordinal", "id", "number", "text"), "ordinal") == [(0, "a", 1, "ab"), (1, "a-b", None, "cd"), (2, "b", 2, "ef"), (3, "c", 3, "gh")]
-    assert rows(studio.merge_verses(v, cut.limit(1)).select("ordinal", "id", "text"), "ordinal") == [(0, "a", "ab cd\nef"), (1, "c", "gh")]
-
-
 def test_aliases_follow_chains_cycles_and_ancestors(spark):
     ref = lambda *xs: spark.createDataFrame([(x,) for x in xs], "ref string")
     edges = lambda *xs: spark.createDataFrame(xs, "source string, target string")
@@ -117,6 +128,19 @@ def test_diff_keeps_a_ref_that_changes_kind(spark):
     assert rows(versions.diff_units(before, after), "ref") == [("b#v1", "verse", "changed"), ("b#v2", "verse", "retired"), ("b#v3", "verse", "added")]
 
 
+def test_releases(spark):
+    layers = lambda *xs: spark.createDataFrame([(x,) for x in xs], "layer_id string")
+    changed = versions.diff_layers(layers("a", "b", "b"), layers("b", "c"))
+    assert rows(changed, "layer_id") == [("a", "removed"), ("c", "added")]
+    none = spark.createDataFrame([], "ref string, kind string, change string")
+    aliases = spark.createDataFrame([], "source string, target string")
+    diff = versions.release_diff(none, aliases, changed).withColumn("said", versions.describe_change()).first()
+    assert (diff["required_bump"], diff["said"]) == ("major", "1 removed layers, 1 new layers")
+    assert versions.release_diff(none, aliases).withColumn("said", versions.describe_change()).first()["said"] == "nothing"
+    pairs = spark.createDataFrame([("a", "1.0.0", "1.0.1", "major", "a"), ("a", "1.0.0", "2.0.0", "major", "z"), ("a", "1.0.0", "1.1.0", None, "a"), ("a", "1.0.0", "0.9.0", "patch", "a"), ("a", "1.0.0", "2.0.0", "major", "a")], "book_id string, version_before string, version_after string, required_bump string, book_before string")
+    assert sorted((r["code"], r["severity"]) for r in versions.audit_releases(pairs).collect()) == [("release-book-mismatch", "error"), ("release-bump-understates-change", "warning"), ("release-content-unchanged", "warning"), ("release-version-not-newer", "error")]
+
+
 BOOK = {
     "id": "b",
     "structure": [
@@ -129,10 +153,21 @@ BOOK = {
 def test_books_flatten_and_nest_again(spark):
     units = st.flatten_books(spark.createDataFrame([(json.dumps(BOOK),)], "document string"))
     assert rows(units.select("ref", "parent_ref", "depth"), "ord") == [("b/s1", "b", 1), ("b/s1#v1", "b/s1", 2), ("b/s1#v1", "b/s1", 2), ("b#v2", "b", 1)]
-    assert [r[2] for r in rows(st.sibling_issues(units), "path")] == ["b/s1#v1"]
-    declared = spark.createDataFrame([("b", "text"), ("b", "words")], "book_id string, layer_id string")
-    primary = spark.createDataFrame([("b", "text")], "book_id string, layer_id string")
-    assert sorted(r["code"] for r in st.layer_issues(units, declared, primary).collect()) == ["primary-layer-missing", "undeclared-layer"]
+    assert [r[2] for r in rows(st.sibling_issues(units), "path")] == ["b/s1"]
+    layer = "book_id string, layer_id string"
+    primary = spark.createDataFrame([("b", "text")], layer)
+    declared = spark.createDataFrame([("b", "text", "original", None, 0), ("b", "words", "wordMeanings", None, 1), ("b", "words", "wordMeanings", None, 2), ("b", "roman", "transliteration", None, 3)], f"{layer}, kind string, scheme string, position int")
+    codes = lambda df: sorted((r["code"], r["path"]) for r in df.collect())
+    assert codes(st.layer_issues(units, declared, primary)) == [("primary-layer-missing", "b/s1#v1"), ("undeclared-layer", "b/s1#v1")]
+    assert codes(st.layer_issues(units, declared.withColumn("kind", F.lit("original")), primary))[0] == ("layer-kind-mismatch", "b#v2")
+    assert codes(st.declaration_issues(declared, primary)) == [("duplicate-layer-id", "/layers/2"), ("transliteration-scheme-missing", "/layers/3")]
+    assert codes(st.declaration_issues(declared, spark.createDataFrame([("b", "words")], layer)))[1:2] == [("primary-layer-not-original", "/primaryLayer")]
+    assert codes(st.declaration_issues(declared, spark.createDataFrame([("b", "none")], layer)))[1:2] == [("primary-layer-undeclared", "/primaryLayer")]
+    from folioforge.functions.refs import verse_hash
+
+    report = st.validate(units, declared, primary, verse_hash(F.col("layers")))
+    assert {"hash-mismatch", "duplicate-sibling-id", "undeclared-layer"} <= {r["code"] for r in report.collect()}
+    assert report.where("code = 'hash-mismatch'").select(st.format_issue()).first()[0] == "error  b/s1#v1  [hash-mismatch]"
     tree = json.loads(st.build_tree(units, 2).first()["structure"])
     assert [x["id"] for x in tree] == ["s1", "v2"] and [x["id"] for x in tree[0]["children"]] == ["v1", "v1"]
     assert tree[1]["layers"]["text"] == "two"

@@ -95,11 +95,33 @@ def test_lines_and_characters(spark):
 def test_danda_and_words(spark):
     assert values(column(spark, ["ક ॥ ૧ ॥ ૨ a b"]), t.protect_danda(F.col("x"))) == ["ક\u00a0॥\u00a0૧\u00a0॥ ૨ a b"]
     texts = ["the cat and the dog in the old house", "xq zv wk pl mn bv cx zz", "the and"]
-    assert values(column(spark, texts), t.english_word_rate(F.col("x"))) == values(column(spark, texts), t.english_word_rate_by_pattern(F.col("x")))
+    assert values(column(spark, texts), t.english_word_rate(F.col("x"))) == [5 / 9, 0.0, 0.0]
     assert values(column(spark, ["ABCDEF+Shree", "Shree"]), t.strip_subset_prefix(F.col("x"))) == ["Shree", "Shree"]
     assert values(column(spark, ["૧૨. note", "note", "3) x"]), t.note_marker(F.col("x"))) == [12, None, 3]
 
 
+def test_trims_and_summaries(spark):
+    df = column(spark, [" \u00a0\n a b \u2003\n", "", "\n ", "x"])
+    assert values(df, t.trim_start(F.col("x"))) == ["a b \u2003\n", "", "", "x"]
+    assert values(df, t.trim_end(F.col("x"))) == [" \u00a0\n a b", "", "", "x"]
+    texts = ["કર્મ યોગ", "abc", ""]
+    df = column(spark, texts)
+    assert values(df, t.akshara_summary(F.col("x"), 3)["aksharas"]) == values(df, t.count_aksharas(F.col("x")))
+    assert values(df, t.akshara_summary(F.col("x"), 3)["preview"]) == values(df, t.truncate_aksharas(F.col("x"), 3))
+
+
+def test_values(spark):
+    from folioforge.functions import values as v
+
+    n = spark.createDataFrame([(0, 500), (1, 1536), (2, 5_400_000)], "i int, n long")
+    assert values(n, v.format_bytes(F.col("n"))) == ["500 B", "2 KB", "5.1 MB"]
+    assert values(n.limit(1), v.page_file_name(F.lit(7), F.lit(442))) == ["page-0007.png"] and values(n.limit(1), v.page_file_name(F.lit(12345), F.lit(99))) == ["page-12345.png"]
+    hashes = column(spark, ["cbf29ce484222325", "ffffffffffffffff", "0000000000000007"])
+    assert values(hashes, v.colourway(F.col("x"), 11)) == [int(x, 16) % 11 for x in ("cbf29ce484222325", "ffffffffffffffff", "7")]
+    files = spark.createDataFrame([(1, "a/b/c.pdf"), (1, "a/b/d/e.pdf"), (2, "x.pdf"), (3, "q/r.pdf"), (4, "a/x/1"), (4, "b/x/1")], "g int, f string")
+    assert {r["g"]: r["root"] for r in v.common_root(files, ["g"], "f").collect()} == {1: "a/b", 2: "", 3: "q", 4: ""}
+
+
 def test_normalize_reports_repairs(spark):
     out = normalize_one("આવરણ૧ છે.૨ ॥૬૧॥ વર્-\nતે", "gujr")
     assert out["text"] == "આવરણ છે. ॥૬૧॥ વર્તે"
