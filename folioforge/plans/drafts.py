@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drafts as dr
 from ..operators import studio
+from ..sources import sinks
 from .derived import divisions, table, verses
 from .queries import _OLD_SQL, import_merge
 from .registry import query, with_tables
@@ -131,3 +132,37 @@ def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = verses(spark, sf_dir).where("book_id % 10 = 3").withColumn("shelf", F.lit(1))
     own, _, _ = studio.page_context(v.withColumnRenamed("book_id", "book").withColumnRenamed("shelf", "book_id"), v.limit(0).withColumn("page", F.lit(0)), v.limit(0).withColumn("page", F.lit(0)), 1, 7)
     return own.select(F.col("book").alias("book_id"), "division_id", "id", "status")
+
+
+@query(
+    "SELECT conv_id AS book, turn AS page, sum(length(text))::BIGINT AS chars, sum(v)::BIGINT AS violations, sum(e)::BIGINT AS examined, CASE WHEN sum(e) = 0 THEN 0.0::DOUBLE ELSE floor(sum(v) * 1000.0::DOUBLE / sum(e) * 100 + 0.5) / 100 END AS rate, sum(v) = 0 AS ok "
+    "FROM (SELECT conv_id, turn, text, length(text) % 4 AS v, length(text) AS e FROM conversations) GROUP BY ALL"
+)
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality rows of pages."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), "text")
+    n = F.length("text").cast("long")
+    return sinks.page_results(c, F.struct((n % 4).alias("violations"), n.alias("examined")))
+
+
+@query("SELECT p_brand AS book_id, p_partkey || '.0.0' AS content_version, strlen(p_name)::BIGINT AS bytes, sha256(p_name) AS sha256 FROM part")
+def release_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalog records of packages."""
+    p = table(spark, sf_dir, "part")
+    return sinks.release_rows(p.select(F.col("p_brand").alias("book_id"), F.concat(F.col("p_partkey").cast("string"), F.lit(".0.0")).alias("content_version"), F.col("p_name").alias("document")))
+
+
+@query("SELECT p_partkey AS document, '| ' || p_partkey || ' | ' || p_type || ' | high | ' || CASE WHEN p_size % 5 = 0 THEN '?' ELSE p_size::VARCHAR END || ' |' AS line FROM part")
+def inventory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory as a table of lines."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document"), F.col("p_type").alias("verdict"), F.lit("high").alias("confidence"), F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("pages"))
+    return sinks.inventory_lines(p)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN CASE p_partkey % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'translation' ELSE 'later' END END AS kind FROM part")
+def found_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declarations of layers by their ids."""
+    layer = lambda i, k: F.struct(F.lit(i).alias("id"), F.lit(k).alias("kind"))
+    layers = F.array(layer("l0", "original"), layer("l1", "translation"), layer("l2", "first"), layer("l2", "later"))
+    wanted = F.concat(F.lit("l"), (F.col("p_partkey") % 4).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", sinks.find_layer(layers, wanted)["kind"].alias("kind"))

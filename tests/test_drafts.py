@@ -46,3 +46,25 @@ def test_values_of_reports(spark):
     assert [r[0] for r in twice.select(dr.reparsed(F.col("x"), "k int")["k"]).collect()] == [1, 2, None]
     keys = spark.createDataFrame([("b", ["s1", "c2"], "v1"), ("b", [], "v1")], "b string, p array<string>, v string")
     assert [r[0] for r in keys.select(dr.ref_of(F.col("b"), dr.division_key(F.col("p")), F.col("v"))).collect()] == ["b/s1/c2#v1", "b#v1"]
+
+
+def test_results_are_appended_once_and_packages_written_once(spark, tmp_path):
+    import pytest
+
+    from folioforge.sources import sinks
+
+    s = "page int, source_sha256 string, chars int, at int"
+    first = spark.createDataFrame([(1, "h", 10, 1), (2, "h", 20, 1)], s)
+    path = str(tmp_path / "results")
+    assert sinks.append_results(first, path, ["page"]).count() == 2
+    again = spark.createDataFrame([(1, "h", 11, 2), (2, "new", 21, 2), (3, "h", 30, 2)], s)
+    assert rows(sinks.append_results(again, path, ["page"]).select("page", "chars"), "page") == [(2, 21), (3, 30)]
+    now = spark.read.parquet(path)
+    assert now.count() == 4 and rows(sinks.current_results(now, ["page"], "at").select("page", "chars"), "page") == [(1, 10), (2, 21), (3, 30)]
+    packages = spark.createDataFrame([("b", "1.0.0", '{"id":"b"}')], "book_id string, content_version string, document string")
+    out = sinks.write_once(packages, str(tmp_path / "books"))
+    assert out.first()["bytes"] == 10 and spark.read.text(str(tmp_path / "books")).first()["value"] == '{"id":"b"}'
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_once(packages, str(tmp_path / "books"))
+    struct = spark.createDataFrame([((1, 2, 3),)], "p struct<id:int,structure:int,title:int>").select(sinks.catalog_manifest(F.col("p"), ["id", "structure", "title"]).alias("m"))
+    assert struct.columns == ["m"] and struct.first()["m"].asDict() == {"id": 1, "title": 3}
