@@ -33,19 +33,20 @@ def free_ids(wanted: DataFrame, taken: DataFrame, order: str = "ordinal", most:
     """Adds new_id to wanted (book_id, division_id, wanted, …): the wanted id, else it with the least suffix from 2 that nobody has.
 
     taken: (book_id, division_id, id). Rows that want the same id get it and its suffixes in their order; null where none is
-    free up to ``most``. Only ids that are taken or wanted twice meet the table of suffixes.
+    free up to ``most``.
     """
     group = [*DIVISION, "wanted"]
     have = taken.select(*DIVISION, F.col("id").alias("wanted")).distinct().withColumn("_taken", F.lit(True))
     rows = wanted.join(have, group, "left").withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
     plain = rows.where("_taken IS NULL AND _n = 1").withColumn("new_id", F.col("wanted"))
     rest = rows.where("_taken IS NOT NULL OR _n > 1")
-    suffix = F.explode(F.sequence(F.lit(2), F.lit(most)))
-    tries = rest.select(*group).distinct().withColumn("_s", suffix).withColumn("_try", F.concat_ws("-", "wanted", F.col("_s").cast("string")))
-    left = tries.join(have.select(*DIVISION, F.col("wanted").alias("_try")), [*DIVISION, "_try"], "left_anti")
-    left = left.select(*group, F.col("_try").alias("new_id"), F.row_number().over(Window.partitionBy(*group).orderBy("_s")).alias("_k"))
-    place = F.col("_n") - F.when(F.col("_taken"), 0).otherwise(1)
-    found = rest.withColumn("_k", place).join(left, [*group, "_k"], "left").drop("_k")
+    # The suffixes that an id has already, from the ids that end in one.
+    end = "^(.+)-([2-9]|[1-9][0-9]+)$"
+    parts = taken.select(*DIVISION, F.regexp_extract("id", end, 1).alias("wanted"), F.regexp_extract("id", end, 2).try_cast("int").alias("_s")).where(F.col("_s") <= most)
+    rest = rest.join(parts.groupBy(*group).agg(F.collect_set("_s").alias("_used")), group, "left")
+    left = F.array_except(F.sequence(F.lit(2), F.lit(most)), F.coalesce("_used", F.array().cast("array<int>")))
+    suffix = F.get(left, F.col("_n") - F.when(F.col("_taken"), 1).otherwise(2))
+    found = rest.withColumn("new_id", F.concat(F.col("wanted"), F.lit("-"), suffix.cast("string"))).drop("_used")
     return plain.unionByName(found).drop("_taken", "_n")
 
 
