@@ -11,7 +11,8 @@ once; only one id for each range reaches the driver.
 
 Defined results: null and empty texts (and texts without words) have the empty sketch, which resembles the empty sketch
 by 1 and any other by 0; a text with fewer words than a shingle has one shingle of all; equal texts have equal sketches;
-rows with equal ids follow each other in the order of their texts' hashes; a null id comes last; extra columns are ignored.
+very long texts are read whole; an empty table gives no rows; repeated rows are kept; rows with equal ids follow each other
+in the order of their texts' hashes; a null id comes last; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

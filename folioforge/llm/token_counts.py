@@ -11,7 +11,8 @@ A merged symbol can offer a pair of lower rank than the one just applied. Then o
 such a sequence gets only its leftmost occurrence in that round, which is what one merge at a time would do.
 
 Counts of pre-tokens are kept between slices in a dictionary of bounded size. Defined results: null and empty texts
-have no tokens; repeated rows are counted each for itself; extra columns are ignored.
+have no tokens; an empty table gives no rows; of pairs of equal rank the leftmost is merged first; very long texts are
+counted whole; repeated rows and rows of one id are counted each for itself; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
