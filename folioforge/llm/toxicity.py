@@ -11,17 +11,18 @@ fitted on a sample of at most ``max_labelled`` labelled rows (those with the lea
 sample count once. Nothing but the text enters a score.
 
 Broadcast are the trigram table (64**3 values), the sample's ids (``max_labelled``), and the lexicon (``LEXICON`` entries at
-most): none grows with the documents. Defined results: null and empty texts score as a text without listed words; without
-labelled rows of both classes all scores are the share of toxic ones (0 if there are none); repeated rows are scored each
-for itself; a document with several labels counts as toxic if one of them is 1; extra columns are ignored by ``scores`` and
-kept by ``drop_toxic``.
+most): none grows with the documents. Defined results: null and empty texts score as a text without listed words; an empty
+table gives no rows; without labelled rows of both classes all scores are the share of toxic ones (0 if there are none);
+very long texts, tokens and spaced runs are read to their end, in time linear in their length; of equally likely
+restorations the least text is taken; entries of the lexicon that are equally frequent and equally toxic stand in the order
+of their text; repeated rows and rows of one id are scored each for itself; a document with several labels counts as toxic
+if one of them is 1; extra columns are ignored by ``scores`` and kept by ``drop_toxic``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +35,8 @@ from .common import SLICE_BYTES, materialize, string_views
 
 MAX_LABELLED = 8192
 THRESHOLD = 0.7
-#: Buckets of words and beginnings, entries of the lexicon, the least toxic texts and the least log-ratio of an entry.
-BUCKETS, LEXICON, LEAST_TEXTS, LEAST_RATIO = 1 << 21, 65_536, 4, math.log(6)
+#: Entries of the lexicon, the least toxic texts and the least log-ratio of an entry.
+LEXICON, LEAST_TEXTS, LEAST_RATIO = 65_536, 4, math.log(6)
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 256
 
 #: Letters that a sign may stand for.
@@ -169,12 +170,9 @@ _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .*_~-]{1,3}[^\W_]){3,}(?!\S)")
 _EDGES = "\"'“”«»,;:.?!#%&*~^=<>[]{}()/\\-_…|+"
 
 
-def entries(word: str) -> list[int]:
-    """Buckets of a word and of its beginnings of three to seven letters."""
-    out = [zlib.crc32(word.encode()) % BUCKETS]
-    for k in range(3, min(8, len(word))):
-        out.append(zlib.crc32((word[:k] + "*").encode()) % BUCKETS)
-    return out
+def entries(word: str) -> list[str]:
+    """A word, and its beginnings of three to seven letters (with an asterisk)."""
+    return [word, *(word[:k] + "*" for k in range(3, min(8, len(word))))]
 
 
 @dataclass
@@ -206,10 +204,10 @@ class Reader:
 
 @dataclass
 class Scorer:
-    """The fitted model: lexicon weights by bucket, and the logistic model over a text's summary."""
+    """The fitted model: lexicon weights by entry, and the logistic model over a text's summary."""
 
     reader: Reader
-    lexicon: dict[int, float]
+    lexicon: dict[str, float]
     mean: np.ndarray
     scale: np.ndarray
     beta: np.ndarray
@@ -251,13 +249,21 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _listed(sample: DataFrame, reader: Reader) -> dict[int, float]:
+def _listed(sample: DataFrame, reader: Reader) -> dict[str, float]:
     """The lexicon: log-ratios of the shares of toxic and of clean texts that have a word or beginning."""
     classes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), dtype=np.int32)
-        known: dict[str, list[int]] = {}
+        # The sample has ``max_labelled`` texts at most; a text's entries are handed on before the next slice is read.
+        known: dict[str, list[str]] = {}
+        counts: dict[str, list[int]] = {}
+
+        def handed() -> pa.RecordBatch:
+            clean, toxic = zip(*counts.values()) if counts else ((), ())
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], ["entry", "toxic", "clean"])
+            counts.clear()
+            return out
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens, found = set((text or "").split()), set()
@@ -270,15 +276,17 @@ def _listed(sample: DataFrame, reader: Reader) -> dict[int, float]:
                     found.update(e)
                 for w in reader.spaced(text or "", tokens):
                     found.update(entries(w))
-                counts[int(toxic), list(found)] += 1
-        at = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[1, at].astype(np.int64)), pa.array(counts[0, at].astype(np.int64))], ["bucket", "toxic", "clean"])
+                for e in found:
+                    counts.setdefault(e, [0, 0])[int(toxic)] += 1
+                if len(counts) > CACHE_ENTRIES:
+                    yield handed()
+        yield handed()
 
-    sums = sample.select("text", "toxic").mapInArrow(run, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    sums = sample.select("text", "toxic").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     half = 0.5
     ratio = F.log((F.col("t") + half) / (classes.get(1, 0) + 2 * half)) - F.log((F.col("c") + half) / (classes.get(0, 0) + 2 * half))
-    top = sums.where(F.col("t") >= LEAST_TEXTS).select("bucket", ratio.alias("w"), "t").where(F.col("w") > LEAST_RATIO).orderBy(F.desc("t"), F.desc("w"), "bucket").limit(LEXICON)
-    return {r["bucket"]: r["w"] for r in top.collect()}
+    top = sums.where(F.col("t") >= LEAST_TEXTS).select("entry", ratio.alias("w"), "t").where(F.col("w") > LEAST_RATIO).orderBy(F.desc("t"), F.desc("w"), "entry").limit(LEXICON)
+    return {r["entry"]: r["w"] for r in top.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Scorer:

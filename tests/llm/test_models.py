@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.llm import extraction, toxicity
 from folioforge.llm.html_blocks import blocks
@@ -60,12 +61,61 @@ def test_long_runs_and_tokens_are_read_to_their_end():
     assert "stupid" in reader.spaced(spaced, set(spaced.split()))
     for mark in ".-_":
         assert "stupid" in "".join(reader.words((mark * 2).join(mark.join(w) for w in words)))
-    scorer = toxicity.Scorer(reader, {toxicity.entries("stupid")[0]: 2.0}, np.zeros(7), np.ones(7), np.zeros(7), 0.0)
+    scorer = toxicity.Scorer(reader, {"stupid": 2.0}, np.zeros(7), np.ones(7), np.zeros(7), 0.0)
     assert scorer.summary("only," * 60 + "stupid")[5] == 2.0
     letters = "l.o.s.e.r." * 2000
     assert "".join(reader.model.restore(letters).split()) == "loser" * 2000
 
 
+def brute_restore(model, token):
+    """The likeliest readings of a token by enumeration of all ways through its lattice."""
+    best = {}
+
+    def walk(i, text, cost):
+        if i == len(token):
+            a = b = 0
+            total = cost
+            for ch in [*text, None]:
+                s = 0 if ch is None else int(toxicity.SYMBOL_OF[ord(ch)])
+                total -= model.logp[(a << 12) | (b << 6) | s]
+                a, b = b, s
+            best[text] = min(total, best.get(text, total))
+            return
+        run = 1
+        while i + run < len(token) and token[i + run] == token[i]:
+            run += 1
+        for step, out, extra in model._edges(token[i], run):
+            walk(i + step, text + out, cost + extra)
+
+    walk(0, "", 0.0)
+    return best
+
+
+def test_restoration_is_the_best_path_of_the_lattice():
+    rng = random.Random(3)
+    counts = np.zeros(64**3)
+    text = "  " + "  ".join(["idiot", "stupid", "the", "loser", "toil"] * 30) + "  "
+    s = toxicity.SYMBOL_OF[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")].astype(int)
+    np.add.at(counts, (s[:-2] << 12) | (s[1:-1] << 6) | s[2:], 1)
+    model = toxicity.CharacterModel(counts)
+    for _ in range(300):
+        token = "".join(rng.choice("ia1!dosst$.- 0t") for _ in range(rng.randint(1, 7)))
+        best = brute_restore(model, token)
+        least = min(best.values())
+        got = model.restore(token)
+        assert best[got] == pytest.approx(least, abs=1e-9), token
+
+
+def test_rows_of_one_id_and_clashing_columns_are_scored_each(spark):
+    rows, labels = corpus(n=200)
+    docs = make(spark, [*rows, (1, rows[1][1]), (1, f"grumbok wozzle fleeb {rows[1][1]}"), (None, None)]).withColumn("score", F.lit(3)).withColumn("toxic", F.lit("x"))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = toxicity.scores(docs, known).where("doc_id = 1").collect()
+    assert len(out) == 3 and len({r["score"] for r in out}) == 2
+    kept = toxicity.drop_toxic(docs, known)
+    assert kept.columns == docs.columns and sorted(r["text"] == rows[1][1] for r in kept.where("doc_id = 1").collect()) == [True, True]
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.scores(make(spark, [(1, "x")]), none).collect()] == [0.0]
