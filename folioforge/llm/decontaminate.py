@@ -9,15 +9,18 @@ sides meet in a table, hits are verified and extended. An item leaks into a docu
 Documents are read once and nothing is shuffled. The items are broadcast while their text is at most ``bound`` bytes; a
 larger benchmark is dealt into parts of that size, and the documents are read once for each part.
 
-Defined results: null and empty texts leak nothing; an item with fewer than ``least`` words is too short to be tested;
-repeated documents and items are reported each for itself; empty tables give no rows; extra columns are ignored by
-``leaks`` and kept by ``drop_leaking``; words are runs of ASCII letters and digits and of all other non-ASCII characters.
+Defined results: null and empty texts leak nothing; an item with fewer than ``least`` words is too short to be tested; of
+equally long matches the first in the document, then in the item, is marked; very long texts are read whole; repeated
+documents and items and rows of one id are reported each for itself; a null id stays null; empty tables give no rows; extra
+columns are ignored by ``leaks`` and kept by ``drop_leaking``, whatever their names; words are runs of ASCII letters and
+digits and of all other non-ASCII characters.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -89,29 +92,32 @@ class Items:
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, open_doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of an item by a document: (place in document, place in item, words), words marked at most once."""
+    """Greedy tiling of an item by a document: (place in document, place in item, words), words marked at most once.
+
+    Search lengths fall to ``least``. The matches of a search stand in a queue, longest first; one that a tile has cut
+    goes back with what is left of it.
+    """
     free_doc, free_item = open_doc.copy(), np.ones(len(item), dtype=bool)
     out: list[tuple[int, int, int]] = []
     size = max(least, min(len(item), 20))
-    while True:
-        found = _matches(doc, item, free_doc, free_item, size)
-        longest = max((n for n, _, _ in found), default=0)
-        if longest > 2 * size:  # searched too short: begin again with the length found
-            size = longest
-            continue
-        for n, p, q in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free_doc[p : p + n].all() and free_item[q : q + n].all():
-                free_doc[p : p + n] = False
-                free_item[q : q + n] = False
-                out.append((p, q, n))
+    while free_item.any():
+        queue = [(-n, p, q) for n, p, q in _matches(doc, item, free_doc, free_item, size)]
+        heapify(queue)
+        while queue and free_item.any():
+            n, p, q = heappop(queue)
+            free = free_doc[p : p - n] & free_item[q : q - n]
+            if free.all():
+                free_doc[p : p - n] = free_item[q : q - n] = False
+                out.append((p, q, -n))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+            for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if e - s >= size:
+                    heappush(queue, (s - e, p + s, q + s))
         if size == least:
-            # Parts of runs that a longer tile has cut stay open; they are found in another search of this length.
-            if not found:
-                return out
-        elif size > 2 * least:
-            size //= 2
-        else:
-            size = least
+            break
+        size = size // 2 if size > 2 * least else least
+    return out
 
 
 def _matches(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
