@@ -5,17 +5,19 @@ grams in a window. Equal windows have equal anchors, neighbouring windows mostly
 in one text only needs no search. What is left are segments: runs of windows with one repeated anchor.
 
 Segments are dealt to shards by their anchor, so all windows that may be equal meet in one shard. A shard holds each
-segment once, with the least id of the documents that have it, in a compressed FM-index; its segments are streamed
-through the index by backward search, and the interval of every window (its matching statistic reaches ``WINDOW`` words)
-gives the least id of all documents with it. Anchors of very many segments would make one shard too large: their windows
+segment once, with the least id of the documents that have it, in a compressed FM-index (wavelet matrix and owners; neither
+text nor suffix array stay). The segments are streamed through the index by backward search of ``WINDOW`` steps: where a
+matching statistic reaches that threshold, the interval gives the least id of all documents with the window. Longer
+matches are runs of such windows. Anchors of very many segments would make one shard too large: their windows
 are segments of their own and are dealt by their own hash. Copies of a whole text are one class, and only its first
 document is searched: in the others every window starts in an earlier document.
 
 Words are hashes of 32 bits within a segment whose 64-bit anchor and place agree, 13 of which make a window. Texts cross
 the network once, compressed; all else is narrow. Nothing is collected to the driver but two counts.
 
-Defined results: null and empty texts have no words; documents shorter than a window keep all words; rows with equal ids
-are one document, whose windows don't repeat each other; a null id counts as larger than any; extra columns are ignored.
+Defined results: null and empty texts have no words; documents shorter than a window keep all words; an empty table gives
+no rows; very long texts are read whole; rows with equal ids are one document, whose windows don't repeat each other;
+repeated rows are kept; a null id counts as larger than any; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, gram_hashes, materialize, mix, shuffle_partitions, slices
+from .common import Texts, gram_hashes, materialize, mix, run_hashes, shuffle_partitions, slices
 from .fm_index import FmIndex
 
 WINDOW, GRAM = 13, 4
@@ -153,36 +155,25 @@ def _places(text: bytes, own: int, some: list[int], hot: list[int], window: int,
     low = anchors(words, window).view(np.int64)
     short = words.astype(np.uint32)
     is_hot = np.isin(low, np.array(hot, dtype=np.int64))
-    wanted = np.isin(low, np.array(some, dtype=np.int64)) & ~is_hot
+    at = np.flatnonzero(np.isin(low, np.array(some, dtype=np.int64)) & ~is_hot)
+    fresh = np.ones(len(at), dtype=bool)
+    fresh[1:] = (np.diff(at) > 1) | (low[at[1:]] != low[at[:-1]])
+    every = np.arange(len(at))
+    within = every - np.maximum.accumulate(np.where(fresh, every, 0))
+    first = np.flatnonzero(within % SEGMENT_WINDOWS == 0)
+    alone = np.flatnonzero(is_hot)
+    starts = np.concatenate([at[first], alone])
+    counts = np.concatenate([np.diff(np.append(first, len(at))), np.ones(len(alone), dtype=np.int64)])
+    ends = starts + counts + window - 1
+    hashes = mix(run_hashes(words, starts, ends) + (ends - starts).astype(np.uint64)).view(np.int64)
+    keys = np.concatenate([low[at[first]], hashes[len(first) :]])
     out = []
-
-    def add(key: int, at: int, count: int) -> None:
-        body = short[at : at + count + window - 1]
-        h = int(whole(at, count))
+    for key, h, s, e in zip(keys.tolist(), hashes.tolist(), starts.tolist(), ends.tolist()):
         if h in held:
             held[h][2] = min(held[h][2], own)
         else:
-            held[h] = [key, body.tobytes(), own]
-        out.append({"h": h, "pos": at})
-
-    grams: dict[int, np.ndarray] = {}
-
-    def whole(at: int, count: int) -> np.int64:
-        size = count + window - 1
-        if size not in grams:
-            grams[size] = mix(gram_hashes(words, size) + np.uint64(size)).view(np.int64)
-        return grams[size][at]
-
-    at = np.flatnonzero(wanted)
-    if len(at):
-        fresh = np.ones(len(at), dtype=bool)
-        fresh[1:] = (np.diff(at) > 1) | (low[at[1:]] != low[at[:-1]])
-        begins = np.flatnonzero(fresh)
-        for b, e in zip(begins.tolist(), [*begins[1:].tolist(), len(at)]):
-            for s in range(b, e, SEGMENT_WINDOWS):
-                add(int(low[at[s]]), int(at[s]), min(SEGMENT_WINDOWS, e - s))
-    for p in np.flatnonzero(is_hot).tolist():
-        add(int(whole(p, 1)), p, 1)
+            held[h] = [key, short[s:e].tobytes(), own]
+        out.append({"h": h, "pos": s})
     return out
 
 
@@ -199,12 +190,13 @@ def _search_shard(table: pa.Table, window: int) -> pa.Table:
     at = np.arange(len(symbols)) + np.repeat(np.arange(len(lens)), lens)  # a 0 after each segment
     text = np.zeros(len(symbols) + len(lens), dtype=np.int64)
     text[at] = symbols + 1
-    index = FmIndex(text, len(known) + 1, window)
-    owner = np.repeat(least, lens + 1)
+    index = FmIndex(text, len(known) + 1, window, np.repeat(least, lens + 1))
     begin = np.cumsum(lens + 1) - lens - 1
     counts = lens - window + 1
-    windows = np.repeat(begin + window, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    found = np.concatenate([index.least(owner, *index.search(windows, window))]) if len(windows) else np.zeros(0, np.int64)
+    windows = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    # The segments are streamed through the index, equal windows once.
+    _, once, where = np.unique(gram_hashes(text.astype(np.uint64), window)[windows], return_index=True, return_inverse=True)
+    found = index.least(*index.search(text.astype(np.int32), windows[once] + window, window))[where] if len(windows) else np.zeros(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(found, pa.int64()))
     return pa.table({"h": pa.array(h), "least": lists})
 

@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from folioforge.llm import decontaminate, simhash, substring
-from folioforge.llm.fm_index import FmIndex
+from folioforge.llm.fm_index import FmIndex, suffix_order
 
 from .fixtures import documents, make, words
 
@@ -115,6 +115,32 @@ def test_near_copies_are_decided_by_their_shingles(spark, monkeypatch):
     assert got() == [*want, 1000]
 
 
+def test_near_copies_agree_with_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    vocabulary, rows = [f"n{k}" for k in range(4000)], []
+    for k in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(3, 150))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(rng.randint(0, 3)):
+            near = list(base)
+            for _ in range(rng.randint(0, 4)):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(near[: len(near) - rng.randint(0, 2)])))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t.lower()) for _, t in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    want = sorted(set(label))
+    assert len(want) < len(rows) - 20
+    got = lambda: sorted(r["doc_id"] for r in simhash.keep_one(make(spark, rows)).collect())
+    assert got() == want
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (3,))  # many tiles and stripes
+    assert got() == want
+
+
 def test_two_texts_of_one_id_are_kept(spark):
     rows = [(1, "one two three four five six"), (1, "other words that stand for themselves here"), (2, "one two three four five six")]
     assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(make(spark, rows)).collect()) == rows[:2]
@@ -156,16 +182,25 @@ def test_repeated_windows_agree_with_brute_force(spark, monkeypatch):
 def test_fm_index_finds_every_window():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(1, 5, 400), 0)
-    index = FmIndex(text, 5, 6)
-    ends = np.arange(6, 400)
-    begin, end = index.search(ends, 6)
     owner = rng.integers(0, 1000, len(text))
-    least = index.least(owner, begin, end)
+    index = FmIndex(text, 5, 6, owner)
+    ends = np.arange(6, 400)
+    begin, end = index.search(text.astype(np.int32), ends, 6)
+    least = index.least(begin, end)
     for k, e in enumerate(ends):
         at = [p for p in range(len(text) - 6) if (text[p : p + 6] == text[e - 6 : e]).all()]
         assert end[k] - begin[k] == len(at) and least[k] == min(owner[at])
 
 
+def test_suffix_order_with_many_symbols():
+    rng = np.random.default_rng(6)
+    for symbols, order in ((3, 13), (70_000, 13), (1 << 21, 5), (9, 1)):
+        text = np.append(np.tile(rng.integers(1, symbols, 150), 3), 0)
+        padded = [*(text + 1).tolist(), *[0] * order]
+        want = sorted(range(len(text)), key=lambda p: (padded[p : p + order], p))
+        assert suffix_order(text, symbols, order).tolist() == want
+
+
 def test_tiling_covers_reordered_passages(spark):
     rng = random.Random(6)
     vocabulary = [f"b{k}" for k in range(2000)]
@@ -186,6 +221,51 @@ def test_tiling_covers_reordered_passages(spark):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), benchmark).count() == 0
 
 
+def brute_tiling(doc, item, least):
+    """Greedy string tiling by definition: all maximal matches of unmarked words of the greatest length, in order, again and again."""
+    free_doc, free_item, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        most, found = least, []
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n] and free_doc[p + n] and free_item[q + n]:
+                    n += 1
+                if n > most:
+                    most, found = n, [(p, q)]
+                elif n == most:
+                    found.append((p, q))
+        if not found:
+            return out
+        for p, q in found:
+            if all(free_doc[p : p + most]) and all(free_item[q : q + most]):
+                free_doc[p : p + most] = free_item[q : q + most] = [False] * most
+                out.append((p, q, most))
+
+
+def test_tiling_agrees_with_its_definition():
+    rng = np.random.default_rng(8)
+    for words in (3, 4, 30):
+        for _ in range(150):
+            item = rng.integers(0, words, rng.integers(1, 50)).astype(np.uint64)
+            parts = [item[a : a + rng.integers(2, 20)] for a in rng.integers(0, len(item), 4)]
+            doc = np.concatenate([rng.integers(0, words, 5).astype(np.uint64), *parts, rng.integers(0, words, 12).astype(np.uint64)])
+            want = brute_tiling(doc.tolist(), item.tolist(), 3)
+            got = decontaminate.tiles(doc, item, np.ones(len(doc), dtype=bool), 3)
+            assert sum(n for _, _, n in got) == sum(n for _, _, n in want) and sorted(got) == sorted(want)
+
+
+def test_long_texts_and_rows_of_one_id_leak_each(spark):
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    item = some(40)
+    df = spark.createDataFrame([(1, f"{some(60_000)} {item}", 1, "x"), (1, some(50), 2, "x"), (1, item, 3, "x"), (1, item, 3, "x")], "doc_id long, text string, item_id long, coverage string")
+    benchmark = spark.createDataFrame([(5, item, 0), (5, item, 0)], "item_id long, text string, doc_id long")
+    assert decontaminate.leaks(df, benchmark).count() == 6
+    kept = decontaminate.drop_leaking(df, benchmark)
+    assert kept.columns == df.columns and [r["item_id"] for r in kept.collect()] == [2]
+
+
 def test_tiles_mark_no_word_twice():
     rng = np.random.default_rng(5)
     for _ in range(200):
