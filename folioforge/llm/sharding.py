@@ -53,11 +53,14 @@ def byte_shards(sizes: DataFrame, shards: int = 16) -> DataFrame:
     )
     within = Window.partitionBy("_part").orderBy("doc_id", "text_crc32", "size", "_at")
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
+    # Written once too: the rows are read for the first row of each shard and again for their slots.
+    rows = materialize(
         placed.join(F.broadcast(offsets), "_part")  # one row for each partition
         .withColumn("start", F.col("_bytes_before") + F.sum("size").over(running) - F.col("size"))
         .withColumn("_row", F.col("_rows_before") + F.row_number().over(within) - 1)
         .withColumn("shard", F.expr(f"int(least({shards - 1}, ((2 * start + size) * {shards}) div (2 * _total)))"))
+        .select("doc_id", "size", "text_crc32", "start", "shard", "_row"),
+        "shard-rows",
     )
     firsts = rows.groupBy("shard").agg(F.min("_row").alias("_first"))
     return rows.join(F.broadcast(firsts), "shard").select(  # one row for each shard
