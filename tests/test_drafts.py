@@ -68,3 +68,21 @@ def test_results_are_appended_once_and_packages_written_once(spark, tmp_path):
         sinks.write_once(packages, str(tmp_path / "books"))
     struct = spark.createDataFrame([((1, 2, 3),)], "p struct<id:int,structure:int,title:int>").select(sinks.catalog_manifest(F.col("p"), ["id", "structure", "title"]).alias("m"))
     assert struct.columns == ["m"] and struct.first()["m"].asDict() == {"id": 1, "title": 3}
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from folioforge.sources.shared import shared_dir
+
+    def session(master, settings):
+        return SimpleNamespace(conf=SimpleNamespace(get=settings.get, set=settings.__setitem__), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077", {}))
+    assert shared_dir(session("spark://host:7077", {"spark.checkpoint.dir": "/shared"})) == "/shared"
+    own = {}
+    assert shared_dir(session("local[4]", own)) == own["spark.checkpoint.dir"]
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
