@@ -37,7 +37,7 @@ from .common import Texts, gram_hashes, mix, shuffle_partitions, slices, string_
 
 SHARD_BYTES = 4 << 20
 #: Entries of the tables of pieces and of words; a full one starts anew (with the words of the shard), which changes no id.
-CACHE_ENTRIES, WORD_ENTRIES = 300_000, 1_500_000
+CACHE_ENTRIES, WORD_ENTRIES = 150_000, 600_000
 #: Longer words have cryptographic hashes, and longer pieces aren't kept.
 CACHE_CHARS = 64
 #: BM25's saturation and length parameters, and the share of documents from which a word stands in the matrix.
@@ -275,7 +275,8 @@ def lexical_keys(texts: Texts, ties: np.ndarray) -> np.ndarray:
 def routed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of every row, dealt to tasks by ranges of the lexical key and sorted by it.
 
-    The cuts are quantiles of the keys of all rows: one number for each task reaches the driver.
+    The cuts are quantiles of the keys of all rows: one number for each task reaches the driver. Rows must come in the same
+    order when a task is run again, as those of a table do.
     """
     parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -293,7 +294,7 @@ def routed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
 
     points = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = rows.mapInArrow(keys, "key long").agg(F.percentile_approx("key", points, 100 * parts)).first()[0] or []
+    cuts = rows.mapInArrow(keys, "key long").agg(F.percentile_approx("key", points, 20 * parts)).first()[0] or []
     cuts = np.unique(np.array(cuts, dtype=np.int64))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

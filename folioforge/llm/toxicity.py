@@ -278,7 +278,7 @@ def _listed(sample: DataFrame, reader: Reader) -> dict[str, float]:
                     found.update(entries(w))
                 for e in found:
                     counts.setdefault(e, [0, 0])[int(toxic)] += 1
-                if len(counts) > CACHE_ENTRIES:
+                if len(counts) > CACHE_ENTRIES // 3:
                     yield handed()
         yield handed()
 
