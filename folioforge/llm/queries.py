@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, decontaminate, extraction, packing, secrets, sharding, simhash, substring, token_counts, toxicity
+from . import audit, bottomk, decontaminate, extraction, packing, secrets, sharding, simhash, substring, token_counts, toxicity
 from .common import table
 
 #: The folder of the public tokenizer files; None: the installed package's own.
@@ -61,6 +61,10 @@ def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_string_tiling": op2_string_tiling,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_shards": op8_byte_shards,
     "op9_toxicity": op9_toxicity,
     "op10_html_crf": op10_html_crf,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op3_fm_index": substring.ORACLE_SQL, "op8_byte_shards": sharding.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_fm_index": substring.ORACLE_SQL, "op8_byte_shards": sharding.ORACLE_SQL, "op13_filter_audit": audit.ORACLE_SQL}
