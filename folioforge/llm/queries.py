@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, audit, bottomk, decontaminate, extraction, packing, secrets, sharding, simhash, substring, token_counts, toxicity
+from . import alignment, audit, bottomk, decontaminate, extraction, packing, quality, secrets, sharding, simhash, substring, token_counts, toxicity
 from .common import table
 
 #: The folder of the public tokenizer files; None: the installed package's own.
@@ -61,6 +61,10 @@ def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_shards": op8_byte_shards,
     "op9_toxicity": op9_toxicity,
     "op10_html_crf": op10_html_crf,
+    "op11_quality": op11_quality,
     "op12_token_alignment": op12_token_alignment,
     "op13_filter_audit": op13_filter_audit,
 }
