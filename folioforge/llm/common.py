@@ -8,6 +8,7 @@ its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir  # noqa: F401  (the operators take them from here)
 
-SLICE_BYTES, HASH_BYTES = 2 << 20, 1 << 18
+SLICE_BYTES, LONG_SPAN = 2 << 20, 64
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: the separators of words.
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-#: Odd multipliers of the polynomial hashes (of bytes within a word, of words within a passage), and their inverses.
+#: The start of a span's hash, and the odd multiplier of hashes of words within a passage.
 _BYTE_R, _WORD_R = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
 
@@ -110,19 +111,27 @@ def _rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes (modulo 2**64, then mixed) of byte spans that follow each other, from prefix sums over runs of them.
-
-    A run has ``HASH_BYTES`` at most (or one longer span), so the 64-bit copies of its bytes stay small.
-    """
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        low = int(starts[i])
-        j = max(int(np.searchsorted(ends, low + HASH_BYTES, side="right")), i + 1)
-        values = data[low : int(ends[j - 1])].astype(np.uint64)
-        values += np.uint64(1)
-        out[i:j] = _rolled(values, starts[i:j] - low, ends[i:j] - low, _BYTE_R)
-        i = j
+    """64-bit hashes of byte spans: eight bytes at a time are mixed in; spans of over ``LONG_SPAN`` bytes get a cryptographic hash."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(_BYTE_R))
+    if not len(size):
+        return out
+    # Eight bytes from any place on, as one number: a view whose steps are single bytes.
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    live = np.flatnonzero(size <= LONG_SPAN)
+    for step in range(0, LONG_SPAN, 8):
+        live = live[size[live] > step]
+        if not len(live):
+            break
+        left = size[live] - step
+        value = eight[starts[live] + step]
+        short = left < 8
+        value[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[live] = mix(out[live] * np.uint64(_WORD_R) + value)
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 

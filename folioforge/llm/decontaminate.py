@@ -2,8 +2,8 @@
 
 Texts are compared as runs of lower-case words. Documents whose word grams share a seed with a test item are tiled
 against it: the longest common runs of words that no tile covers yet are marked, again and again, down to ``least``
-words. The runs of one search length are found by running Karp-Rabin: rolling hashes of the unmarked windows of both
-sides meet in a table, hits are verified and extended. An item leaks into a document when tiles cover at least
+words. Whether there is a run of some length, and the first one, running Karp-Rabin tells: rolling hashes of the unmarked
+windows of both sides meet, and hits are compared word by word. Words themselves are 64-bit hashes. An item leaks into a document when tiles cover at least
 ``threshold`` of its words, in whatever order they stand there.
 
 Documents are read once and nothing is shuffled. The items are broadcast while their text is at most ``bound`` bytes; a
@@ -18,9 +18,7 @@ digits and of all other non-ASCII characters.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -49,79 +47,91 @@ def _word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """The test items as word hashes, with a table of their seeds."""
+    """The test items as word hashes, with a table of their seeds: runs of ``least`` words, and which items have each how often."""
 
-    def __init__(self, items: list[tuple[int, str | None]], least: int):
-        self.least = least
+    def __init__(self, items: list[tuple[int, str | None]], least: int, threshold: float):
+        self.least, self.threshold = least, threshold
         bodies = [(t or "").lower().encode() for _, t in items]
         data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
         hashes, first = _word_hashes(Texts(data, np.cumsum([0, *map(len, bodies)])))
         self.ids = [i for i, _ in items]
         self.words = [hashes[first[k] : first[k + 1]] for k in range(len(items))]
-        seeds: dict[int, set[int]] = defaultdict(set)
-        for k, w in enumerate(self.words):
-            for g in gram_hashes(w, least).tolist():
-                seeds[g].add(k)
-        self.seeds = np.array(sorted(seeds), dtype=np.uint64)
-        self.owners = [sorted(seeds[g]) for g in self.seeds.tolist()]
+        self.sizes = np.diff(first)
+        grams, owner = gram_hashes(hashes, least), np.repeat(np.arange(len(items)), self.sizes)
+        inside = np.flatnonzero(owner[: len(grams)] == owner[least - 1 :][: len(grams)])
+        self.seeds, seed = np.unique(grams[inside], return_inverse=True)
+        #: Where each seed stands among the words of all items, and the item of each word.
+        self.spots, self.owner = inside[np.argsort(seed, kind="stable")], owner
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(seed, minlength=len(self.seeds)))]).astype(np.int64)
+        by_item = np.unique((owner[inside] << 32) | seed)
+        self.seeds_of, self.begin_of = by_item & 0xFFFFFFFF, np.searchsorted(by_item >> 32, np.arange(len(items) + 1))
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
 
     def candidates(self, texts: Texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(document, item, the document's words, its words that a shared seed covers) where they share a seed."""
+        """(document, item, the document's words, its words that a shared seed covers) where shared seeds cover the threshold on both sides."""
         hashes, first = _word_hashes(texts)
         grams = gram_hashes(hashes, self.least)
         at = np.flatnonzero(self.filter[grams >> np.uint64(64 - _FILTER_BITS)])
         if not len(at) or not len(self.seeds):
             return
-        where = np.minimum(np.searchsorted(self.seeds, grams[at]), len(self.seeds) - 1)
-        real = self.seeds[where] == grams[at]
-        at, where = at[real], where[real]
+        seed = np.minimum(np.searchsorted(self.seeds, grams[at]), len(self.seeds) - 1)
         doc = np.searchsorted(first, at, side="right") - 1
-        inside = at + self.least <= first[doc + 1]
-        shared: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for d, p, s in zip(doc[inside].tolist(), at[inside].tolist(), where[inside].tolist()):
-            for k in self.owners[s]:
-                shared[d, k].append(p - int(first[d]))
-        for (d, k), places in shared.items():
+        real = (self.seeds[seed] == grams[at]) & (at + self.least <= first[doc + 1])
+        at, seed, doc = at[real], seed[real], doc[real]
+        bounds = np.searchsorted(doc, np.arange(texts.n + 1))
+        for d in np.unique(doc).tolist():
+            places, own = at[bounds[d] : bounds[d + 1]] - first[d], seed[bounds[d] : bounds[d + 1]]
+            # A tile's words lie in runs of seeds, so no item can leak of which shared seeds cover too little, in it or in the document.
+            shared = np.unique(own)
+            lens = self.begin[shared + 1] - self.begin[shared]
+            spots = self.spots[np.repeat(self.begin[shared] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+            items, covers = np.unique(self.owner[np.unique(spots[:, None] + np.arange(self.least))], return_counts=True)
             words = hashes[first[d] : first[d + 1]]
-            covered = np.zeros(len(words), dtype=bool)
-            for shift in range(self.least):
-                covered[np.array(places) + shift] = True
-            yield d, k, words, covered
+            for k in items[covers >= self.threshold * self.sizes[items]].tolist():
+                mine = np.zeros(len(words) + 1, dtype=np.int64)
+                hit = places[np.isin(own, self.seeds_of[self.begin_of[k] : self.begin_of[k + 1]])]
+                np.add.at(mine, hit, 1)
+                np.add.at(mine, hit + self.least, -1)
+                covered = np.cumsum(mine)[:-1] > 0
+                if covered.sum() >= self.threshold * self.sizes[k]:
+                    yield d, k, words, covered
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, open_doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of an item by a document: (place in document, place in item, words), words marked at most once.
+    """Greedy tiling of an item by the open words of a document: (place in document, place in item, words), words marked at most once.
 
-    Search lengths fall to ``least``. The matches of a search stand in a queue, longest first; one that a tile has cut
-    goes back with what is left of it.
+    The greatest length of a common run of free words is found by halving; its matches are marked in order; then the next
+    greatest length follows. A search costs one pass of rolling hashes over both sides, however often words repeat.
     """
-    free_doc, free_item = open_doc.copy(), np.ones(len(item), dtype=bool)
+    kept = np.flatnonzero(open_doc)  # stretches of open words, a closed place between them
+    gaps = np.concatenate([[0], np.cumsum(np.diff(kept) > 1)]) if len(kept) else kept
+    place = np.zeros(int(gaps[-1]) + len(kept) if len(kept) else 0, dtype=np.int64)
+    free_doc, words = np.zeros(len(place), dtype=bool), np.zeros(len(place), dtype=np.uint64)
+    at = np.arange(len(kept)) + gaps
+    place[at], words[at], free_doc[at] = kept, doc[kept], True
+    free_item = np.ones(len(item), dtype=bool)
     out: list[tuple[int, int, int]] = []
-    size = max(least, min(len(item), 20))
-    while free_item.any():
-        queue = [(-n, p, q) for n, p, q in _matches(doc, item, free_doc, free_item, size)]
-        heapify(queue)
-        while queue and free_item.any():
-            n, p, q = heappop(queue)
-            free = free_doc[p : p - n] & free_item[q : q - n]
-            if free.all():
-                free_doc[p : p - n] = free_item[q : q - n] = False
-                out.append((p, q, -n))
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
-            for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                if e - s >= size:
-                    heappush(queue, (s - e, p + s, q + s))
-        if size == least:
-            break
-        size = size // 2 if size > 2 * least else least
-    return out
-
-
-def _matches(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal common runs of free words of at least ``size`` words: (words, place in document, place in item)."""
+    most = min(len(item), len(words))
+    while True:
+        low, high = least - 1, most
+        while low < high:
+            size = (low + high + 1) // 2
+            if _common(words, item, free_doc, free_item, size):
+                low = size
+            else:
+                high = size - 1
+        if low < least:
+            return sorted(((int(place[p]), q, n) for p, q, n in out), key=lambda t: (-t[2], t[0], t[1]))
+        while match := _common(words, item, free_doc, free_item, low):
+            p, q = match
+            free_doc[p : p + low] = free_item[q : q + low] = False
+            out.append((p, q, low))
+        most = low - 1
+
+
+def _common(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, size: int) -> tuple[int, int] | None:
+    """The first common run of ``size`` free words: the least place in the document, then in the item."""
 
     def windows(words: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(words) < size:
@@ -132,33 +142,22 @@ def _matches(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item:
 
     at_item, rolled_item = windows(item, free_item)
     at_doc, rolled_doc = windows(doc, free_doc)
-    hit = np.isin(rolled_doc, rolled_item)
-    table: dict[int, list[int]] = defaultdict(list)
-    for q, h in zip(at_item.tolist(), rolled_item.tolist()):
-        table[h].append(q)
-    found, seen = [], set()
-    for p, h in zip(at_doc[hit].tolist(), rolled_doc[hit].tolist()):
-        for q in table[h]:
-            if (p - 1, q - 1) in seen:  # inside a run that has been found
-                seen.add((p, q))
-                continue
-            most = min(len(doc) - p, len(item) - q)
-            stop = np.flatnonzero((doc[p : p + most] != item[q : q + most]) | ~free_doc[p : p + most] | ~free_item[q : q + most])
-            n = int(stop[0]) if len(stop) else most
-            if n >= size:
-                found.append((n, p, q))
-                seen.add((p, q))
-    return found
-
-
-def _parts(benchmark: DataFrame, least: int, bound: int, id_col: str, text_col: str) -> Iterator[Items]:
+    for k in np.flatnonzero(np.isin(rolled_doc, rolled_item)).tolist():
+        p = int(at_doc[k])
+        for q in at_item[rolled_item == rolled_doc[k]].tolist():
+            if (doc[p : p + size] == item[q : q + size]).all():  # nearly always: hashes of different runs hardly agree
+                return p, q
+    return None
+
+
+def _parts(benchmark: DataFrame, least: int, threshold: float, bound: int, id_col: str, text_col: str) -> Iterator[Items]:
     """The benchmark in parts of about ``bound`` bytes of text."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // bound)
     for k in range(n):
         mine = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Items([(r["item_id"], r["text"]) for r in mine.collect()], least)  # at most about bound bytes
+        yield Items([(r["item_id"], r["text"]) for r in mine.collect()], least, threshold)  # at most about bound bytes
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, bound: int = BROADCAST_BYTES) -> DataFrame:
@@ -168,7 +167,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold:
     names = ["doc_id", "item_id", "n_item_words", "n_covered", "n_tiles", "coverage"]
     schema = "doc_id long, item_id long, n_item_words long, n_covered long, n_tiles long, coverage double"
     out = spark.createDataFrame([], schema)
-    for items in _parts(benchmark, least, bound, "item_id", "text"):
+    for items in _parts(benchmark, least, threshold, bound, "item_id", "text"):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -197,7 +196,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
     while folded in docs.columns:
         folded += "_"
     out = docs
-    for items in _parts(benchmark, least, bound, "item_id", "text"):
+    for items in _parts(benchmark, least, threshold, bound, "item_id", "text"):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Texts, gram_hashes, materialize, mix, slices, string_views
 from .components import components
@@ -258,6 +259,24 @@ def set_key(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64))
 
 
+def row_hash(docs: DataFrame) -> F.Column:
+    """A hash of a whole row, which tells apart in which columns and fields it is null."""
+    parts = []
+    for field in docs.schema.fields:
+        col = F.col("`" + field.name.replace("`", "``") + "`")
+        plain = isinstance(field.dataType, T.AtomicType) and not isinstance(field.dataType, T.VariantType)
+        parts += [col.isNull(), col if plain else F.to_json(F.struct(col), {"ignoreNullFields": "false"})]
+    return F.xxhash64(*parts)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with underscores until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def wide_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, node, fp, n): a hash of every row, the key of its set of shingles (lower-case words), the wide fingerprint and the size."""
 
@@ -268,7 +287,7 @@ def wide_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", te
                 columns = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([wide_simhash(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *columns], ["doc_id", "row", "node", "fp", "n"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(*docs.columns).alias("row"), F.lower(F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(docs).alias("row"), F.lower(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, "doc_id long, row long, node long, fp binary, n long")
 
 
@@ -430,12 +449,12 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
     Near copies have shingles of this resemblance. Wide fingerprints find candidates, with ``SIGMAS`` standard deviations of
     margin; the sets of shingles decide. Rows with a null id are kept as they are.
     """
-    named = docs.where("doc_id IS NOT NULL")
+    named, row = docs.where("doc_id IS NOT NULL"), free_name(docs, "_row")
     prints = wide_fingerprints(named, size)
     classes = materialize(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("doc_id", "row")).alias("least")).select("node", "fp", "n", "least.*").withColumnRenamed("doc_id", "rep"), "classes")
     groups = components(similar_links(classes.select("fp", "n", F.col("node").alias("rep")), similarity))
     found = components(verified_links(named, classes, groups, similarity, size)).select("node", "component")
     of = classes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
-    keep = materialize(of.agg(F.min(F.struct("rep", "row")).alias("least")).select(F.col("least.rep").alias("doc_id"), F.col("least.row").alias("_row")), "kept")
-    once = named.withColumn("_row", F.xxhash64(*docs.columns)).join(keep, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
-    return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    keep = materialize(of.agg(F.min(F.struct("rep", "row")).alias("least")).select(F.col("least.rep").alias("doc_id"), F.col("least.row").alias(row)), "kept")
+    once = named.withColumn(row, row_hash(named)).join(keep, ["doc_id", row], "left_semi").dropDuplicates(["doc_id", row])
+    return once.drop(row).unionByName(docs.where("doc_id IS NULL"))

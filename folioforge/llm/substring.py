@@ -12,8 +12,9 @@ matches are runs of such windows. Anchors of very many segments would make one s
 are segments of their own and are dealt by their own hash. Copies of a whole text are one class, and only its first
 document is searched: in the others every window starts in an earlier document.
 
-Words are hashes of 32 bits within a segment whose 64-bit anchor and place agree, 13 of which make a window. Texts cross
-the network once, compressed; all else is narrow. Nothing is collected to the driver but two counts.
+Segments hold the words themselves, which a shard numbers, so its search is exact; hashes only bring together what may be
+equal. Texts cross the network once, compressed, and their segments twice; all else is narrow. Nothing is collected to the
+driver but two counts.
 
 Defined results: null and empty texts have no words; documents shorter than a window keep all words; an empty table gives
 no rows; very long texts are read whole; rows with equal ids are one document, whose windows don't repeat each other;
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ from .fm_index import FmIndex
 WINDOW, GRAM = 13, 4
 #: Windows of a segment (bits of a mask), texts with an anchor from which its windows are dealt by themselves, words of a shard.
 SEGMENT_WINDOWS, HOT, SHARD_WORDS = 32, 4000, 250_000
-#: Segments that a task holds before it hands them on.
-HELD_SEGMENTS = 40_000
+#: Segments and their bytes that a task holds before it hands them on.
+HELD_SEGMENTS, HELD_BYTES = 40_000, 16 << 20
 LAST_ID = (1 << 63) - 1
 
 
@@ -89,10 +91,10 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """(k) of the rows whose whole text stands in a document with a smaller id."""
-    narrow = rows.select("k", "id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
-    least = narrow.groupBy("h", "n").agg(F.min("id").alias("least"))
-    return narrow.join(least, ["h", "n"]).where("least < id").select("k")
+    """(k, id) of the rows whose whole text stands in a document with a smaller id."""
+    narrow = rows.select("k", "id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    least = narrow.groupBy("digest").agg(F.min("id").alias("least"))
+    return narrow.join(least, "digest").where("least < id").select("k", "id")
 
 
 _PARTS = ["kind", "k", "doc_id", "id", "n_words", "sha", "body", "places", "shard_key", "h", "words", "least"]
@@ -140,7 +142,7 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
                     v.append(x)
             n = len(out[0])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*out, *[[None] * n] * 4], _PART_TYPES)], _PARTS)
-            if len(held) > HELD_SEGMENTS:
+            if len(held) > HELD_SEGMENTS or sum(len(x[1]) for x in held.values()) > HELD_BYTES:
                 yield from handed()
         yield from handed()
 
@@ -150,10 +152,9 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
 def _places(text: bytes, own: int, some: list[int], hot: list[int], window: int, held: dict[int, list]) -> list[dict]:
     """The segments of a document: adds them to ``held`` and returns their hashes and places."""
     view = Texts(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
-    starts, ends, _ = view.words()
-    words = view.word_hashes(starts, ends)
+    from_byte, to_byte, _ = view.words()
+    words = view.word_hashes(from_byte, to_byte)
     low = anchors(words, window).view(np.int64)
-    short = words.astype(np.uint32)
     is_hot = np.isin(low, np.array(hot, dtype=np.int64))
     at = np.flatnonzero(np.isin(low, np.array(some, dtype=np.int64)) & ~is_hot)
     fresh = np.ones(len(at), dtype=bool)
@@ -172,7 +173,7 @@ def _places(text: bytes, own: int, some: list[int], hot: list[int], window: int,
         if h in held:
             held[h][2] = min(held[h][2], own)
         else:
-            held[h] = [key, short[s:e].tobytes(), own]
+            held[h] = [key, text[from_byte[s] : to_byte[e - 1]], own]
         out.append({"h": h, "pos": s})
     return out
 
@@ -183,10 +184,13 @@ def _search_shard(table: pa.Table, window: int) -> pa.Table:
     least = table.column("least").to_numpy()
     order = np.lexsort((least, h))
     first = order[np.append(True, h[order][1:] != h[order][:-1])]  # a segment once, with its least id
-    bodies = [np.frombuffer(b, dtype=np.uint32) for b in table.column("words").take(pa.array(first)).to_pylist()]
+    bodies = [b.split() for b in table.column("words").take(pa.array(first)).to_pylist()]
     h, least = h[first], least[first]
     lens = np.array([len(b) for b in bodies])
-    known, symbols = np.unique(np.concatenate(bodies), return_inverse=True)
+    words = list(chain.from_iterable(bodies))
+    known = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    symbols = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    del bodies, words
     at = np.arange(len(symbols)) + np.repeat(np.arange(len(lens)), lens)  # a 0 after each segment
     text = np.zeros(len(symbols) + len(lens), dtype=np.int64)
     text[at] = symbols + 1
@@ -196,6 +200,8 @@ def _search_shard(table: pa.Table, window: int) -> pa.Table:
     windows = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     # The segments are streamed through the index, equal windows once.
     _, once, where = np.unique(gram_hashes(text.astype(np.uint64), window)[windows], return_index=True, return_inverse=True)
+    if any((text[windows + i] != text[windows[once][where] + i]).any() for i in range(window)):
+        once = where = np.arange(len(windows))  # hashes of different windows agree: each is searched for itself
     found = index.least(*index.search(text.astype(np.int32), windows[once] + window, window))[where] if len(windows) else np.zeros(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(found, pa.int64()))
     return pa.table({"h": pa.array(h), "least": lists})
@@ -230,10 +236,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows = _rows(docs, id_col, text_col)
     found = _anchor_rows(rows, window)
     repeated = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    mine = found.join(repeated, "anchor").select("k", "anchor", (F.col("n") > HOT).alias("hot"), F.lit(False).alias("copy"))
-    copies = _copies(rows).select("k", F.lit(None).cast("long").alias("anchor"), F.lit(False).alias("hot"), F.lit(True).alias("copy"))
+    mine = found.join(repeated, "anchor").select("k", "anchor", (F.col("n") > HOT).alias("hot"), F.lit(None).cast("long").alias("copy"))
+    copies = _copies(rows).select("k", F.lit(None).cast("long").alias("anchor"), F.lit(False).alias("hot"), F.col("id").alias("copy"))
     notes = mine.unionByName(copies).groupBy("k").agg(
-        F.max("copy").alias("copy"), F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("some"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
+        F.collect_set("copy").alias("copies"), F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("some"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
     )
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +250,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())], ["k", "doc_id", "id", "body"])
 
     packed = rows.mapInArrow(shrink, "k long, doc_id long, id long, body binary")
-    parts = materialize(_segments(packed.join(notes, "k", "left").select("k", "doc_id", "id", "body", F.coalesce("copy", F.lit(False)).alias("copy"), "some", "hot"), window), "segments")
+    parts = materialize(_segments(packed.join(notes, "k", "left").select("k", "doc_id", "id", "body", F.coalesce(F.array_contains("copies", F.col("id")), F.lit(False)).alias("copy"), "some", "hot"), window), "segments")
     documents, segments = parts.where("kind = 0"), parts.where("kind = 1")
     words = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = max(shuffle_partitions(spark), words // (4 * SHARD_WORDS))
+    shards = max(shuffle_partitions(spark), words // (8 * SHARD_WORDS))
     least = (
         segments.select(F.pmod(F.xxhash64("shard_key"), F.lit(shards)).alias("shard"), "h", "words", "least")
         .groupBy("shard")
@@ -259,12 +265,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         .select("k", "id", F.col("p.h").alias("h"), F.col("p.pos").alias("pos"))
         .distinct()
         .join(least, "h")
-        .select("k", "pos", F.expr("aggregate(transform(least, (m, i) -> IF(m < id, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)").alias("mask"))
+        .select("k", "id", "pos", F.expr("aggregate(transform(least, (m, i) -> IF(m < id, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)").alias("mask"))
         .where("mask <> 0")
-        .groupBy("k")
+        .groupBy("k", "id")
         .agg(F.collect_list(F.struct("pos", "mask")).alias("hits"))
     )
-    pending = _finish(documents.where("sha IS NULL").select("k", "doc_id", "n_words", "body").join(hits, "k", "left"), window)
+    pending = _finish(documents.where("sha IS NULL").select("k", "id", "doc_id", "n_words", "body").join(hits, ["k", "id"], "left"), window)
     gone = F.when(F.col("sha") == F.sha2(F.lit(""), 256), F.col("n_words")).otherwise(F.lit(0)).cast("long")
     done = documents.where("sha IS NOT NULL").select("doc_id", "n_words", gone.alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return done.unionByName(pending)

@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import xxhash
 
-from folioforge.llm import decontaminate, simhash, substring
+from folioforge.llm import bottomk, decontaminate, simhash, substring
+from folioforge.llm.common import Texts, span_hashes
 from folioforge.llm.fm_index import FmIndex, suffix_order
 
 from .fixtures import documents, make, words
@@ -279,3 +281,98 @@ def test_tiles_mark_no_word_twice():
         for p, q, n in found:
             free_doc[p : p + n] = free_item[q : q + n] = False
         assert not any((doc[p : p + 3] == item[q : q + 3]).all() and free_doc[p : p + 3].all() and free_item[q : q + 3].all() for p in range(38) for q in range(13))
+
+
+def test_words_that_differ_in_one_number_are_not_repeats(spark):
+    tail = " ".join(f"t{k}" for k in range(12))
+    rows = [(1, f"order-61820 {tail}"), (2, f"order-143925 {tail}")]
+    rows += [(10 + k, f"order-{k} {tail} x{k}") for k in range(3000)]
+    rows += [(5000, f"a order-7 {tail} b")]
+    df = make(spark, rows)
+    assert result(substring.remove_repeats(df)) == brute_removed(rows)
+
+
+def twins(n=10):
+    """Two different words of 2**n letters whose polynomial hashes modulo 2**64 agree for every base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_long_words_are_told_apart(spark):
+    a, b = twins()
+    tail = " ".join(f"t{k}" for k in range(40))
+    rows = [(1, f"{tail[:50]} {a} {tail}"), (2, f"{tail[:50]} {b} {tail}"), (3, f"{a} " * 20), (4, f"{b} " * 20), (5, a), (6, b)]
+    df = make(spark, rows)
+    assert result(substring.remove_repeats(df)) == brute_removed(rows)
+    assert {3, 4, 5, 6} <= {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    prints = {r["doc_id"]: r["fingerprint"] for r in bottomk.edited_digest(df).collect()}
+    assert prints[5] != prints[6] and prints[3] != prints[4]
+
+
+def test_hashes_of_spans_differ_at_every_length():
+    rng = np.random.default_rng(2)
+    for n in [*range(0, 70), 100, 1000]:
+        spans = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for _ in range(20)]
+        spans += [s[:-1] for s in spans if s] + [s + b"\0" for s in spans]
+        data = np.frombuffer(b"".join(spans), np.uint8)
+        ends = np.cumsum([len(s) for s in spans])
+        starts = ends - [len(s) for s in spans]
+        h = span_hashes(data, starts, ends)
+        assert len({(s, int(x)) for s, x in zip(spans, h)}) == len(set(spans)) == len(set(h.tolist()))
+        again = span_hashes(np.concatenate([np.zeros(3, np.uint8), data]), starts + 3, ends + 3)
+        assert (again == h).all()
+
+
+def test_one_row_stays_of_each_group_and_no_other_is_lost(spark):
+    schema = "doc_id long, text string, lang string, _row string, tags map<string,string>, s struct<a:string,b:string>"
+    t = "a text of a few words that stands here once more for the test"
+    rows = [
+        (1, t, None, "keep", {"x": "y"}, (None, "p")), (1, None, t, "keep", {"x": "y"}, ("p", None)),  # one id, null in other columns
+        (2, t + " again", "en", "mine", None, None), (3, "quite another text that nobody else has in this table at all", "en", None, {}, ("q", "q")),
+        (3, "quite another text that nobody else has in this table at all", "en", None, {}, ("q", "q")), (None, t, "en", "z", None, None), (4, t, "en", "w", {"k": None}, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    outs = [sorted(map(str, simhash.keep_one(df.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert outs[0] == outs[1] == outs[2]
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and out.schema == df.schema
+    kept = sorted((str(r["doc_id"]), str(r["text"]), str(r["_row"])) for r in out.collect())
+    # 10 of the 11 shingles of the second text are those of the first: one of the two stays.
+    assert kept == sorted([("1", t, "keep"), ("1", "None", "keep"), ("3", rows[3][1], "None"), ("None", t, "z")])
+
+
+def test_items_of_one_template_and_repeated_words_are_tiled_fast():
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(10_000)) for _ in range(n))
+    items = decontaminate.Items([(k, f"which of the following is true about {some(14)}") for k in range(4000)] + [(9999, "a " * 200)], 4, 0.5)
+    leaked = " ".join(["which of the following is true about", some(30)])
+    parts = [f"{some(300)} which of the following is true about {some(300)}".encode(), leaked.encode(), ("a " * 500_000).encode(), b"which of the following is true about " * 2000]
+    data, at = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    begin = time.perf_counter()
+    found = list(items.candidates(Texts(data, at)))
+    assert time.perf_counter() - begin < 3
+    assert [(d, items.ids[k]) for d, k, _, _ in found] == [(2, 9999)]
+    _, k, words, covered = found[0]
+    begin = time.perf_counter()
+    assert decontaminate.tiles(words, items.words[k], covered, 4) == [(0, 0, 200)]
+    assert time.perf_counter() - begin < 10
+
+
+def test_seeds_bound_what_tiles_can_cover():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    tests = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 25)))) for k in range(40)]
+    for threshold in (0.1, 0.5, 0.9, 1.0):
+        items = decontaminate.Items(tests, 3, threshold)
+        bodies = [t.encode() for t in texts]
+        view = Texts(np.frombuffer(b"".join(bodies), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in bodies])]))
+        got = {(d, k): sum(t[2] for t in decontaminate.tiles(w, items.words[k], c, 3)) for d, k, w, c in items.candidates(view)}
+        want = {}
+        for d, t in enumerate(texts):
+            for k, (_, item) in enumerate(tests):
+                n = sum(x[2] for x in brute_tiling(t.split(), item.split(), 3))
+                if n and n >= threshold * len(item.split()):
+                    want[d, k] = n
+        assert {p: n for p, n in got.items() if n >= threshold * items.sizes[p[1]]} == want
