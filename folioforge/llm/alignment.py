@@ -31,16 +31,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-BLOCK_BYTES = 8 << 20
-#: Chunks and their characters that a task keeps aligned; beyond that it starts anew, which changes no result.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 32 << 20
+BLOCK_BYTES = 4 << 20
+#: Chunks and their characters that a worker keeps aligned (beyond that it forgets rare ones, which changes no result), and
+#: chunks that are aligned at once.
+CACHE_CHUNKS, CACHE_CHARS, CHUNKS_AT_ONCE = 400_000, 16 << 20, 20_000
+#: Chunks that are encoded as one text.
+UNIT = 200
 #: Pairs that are multiplied out at once.
 PAIRS_AT_ONCE = 4 << 20
 ID_BITS = 20
@@ -49,6 +51,7 @@ MARK = "▁"
 
 #: What some library may take for white space: no chunk is cut behind one.
 _WS = r"\s\u180e\u200b\u2060\ufeff"
+_SPACES = frozenset(c for c in map(chr, range(0x110000)) if c.isspace() or c in "\u180e\u200b\u2060\ufeff")
 _CHUNK = re.compile(rf"[ \n][{_WS}]*[^{_WS}]*(?:(?![ \n])[{_WS}]+[^{_WS}]*)*")
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -124,10 +127,13 @@ class Vocabularies:
         same = byte_pieces | spelled
         self.ident = np.array([same.get(b, -1) for b in bytes_a], dtype=np.int64)
         (self.data_a, self.at_a), (self.data_b, self.at_b) = _joined(bytes_a), _joined(bytes_b)
+        self.of_a, self.of_b = np.diff(self.at_a), np.diff(self.at_b)
         self.mark = self.b.piece_to_id(MARK)
+        #: An exact group as text, by its A id.
+        self.exact_text = np.array([f"{a}|{b}" for a, b in enumerate(self.ident.tolist())], dtype=object)
 
     def encode_a(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        return [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode_b(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks: B's own blank in front is the chunk's first character, or (before a line feed) no part of it."""
@@ -152,6 +158,24 @@ class _Side:
         return data[_ragged(at[self.ids], at[self.ids + 1] - at[self.ids])]
 
 
+def _encoded(voc: Vocabularies, texts: list[str]) -> tuple[np.ndarray, _Side, _Side]:
+    """Which texts both sides spell, and their tokens."""
+    a, b = _Side(voc.encode_a(texts)), _Side(voc.encode_b(texts))
+    raw = [t.encode() for t in texts]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    good = (_run_sums(voc.of_a[a.ids], _ptr(a.lens)) == sizes) & (_run_sums(voc.of_b[b.ids], _ptr(b.lens)) == sizes)
+    a.keep(good)
+    b.keep(good)
+    data = np.frombuffer(b"".join(r for r, g in zip(raw, good) if g), dtype=np.uint8)
+    wrong = (a.spelled(voc.data_a, voc.at_a) != data) | (b.spelled(voc.data_b, voc.at_b) != data)
+    if wrong.any():
+        right = _run_sums(wrong, _ptr(sizes[good])) == 0
+        a.keep(right)
+        b.keep(right)
+        good[good] = right
+    return good, a, b
+
+
 class Aligned:
     """What alignment says of chunks: counts of tokens, groups and links, groups as text, and distinct pairs with how often they link."""
 
@@ -159,26 +183,27 @@ class Aligned:
         n = len(chunks)
         raw = [c.encode() for c in chunks]
         sizes = np.fromiter(map(len, raw), np.int64, n)
-        a, b = _Side(voc.encode_a(chunks)), _Side(voc.encode_b(chunks))
-        of_a, of_b = voc.at_a[1:] - voc.at_a[:-1], voc.at_b[1:] - voc.at_b[:-1]
-        good = (_run_sums(of_a[a.ids], _ptr(a.lens)) == sizes) & (_run_sums(of_b[b.ids], _ptr(b.lens)) == sizes)
-        a.keep(good)
-        b.keep(good)
-        data = np.frombuffer(b"".join(r for r, g in zip(raw, good) if g), dtype=np.uint8)
-        wrong = (a.spelled(voc.data_a, voc.at_a) != data) | (b.spelled(voc.data_b, voc.at_b) != data)
-        if wrong.any():
-            right = _run_sums(wrong, _ptr(sizes[good])) == 0
-            a.keep(right)
-            b.keep(right)
-            good[good] = right
-        self.good = good
+        # Chunks are encoded many at a time, one after the other as they could stand in a text; those that end in white space go alone.
+        ends_in_space = np.array([c[-1] in _SPACES for c in chunks], dtype=bool)
+        closed, alone = np.flatnonzero(~ends_in_space), np.flatnonzero(ends_in_space)
+        rows = [closed[k : k + UNIT] for k in range(0, len(closed), UNIT)]
+        good, a, b = _encoded(voc, ["".join(chunks[c] for c in row.tolist()) for row in rows])
+        told = np.concatenate([r for r, g in zip(rows, good) if g] or [closed[:0]])
+        alone = np.sort(np.concatenate([alone, *(r for r, g in zip(rows, good) if not g)]))
+        for side, lens in ((a, voc.of_a), (b, voc.of_b)):  # tokens of each chunk, from those of the row
+            side.lens = np.bincount(np.searchsorted(np.cumsum(sizes[told]), np.cumsum(lens[side.ids])), minlength=len(told))
+        good, more_a, more_b = _encoded(voc, [chunks[c] for c in alone.tolist()])
+        for side, more in ((a, more_a), (b, more_b)):
+            side.ids, side.lens = np.concatenate([side.ids, more.ids]), np.concatenate([side.lens, more.lens])
+        chunk_of = np.concatenate([told, alone[good]])
+        self.good = np.zeros(n, dtype=bool)
+        self.good[chunk_of] = True
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(n, np.int64) for _ in range(4))
-        self.n_a[good], self.n_b[good] = a.lens, b.lens
-        self._group(voc, a, b, np.flatnonzero(good), sizes[good])
+        self.n_a[chunk_of], self.n_b[chunk_of] = a.lens, b.lens
+        self._group(voc, a, b, chunk_of, sizes[chunk_of])
 
     def _group(self, voc: Vocabularies, a: _Side, b: _Side, chunk_of: np.ndarray, sizes: np.ndarray) -> None:
-        of_a, of_b = voc.at_a[1:] - voc.at_a[:-1], voc.at_b[1:] - voc.at_b[:-1]
-        ends_a, ends_b = np.cumsum(of_a[a.ids]), np.cumsum(of_b[b.ids])
+        ends_a, ends_b = np.cumsum(voc.of_a[a.ids]), np.cumsum(voc.of_b[b.ids])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
@@ -188,15 +213,18 @@ class Aligned:
         group_at = _ptr(groups)
         self.n_groups[chunk_of], self.n_links[chunk_of] = groups, _run_sums(in_a * in_b, group_at)
 
-        text_a, text_b, pa_, pb_ = list(map(str, a.ids.tolist())), list(map(str, b.ids.tolist())), at_a.tolist(), at_b.tolist()
-        written = [",".join(text_a[pa_[g] : pa_[g + 1]]) + "|" + ",".join(text_b[pb_[g] : pb_[g + 1]]) for g in range(len(cuts))]
-        self.text = [""] * len(self.good)
-        for k, c in enumerate(chunk_of.tolist()):
-            self.text[c] = ";".join(written[group_at[k] : group_at[k + 1]])
-
         exact = (in_a == 1) & (in_b == 1)
         exact[exact] = voc.ident[a.ids[at_a[:-1][exact]]] == b.ids[at_b[:-1][exact]]
         first = a.ids[at_a[:-1][exact]]
+        written = np.empty(len(cuts), dtype=object)
+        written[exact] = voc.exact_text[first]
+        text_of = lambda ids, at: [",".join(map(str, ids[i:j])) for i, j in zip(at[:-1][~exact].tolist(), at[1:][~exact].tolist())]
+        written[~exact] = [f"{x}|{y}" for x, y in zip(text_of(a.ids.tolist(), at_a), text_of(b.ids.tolist(), at_b))]
+        written, bounds = written.tolist(), group_at.tolist()
+        self.text = [""] * len(self.good)
+        for k, c in enumerate(chunk_of.tolist()):
+            self.text[c] = ";".join(written[bounds[k] : bounds[k + 1]])
+
         chunk_bits = 2 * ID_BITS
         chunks = chunk_of[at]
         keys = [(chunks[exact] << chunk_bits) | (first << ID_BITS) | voc.ident[first]]
@@ -224,20 +252,16 @@ class Aligned:
 
 
 class Aligner(dict):
-    """Numbers of chunks, and what alignment says of each, kept between blocks of a task."""
+    """Numbers of chunks, and what alignment says of each, kept between the blocks that a worker reads."""
 
     def __init__(self, voc: Vocabularies):
         super().__init__()
         self.voc = voc
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
         self.new: list[str] = []
         self.chars = 0
         none = np.zeros(0, np.int64)
-        self.figures, self.good, self.texts = np.zeros((4, 0), np.int64), np.zeros(0, bool), []
-        self.n_pairs, self.pairs, self.times = none, none, none
+        self.figures, self.good, self.texts = np.zeros((4, 0), np.int32), np.zeros(0, bool), []
+        self.n_pairs, self.pairs, self.times, self.uses = none, none, none, none
 
     def __missing__(self, chunk: str) -> int:
         at = self[chunk] = len(self)
@@ -245,47 +269,78 @@ class Aligner(dict):
         self.chars += len(chunk)
         return at
 
+    def _forget(self) -> None:
+        """Keeps the chunks that were met more than once since the last time, half of the bound at most."""
+        known = list(self)
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > CACHE_CHUNKS // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: CACHE_CHUNKS // 2]])
+        kept = [known[k] for k in keep.tolist()]
+        if sum(map(len, kept)) > CACHE_CHARS // 2:
+            keep, kept = keep[:0], []
+        where = _ragged(_ptr(self.n_pairs)[keep], self.n_pairs[keep])
+        self.pairs, self.times, self.n_pairs = self.pairs[where], self.times[where], self.n_pairs[keep]
+        self.figures, self.good, self.texts = self.figures[:, keep], self.good[keep], [self.texts[k] for k in keep.tolist()]
+        self.uses = np.zeros(len(keep), np.int64)
+        self.clear()
+        self.update(zip(kept, range(len(kept))))
+        self.chars = sum(map(len, kept))
+
+    def _learn(self) -> None:
+        made = [Aligned(self.voc, self.new[k : k + CHUNKS_AT_ONCE]) for k in range(0, len(self.new), CHUNKS_AT_ONCE)]
+        self.new = []
+        together = lambda have, name: np.concatenate([have, *(getattr(m, name) for m in made)])
+        self.figures = np.concatenate([self.figures, *(np.stack([m.n_a, m.n_b, m.n_groups, m.n_links]) for m in made)], axis=1)
+        self.good, self.n_pairs, self.pairs, self.times = together(self.good, "good"), together(self.n_pairs, "n_pairs"), together(self.pairs, "pairs"), together(self.times, "times")
+        self.texts += chain.from_iterable(m.text for m in made)
+        self.uses = np.concatenate([self.uses, np.zeros(len(self) - len(self.uses), np.int64)])
+
     def chunks(self, texts: list[str | None]) -> list[np.ndarray]:
         """Numbers of each text's chunks, all of them aligned."""
         if len(self) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
-            self._reset()
+            self._forget()
         out = []
         for t in texts:
             found = _CHUNK.findall(" " + t) if t else []
             out.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
         if self.new:
-            new = Aligned(self.voc, self.new)
-            self.new = []
-            self.figures = np.concatenate([self.figures, np.stack([new.n_a, new.n_b, new.n_groups, new.n_links])], axis=1)
-            self.good = np.concatenate([self.good, new.good])
-            self.texts += new.text
-            self.n_pairs, self.pairs, self.times = (np.concatenate(x) for x in ((self.n_pairs, new.n_pairs), (self.pairs, new.pairs), (self.times, new.times)))
+            self._learn()
         return out
 
 
-def _lists(values: np.ndarray, ptr: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(values, kind))
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers of no sign, compressed: the width in bytes, then the low bytes of all, the next bytes, and so on."""
+    import zstandard
+
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+    planes = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
 
+def unpacked(body: bytes) -> np.ndarray:
+    import zstandard
 
-#: Rows of the table of blocks: one for each document, one for each block, one with a task's vector.
-_DOCUMENT, _BLOCK, _VECTOR = 0, 1, 2
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[1:]), np.uint8).reshape(body[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{body[0]}").reshape(-1).astype(np.int64)
+
+
+#: A row for each block: its documents (ids, sums, digests; chunks of each with how often they stand), its pairs with their
+#: documents, and which pairs each chunk links how often. A row without a block: a task's vector of exact pairs.
 _FIELDS = pa.schema(
-    [("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64())]
-    + [(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]
-    + [("groups_sha256", pa.string()), ("chunks", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
-    + [("keys", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("chunk_at", pa.list_(pa.int32())), ("pair", pa.list_(pa.int32())), ("links", pa.list_(pa.int64()))]
-)
-_TABLE = (
-    "kind int, block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunks array<int>, times array<int>,"
-    " keys array<long>, docs array<long>, chunk_at array<int>, pair array<int>, links array<long>"
+    [("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64()))]
+    + [(c, pa.binary()) for c in ("sums", "digests", "entries", "chunks", "times", "chunk_pairs", "pair", "links")]
 )
+_TABLE = "block long, keys array<long>, docs array<long>, ids array<long>, sums binary, digests binary, entries binary, chunks binary, times binary, chunk_pairs binary, pair binary, links binary"
 
 
-def _batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)).cast(f.type) for f in _FIELDS], schema=_FIELDS)
+def _row(**columns: object) -> pa.RecordBatch:
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) if isinstance(x, np.ndarray | pa.Array) else pa.array([x])
+    return pa.RecordBatch.from_arrays([one(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(1, f.type) for f in _FIELDS], schema=_FIELDS)
 
 
-def _read_block(aligner: Aligner, block: int, ids: pa.Array, texts: list[str | None], vector: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _read_block(aligner: Aligner, block: int, ids: pa.Array, texts: list[str | None], vector: np.ndarray) -> pa.RecordBatch:
+    """The row of a block; adds its exact pairs to the vector."""
     n = len(texts)
     found = aligner.chunks(texts)
     lens = np.fromiter(map(len, found), np.int64, n)
@@ -293,61 +348,66 @@ def _read_block(aligner: Aligner, block: int, ids: pa.Array, texts: list[str | N
     bad = _run_sums(~aligner.good[flat], _ptr(lens)) > 0
     flat, lens = flat[np.repeat(~bad, lens)], np.where(bad, 0, lens)
     ptr = _ptr(lens)
-    sums = [_run_sums(row[flat], ptr) for row in aligner.figures]
+    sums = np.stack([_run_sums(row[flat], ptr) for row in aligner.figures])
     written = aligner.texts.__getitem__
-    digests = [hashlib.sha256(";".join(map(written, flat[i:j].tolist())).encode()).hexdigest() if i < j else "" for i, j in zip(ptr[:-1].tolist(), ptr[1:].tolist())]
-    used, local = np.unique(flat, return_inverse=True)
+    digests = [hashlib.sha256(";".join(map(written, flat[i:j].tolist())).encode()).digest() for i, j in zip(ptr[:-1].tolist(), ptr[1:].tolist())]
+    stands = np.bincount(flat, minlength=len(aligner))
+    aligner.uses += stands
+    used = np.flatnonzero(stands)
+    number = np.zeros(len(aligner), dtype=np.int64)
+    number[used] = np.arange(len(used))
     # Distinct chunks of each document, with how often they stand.
-    entry, times = np.unique((np.repeat(np.arange(n), lens) << 32) | local, return_counts=True)
+    entry, first, times = _runs(np.sort((np.repeat(np.arange(n), lens) << 32) | number[flat]))
     doc, chunk = entry >> 32, entry & 0xFFFFFFFF
     # The pairs of the block's chunks, and in how many of its documents each is linked.
-    first = _ptr(aligner.n_pairs)[used]
     size = aligner.n_pairs[used]
-    where = _ragged(first, size)
+    where = _ragged(_ptr(aligner.n_pairs)[used], size)
     keys, pair = np.unique(aligner.pairs[where], return_inverse=True)
     pair_at = _ptr(size)
-    in_doc = np.unique((np.repeat(doc, size[chunk]) << 32) | pair[_ragged(pair_at[:-1][chunk], size[chunk])])
+    in_doc, _, _ = _runs(np.sort((np.repeat(doc, size[chunk]) << 32) | pair[_ragged(pair_at[:-1][chunk], size[chunk])]))
     docs = np.bincount(in_doc & 0xFFFFFFFF, minlength=len(keys)).astype(np.int64)
     exact = aligner.voc.is_exact(keys)
     np.add.at(vector, keys[exact] >> ID_BITS, docs[exact])
-    entries = np.searchsorted(doc, np.arange(n + 1))
-    yield _batch(
-        n, kind=pa.array(np.full(n, _DOCUMENT)), block=pa.array(np.full(n, block)), doc_id=ids, groups_sha256=pa.array(digests),
-        chunks=_lists(chunk, entries, pa.int32()), times=_lists(times, entries, pa.int32()),
-        **{c: pa.array(s) for c, s in zip(("n_a", "n_b", "n_groups", "n_links"), sums)},
-    )
-    one = lambda x, kind: _lists(x, np.array([0, len(x)]), kind)
-    yield _batch(
-        1, kind=pa.array([_BLOCK]), block=pa.array([block]), keys=one(keys, pa.int64()), docs=one(docs, pa.int64()),
-        chunk_at=one(pair_at, pa.int32()), pair=one(pair, pa.int32()), links=one(aligner.times[where], pa.int64()),
+    return _row(
+        block=block, keys=keys, docs=docs, ids=ids, sums=packed(sums.reshape(-1)), digests=b"".join(digests), entries=packed(np.bincount(doc, minlength=n)), chunks=packed(chunk),
+        times=packed(times), chunk_pairs=packed(size), pair=packed(pair), links=packed(aligner.times[where]),
     )
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, where each begins and how often it stands."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[first], first, np.diff(np.append(first, len(values)))
+
+
+#: The aligner of this Python worker, kept for its later tasks.
+_KEPT: dict[tuple[str, str], Aligner] = {}
+
+
 def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with the chunks of their block, blocks with their pairs, and the vectors of exact pairs."""
+    """A row for each block, and one for each task's vector of exact pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(Vocabularies(path_a, path_b))
+        aligner = _KEPT.get((path_a, path_b)) or _KEPT.setdefault((path_a, path_b), Aligner(Vocabularies(path_a, path_b)))
         vector = np.zeros(len(aligner.voc.ident), dtype=np.int64)
-        task, made = TaskContext.get().partitionId() << 32, 0
+        task, made, held = TaskContext.get().partitionId() << 32, 0, 0
         ids: list[pa.Array] = []
         texts: list[str | None] = []
-        held = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = batch.slice(at, 200)
                 more = rows.column(1).to_pylist()
                 size = sum(len(t) for t in more if t)
                 if texts and held + size > BLOCK_BYTES:
-                    yield from _read_block(aligner, task + made, pa.concat_arrays(ids), texts, vector)
+                    yield _read_block(aligner, task + made, pa.concat_arrays(ids), texts, vector)
                     ids, texts, held, made = [], [], 0, made + 1
                 ids.append(rows.column(0))
                 texts += more
                 held += size
         if texts:
-            yield from _read_block(aligner, task + made, pa.concat_arrays(ids), texts, vector)
+            yield _read_block(aligner, task + made, pa.concat_arrays(ids), texts, vector)
         seen = np.flatnonzero(vector)
-        yield _batch(1, kind=pa.array([_VECTOR]), keys=_lists(seen, np.array([0, len(seen)]), pa.int64()), docs=_lists(vector[seen], np.array([0, len(seen)]), pa.int64()))
+        yield _row(keys=seen, docs=vector[seen])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _TABLE)
 
@@ -357,12 +417,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     ident = Vocabularies(path_a, path_b).ident
     table = materialize(blocks(docs, path_a, path_b, id_col, text_col), "aligned")
-    exact_sums = table.where(F.col("kind") == _VECTOR).select(F.explode(F.arrays_zip("keys", "docs")).alias("p")).groupBy("p.keys").agg(F.sum("p.docs").alias("n"))
+    exact_sums = table.where("block IS NULL").select(F.explode(F.arrays_zip("keys", "docs")).alias("p")).groupBy("p.keys").agg(F.sum("p.docs").alias("n"))
     exact, best = np.zeros(len(ident), np.int64), np.zeros(len(ident), np.int64)
     rows = exact_sums.toPandas()  # at most A's vocabulary
     exact[rows["keys"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
 
-    pairs = table.where(F.col("kind") == _BLOCK).select("block", F.explode(F.arrays_zip("keys", "docs")).alias("p")).select("block", F.col("p.keys").alias("pair"), F.col("p.docs").alias("n"))
+    pairs = table.where("block IS NOT NULL").select("block", F.explode(F.arrays_zip("keys", "docs")).alias("p")).select("block", F.col("p.keys").alias("pair"), F.col("p.docs").alias("n"))
     same = spark.createDataFrame([(int(a), int(b)) for a, b in enumerate(ident) if b >= 0], "a long, b long")
     same = same.select(((F.col("a") * (1 << ID_BITS)) + F.col("b")).alias("pair"))
     pairs = pairs.join(F.broadcast(same), "pair", "left_anti")  # at most A's vocabulary
@@ -374,21 +434,20 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ident, exact, best = sent.value
-        kinds = left["kind"].to_numpy()
-        block, rows = left.filter(pa.array(kinds == _BLOCK)), left.filter(pa.array(kinds == _DOCUMENT))
-        flat = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        keys, count = flat(block, "keys"), flat(block, "docs").copy()
+        block = {name: left[name][0].as_py() for name in left.column_names if pa.types.is_binary(left.schema.field(name).type)}
+        keys, count, ids = (left[name].combine_chunks().flatten() for name in ("keys", "docs", "ids"))
+        keys, count = keys.to_numpy(), count.to_numpy().copy()
         a = keys >> ID_BITS
         own = ident[a] == (keys & _ID)
         count[own] = exact[a[own]]
         count[np.searchsorted(keys, right["pair"].to_numpy())] = right["count"].to_numpy()
-        pair, links, at = flat(block, "pair"), flat(block, "links"), flat(block, "chunk_at").astype(np.int64)
-        chunk_sum, chunk_best = _run_sums(count[pair] * links, at), _run_sums(np.where(count == best[a], 1, 0)[pair] * links, at)
-        chunks, times = flat(rows, "chunks"), flat(rows, "times")
-        ptr = _ptr(pc.list_value_length(rows["chunks"]).to_numpy())
-        return rows.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"]).append_column("n_best", pa.array(_run_sums(chunk_best[chunks] * times, ptr))).append_column(
-            "count_sum", pa.array(_run_sums(chunk_sum[chunks] * times, ptr))
-        ).append_column("groups_sha256", rows["groups_sha256"])
+        pair, links, at = unpacked(block["pair"]), unpacked(block["links"]), _ptr(unpacked(block["chunk_pairs"]))
+        chunk_sum, chunk_best = _run_sums(count[pair] * links, at), _run_sums((count == best[a])[pair] * links, at)
+        chunks, times, ptr = unpacked(block["chunks"]), unpacked(block["times"]), _ptr(unpacked(block["entries"]))
+        sums = unpacked(block["sums"]).reshape(4, len(ids))
+        digests = [block["digests"][k : k + 32].hex() if n else "" for k, n in zip(range(0, 32 * len(ids), 32), sums[0].tolist())]
+        columns = [ids, *map(pa.array, sums), pa.array(_run_sums(chunk_best[chunks] * times, ptr)), pa.array(_run_sums(chunk_sum[chunks] * times, ptr)), pa.array(digests)]
+        return pa.table(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     shared = pairs.join(counts.where(F.col("blocks") > 1).drop("blocks"), "pair").select(F.col("block").alias("of_block"), "pair", "count")
-    return table.where(F.col("kind") != _VECTOR).groupBy("block").cogroup(shared.groupBy("of_block")).applyInArrow(run, SCHEMA)
+    return table.where("block IS NOT NULL").groupBy("block").cogroup(shared.groupBy("of_block")).applyInArrow(run, SCHEMA)
