@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.shared import materialize
+
 
 def check_sequence(rows: DataFrame) -> DataFrame:
     """Runs of printed numbers in rows (book, division, pos, number).
@@ -51,10 +58,71 @@ def number_flags(rows: DataFrame) -> DataFrame:
     return out.withColumn("duplicate_number", some & again).withColumn("out_of_sequence", F.coalesce(some & ~follows, F.lit(False))).drop("_before", "_reset", "_run")
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row within its keys, from 1, without bringing a key's rows into one task.
+
+    Rows are dealt by ranges of keys and order, so that a large key lies in several parts; what a key has in earlier parts
+    is added to a row's place in its own. Only keys that several parts hold are sent to all tasks: fewer than there are parts.
+    """
+    part, before = f"{name}_part", f"{name}_before"
+    dealt = materialize(rows.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy(*keys, part).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(k).alias(f"{name}_{i}") for i, k in enumerate(keys)), F.col(part).alias(f"{part}s"), F.sum("n").over(earlier).alias(before)).where(F.col(before).isNotNull())
+    same = F.col(part) == F.col(f"{part}s")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"{name}_{i}"))
+    place = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
+    return dealt.withColumn(name, place.cast("long")).join(F.broadcast(counts), same, "left").withColumn(name, F.col(name) + F.coalesce(before, F.lit(0))).select(*rows.columns, name)
+
+
+#: An id's end that looks like what was added to make it unique.
+_SUFFIXES = "(-([2-9]|[1-9][0-9]+))+$"
+
+
+def _give_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gives each row, in order, its own id or the first free one behind it; what is known of a family begins anew with each family."""
+    family, seen, upto = None, set(), {}
+    for batch in batches:
+        out = []
+        for of, wanted in zip(batch.column(batch.schema.get_field_index("_family")).to_pylist(), batch.column(batch.schema.get_field_index("_wanted")).to_pylist()):
+            if of != family:
+                family, seen, upto = of, set(), {}
+            base, _, last = wanted.rpartition("-")
+            # A suffix below its base's next one was given out, or passed over because it was taken.
+            taken = wanted in seen or (last.isascii() and last.isdigit() and last[0] != "0" and 2 <= int(last) < upto.get(base, 2))
+            if taken:
+                k = upto.get(wanted, 2)
+                while f"{wanted}-{k}" in seen:
+                    k += 1
+                upto[wanted] = k + 1
+                out.append(f"{wanted}-{k}")
+            else:
+                seen.add(wanted)
+                out.append(wanted)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "unique_id"])
+
+
 def unique_ids(rows: DataFrame, keys: list[str], id_col: str, order: list[str]) -> DataFrame:
-    """Adds unique_id: the second and later rows of an id within keys get its number as a suffix."""
-    n = F.row_number().over(Window.partitionBy(*keys, id_col).orderBy(*order))
-    return rows.withColumn("unique_id", F.when(n > 1, F.concat_ws("-", id_col, n.cast("string"))).otherwise(F.col(id_col)))
+    """Adds unique_id: in the given order each row of a division (keys) takes its id, or the first of id-2, id-3, … that none has taken.
+
+    Ids can meet only within a family: those that are equal without their numbered ends. Where all ids of a family are the
+    same, the place of a row says its suffix, however many rows there are; other families are folded in order, each as a
+    stream through one task that keeps its distinct ids. A null id stays null. Equal rows must be told apart by ``order``.
+    """
+    own = rows.where(F.col(id_col).isNotNull()).withColumn("_wanted", F.col(id_col).cast("string")).withColumn("_root", F.regexp_replace("_wanted", _SUFFIXES, ""))
+    several = own.groupBy(*keys, "_root").agg((F.min("_wanted") != F.max("_wanted")).alias("_several"))
+    same = F.lit(True)
+    for k in [*keys, "_root"]:
+        same &= F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}"))
+    own = own.alias("o").join(several.alias("s"), same).select("o.*", "s._several")
+    alone = ranked(own.where("NOT _several"), [*keys, "_wanted"], order, "_place")
+    alone = alone.select(*rows.columns, F.when(F.col("_place") > 1, F.concat_ws("-", "_wanted", F.col("_place").cast("string"))).otherwise(F.col("_wanted")).alias("unique_id"))
+    folded = own.where("_several").withColumn("_family", F.to_json(F.struct(*keys, "_root"), {"ignoreNullFields": "false"})).select(*rows.columns, "_wanted", "_family")
+    folded = folded.repartition("_family").sortWithinPartitions("_family", *order)
+    schema = T.StructType([*folded.schema.fields, T.StructField("unique_id", T.StringType())])
+    folded = folded.mapInArrow(_give_ids, schema).select(*rows.columns, "unique_id")
+    return alone.unionByName(folded).unionByName(rows.where(F.col(id_col).isNull()).withColumn("unique_id", F.lit(None).cast("string")))
 
 
 def ordinals(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -93,14 +161,50 @@ def titles_from_heads(passages: DataFrame, heads: DataFrame) -> DataFrame:
     return vote(on, ["book", "section"], "head").where("winner IS NOT NULL").select("book", "section", F.col("winner").alias("title"))
 
 
-def within_rate(events: DataFrame, key: list[str], ts: str, capacity: int, seconds: int = 60) -> DataFrame:
-    """Adds in_window and allowed: how many events a key had in the last seconds, and whether they are within capacity.
+def within_rate(events: DataFrame, key: list[str], ts: str, order: list[str], capacity: int, seconds: int = 60) -> DataFrame:
+    """Adds in_window and allowed: how many requests of a key were granted in the last seconds, and whether this one is.
 
-    A key is cut into stretches of ``seconds``; each event also stands in the stretch after its own, where it only counts.
+    Only granted requests fill the window, and one that is exactly ``seconds`` old has left it; a capacity of 0 or less
+    grants all. What is granted depends on what was granted before, so each key is a fold in order of ``ts`` and ``order``.
+    A pause of ``seconds`` empties the window: it cuts a key into islands, which are folded each for itself, in streams.
+    Pauses are found by stretches of ``seconds`` (each event also stands in the stretch after its own), so no window
+    holds a whole key; a stretch's last beginning of an island is handed to later ones, a row for each stretch. Requests
+    without a time are not granted and count nothing.
     """
+    span = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    own = F.floor(micros / (seconds * 1_000_000))
-    rows = events.withColumn("_at", micros).withColumn("_stretch", F.explode(F.array(own, own + 1))).withColumn("_own", F.col("_stretch") == own)
-    w = Window.partitionBy(*key, "_stretch").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    counted = rows.withColumn("in_window", F.count("*").over(w)).where("_own")
-    return counted.withColumn("allowed", F.col("in_window") <= capacity).drop("_at", "_stretch", "_own")
+    own = F.floor(micros / span)
+    timed = events.where(F.col(ts).isNotNull()).withColumn("_at", micros)
+    if capacity <= 0:
+        return events.withColumn("in_window", F.lit(None).cast("long")).withColumn("allowed", F.col(ts).isNotNull())
+    rows = timed.withColumn("_stretch", F.explode(F.array(own, own + 1))).withColumn("_own", F.col("_stretch") == own)
+    w = Window.partitionBy(*key, "_stretch").orderBy("_at", *order)
+    before = F.lag("_at").over(w)
+    rows = rows.withColumn("_begins", before.isNull() | (F.col("_at") - before >= span)).where("_own")
+    rows = rows.withColumn("_island", F.max(F.when(F.col("_begins"), F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    handed = rows.groupBy(*key, "_stretch").agg(F.max(F.when(F.col("_begins"), F.col("_at"))).alias("_last"))
+    earlier = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    handed = handed.select(*key, "_stretch", F.max("_last").over(earlier).alias("_last"))
+    same = F.col("r._stretch") == F.col("h._stretch")
+    for k in key:
+        same &= F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}"))
+    rows = rows.alias("r").join(handed.alias("h"), same).select(*(f"r.{c}" for c in events.columns), "_at", "_begins", F.coalesce("_island", "_last").alias("_island"))
+    rows = rows.repartition(*key, "_island").sortWithinPartitions(*key, "_island", "_at", *order)
+
+    def grant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        granted: deque[int] = deque()
+        for batch in batches:
+            counts = []
+            for at, begins in zip(batch.column(batch.num_columns - 3).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()):
+                if begins:
+                    granted.clear()
+                while granted and granted[0] <= at - span:
+                    granted.popleft()
+                counts.append(len(granted))
+                if len(granted) < capacity:
+                    granted.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(counts, pa.int64())], [*batch.schema.names[:-3], "in_window"])
+
+    schema = T.StructType([*events.schema.fields, T.StructField("in_window", T.LongType())])
+    out = rows.mapInArrow(grant, schema).withColumn("allowed", F.col("in_window") < capacity)
+    return out.unionByName(events.where(F.col(ts).isNull()).withColumn("in_window", F.lit(None).cast("long")).withColumn("allowed", F.lit(False)))

@@ -147,10 +147,22 @@ def manifest_last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studio.last_writer(rows, ["user_id"], "rank").select("user_id", "event_type", "value", "event_id")
 
 
-@query("SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w <= 5 AS allowed FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)")
+#: Each kind's requests in order, with the times that were granted and are less than a minute old.
+_RATE_SQL = """WITH RECURSIVE e AS (
+  SELECT event_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events
+), f AS (
+  SELECT event_id, event_type, n, 0::BIGINT AS in_window, [us] AS granted FROM e WHERE n = 1
+  UNION ALL
+  SELECT event_id, event_type, n, len(live)::BIGINT, CASE WHEN len(live) < 5 THEN list_append(live, us) ELSE live END
+  FROM (SELECT e.event_id, e.event_type, e.n, e.us, list_filter(f.granted, lambda g: g > e.us - 60000000) AS live FROM f JOIN e ON e.event_type = f.event_type AND e.n = f.n + 1)
+)
+SELECT event_id, in_window, in_window < 5 AS allowed FROM f"""
+
+
+@query(_RATE_SQL)
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests within the sliding minute of their kind."""
-    return seq.within_rate(table(spark, sf_dir, "events"), ["event_type"], "ts", 5).select("event_id", "in_window", "allowed")
+    """Requests that five a minute of their kind let through."""
+    return seq.within_rate(table(spark, sf_dir, "events"), ["event_type"], "ts", ["event_id"], 5).select("event_id", "in_window", "allowed")
 
 
 # --- numbering ------------------------------------------------------------------------------------------------------
@@ -197,11 +209,28 @@ def number_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.number_flags(_numbered(spark, sf_dir)).select("book", "pos", "number", "duplicate_number", "out_of_sequence")
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, CASE WHEN n > 1 THEN 'v' || l_linenumber || '-' || n ELSE 'v' || l_linenumber END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem)")
+#: The rows of each division in order, with the ids that are taken.
+_UNIQUE_SQL = """WITH RECURSIVE w AS (
+  SELECT *, 'v' || (l_partkey % 2) || CASE l_suppkey % 4 WHEN 0 THEN '-2' WHEN 1 THEN '-' || (1 + l_linenumber % 4) ELSE '' END AS id,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem
+), g AS (
+  SELECT l_orderkey, n, id AS unique_id, [id] AS taken FROM w WHERE n = 1
+  UNION ALL
+  SELECT l_orderkey, n, given, list_append(taken, given) FROM (
+    SELECT w.l_orderkey, w.n, g.taken, CASE WHEN list_contains(g.taken, w.id) THEN
+      list_filter(list_transform(range(2, w.n + 3), lambda k: w.id || '-' || k), lambda c: NOT list_contains(g.taken, c))[1] ELSE w.id END AS given
+    FROM g JOIN w ON w.l_orderkey = g.l_orderkey AND w.n = g.n + 1)
+)
+SELECT w.l_orderkey, w.l_linenumber, w.l_partkey, w.l_suppkey, w.l_quantity, w.l_extendedprice, w.id, unique_id FROM w JOIN g USING (l_orderkey, n)"""
+
+
+@query(_UNIQUE_SQL)
 def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers made unique within their division."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("id", F.concat(F.lit("v"), F.col("l_linenumber").cast("string")))
-    return seq.unique_ids(rows, ["l_orderkey"], "id", ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "unique_id")
+    """Identifiers made unique within their division, in order, some of them with numbers at their end already."""
+    end = F.when(F.col("l_suppkey") % 4 == 0, "-2").when(F.col("l_suppkey") % 4 == 1, F.concat(F.lit("-"), (F.col("l_linenumber") % 4 + 1).cast("string"))).otherwise("")
+    rows = table(spark, sf_dir, "lineitem").withColumn("id", F.concat(F.lit("v"), (F.col("l_partkey") % 2).cast("string"), end))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return seq.unique_ids(rows, ["l_orderkey"], "id", order).select("l_orderkey", *order, "id", "unique_id")
 
 
 @query(

@@ -57,13 +57,68 @@ def test_one_misread_number_is_one_gap(spark):
     assert [(g["start"], g["end"]) for g in r["missing"]] == [(7, 899_999_999_999)] and r["out_of_order"] == [6, 900_000_000_000]
 
 
-def test_sliding_rates_agree_with_brute_force(spark):
+def simulated(requests, capacity, seconds=60):
+    """A queue of granted stamps for each key: those of the last seconds count, one that is just as old has left."""
+    stamps, out = {}, {}
+    for at, k, key in sorted((at, k, key) for k, key, at in requests):
+        live = [s for s in stamps.get(key, []) if s > at - seconds]
+        out[k] = (len(live), len(live) < capacity)
+        stamps[key] = live + [at] if len(live) < capacity else live
+    return out
+
+
+def test_only_granted_requests_fill_the_window(spark):
+    df = spark.createDataFrame([(k, "a", 10 * k) for k in range(30)], "id int, key string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    out = seq.within_rate(df, ["key"], "ts", ["id"], 3)
+    assert [r["s"] for r in out.where("allowed").orderBy("s").collect()] == [0, 10, 20, 60, 70, 80, 120, 130, 140, 180, 190, 200, 240, 250, 260]
+
+
+def test_rates_equal_a_queue_of_granted_stamps(spark):
     rng = random.Random(7)
-    data = [(k, rng.choice("ab"), rng.randrange(0, 400)) for k in range(300)]
-    df = spark.createDataFrame(data, "id int, key string, s int").withColumn("ts", F.timestamp_seconds("s"))
-    got = {r["id"]: (r["in_window"], r["allowed"]) for r in seq.within_rate(df, ["key"], "ts", 20).collect()}
-    count = {k: sum(1 for _, b, t in data if b == a and s - 60 <= t <= s) for k, a, s in data}
-    assert got == {k: (n, n <= 20) for k, n in count.items()}
+    for capacity, most in ((1, 4000), (3, 900), (20, 500)):
+        data = [(k, rng.choice(["a", "b", None]), rng.choice([rng.randrange(0, most), 60 * rng.randrange(0, most // 60)])) for k in range(300)]
+        df = spark.createDataFrame([*data, (900, "a", None)], "id int, key string, s int").withColumn("ts", F.timestamp_seconds("s")).repartition(3)
+        got = {r["id"]: (r["in_window"], r["allowed"]) for r in seq.within_rate(df, ["key"], "ts", ["id"], capacity).collect()}
+        assert got.pop(900) == (None, False)
+        assert got == simulated([(k, str(key), at) for k, key, at in data], capacity)
+    assert seq.within_rate(df, ["key"], "ts", ["id"], 0).where("allowed").count() == 300
+
+
+def given(rows):
+    """Ids in order: each row's own, or the first of id-2, id-3, … that none has."""
+    taken, out = {}, {}
+    for division, k, wanted in sorted(rows, key=lambda r: r[1]):
+        have = taken.setdefault(division, set())
+        pick = wanted if wanted not in have else next(c for c in (f"{wanted}-{n}" for n in range(2, len(have) + 3)) if c not in have)
+        have.add(pick)
+        out[k] = pick
+    return out
+
+
+def test_ids_are_unique_among_those_that_stand_and_those_given(spark):
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(["v1", "v1", "v1-2", "v1", "v1-2", "v1-3", "v1-2-2", "v2", None])], "division int, k int, id string")
+    out = {r["k"]: r["unique_id"] for r in seq.unique_ids(df, ["division"], "id", ["k"]).collect()}
+    assert [out[k] for k in range(9)] == ["v1", "v1-2", "v1-2-2", "v1-3", "v1-2-3", "v1-3-2", "v1-2-2-2", "v2", None]
+
+
+def test_unique_ids_equal_one_pass_in_order(spark):
+    rng = random.Random(9)
+    some = lambda: rng.choice(["v1", "v1", "v2", ""]) + rng.choice(["", "", "-2", "-3", "-2-2", "-02", "-1", "-10", "-x", "-"])
+    rows = [(rng.choice([1, 2, None]), k, some()) for k in range(600)] + [(3, 1000 + k, "hot") for k in range(500)]
+    df = spark.createDataFrame(rows, "division int, k int, id string").repartition(5)
+    got = {r["k"]: r["unique_id"] for r in seq.unique_ids(df, ["division"], "id", ["k"]).collect()}
+    assert got == given(rows)
+    assert seq.unique_ids(df.limit(0), ["division"], "id", ["k"]).count() == 0
+
+
+def test_places_within_keys_that_several_parts_hold(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), k) for k in range(2000)]
+    got = {r["k"]: r["place"] for r in seq.ranked(spark.createDataFrame(rows, "key string, k int").repartition(6), ["key"], ["k"], "place").collect()}
+    seen = {}
+    for key, k in rows:
+        seen[key] = seen.get(key, 0) + 1
+        assert got[k] == seen[key]
 
 
 def test_titles_from_running_heads(spark):
