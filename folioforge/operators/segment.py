@@ -1,8 +1,9 @@
 """Blocks to passages: routing, splitting at printed numbers, joining fragments, flags and confidence.
 
-The single pass over a book becomes windows over its blocks: a section begins at a heading or after an end marker, a
-passage ends at a printed number, and both are running counts. A book is never held in one task's memory: windows sort
-and spill. A number in the script of a quotation never ends a passage here.
+A section begins at a heading or after an end marker, a passage ends at a printed number (``passage_scan``: a book is read
+in chunks of pages, by as many tasks as it has chunks). A number in the script of a quotation ends a passage only where it
+stands directly behind another one and goes on from the last number. A section without a heading has the title that the
+running heads of its pages agree on.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions import scripts as s
 from ..functions import text as t
-from .sequence import number_flags
+from ..sources.shared import materialize
+from .passage_scan import scan
+from .sequence import number_flags, titles_from_heads
 
 #: Block tags by what they mean, words that close a work, and the penalty of each flag.
 FURNITURE, NOTES, NO_TEXT = ("header", "page-number", "folio"), ("footer", "footnote"), ("image", "photograph", "chart", "diagram", "advertisement")
@@ -21,9 +24,6 @@ HEADINGS = ("section-title", "section-header", "chapter-title", "title", "headli
 COMPLETION = ("સમાપ્ત", "समाप्त", "સંપૂર્ણ", "संपूर्ण", "ઇતિ", "इति")
 PENALTY = {"orthography": 0.4, "no-number": 0.35, "duplicate-number": 0.3, "out-of-sequence": 0.3, "recovered-number": 0.2, "very-short": 0.15, "spans-pages": 0.1, "hyphen-join": 0.05, "contains-quotation": 0.05}
 SHORT = 40
-#: Marks within a block: before and after an own number, before and after one in another script (control characters, cleaned away later).
-_OPENED, _ENDED, _MAYBE, _CLOSED = "\u0001", "\u0002", "\u0003", "\u0004"
-
 
 def admitted_scripts(language: str) -> list[str]:
     primary = s.LANGUAGE_SCRIPT.get(language.split("-")[0].lower())
@@ -58,95 +58,84 @@ def printed_page(tag: Column, text: Column, script: str) -> Column:
     return F.when(rank.isNotNull() & (number["script"] == script), F.struct(rank.alias("rank"), number["value"].alias("number")))
 
 
-def _pieces(blocks: DataFrame, script: str, end: str) -> DataFrame:
-    """The pieces of blocks between the numbers that end passages: (…, k, body, ends, digits, recovered).
+def body_blocks(blocks: DataFrame, script: str, admitted: list[str]) -> DataFrame:
+    """(book, page, pos, kind, quotation, text) of the blocks of the body: kind is heading, end or text."""
+
+    def placed(p: Column) -> Column:
+        return F.struct(_route(F.col("tag"), F.col("text"), p, admitted).alias("bucket"), F.coalesce(p["dominant"] != script, F.lit(False)).alias("quotation"))
+
+    # The profile of a block is taken once: what decides about the block is generated from it, not put into filters.
+    places = F.transform(F.array(t.script_profile(F.col("text"))), placed)
+    b = blocks.select("book", "page", "pos", "tag", "text", F.explode(F.filter(places, lambda x: x["bucket"] == "body")).alias("_place")).withColumn("quotation", F.col("_place.quotation"))
+    kind = F.when(F.col("tag").isin(*HEADINGS) & ~F.col("quotation"), "heading").when(is_end_marker(F.col("text")), "end").otherwise("text")
+    return b.select("book", "page", "pos", kind.alias("kind"), "quotation", "text")
+
 
-    A number in another script ends a passage only where it abuts another such number and goes on from the last number
-    accepted: those numbers are marked first, decided run by run (a fold over the few of them between two own numbers),
-    and the text of those refused is put together again.
+def segment_book(blocks: DataFrame, script: str, admitted: list[str], form: str = "prose", short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+    """Passages and sections of blocks (book, page, pos, tag, text).
+
+    Passages: (book, section, pos, number, text, form, pages, fragments, flags, confidence); prose has its printed lines
+    joined. Sections, numbered from 1: (book, section, title, title_source, end_marker, passages); the source of a title is
+    heading or running-head.
     """
-    other = "".join(f"{d[0]}-{d[9]}" for k, d in s.DIGITS.items() if k != script)
-    danda = "(?:॥|।।)"
-    pair = f"({danda}\\s*[{other}]+\\s*{danda})(\\s*{danda})?(\\s*)([{other}]+)(\\s*{danda})"
-    marked = F.regexp_replace(F.regexp_replace("text", end, f"$1{_OPENED}$2{_ENDED}"), pair, f"$1$2{_MAYBE}$3$4{_CLOSED}$5{_ENDED}")
-    p = blocks.select("book", "page", "pos", "section", "quotation", F.posexplode(F.split(marked, _ENDED)).alias("k", "piece"))
-    own, maybe = F.split("piece", _OPENED), F.split("piece", _MAYBE)
-    p = p.withColumn("own", F.size(own) > 1).withColumn("maybe", F.size(maybe) > 1)
-    digits = F.when(F.col("own"), F.get(own, F.lit(1))).when(F.col("maybe"), F.trim(F.split(F.get(maybe, F.lit(1)), _CLOSED)[0]))
-    p = p.withColumn("digits", digits).withColumn("value", t.parse_number(F.col("digits"))["value"])
-    book = Window.partitionBy("book").orderBy("page", "pos", "k")
-    marks = p.where("own OR maybe").withColumn("run", F.sum(F.col("own").cast("int")).over(book.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    tries = F.array_sort(F.collect_list(F.when(F.col("maybe"), F.struct("page", "pos", "k", "value"))))
-    runs = marks.groupBy("book", "run").agg(F.max(F.when(F.col("own"), F.col("value"))).alias("last"), tries.alias("tries")).where(F.size("tries") > 0)
-    nothing = F.filter("tries", lambda x: F.lit(False))
-    taken = F.aggregate(
-        "tries",
-        F.struct(F.col("last").alias("last"), nothing.alias("taken")),
-        lambda a, x: F.when(x["value"] == a["last"] + 1, F.struct(x["value"].alias("last"), F.concat(a["taken"], F.array(x)).alias("taken"))).otherwise(a),
-    )["taken"]
-    accepted = runs.select("book", F.explode(taken).alias("x")).select("book", "x.page", "x.pos", "x.k", F.lit(True).alias("recovered"))
-    p = p.join(accepted, ["book", "page", "pos", "k"], "left").withColumn("recovered", F.coalesce("recovered", F.lit(False)))
-    p = p.withColumn("ends", F.col("own") | F.col("recovered"))
-    whole = F.regexp_replace("piece", f"[{_MAYBE}{_CLOSED}]", "")
-    p = p.withColumn("body", F.when(F.col("own"), own[0]).when(F.col("recovered"), maybe[0]).otherwise(whole))
-    block = Window.partitionBy("book", "page", "pos").orderBy("k")
-    p = p.withColumn("part", F.coalesce(F.sum(F.col("ends").cast("int")).over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = F.array_sort(F.collect_list(F.struct("k", "body")))
-    return p.groupBy("book", "page", "pos", "section", "quotation", F.col("part").alias("k")).agg(
-        F.trim(F.array_join(F.transform(rows, lambda x: x["body"]), "")).alias("body"),
-        F.bool_or("ends").alias("ends"),
-        F.max(F.when(F.col("ends"), F.col("digits"))).alias("digits"),
+    body = materialize(body_blocks(blocks, script, admitted), "blocks")
+    pieces = materialize(scan(body, script), "pieces")
+    quotes = body.where("quotation").select("book", "page", "pos", F.lit(True).alias("quotation"))
+    texts = pieces.where("kind = 'text'").join(quotes, ["book", "page", "pos"], "left").withColumn("quotation", F.coalesce("quotation", F.lit(False)))
+    # Pieces that stand on one page, or beside a quotation, are paragraphs; over a page's end a paragraph goes on.
+    def apart(x: Column, i: Column) -> Column:
+        before = F.get(F.col("f"), i - 1)
+        return F.concat(F.when(i == 0, "").when(x["quotation"] | before["quotation"] | (x["page"] == before["page"]), "\n\n").otherwise("\n"), x["text"])
+
+    grouped = texts.groupBy("book", F.col("section").alias("_section"), F.col("start").alias("at")).agg(
+        F.array_sort(F.collect_list(F.struct("page", "pos", "k", "quotation", "text"))).alias("f"),
+        F.max("value").alias("number"),
+        F.bool_or("quotation").alias("quotation"),
         F.bool_or("recovered").alias("recovered"),
     )
+    grouped = grouped.withColumn("t", F.transform("f", apart))
+    found = pieces.where("kind <> 'text'").select(
+        "book", F.col("section").alias("_section"), F.when(F.col("kind") == "heading", F.col("text")).alias("title"), F.when(F.col("kind") == "end", F.col("text")).alias("end_marker"), F.lit(0).alias("n")
+    )
+    found = found.unionByName(grouped.groupBy("book", "_section").agg(F.count("*").cast("int").alias("n")).select("book", "_section", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("end_marker"), "n"))
+    found = found.groupBy("book", "_section").agg(F.max("title").alias("title"), F.max("end_marker").alias("end_marker"), F.sum("n").alias("passages"))
+    found = materialize(found.withColumn("section", F.row_number().over(Window.partitionBy("book").orderBy("_section")).cast("long")), "sections")
+    passages = materialize(_passages(grouped.join(found.select("book", "_section", "section"), ["book", "_section"]), script, form, short), "passages")
+    heads = blocks.where(F.col("tag") == "header").select("book", "page", F.explode(t.running_head_lines(F.col("text"), script)).alias("head"))
+    untitled = found.where("title IS NULL").select("book", "section")
+    named = titles_from_heads(passages.join(untitled, ["book", "section"], "left_semi").select("book", "section", "pages"), heads).withColumnRenamed("title", "head")
+    sections = found.join(named, ["book", "section"], "left").select(
+        "book", "section", F.coalesce(_clean(F.col("title"), script, True), "head").alias("title"),
+        F.when(F.col("title").isNotNull(), "heading").when(F.col("head").isNotNull(), "running-head").alias("title_source"), "end_marker", "passages",
+    )
+    return passages, sections
 
 
-def segment(blocks: DataFrame, script: str, admitted: list[str]) -> DataFrame:
-    """Passages of blocks (book, page, pos, tag, text): section, number, text, pages, fragments, flags and confidence."""
-    digits = s.DIGITS[script]
-    end = f"(॥|।।)\\s*([{digits[0]}-{digits[9]}]+)\\s*(?:॥|।।)"
+def segment(blocks: DataFrame, script: str, admitted: list[str], form: str = "prose") -> DataFrame:
+    """The passages of ``segment_book``."""
+    return segment_book(blocks, script, admitted, form)[0]
 
 
-    def placed(p: Column) -> Column:
-        return F.struct(_route(F.col("tag"), F.col("text"), p, admitted).alias("bucket"), F.coalesce(p["dominant"] != script, F.lit(False)).alias("quotation"))
+def _clean(raw: Column, script: str, join: bool) -> Column:
+    return t.join_lines(t.clean_characters(raw)["text"], join)
 
-    # The profile of a block is taken once: what decides about the block is generated from it, not put into filters.
-    places = F.transform(F.array(t.script_profile(F.col("text"))), placed)
-    b = blocks.select("*", F.explode(F.filter(places, lambda x: x["bucket"] == "body")).alias("_place")).withColumn("quotation", F.col("_place.quotation")).drop("_place")
-    b = b.withColumn("heading", F.col("tag").isin(*HEADINGS) & ~F.col("quotation")).withColumn("closes", ~F.col("heading") & is_end_marker(F.col("text")))
-    book = Window.partitionBy("book").orderBy("page", "pos")
-    before, upto = book.rowsBetween(Window.unboundedPreceding, -1), book.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = b.withColumn("section", F.sum(F.col("heading").cast("int")).over(upto) + F.coalesce(F.sum(F.col("closes").cast("int")).over(before), F.lit(0)))
-    p = _pieces(b.where("NOT heading AND NOT closes").select("book", "page", "pos", "section", "quotation", "text"), script, end)
-    # A piece that is nothing but the opening danda of its number carries no text of its own.
-    p = p.withColumn("bare", F.col("ends") & F.regexp_like("body", F.lit("^(?:॥|।।)$"))).where("ends OR body <> ''")
-    order = Window.partitionBy("book", "section").orderBy("page", "pos", "k")
-    p = p.withColumn("passage", F.coalesce(F.sum(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = Window.partitionBy("book", "section", "passage").orderBy("page", "pos", "k")
-    p = p.withColumn("_page", F.lag("page").over(own)).withColumn("_quote", F.lag("quotation").over(own))
-    apart = F.when(F.col("_page").isNull(), "").when(F.col("quotation") | F.col("_quote") | (F.col("page") == F.col("_page")), "\n\n").otherwise("\n")
-    grouped = p.groupBy("book", "section", "passage").agg(
-        F.array_sort(F.collect_list(F.struct("page", "pos", "k", F.concat(apart, "body").alias("t")))).alias("f"),
-        F.max("digits").alias("digits"),
-        F.bool_or("quotation").alias("quotation"),
-        F.bool_or("recovered").alias("recovered"),
-        F.count_if(~F.col("bare")).alias("n_texts"),
-        F.min(F.struct("page", "pos", "k")).alias("at"),
-    ).where("n_texts > 0")
-    raw = F.array_join(F.transform("f", lambda x: x["t"]), "")
-    out = grouped.select("book", "section", "passage", "quotation", "recovered", "at", raw.alias("raw"), t.parse_number(F.col("digits"))["value"].alias("number"), F.array_distinct(F.transform("f", lambda x: x["page"])).alias("pages"), F.size("f").cast("long").alias("fragments"))
-    joined = t.join_lines(t.clean_characters(F.col("raw"))["text"])
+
+def _passages(grouped: DataFrame, script: str, form: str, short: int) -> DataFrame:
+    raw = F.array_join("t", "")
+    out = grouped.select("book", "section", "quotation", "recovered", "at", raw.alias("raw"), "number", F.array_distinct(F.transform("f", lambda x: x["page"])).alias("pages"), F.size("f").cast("long").alias("fragments"))
+    joined = _clean(F.col("raw"), script, form == "prose")
     clean = t.strip_footnotes(t.reorder_matras(joined, script), script)["text"] if script in s.PRE_BASE_MATRA else joined
-    out = out.withColumn("text", clean).withColumn("hyphen", F.regexp_like("raw", F.lit("[-­‐]\\s*\n\\s*\\S"))).withColumn("faults", t.orthography(F.col("text"), script)["violations"])
+    out = out.withColumn("text", clean).withColumn("hyphen", F.lit(form == "prose") & F.regexp_like("raw", F.lit("[-­‐]\\s*\n\\s*\\S"))).withColumn("faults", t.orthography(F.col("text"), script)["violations"])
     rank = F.row_number().over(Window.partitionBy("book").orderBy("at"))
     out = number_flags(out.withColumn("pos", rank).withColumn("division", F.col("section"))).drop("division")
     flags = {
         "no-number": F.col("number").isNull(), "duplicate-number": F.col("duplicate_number"), "out-of-sequence": F.col("out_of_sequence"), "orthography": F.col("faults") > 0,
-        "spans-pages": F.size("pages") > 1, "hyphen-join": F.col("hyphen"), "very-short": F.length("text") < SHORT, "contains-quotation": F.col("quotation"),
+        "spans-pages": F.size("pages") > 1, "hyphen-join": F.col("hyphen"), "very-short": F.length("text") < short, "contains-quotation": F.col("quotation"),
         "recovered-number": F.col("recovered"),
     }
     penalty = sum((F.when(c, F.lit(PENALTY[f])).otherwise(0.0) for f, c in flags.items()), F.lit(0.0))
     return out.select(
-        "book", "section", "pos", "number", "text", "pages", "fragments",
+        "book", "section", "pos", "number", "text", F.lit(form).alias("form"), "pages", "fragments",
         F.filter(F.array(*(F.when(c, F.lit(f)) for f, c in flags.items())), lambda x: x.isNotNull()).alias("flags"),
         F.greatest(F.lit(0.0), F.floor((1 - penalty) * 100 + 0.5) / 100).alias("confidence"),
     )

@@ -11,6 +11,7 @@ from ..functions import scripts as s
 from ..functions import text as t
 from ..functions.normalize import nfkd, normalize
 from ..operators import segment as seg
+from ..operators.passage_scan import scan
 from ..operators import sequence as seq
 from ..operators import structure as st
 from ..operators import studio, triage, versions
@@ -579,18 +580,47 @@ def block_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("conv_id", "turn", "tag", seg.route(F.col("tag"), F.col("text"), seg.admitted_scripts("en")).alias("bucket"))
 
 
-@query()
-def segmented_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of books in Indic letters, with flags and confidence (windows and look-behind: tested by fixtures)."""
+def _indic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spread(table(spark, sf_dir, "conversations"))
     number = F.concat(F.lit(" ॥"), t.format_number(F.col("turn") + 1, "gujr"), F.lit("॥ "))
     tag = F.when(F.col("role") == "system", "section-title").otherwise("paragraph")
     text = F.concat(indic(F.col("text")), number)
-    blocks = c.select(F.col("conv_id").alias("book"), F.floor(F.col("turn") / 2).cast("long").alias("page"), F.col("turn").alias("pos"), tag.alias("tag"), text.alias("text"))
-    out = seg.segment(blocks, "gujr", ["gujr", "deva"])
+    return c.select(F.col("conv_id").alias("book"), F.floor(F.col("turn") / 2).cast("long").alias("page"), F.col("turn").alias("pos"), tag.alias("tag"), text.alias("text"))
+
+
+@query()
+def segmented_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of books in Indic letters, with flags and confidence (a scan over states: tested against one pass)."""
+    out = seg.segment(_indic_blocks(spark, sf_dir), "gujr", ["gujr", "deva"])
     return out.withColumn("flags", F.array_join("flags", ",")).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
 
 
+@query()
+def segmented_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the same books, with titles and where they come from (tested against one pass)."""
+    return seg.segment_book(_indic_blocks(spark, sf_dir), "gujr", ["gujr", "deva"])[1]
+
+
+@query(
+    _with(
+        """, b AS (SELECT v.book_id AS book, d.ordinal AS page, v.ordinal AS pos, v.ordinal = 0 AND d.kind = '1-URGENT' AS heading, v.text, v.number FROM verses v JOIN divisions d ON v.book_id = d.book_id AND v.division_id = d.id),
+    s AS (SELECT *, sum(heading::INT) OVER (PARTITION BY book ORDER BY page, pos ROWS UNBOUNDED PRECEDING)::BIGINT AS section FROM b),
+    p AS (SELECT *, coalesce(sum((number IS NOT NULL)::INT) OVER (PARTITION BY book, section ORDER BY page, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passage FROM s WHERE NOT heading)
+    SELECT book, section, min(struct_pack(page := page, pos := pos)).page AS start_page, min(struct_pack(page := page, pos := pos)).pos AS start_pos, max(number) AS number, count(*) AS pieces,
+      string_agg(CASE WHEN number IS NULL THEN text ELSE text || ' ॥' END, '|' ORDER BY page, pos) AS texts FROM p GROUP BY book, section, passage"""
+    ).replace("\n, b AS", ", b AS", 1)
+)
+def passage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the passages of each book begin and end, read in chunks of two divisions."""
+    d = divisions(spark, sf_dir).select("book_id", F.col("id").alias("division_id"), F.col("ordinal").alias("page"), "kind")
+    v = verses(spark, sf_dir).select("book_id", "division_id", F.col("ordinal").alias("pos"), "text", "number").join(d, ["book_id", "division_id"])
+    text = F.concat("text", F.when(F.col("number").isNull(), "").otherwise(F.concat(F.lit(" ॥"), t.format_number(F.col("number"), "gujr"), F.lit("॥"))))
+    kind = F.when((F.col("pos") == 0) & (F.col("kind") == "1-URGENT"), "heading").otherwise("text")
+    out = scan(v.select(F.col("book_id").alias("book"), "page", "pos", kind.alias("kind"), text.alias("text")), "gujr", 2).where("kind = 'text'")
+    out = out.groupBy("book", "section", "start").agg(F.max("value").alias("number"), F.count("*").alias("pieces"), F.array_sort(F.collect_list(F.struct("page", "pos", "k", "text"))).alias("t"))
+    return out.select("book", "section", F.col("start.page").alias("start_page"), F.col("start.pos").alias("start_pos"), "number", "pieces", F.array_join("t.text", "|").alias("texts"))
+
+
 @query(page_spec_sql())
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of range lists, in order and each once, within the book."""
