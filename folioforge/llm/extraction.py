@@ -258,7 +258,7 @@ def written_pages(n: int, seed: int = 11) -> list[tuple[str, list[tuple[str, int
 
         html.append("<body>")
         outside(["head", "menu", "note", "ad", "form"], 4)
-        kind = rng.choice(["article", "article", "article", "main", "main article", "div", "div", "section"])
+        kind = rng.choice(["article", "article", "article", "main", "main article", "div", "div", "section", "", ""])  # the last: no container
         mark = f' {rng.choice(["class", "id"])}="{rng.choice(["content", "post", "entry-content", "article-body", "story", "main", "post-content", "text"])}"'
         tags = kind.split()
         for t in tags:

@@ -3,7 +3,8 @@
 Tags are read as HTML's tokenizer reads them: an attribute value ends at its own quote or, without one, at white space or
 ``>``; a lone quote is part of a name or value. A page is read once, in time linear in its length: a tag or comment that
 the page's end cuts off hides what is left of the page, a quote or an element that is never closed is looked for once, and
-the open elements are found by tables of their places, not by walks over the stack.
+the open elements are found by tables of their places, not by walks over the stack. What isn't shown is no text: hidden
+elements, and what stands for scripts where they are off.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 #: Fixed values of HTML: elements whose content is no text of the page, those of them that an open end makes the rest of
 #: the page, elements without an end, and elements that don't end a block.
-RAW = {"script", "style", "template", "textarea", "select", "title"}
+RAW = {"script", "style", "template", "textarea", "select", "title", "noscript"}
 OPEN_ENDED = {"script", "style"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set(
     "a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input map area "
     "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
-    "svg g text tspan noscript iframe object canvas audio video embed param source track".split()
+    "svg g text tspan iframe object canvas audio video embed param source track".split()
 )
 #: What a start tag closes when it is open above it, up to the first of the barriers; the last three close all of them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -70,22 +71,40 @@ def _words(attributes: str) -> tuple[str, ...]:
     return tuple(sorted({w for v in values for w in _SPLIT.split(v.lower()) if w}))
 
 
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def _hidden(attributes: str) -> bool:
+    """Whether an element isn't shown: the attribute hidden, or a style that says so."""
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for m in _MARKS.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 class _Stack:
-    """The open elements, with the places of each tag, of blocks and of barriers."""
+    """The open elements, with the places of each tag, of blocks, of barriers and of hidden elements."""
 
     def __init__(self) -> None:
         self.tags: list[str] = []
         self.at: dict[str, list[int]] = {}
         self.blocks: list[int] = []
         self.barriers: list[int] = []
+        self.hidden: list[int] = []
         self.elements: list[Element] = []
 
     def last(self, tag: str) -> int:
         places = self.at.get(tag)
         return places[-1] if places else -1
 
-    def push(self, tag: str, words: tuple[str, ...]) -> None:
+    def push(self, tag: str, words: tuple[str, ...], hidden: bool = False) -> None:
         k = len(self.tags)
+        if hidden:
+            self.hidden.append(k)
         self.tags.append(tag)
         self.at.setdefault(tag, []).append(k)
         if tag not in INLINE:
@@ -96,6 +115,8 @@ class _Stack:
 
     def pop(self, k: int) -> None:
         """Closes the element at a place and all inside it."""
+        while self.hidden and self.hidden[-1] >= k:
+            self.hidden.pop()
         while len(self.tags) > k:
             tag = self.tags.pop()
             self.at[tag].pop()
@@ -127,7 +148,7 @@ def blocks(page: str | None) -> list[Block]:
 
     def read(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not stack.hidden:
             if "&" in text:
                 text = html.unescape(text)
             texts.append(text)
@@ -190,6 +211,6 @@ def blocks(page: str | None) -> list[Block]:
         elif tag == "br":
             texts.append(" ")
         if tag not in VOID:
-            stack.push(tag, _words(m[3]) if block else ())
+            stack.push(tag, _words(m[3]) if block else (), _hidden(m[3]))
     flush()
     return out

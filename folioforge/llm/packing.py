@@ -8,8 +8,9 @@ postings (document, weight) by word, cut out of one sort of the shard's word has
 shard's documents stand in a matrix instead. The first unused document seeds a window of ``length`` tokens; all its words
 are looked up, and its unused neighbours, best first (ties: in the shard's order), fill the window greedily. The document
 at the window's end is cut there; what is left of it opens the next window as its seed. When a seed has no unused
-neighbour, the next unused document follows. So only the last sequence of a task is padded and every id lies in exactly one
-piece. Texts are shuffled once; memory is bounded by a shard, or by one longer text. Neighbours are looked for in the seed's
+neighbour, the next unused document follows. A task's last window stays open; one more pass puts the open windows of all
+tasks together (``GATHERED`` to a task), so only the last sequence of each task of that pass is padded. Every id lies in
+exactly one piece. Texts are shuffled once; memory is bounded by a shard, or by one longer text. Neighbours are looked for in the seed's
 shard: those whose keys lie elsewhere aren't found (the README states how many are).
 
 Ids come from the tokenizer, word by word: its patterns match no white space and its normaliser doesn't look across it,
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, gram_hashes, mix, shuffle_partitions, slices, string_views
+from .common import Texts, gram_hashes, materialize, mix, shuffle_partitions, slices, string_views
 
 SHARD_BYTES = 4 << 20
 #: Entries of the tables of pieces and of words; a full one starts anew (with the words of the shard), which changes no id.
@@ -306,42 +308,47 @@ def routed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.repartitionById(parts, F.col("task")).sortWithinPartitions("key", "doc_id").select("doc_id", "text")
 
 
-def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces (doc_id, start, ids, doc_tokens, sequence_id, offset); ids are little-endian unsigned 32-bit values."""
-    names = ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "ids", "doc_tokens", "sequence_id", "offset", "open"]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
+#: Open windows that a task of the last pass gathers.
+GATHERED = 2048
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _NAMES)
+
+
+def _pieces(docs: DataFrame, path: str, length: int, end: int, shard_bytes: int, with_ids: bool, id_col: str, text_col: str) -> DataFrame:
+    """All pieces; those of a task's last window are marked open and have their ids, the others only if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         number, fill = TaskContext.get().partitionId() << 40, 0
+        current: list[tuple] = []  # pieces of the open window
 
         def shard(ids: list[int | None], body: list[np.ndarray], lengths: list[int]) -> Iterator[pa.RecordBatch]:
-            nonlocal number, fill
+            nonlocal number, fill, current
             texts = Texts(np.concatenate(body) if body else np.zeros(0, np.uint8), np.cumsum([0, *lengths]))
             words = Words(texts)
             tokens, begin = encoder.encode(words, end)
             sizes = np.diff(begin)
-            rows: list[list] = [[] for _ in names]
-
-            def flush() -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names)
-                for v in rows:
-                    v.clear()
-                return out
-
+            done: list[tuple] = []
             for d in reading_order(Bm25(words), sizes, length, fill):
                 at, n = 0, int(sizes[d])
                 while at < n:
                     took = min(length - fill, n - at)
-                    for v, x in zip(rows, (ids[d], at, tokens[begin[d] + at : begin[d] + at + took].tobytes(), n, number, fill)):
-                        v.append(x)
+                    piece = tokens[begin[d] + at : begin[d] + at + took].tobytes()
+                    current.append((ids[d], at, took, crc32(piece), piece, n, number, fill, False))
                     at, fill = at + took, fill + took
                     if fill == length:
-                        number, fill = number + 1, 0
-                if len(rows[0]) >= 2000:
-                    yield flush()
-            if rows[0]:
-                yield flush()
+                        done += current if with_ids else [(*p[:4], None, *p[5:]) for p in current]
+                        number, fill, current = number + 1, 0, []
+                if len(done) >= 2000:
+                    yield _rows(done)
+                    done = []
+            if done:
+                yield _rows(done)
 
         ids: list[int | None] = []
         body: list[np.ndarray] = []
@@ -360,12 +367,45 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, shard_byt
                     ids, body, lengths, held = [], [], [], 0
         if ids:
             yield from shard(ids, body, lengths)
+        if current:
+            yield _rows([(*p[:-1], True) for p in current])
+
+    return routed(docs, id_col, text_col).mapInArrow(run, _SCHEMA)
+
+
+def _gathered(opened: DataFrame, parts: int, length: int, with_ids: bool) -> DataFrame:
+    """The pieces of open windows (one of each task at most), one after the other in windows of their own."""
 
-    return routed(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, fill = (parts + TaskContext.get().partitionId()) << 40, 0
+        for batch in batches:
+            out = []
+            for doc, start, _, _, ids, n, *_ in zip(*(c.to_pylist() for c in batch.columns)):
+                at = 0
+                while at < len(ids):
+                    piece = ids[at : at + 4 * (length - fill)]
+                    out.append((doc, start + at // 4, len(piece) // 4, crc32(piece), piece if with_ids else None, n, number, fill, False))
+                    at, fill = at + len(piece), fill + len(piece) // 4
+                    if fill == length:
+                        number, fill = number + 1, 0
+            if out:
+                yield _rows(out)
+
+    tasks = -(-parts // GATHERED)
+    # Windows stay whole and in order, so that neighbours in a window stay neighbours.
+    return opened.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(run, _SCHEMA)
+
+
+def _packed(docs: DataFrame, path: str, length: int, end: int, shard_bytes: int, with_ids: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    found = materialize(_pieces(docs, path, length, end, shard_bytes, with_ids, id_col, text_col), "pieces")
+    return found.where("NOT open").unionByName(_gathered(found.where("open"), shuffle_partitions(docs.sparkSession), length, with_ids))
+
+
+def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces (doc_id, start, ids, doc_tokens, sequence_id, offset); ids are little-endian unsigned 32-bit values."""
+    return _packed(docs, path, length, end, shard_bytes, True, id_col, text_col).select("doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 def packing_digest(docs: DataFrame, path: str, length: int = 2048) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
-    return pack(docs, path, length).select(
-        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    return _packed(docs, path, length, 1, SHARD_BYTES, False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

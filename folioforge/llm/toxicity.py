@@ -10,12 +10,11 @@ than clean ones, and a logistic model of how many of a text's words are listed,
 fitted on a sample of at most ``max_labelled`` labelled rows (those with the least hashes of their ids); equal texts of the
 sample count once. Nothing but the text enters a score.
 
-Broadcast are the trigram table (64**3 values), the sample's ids (``max_labelled``), and the lexicon (``LEXICON`` entries at
-most): none grows with the documents. Defined results: null and empty texts score as a text without listed words; an empty
+Broadcast are the trigram table (64**3 values), the sample's ids (``max_labelled``), and the lexicon (entries
+that ``LEAST_TEXTS`` toxic texts of the sample share): none grows with the documents. Defined results: null and empty texts score as a text without listed words; an empty
 table gives no rows; without labelled rows of both classes all scores are the share of toxic ones (0 if there are none);
 very long texts, tokens and spaced runs are read to their end, in time linear in their length; of equally likely
-restorations the least text is taken; entries of the lexicon that are equally frequent and equally toxic stand in the order
-of their text; repeated rows and rows of one id are scored each for itself; a document with several labels counts as toxic
+restorations the least text is taken; repeated rows and rows of one id are scored each for itself; a document with several labels counts as toxic
 if one of them is 1; extra columns are ignored by ``scores`` and kept by ``drop_toxic``, whatever their names.
 """
 
@@ -35,8 +34,8 @@ from .common import SLICE_BYTES, materialize, string_views
 
 MAX_LABELLED = 8192
 THRESHOLD = 0.7
-#: Entries of the lexicon, the least toxic texts and the least log-ratio of an entry.
-LEXICON, LEAST_TEXTS, LEAST_RATIO = 65_536, 4, math.log(6)
+#: The least toxic texts of the sample and the least log-ratio of an entry of the lexicon.
+LEAST_TEXTS, LEAST_RATIO = 4, math.log(6)
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 256
 
 #: Letters that a sign may stand for.
@@ -285,7 +284,7 @@ def _listed(sample: DataFrame, reader: Reader) -> dict[str, float]:
     sums = sample.select("text", "toxic").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     half = 0.5
     ratio = F.log((F.col("t") + half) / (classes.get(1, 0) + 2 * half)) - F.log((F.col("c") + half) / (classes.get(0, 0) + 2 * half))
-    top = sums.where(F.col("t") >= LEAST_TEXTS).select("entry", ratio.alias("w"), "t").where(F.col("w") > LEAST_RATIO).orderBy(F.desc("t"), F.desc("w"), "entry").limit(LEXICON)
+    top = sums.where(F.col("t") >= LEAST_TEXTS).select("entry", ratio.alias("w"), "t").where(F.col("w") > LEAST_RATIO)
     return {r["entry"]: r["w"] for r in top.collect()}
 
 

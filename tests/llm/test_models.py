@@ -154,7 +154,7 @@ def leaf(page):
         ("<p title=it's>Hello world</p>x", [("Hello world", ["p"]), ("x", [])]),
         ('<a b="c>d">e</a> <i x=a"b>f</i>', [("e f", [])]),
         ("x<math><mi>y</mi></math>z", [("xyz", [])]),
-        ("<p>a<svg><title>t</title><text>in</text></svg> b<noscript>n</noscript>", [("ain bn", ["p"])]),
+        ("<p>a<svg><title>t</title><text>in</text></svg> b<noscript>n</noscript>", [("ain b", ["p"])]),
         ("<p>k<select><option>o</select>l<textarea>m</textarea></p>", [("kl", ["p"])]),
         ("<select><p>never closed", [("never closed", ["p"])]),
         ("a < b <3 &amp; c</>d</ e>f<!-->g<!-- h --!>i-->j<?k>l<!m>n", [("a < b <3 & cdfgjln", [])]),
@@ -241,3 +241,24 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("doc_id = 2002").first()["text"] == "ordinary words then [SECRET] and so on"
     pieces = pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == seen[3]
+
+
+def test_pages_without_containers_and_what_is_not_shown(spark):
+    sentence = "This is a whole sentence of a page that has no container at all, and it says quite a lot."
+    rows = [
+        (1, f"<p>{sentence}</p>"),
+        (2, f"<html><body><h1>A title of it</h1><p>{sentence}</p><p>{sentence} Again.</p></body></html>"),
+        (3, f"<p>{sentence[:-1]} here.<noscript>Please enable JavaScript to view.</noscript></p>"),
+        (4, f"<article><p>{sentence}</p><div hidden><p>Not shown, as it is hidden from all.</p></div><p style='color:red; display : none'>Nor this.</p><p>{sentence} End.<span hidden>x</span></p></article>"),
+        (5, f"<body><nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></nav><p>{sentence}</p><p>{sentence} More.</p><footer>© somebody</footer></body>"),
+        (6, f"<article><p>{sentence}</p><noscript><p>never closed</p></article>"),
+        (7, f"<article hidden><p>{sentence}</p></article>"),
+    ]
+    df = spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in extraction.extract(df).collect()}
+    assert out[1] == sentence
+    assert out[2] in (f"A title of it\n\n{sentence}\n\n{sentence} Again.", f"{sentence}\n\n{sentence} Again.")
+    assert out[3] == f"{sentence[:-1]} here."
+    assert out[4] == f"{sentence}\n\n{sentence} End."
+    assert out[5] == f"{sentence}\n\n{sentence} More."
+    assert out[6].startswith(sentence) and out[7] == ""

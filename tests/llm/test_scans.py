@@ -128,6 +128,34 @@ def test_packing_round_trip(spark):
     assert repeated.where("start = 0").count() == 2
 
 
+def test_sequences_are_full_with_more_tasks_than_sequences(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"word{rng.randrange(300)}" for _ in range(rng.randint(1, 60)))) for k in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        out = packing.pack(make(spark, rows).repartition(9), tokenizer_path("word_bpe_49k.json"), length=256, shard_bytes=500).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    used, of_doc = {}, {}
+    for r in out:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], len(r["ids"]) // 4))
+        of_doc.setdefault(r["doc_id"], []).append((r["start"], len(r["ids"]) // 4, r["doc_tokens"]))
+    for spans in used.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at <= 256
+    assert sum(sum(n for _, n in spans) < 256 for spans in used.values()) <= 1
+    for spans in of_doc.values():
+        at = 0
+        for start, n, total in sorted(spans):
+            assert start == at and n > 0
+            at += n
+        assert at == total
+
+
 def shard_of(bodies):
     return packing.Words(packing.Texts(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)])))
 
