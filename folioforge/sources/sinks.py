@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.studio import last_writer, remaining
+from .ledger import Ledger
 from .shared import materialize
 
 #: What the catalog keeps of a package: its manifest without the tree and what belongs to it.
@@ -14,20 +16,14 @@ DROPPED = ("structure", "aliases")
 
 
 def append_results(results: DataFrame, path: str, keys: list[str], source: str = "source_sha256") -> DataFrame:
-    """Appends the results that the table at ``path`` has not kept yet (same keys and source hash); returns what was missing.
+    """Adds the results that the ledger at ``path`` has not kept yet (same keys and source hash), as one batch; returns them.
 
-    Running it again appends nothing, so a run that stopped goes on where it was.
+    Running it again adds nothing, so a run that stopped goes on where it was; one that died while it wrote has added nothing.
     """
-    try:
-        kept = results.sparkSession.read.schema(results.schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        todo = results  # the first run
-    else:
-        todo = remaining(results, kept, keys, source)
-    todo = materialize(todo, "results")  # what was missing before, not after, they are written
-    todo.write.mode("append").parquet(path)
+    ledger = Ledger(results.sparkSession, path, results.schema)
+    todo = materialize(remaining(results, ledger.read(), keys, source), "results")  # what was missing before, not after, they are written
+    if not todo.isEmpty():
+        ledger.append(uuid.uuid4().hex, todo)
     return todo
 
 

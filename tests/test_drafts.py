@@ -52,6 +52,7 @@ def test_results_are_appended_once_and_packages_written_once(spark, tmp_path):
     import pytest
 
     from folioforge.sources import sinks
+    from folioforge.sources.ledger import Ledger
 
     s = "page int, source_sha256 string, chars int, at int"
     first = spark.createDataFrame([(1, "h", 10, 1), (2, "h", 20, 1)], s)
@@ -59,7 +60,7 @@ def test_results_are_appended_once_and_packages_written_once(spark, tmp_path):
     assert sinks.append_results(first, path, ["page"]).count() == 2
     again = spark.createDataFrame([(1, "h", 11, 2), (2, "new", 21, 2), (3, "h", 30, 2)], s)
     assert rows(sinks.append_results(again, path, ["page"]).select("page", "chars"), "page") == [(2, 21), (3, 30)]
-    now = spark.read.parquet(path)
+    now = Ledger(spark, path, first.schema).read()
     assert now.count() == 4 and rows(sinks.current_results(now, ["page"], "at").select("page", "chars"), "page") == [(1, 10), (2, 21), (3, 30)]
     packages = spark.createDataFrame([("b", "1.0.0", '{"id":"b"}')], "book_id string, content_version string, document string")
     out = sinks.write_once(packages, str(tmp_path / "books"))
