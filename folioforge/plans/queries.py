@@ -650,4 +650,4 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.col("window.start").alias("hour"), "n", F.round("total", 4).alias("total"))
 
 
-from . import documents, drafts, editing, scalars  # noqa: E402, F401  (they register their queries)
+from . import documents, drafts, editing, scalars, writing  # noqa: E402, F401  (they register their queries)
