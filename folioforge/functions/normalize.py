@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import scripts as s
 
-REPAIR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType()), T.StructField("marker", T.IntegerType())])
+REPAIR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType()), T.StructField("context", T.StringType()), T.StructField("marker", T.IntegerType())])
 NORMALIZED = T.StructType(
     [T.StructField("text", T.StringType()), T.StructField("repairs", T.ArrayType(REPAIR)), T.StructField("lines_joined", T.IntegerType()), T.StructField("controls_removed", T.IntegerType()), T.StructField("footnote_markers", T.ArrayType(T.IntegerType())), T.StructField("changed", T.BooleanType())]
 )
@@ -25,6 +25,8 @@ def _python(pattern: str) -> str:
 
 _CONTROL = re.compile("[\x00-\x09\x0b-\x1f\x7f-\x9f]")
 _HYPHENS = "-\u00ad\u2010"
+#: Characters that a repair's context shows on either side.
+AROUND = 8
 
 
 def _repair_pattern(script: str, footnotes: bool) -> re.Pattern[str]:
@@ -49,38 +51,57 @@ def normalize_one(text: str, script: str, join: bool = True, footnotes: bool = T
     source = unicodedata.normalize("NFC", text)
     clean, controls = _CONTROL.subn("", source)
     paragraphs = [[line for line in (" ".join(x.split()) for x in p.split("\n")) if line] for p in re.split(r"\n\s*\n", clean)]
-    body, hyphens, joined = "", [], 0
+    # Pieces of the body, joined once; ``size`` is what they come to.
+    parts, hyphens, joined, size = [], [], 0, 0
+
+    def add(piece: str) -> None:
+        nonlocal size
+        parts.append(piece)
+        size += len(piece)
+
     for k, lines in enumerate(p for p in paragraphs if p):
-        body += "\n" if k else ""
+        add("\n" if k else "")
         for i, line in enumerate(lines):
             if i:
                 joined += 1
-                if join and body[-1] in _HYPHENS:
-                    hyphens.append((len(body) - 1, body[-1]))
-                    body = body[:-1]
+                end = parts[-1]
+                if join and end[-1] in _HYPHENS:
+                    parts[-1], size = end[:-1], size - 1
+                    hyphens.append((size, end[-1]))
+                    # A line that was nothing but its hyphen leaves an empty piece, and what stood before it ends the body.
+                    while len(parts) > 1 and not parts[-1]:
+                        parts.pop()
                 else:
-                    body += " " if join else "\n"
-            body += line
+                    add(" " if join else "\n")
+            add(line)
+    body = "".join(parts)
     key = (script, footnotes)
     pattern = _PATTERNS.setdefault(key, _repair_pattern(*key))
     events = [(m.start(), 1, m) for m in pattern.finditer(body)] + [(at, 0, mark) for at, mark in hyphens]
-    out, done, repairs, markers = "", 0, [], []
+    written, size, done, repairs, markers = [], 0, 0, [], []
+
+    def repaired(kind: str, at: int, before: str, after: str, context: str, marker: int | None = None) -> None:
+        repairs.append({"kind": kind, "at": at, "before": before, "after": after, "context": context, "marker": marker})
+
     for at, kind, found in sorted(events, key=lambda e: e[:2]):
         if at > done:
-            out += body[done:at]
-            done = at
+            written.append(body[done:at])
+            size, done = size + at - done, at
+        around = body[max(0, at - AROUND) : at + AROUND]
         if not kind:
-            repairs.append({"kind": "hyphen-join", "at": len(out), "before": found, "after": "", "marker": None})
+            repaired("hyphen-join", size, found, "", "")
         elif found.groupdict().get("matra"):
             after = found["cluster"] + found["matra"]
-            repairs.append({"kind": "pre-base-matra-order", "at": len(out), "before": found[0], "after": after, "marker": None})
-            out, done = out + after, found.end()
+            repaired("pre-base-matra-order", size, found[0], after, around)
+            written.append(after)
+            size, done = size + len(after), found.end()
         else:
             value = int("".join(str(unicodedata.digit(c)) for c in found["digits"]))
-            repairs.append({"kind": "footnote-marker", "at": len(out), "before": found["digits"], "after": "", "marker": value})
+            repaired("footnote-marker", size, found["digits"], "", around, value)
             markers.append(value)
             done = found.end()
-    out = (out + body[done:]).rstrip()
+    written.append(body[done:])
+    out = "".join(written).rstrip()
     return {"text": out, "repairs": repairs, "lines_joined": joined, "controls_removed": controls, "footnote_markers": markers, "changed": out != text}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..functions.refs import verse_hash
-from .sequence import check_sequence
+from .sequence import check_sequence, unique_ids
 
 
 def division_key(path: Column) -> Column:
@@ -157,9 +157,9 @@ def assemble_units(passages: DataFrame, layer: str) -> DataFrame:
     v = passages.join(sections, ["book", "section"]).withColumn("_k", F.row_number().over(own))
     page = F.coalesce(F.get("pages", F.lit(0)).cast("long"), (F.col("_s") - 1).cast("long"))
     natural = F.when(F.col("number").isNotNull(), F.concat(F.lit("v"), F.col("number").cast("string"))).otherwise(F.concat(F.lit("p"), page.cast("string"), F.lit("-"), F.col("_k").cast("string")))
-    v = v.withColumn("_id", natural).withColumn("_n", F.row_number().over(Window.partitionBy("book", "section", "_id").orderBy("pos")))
+    v = unique_ids(v.withColumn("_id", natural), ["book", "section"], "_id", ["pos"])
     layers = F.create_map(F.lit(layer), F.col("text"))
-    id_ = F.when(F.col("_n") > 1, F.concat_ws("-", "_id", F.col("_n").cast("string"))).otherwise(F.col("_id"))
+    id_ = F.col("unique_id")
     division = F.concat(F.lit("section-"), F.col("_s").cast("string"))
     return v.select(
         "book", division.alias("division_id"), id_.alias("id"), (F.col("_k") - 1).cast("long").alias("ordinal"), "number", layers.alias("layers"), verse_hash(layers).alias("hash"),

@@ -81,11 +81,11 @@ _SUFFIXES = "(-([2-9]|[1-9][0-9]+))+$"
 
 
 def _give_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gives each row, in order, its own id or the first free one behind it; what is known of a family begins anew with each family."""
+    """Gives each row, in order, its own id or the first free one behind it; the last columns are the id it wants and its family."""
     family, seen, upto = None, set(), {}
     for batch in batches:
         out = []
-        for of, wanted in zip(batch.column(batch.schema.get_field_index("_family")).to_pylist(), batch.column(batch.schema.get_field_index("_wanted")).to_pylist()):
+        for wanted, of in zip(*(c.to_pylist() for c in batch.columns[-2:])):
             if of != family:
                 family, seen, upto = of, set(), {}
             base, _, last = wanted.rpartition("-")
@@ -100,7 +100,7 @@ def _give_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 seen.add(wanted)
                 out.append(wanted)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "unique_id"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], [*batch.schema.names[:-2], "unique_id"])
 
 
 def unique_ids(rows: DataFrame, keys: list[str], id_col: str, order: list[str]) -> DataFrame:
@@ -110,21 +110,31 @@ def unique_ids(rows: DataFrame, keys: list[str], id_col: str, order: list[str])
     same, the place of a row says its suffix, however many rows there are; other families are folded in order, each as a
     stream through one task that keeps its distinct ids. A null id stays null. Equal rows must be told apart by ``order``.
     """
-    own = rows.where(F.col(id_col).isNotNull()).withColumn("_wanted", F.col(id_col).cast("string")).withColumn("_root", F.regexp_replace("_wanted", _SUFFIXES, ""))
-    several = own.groupBy(*keys, "_root").agg((F.min("_wanted") != F.max("_wanted")).alias("_several"))
+    names = rows.columns
+    wanted, root, several, place, family = (_free(names, n) for n in ("wanted", "root", "several", "place", "family"))
+    own = rows.where(F.col(id_col).isNotNull()).withColumn(wanted, F.col(id_col).cast("string")).withColumn(root, F.regexp_replace(wanted, _SUFFIXES, ""))
+    mixed = own.groupBy(*keys, root).agg((F.min(wanted) != F.max(wanted)).alias(several))
     same = F.lit(True)
-    for k in [*keys, "_root"]:
+    for k in [*keys, root]:
         same &= F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}"))
-    own = own.alias("o").join(several.alias("s"), same).select("o.*", "s._several")
-    alone = ranked(own.where("NOT _several"), [*keys, "_wanted"], order, "_place")
-    alone = alone.select(*rows.columns, F.when(F.col("_place") > 1, F.concat_ws("-", "_wanted", F.col("_place").cast("string"))).otherwise(F.col("_wanted")).alias("unique_id"))
-    folded = own.where("_several").withColumn("_family", F.to_json(F.struct(*keys, "_root"), {"ignoreNullFields": "false"})).select(*rows.columns, "_wanted", "_family")
-    folded = folded.repartition("_family").sortWithinPartitions("_family", *order)
-    schema = T.StructType([*folded.schema.fields, T.StructField("unique_id", T.StringType())])
-    folded = folded.mapInArrow(_give_ids, schema).select(*rows.columns, "unique_id")
+    own = own.alias("o").join(mixed.alias("s"), same).select("o.*", f"s.{several}")
+    alone = ranked(own.where(~F.col(several)), [*keys, wanted], order, place)
+    alone = alone.select(*names, F.when(F.col(place) > 1, F.concat_ws("-", wanted, F.col(place).cast("string"))).otherwise(F.col(wanted)).alias("unique_id"))
+    folded = own.where(several).withColumn(family, F.to_json(F.struct(*keys, root), {"ignoreNullFields": "false"})).select(*names, wanted, family)
+    folded = folded.repartition(family).sortWithinPartitions(family, *order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("unique_id", T.StringType())])
+    folded = folded.mapInArrow(_give_ids, schema)
     return alone.unionByName(folded).unionByName(rows.where(F.col(id_col).isNull()).withColumn("unique_id", F.lit(None).cast("string")))
 
 
+def _free(columns: list[str], name: str) -> str:
+    """The name between underscores, with more of them until no column has it."""
+    name = f"_{name}_"
+    while name in columns:
+        name += "_"
+    return name
+
+
 def ordinals(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Adds ordinal: the place of each row within keys, from 0."""
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)

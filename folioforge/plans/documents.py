@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import assemble
 from ..operators import documents as docs
+from ..sources.shared import materialize
 from .derived import divisions, verses
 from .registry import query, with_tables
 
@@ -72,3 +74,18 @@ def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of whole documents at their places: control characters in every tenth book, ids that repeat in the others."""
     found = docs.validate_books(_documents(spark, sf_dir, faults=True), "book")
     return found.groupBy(F.col("doc").alias("book"), "severity", "code", "path").agg(F.count("*").alias("issues"))
+
+
+@query(with_tables("SELECT 'b' || v.book_id AS book, count(*) AS verses, 0::BIGINT AS errors, count(DISTINCT division_id) AS sections FROM verses v JOIN divisions d ON d.book_id = v.book_id AND d.id = v.division_id GROUP BY v.book_id"))
+def assembled_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draft packages of books whose orders are sections, and how many errors validation finds in them."""
+    book = F.concat(F.lit("b"), F.col("book_id").cast("string")).alias("book")
+    d = divisions(spark, sf_dir).select("book_id", F.col("id").alias("division_id"), (F.col("ordinal") + 1).alias("section"))
+    p = verses(spark, sf_dir).join(d, ["book_id", "division_id"]).select(book, "section", F.col("ordinal").alias("pos"), "number", "text", F.lit("prose").alias("form"), "pages")
+    sections = p.groupBy("book", "section").agg(F.count("*").alias("passages")).withColumn("title", F.lit(None).cast("string"))
+    books = p.select("book").distinct()
+    manifests = books.select("book", F.lit("scan").alias("source"), F.lit("0").alias("sha256"), F.lit("none").alias("engine"))
+    made = materialize(assemble.packages(p, sections, assemble.default_metadata(books), manifests), "assembled")
+    errors = docs.validate_books(made, "book").where("severity = 'error'").groupBy(F.col("doc").alias("book")).agg(F.count("*").alias("errors"))
+    n = F.size(F.from_json(F.get_json_object("document", "$.structure"), "array<struct<id:string>>")).cast("long")
+    return made.join(errors, "book", "left").select("book", "verses", F.coalesce("errors", F.lit(0).cast("long")).alias("errors"), n.alias("sections"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import findings
 from ..functions import refs as r
 from ..functions import scripts as s
 from ..functions import text as t
@@ -308,6 +309,24 @@ def orthography_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("doc_id", "o.*")
 
 
+#: All faults by their places (from 1), and what is reported of them.
+_FINDINGS_SQL = _PLACES_SQL.split("\nf AS (")[0] + f"""
+x AS (SELECT doc_id, text, list_concat(list_filter(r, lambda i: l[i] = 's' AND i > 1 AND l[i - 1] = 's'),
+  list_filter(r, lambda i: l[i] = 's' AND NOT (i > 1 AND l[i - 1] IN ('s', 'c', 'v')) AND NOT (i > 2 AND l[i - 1] = 'n' AND l[i - 2] IN ('c', 'v'))),
+  list_filter(r, lambda i: l[i] = 'v' AND i < len(l) AND l[i + 1] = 's'), list_filter(r, lambda i: l[i] = 'v' AND NOT (i > 1 AND l[i - 1] = 'c') AND NOT (i > 2 AND l[i - 1] = 'n' AND l[i - 2] = 'c'))) AS p,
+  len(list_filter(l, lambda x: x IN ('s', 'v', 'c'))) AS examined, contains(text, chr({s.PRE_BASE_MATRA['gujr']})) AS has_matra FROM h),
+y AS (SELECT *, (examined >= 300 AND NOT has_matra)::BIGINT AS lost FROM x)
+SELECT doc_id, len(p) + lost AS faults, examined, least(len(p), 12) + lost AS reported, list_min(p) - 1 AS first_at, substr(text, greatest(list_min(p) - 6, 1), list_min(p) + 6 - greatest(list_min(p) - 6, 1)) AS sample FROM y"""
+
+
+@query(_INDIC_SRC + _FINDINGS_SQL)
+def orthography_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults with their places: how many, how many are reported, and the first with the text around it."""
+    o = _indic(spark, sf_dir).select("doc_id", findings.orthography_findings(F.col("text"), "gujr").alias("o"))
+    first = F.get(F.filter("o.violations", lambda v: v["at"] >= 0), F.lit(0))
+    return o.select("doc_id", F.col("o.count").alias("faults"), F.col("o.examined").alias("examined"), F.size("o.violations").cast("long").alias("reported"), first["at"].cast("long").alias("first_at"), first["sample"].alias("sample"))
+
+
 @query()
 def aksharas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syllables of texts with Indic letters, and the first of them (look-ahead and possessive repeats: no SQL; tested by fixtures)."""

@@ -106,6 +106,9 @@ def test_unique_ids_equal_one_pass_in_order(spark):
     some = lambda: rng.choice(["v1", "v1", "v2", ""]) + rng.choice(["", "", "-2", "-3", "-2-2", "-02", "-1", "-10", "-x", "-"])
     rows = [(rng.choice([1, 2, None]), k, some()) for k in range(600)] + [(3, 1000 + k, "hot") for k in range(500)]
     df = spark.createDataFrame(rows, "division int, k int, id string").repartition(5)
+    clash = df.withColumn("_place_", F.lit(7)).withColumn("_wanted_", F.lit("w")).withColumn("_place", F.col("k"))
+    out = seq.unique_ids(clash, ["division"], "id", ["k"])
+    assert out.columns == [*clash.columns, "unique_id"] and out.where("_place_ <> 7 OR _wanted_ <> 'w' OR _place <> k").count() == 0
     got = {r["k"]: r["unique_id"] for r in seq.unique_ids(df, ["division"], "id", ["k"]).collect()}
     assert got == given(rows)
     assert seq.unique_ids(df.limit(0), ["division"], "id", ["k"]).count() == 0
