@@ -31,7 +31,12 @@ def count_class(col: Column, char_class: str, runs: bool = True) -> Column:
 
 def script_profile(col: Column) -> Column:
     """Letters by script (gujr, deva, latn, other), their total, the dominant script and its share of the total."""
-    counts = F.struct(*(count_class(col, c).alias(k) for k, c in s.SCRIPT_CLASS.items()), (F.length(col).cast("long") - count_class(col, s.cls(s.NEUTRAL))).alias("total"))
+    # Latin letters go first, then what is neutral: the other classes are counted in the little that is left of most texts.
+    without = lambda x, c: F.regexp_replace(x, f"{c}+", "")
+    first = F.array(F.struct(F.length(col).cast("long").alias("n"), without(col, s.SCRIPT_CLASS["latn"]).alias("a")))
+    second = F.transform(first, lambda x: F.struct((x["n"] - F.length(x["a"])).alias("latn"), without(x["a"], s.cls(s.NEUTRAL)).alias("b")))
+    others = [k for k in s.SCRIPT_CLASS if k != "latn"]
+    counts = F.transform(second, lambda x: F.struct(x["latn"].alias("latn"), (x["latn"] + F.length(x["b"])).alias("total"), *(count_class(x["b"], s.SCRIPT_CLASS[k]).alias(k) for k in others)))
 
     def profile(c: Column) -> Column:
         n = {k: c[k] for k in s.SCRIPT_CLASS}
@@ -43,7 +48,7 @@ def script_profile(col: Column) -> Column:
         share = F.when(c["total"] == 0, F.lit(0.0)).otherwise(most.cast("double") / c["total"])
         return F.struct(*(n[k].alias(k) for k in ("gujr", "deva", "latn", "other")), c["total"].alias("total"), dominant.alias("dominant"), share.alias("share"))
 
-    return F.transform(F.array(counts), profile)[0]  # each class is counted once
+    return F.transform(counts, profile)[0]  # each class is counted once
 
 
 def script_share(col: Column, script: str) -> Column:
