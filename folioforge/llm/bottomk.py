@@ -116,6 +116,10 @@ def group_sketches(docs: DataFrame, by: str, k: int = K, size: int = SHINGLE, te
     return rows.mapInArrow(parts, "grp string, sketch string").groupBy("grp").applyInArrow(whole, "grp string, sketch string, n_distinct double")
 
 
+#: What stands for a null id: no id is less.
+LEAST_ID = -(1 << 63)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, look, doc_id, text, tie) so dealt and sorted that in a bucket each row's successor by descending id follows it.
 
@@ -125,25 +129,41 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     points = [i / parts for i in range(1, parts)] or [0.5]
     cuts = rows.agg(F.percentile_approx("doc_id", points, 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.coalesce("doc_id", F.lit(-(1 << 63))))) if cuts else F.lit(0)
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("bucket", bucket)
+    cuts = np.unique(np.array(cuts, dtype=np.int64))  # fewer than there are tasks
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+
+    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (a null: the least), ties and buckets of rows; greater ids have lesser buckets."""
+        ids = batch.column(0).fill_null(LEAST_ID).to_numpy()
+        return ids, batch.column(batch.num_columns - 1).to_numpy(), len(cuts) - np.searchsorted(cuts, ids)
+
+    def greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            ids, ties, buckets = places(batch)
+            order = np.lexsort((ties, ids, buckets))
+            last = order[np.append(np.flatnonzero(np.diff(buckets[order])), len(order) - 1)] if len(order) else order
+            for b, i, t in zip(buckets[last].tolist(), ids[last].tolist(), ties[last].tolist()):
+                most[b] = max(most.get(b, (i, t)), (i, t))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(most), [m[0] for m in most.values()], [m[1] for m in most.values()])], ["bucket", "id", "tie"])
+
     # The first row of each bucket: one for each range.
-    least = F.lit(-(1 << 63))
-    order = F.struct(F.coalesce("doc_id", least).alias("id"), F.col("tie"))
-    firsts = [(r["bucket"], r["m"]["id"], r["m"]["tie"]) for r in rows.groupBy("bucket").agg(F.max(order).alias("m")).orderBy("bucket").collect()]
-    before = {f: firsts[k - 1][0] for k, f in enumerate(firsts)}  # the last bucket goes before the first
-    target = F.create_map(*(x for (b, i, t), to in before.items() for x in (F.concat_ws(":", F.lit(str(i)), F.lit(str(t))), F.lit(to)))) if before else None
-    key = F.concat_ws(":", F.coalesce("doc_id", least).cast("string"), F.col("tie").cast("string"))
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("look"))
-    if target is None:
-        places = F.array(own)
-    else:
-        is_first = F.coalesce("doc_id", least).isin([i for _, i, _ in firsts])
-        copy = F.struct(F.try_element_at(target, key).alias("bucket"), F.lit(True).alias("look"))
-        places = F.when(is_first, F.filter(F.array(own, copy), lambda p: p["bucket"].isNotNull())).otherwise(F.array(own))
-    dealt = rows.withColumn("p", F.explode(places)).select("p.bucket", "p.look", "doc_id", "text", "tie")
-    return dealt.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "look", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    order = F.struct("id", "tie")
+    found = rows.select("doc_id", "tie").mapInArrow(greatest, "bucket long, id long, tie long").groupBy("bucket").agg(F.max(order).alias("m")).orderBy("bucket").collect()
+    firsts = [(r["bucket"], r["m"]["id"], r["m"]["tie"]) for r in found]
+    target = {(i, t): firsts[k - 1][0] for k, (_, i, t) in enumerate(firsts)}  # the last bucket goes before the first
+    first_ids = np.array([i for _, i, _ in firsts], dtype=np.int64)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ties, buckets = places(batch)
+            copied = [k for k in np.flatnonzero(np.isin(ids, first_ids)).tolist() if (int(ids[k]), int(ties[k])) in target]
+            for rows, to, look in ((batch, buckets, False), (batch.take(pa.array(copied, pa.int64())), [target[int(ids[k]), int(ties[k])] for k in copied], True)):
+                if rows.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([look] * rows.num_rows), *rows.columns], ["bucket", "look", "doc_id", "text", "tie"])
+
+    out = rows.mapInArrow(dealt, "bucket int, look boolean, doc_id long, text string, tie long")
+    return out.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "look", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
 
 
 def edited_digest(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
