@@ -14,10 +14,12 @@ from . import scripts as s
 
 #: Fixed value: common English words.
 ENGLISH_WORDS = (
-    "the of and to a in is it that was for on are with as at be this have from or by one had not but what all were we when your can said there use an each "
-    "which she do how their if will up other about out many then them these so some her would make like him into time has look two more write see no way "
-    "could people my than been who its now did get come made may part over new also"
-).split()
+    "the", "of", "and", "to", "a", "in", "is", "it", "that", "was", "for", "on", "are", "with", "as", "at", "be", "this", "have", "from", "or", "by",
+    "one", "had", "not", "but", "what", "all", "were", "we", "when", "your", "can", "said", "there", "use", "an", "each", "which", "she", "do", "how",
+    "their", "if", "will", "up", "other", "about", "out", "many", "then", "them", "these", "so", "some", "her", "would", "make", "like", "him",
+    "into", "time", "has", "look", "two", "more", "write", "see", "no", "way", "could", "people", "my", "than", "been", "who", "its", "now", "did",
+    "get", "come", "made", "may", "part", "over", "new", "also",
+)
 
 
 def count(col: Column, pattern: str) -> Column:
