@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialize, text_or_empty
 
 FILTERS = "ABCDE"
 CELLS = 1 << len(FILTERS)
@@ -63,6 +63,7 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     groups = rows.groupBy("digest", "part", "bits").agg(
         F.min("_id").alias("least"), *(F.sum(k).alias(k) for k in KINDS), *(F.min_by(k, "_id").alias(f"first_{k}") for k in KINDS)
     )
+    groups = materialize(groups, "copies")  # read twice, and the texts behind it once
     of_all = groups.groupBy("digest").agg(F.min("least").alias("least_of_all"))
     groups = groups.join(of_all, "digest")
     first = [
