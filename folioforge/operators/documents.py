@@ -166,6 +166,11 @@ def units(nodes: DataFrame) -> DataFrame:
     )
 
 
+def live_refs(nodes: DataFrame) -> DataFrame:
+    """(doc, ref): every ref that a document has, its units' and its own, once."""
+    return nodes.where(F.col("shape").isin("book", "division", "verse") & F.col("ref").isNotNull()).select("doc", "ref").distinct()
+
+
 def _normal(rows: DataFrame) -> DataFrame:
     """Values in normal form C; only those that aren't ASCII go to Python."""
     entries = rows.select("*", F.to_json("values").alias("_json"))
@@ -199,7 +204,7 @@ def integrity_issues(nodes: DataFrame) -> DataFrame:
         _issues(verses.where(F.col("hash").isNotNull() & (F.col("hash") != verse_hash(F.col("values")))), "hash-mismatch", F.col("ref")),
     ]
     aliases = heads.select("doc", "book", F.explode("aliases").alias("source", "target"))
-    live = u.select("doc", "ref").unionByName(heads.select("doc", F.col("book").alias("ref"))).distinct().withColumn("_live", F.lit(True))
+    live = live_refs(nodes).withColumn("_live", F.lit(True))
     for side, code, wanted in (("source", "alias-source-live", True), ("target", "alias-target-missing", False)):
         j = aliases.select("doc", "book", F.col(side).alias("ref"), F.concat(F.lit("/aliases/"), "source").alias("path")).join(live, ["doc", "ref"], "left")
         foreign = F.regexp_extract("ref", "^[^/#]*", 0) != F.col("book")

@@ -130,6 +130,7 @@ def test_walk_equals_the_flattener_and_the_way_back_is_the_identity(spark):
     mine = sorted(map(str, d.units(nodes).select(*columns).collect()))
     assert mine == sorted(map(str, st.flatten_books(df).select(*columns).collect()))
     assert [r["id"] for r in d.units(nodes).where("doc = 'a'").orderBy("ord").collect()] == ["one", "v1", "deep", "v1", "v2", "v3", "v9", "two", "v1"]
+    assert sorted(r["ref"] for r in d.live_refs(nodes).where("doc = 'a'").collect()) == sorted(["own-book", "own-book/one", "own-book/two", "own-book/one/deep", "own-book#v9", *(f"own-book/{r}" for r in ("one#v1", "one#v3", "one/deep#v1", "one/deep#v2", "two#v1"))])
     out = {r["doc"]: json.loads(r["document"]) for r in d.rebuild_books(nodes).collect()}
     for b in books.values():
         v = b["structure"][0]["children"][1]["children"][0]
