@@ -238,7 +238,7 @@ def english_word_rate(col: Column) -> Column:
     words = F.regexp_extract_all(F.lower(col), F.lit("[a-z]+"), F.lit(0))
 
     def rate(w: Column) -> Column:
-        hits = F.size(F.filter(w, lambda x: x.isin(ENGLISH_WORDS)))  # a hash set
+        hits = F.size(F.filter(w, lambda x: x.isin(*ENGLISH_WORDS)))  # a hash set
         return F.when(F.size(w) < 8, F.lit(0.0)).otherwise(hits.cast("double") / F.size(w))
 
     return F.transform(F.array(words), rate)[0]  # the words are found once
