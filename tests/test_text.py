@@ -148,3 +148,16 @@ def test_refs_and_versions(spark):
     assert values(df, r.ref_contains(F.lit("b/c"), F.col("x"))) == [True, False, False, False, True]
     bumps = spark.createDataFrame([(0, "1.9.0", "1.10.0"), (1, "1.0.0", "2.0.0"), (2, "1.0.0", "1.0.0"), (3, "x", "1.0.0"), (4, "1.0.0", "1.0.1")], "i int, a string, b string")
     assert values(bumps, r.bump_between(F.col("a"), F.col("b"))) == ["minor", "major", None, None, "patch"]
+
+
+def test_hashes_of_many_and_of_long_texts(spark):
+    def fnv(text):
+        h = r.FNV_OFFSET
+        for b in text.encode():
+            h = (h ^ b) * r.FNV_PRIME % 2**64
+        return f"{h:016x}"
+
+    texts = ["પાઠ" * k for k in range(40)] + ["x" * 2_000_000, "", None] + [f"passage {k}" for k in range(500)]
+    out = column(spark, texts).select("x", r.fnv1a64(F.col("x")).alias("h"))
+    assert all(row["h"] == (None if row["x"] is None else fnv(row["x"])) for row in out.collect())
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()  # no fold by an expression, byte by byte
