@@ -1,8 +1,9 @@
 """Book documents as variants: walked level by level, checked by the rules of their schema and beyond it, and built again.
 
-A document is parsed once. Each level of its tree is one table of nodes, the next one its exploded children, and a node
+A document is parsed once. Each level of its units is one table of nodes, the next one their exploded units, and a node
 carries its shape (what the schema expects there), its JSON pointer and, inside the structure, its ref. So documents of any
-depth and any number are walked in as many steps as the deepest has levels, and an issue names the place where it is.
+depth and any number are walked in as many steps as the deepest has levels of units, and an issue names the place where it is.
+What a unit holds beside other units has a depth that the format fixes: it is opened in one pass over the units.
 """
 
 from __future__ import annotations
@@ -70,16 +71,47 @@ def _kind(node: Column) -> Column:
     return F.when(F.startswith(t, F.lit("OBJECT")), "object").when(F.startswith(t, F.lit("ARRAY")), "list").when(t == "STRING", "string").when(t.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(t, F.lit("DECIMAL")), "number").otherwise("other")
 
 
-def _fields(node: Column, kind: Column) -> Column:
-    return F.when(kind == "object", F.try_variant_get(node, "$", "map<string,variant>"))
+# Members are asked for as lists of lists, which they aren't: they are counted, while as variants each would be built anew with all that it holds.
+def _members(node: Column) -> Column:
+    """A map whose keys are the fields of an object, null for anything else."""
+    return F.try_variant_get(node, "$", "map<string,array<array<boolean>>>")
 
 
-def walk(books: DataFrame, key: str, document: str = "document") -> DataFrame:
-    """Nodes of documents: (doc, pointer, shape, kind, ref, parent_ref, ord, depth, node).
+def _items(node: Column) -> Column:
+    """An array as long as a list, null for anything else."""
+    return F.try_variant_get(node, "$", "array<array<boolean>>")
 
-    Units of the structure have their own ref, other nodes that of the unit (or book) they belong to. A document that is no
-    JSON (or names a field of an object twice) is one node of shape ``unreadable``.
-    """
+
+_COLUMNS = ["doc", "pointer", "shape", "kind", "ref", "parent_ref", "ord", "depth", "node"]
+
+
+def _opened(nodes: DataFrame, opens: Column, *names: str) -> DataFrame:
+    """The children that the format knows (of objects only those of some ``names``, if any are given) of the nodes that ``opens`` chooses, and the other nodes as they are; ``fresh`` tells the children."""
+    old = nodes.withColumn("_opens", opens & F.col("kind").isin("object", "list")).withColumnsRenamed({c: f"_{c}" for c in _COLUMNS if c != "doc"})
+    sub = old.lateralJoin(old.sparkSession.tvf.variant_explode_outer(F.when(F.col("_opens"), F.col("_node")).outer()))
+    if names:
+        sub = sub.where(F.col("key").isNull() | F.col("key").isin(*names))
+    value, place = F.col("value"), F.col("pos").cast("string")
+    expected = _map(_NEXT)[F.concat("_shape", F.lit("/"), F.when(F.col("_shape").isin(*MAPS, *LISTS), "*").otherwise(F.coalesce("key", F.lit(""))))]
+    # Functions of arrays of one: each value is found once, and the code that Spark writes stays so small that it is compiled.
+    found = F.filter(F.array(F.struct(expected.alias("expected"))), lambda c: c["expected"].isNotNull() & value.isNotNull())
+    found = F.transform(found, lambda c: F.struct(c["expected"].alias("expected"), _kind(value).alias("kind")))
+    found = F.transform(found, lambda c: F.struct((c["expected"] == "unit").alias("unit"), c["kind"].alias("kind"), _resolved(c["expected"], c["kind"], value).alias("shape"), F.try_variant_get(value, "$.id", "string").alias("id")))
+    child = F.transform(
+        found,
+        lambda c: F.struct(
+            F.concat("_pointer", F.lit("/"), F.coalesce("key", place)).alias("pointer"), c["shape"].alias("shape"), c["kind"].alias("kind"),
+            F.when(c["unit"], F.concat("_ref", F.when(c["shape"] == "verse", "#").otherwise("/"), F.coalesce(c["id"], F.lit("")))).otherwise(F.col("_ref")).alias("ref"), F.when(c["unit"], F.col("_ref")).alias("parent_ref"),
+            F.when(c["unit"], F.concat_ws(".", F.when(F.col("_ord") != "", F.col("_ord")), F.lpad(place, 9, "0"))).otherwise(F.col("_ord")).alias("ord"),
+            F.when(c["unit"], F.col("_depth") + 1).otherwise(F.col("_depth")).alias("depth"), value.alias("node"),
+        ),
+    )
+    same = F.array(F.struct(*(F.col(f"_{c}").alias(c) for c in _COLUMNS if c != "doc")))
+    return sub.select("doc", F.col("_opens").alias("fresh"), F.explode(F.when(F.col("_opens"), child).otherwise(same)).alias("c")).select("doc", "c.*", "fresh")
+
+
+def walk_units(books: DataFrame, key: str, document: str = "document") -> DataFrame:
+    """The nodes of ``walk`` that are documents or units, a table for each level of units."""
     parsed = books.select(F.col(key).alias("doc"), F.try_parse_json(document).alias("node"))
     kind = _kind(F.col("node"))
     level = parsed.select(
@@ -92,23 +124,38 @@ def walk(books: DataFrame, key: str, document: str = "document") -> DataFrame:
         if levels and level.isEmpty():
             break
         levels.append(level)
-        shape, kind = F.col("c.shape"), F.col("c.kind")
-        inner = level.where(F.col("kind").isin("object", "list")).withColumnsRenamed({"node": "_node", "ref": "_ref", "kind": "_kind", "shape": "_shape", "pointer": "_pointer"}).drop("parent_ref")
-        sub = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("_node").outer()))
-        sub = sub.withColumn("_expected", _map(_NEXT)[F.concat("_shape", F.lit("/"), F.when(F.col("_shape").isin(*MAPS, *LISTS), "*").otherwise(F.coalesce("key", F.lit(""))))])
-        sub = sub.where("_expected IS NOT NULL").withColumn("kind", _kind(F.col("value")))
-        sub = sub.withColumn("shape", _resolved(F.col("_expected"), F.col("kind"), F.col("value")))
-        unit, own = F.col("_expected") == "unit", F.try_variant_get("value", "$.id", "string")
-        place = F.col("pos").cast("string")
-        level = sub.select(
-            "doc", F.concat("_pointer", F.lit("/"), F.coalesce("key", place)).alias("pointer"), "shape", "kind",
-            F.when(unit, F.concat("_ref", F.when(F.col("shape") == "verse", "#").otherwise("/"), F.coalesce(own, F.lit("")))).otherwise(F.col("_ref")).alias("ref"),
-            F.when(unit, F.col("_ref")).alias("parent_ref"), F.when(unit, F.concat_ws(".", F.when(F.col("ord") != "", F.col("ord")), F.lpad(place, 9, "0"))).otherwise(F.col("ord")).alias("ord"),
-            F.when(unit, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), F.col("value").alias("node"),
-        )
+        above = level.where(F.col("shape").isin("book", "division") & F.col("kind").isin("object", "list"))
+        lists = _opened(above, F.lit(True), "structure", "children").where("shape = 'units' AND kind IN ('object', 'list')")
+        level = _opened(lists.select(_COLUMNS), F.lit(True)).select(_COLUMNS)
     return reduce(DataFrame.unionByName, levels)
 
 
+def _height(shape: str) -> int:
+    """How many levels of nodes lie below one of a shape, units not counted."""
+    of = "glosses" if shape == "value" else shape
+    return max((1 + _height(below) for name, below in _NEXT.items() if name.split("/")[0] == of and below != "unit"), default=0)
+
+
+def with_fields(nodes: DataFrame) -> DataFrame:
+    """Documents and units together with all nodes that they hold beside other units, in one pass."""
+    out = nodes.select(*_COLUMNS, F.lit(True).alias("fresh"))
+    for _ in range(max(map(_height, OBJECTS))):
+        # A node to be opened also stays: it is there twice, and one of both is replaced by its children.
+        can = F.col("fresh") & F.col("kind").isin("object", "list") & (F.col("shape") != "units")
+        twice = out.withColumn("opens", F.explode(F.when(can, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+        out = _opened(twice.select(*_COLUMNS, "opens"), F.col("opens"))
+    return out.select(_COLUMNS)
+
+
+def walk(books: DataFrame, key: str, document: str = "document") -> DataFrame:
+    """Nodes of documents: (doc, pointer, shape, kind, ref, parent_ref, ord, depth, node).
+
+    Units of the structure have their own ref, other nodes that of the unit (or book) they belong to. A document that is no
+    JSON (or names a field of an object twice) is one node of shape ``unreadable``.
+    """
+    return with_fields(walk_units(books, key, document))
+
+
 def _issues(rows: DataFrame, code: str, path: Column, severity: str = "error") -> DataFrame:
     return rows.select("doc", F.lit(severity).alias("severity"), F.lit(code).alias("code"), path.cast("string").alias("path"))
 
@@ -119,12 +166,21 @@ def schema_issues(nodes: DataFrame) -> DataFrame:
     A missing field is reported where it should be, a field too many at its object, a key that breaks its rule at the key;
     what lies inside a node of the wrong type isn't looked at.
     """
-    node, kind, shape, here = F.col("node"), F.col("kind"), F.col("shape"), F.col("pointer")
-    text = F.when(kind == "string", F.try_variant_get(node, "$", "string"))
-    number = F.when(kind == "number", F.try_variant_get(node, "$", "double"))
+    node, kind, shape = F.col("node"), F.col("kind"), F.col("shape")
+    given = F.struct(
+        F.when(kind == "string", F.try_variant_get(node, "$", "string")).alias("text"), F.when(kind == "number", F.try_variant_get(node, "$", "double")).alias("number"),
+        F.coalesce(F.map_keys(_members(node)), F.array().cast("array<string>")).alias("keys"), _items(node).alias("items"),
+    )
+    # As in ``_opened``: a function of an array of one, so that what is asked of a node is found once.
+    found = nodes.select("doc", F.explode(F.flatten(F.transform(F.array(given), _places))).alias("path"))
+    return _issues(found, "schema", F.when(F.col("path") == "", "/").otherwise(F.col("path")))
+
+
+def _places(given: Column) -> Column:
+    """The pointers of a node's faults by its text, number, keys and items."""
+    kind, shape, here = F.col("kind"), F.col("shape"), F.col("pointer")
+    text, number, keys = given["text"], given["number"], given["keys"]
     expected = F.when(shape.isin(*OBJECTS, *MAPS), "object").when(shape.isin(*LISTS), "list").when(shape.isin(*_TEXT_RULES), "string").when(shape.isin("year", "format"), "number")
-    rows = nodes.withColumn("_keys", F.coalesce(F.map_keys(_fields(node, kind)), F.array().cast("array<string>")))
-    keys = F.col("_keys")
     known, needed = _map({s: ",".join(n for n, _, _ in f) for s, f in _FIELDS.items()}), _map({s: ",".join(n for n, _, must in f if must) for s, f in _FIELDS.items()})
     at = lambda names: F.transform(names, lambda n: F.concat(here, F.lit("/"), n))
     nothing = F.array().cast("array<string>")
@@ -133,9 +189,9 @@ def schema_issues(nodes: DataFrame) -> DataFrame:
     fault_text = reduce(lambda acc, r: acc.when(shape == r, ~_rule(r, text)), _TEXT_RULES[1:], F.when(shape == _TEXT_RULES[0], ~_rule(_TEXT_RULES[0], text))).otherwise(F.lit(False))
     fault_number = F.when(shape == "format", number != 1).when(shape == "year", (number != F.floor(number)) | (number < 1) | (number > 2200)).otherwise(F.lit(False))
     wrong_keys = reduce(lambda acc, m: acc.when(shape == m[0], F.filter(keys, lambda k: ~_rule(m[1][0], k))), MAPS.items(), F.when(F.lit(False), nothing)).otherwise(nothing)
-    few = F.when(shape.isin(*LISTS), F.size(F.try_variant_get(node, "$", "array<variant>")) < 1).when(shape.isin(*(m for m, v in MAPS.items() if v[2])), F.size(keys) < 1).otherwise(F.lit(False))
+    few = F.when(shape.isin(*LISTS), F.size(given["items"]) < 1).when(shape.isin(*(m for m, v in MAPS.items() if v[2])), F.size(keys) < 1).otherwise(F.lit(False))
     is_object = shape.isin(*OBJECTS)
-    places = F.when(
+    return F.when(
         right,
         F.concat(
             F.when(is_object, at(F.array_except(F.split(needed[shape], ","), keys))).otherwise(nothing),
@@ -143,8 +199,6 @@ def schema_issues(nodes: DataFrame) -> DataFrame:
             at(wrong_keys), one(few | F.coalesce(fault_text, F.lit(False)) | F.coalesce(fault_number, F.lit(False))),
         ),
     ).when(shape == "bad-kind", F.array(F.concat(here, F.lit("/kind")))).otherwise(F.array(here))
-    found = rows.select("doc", F.explode(places).alias("path"))
-    return _issues(found, "schema", F.when(F.col("path") == "", "/").otherwise(F.col("path")))
 
 
 def units(nodes: DataFrame) -> DataFrame:
@@ -182,41 +236,51 @@ def integrity_issues(nodes: DataFrame) -> DataFrame:
     """(doc, severity, code, path) of documents that keep the schema: what it can't see. Units are named by their refs."""
     u = materialize(_normal(units(nodes)), "units")
     get = lambda f, t="string": F.try_variant_get("node", f"$.{f}", t)
-    declared = nodes.where("shape = 'layer'").select("doc", "pointer", get("id").alias("layer"), get("kind").alias("kind"), get("scheme").alias("scheme"), F.regexp_extract("pointer", "([0-9]+)$", 1).cast("long").alias("n"))
-    heads = nodes.where("shape = 'book'").select("doc", get("id").alias("book"), get("primaryLayer").alias("layer"), get("aliases", "map<string,string>").alias("aliases"))
+    own = nodes.where("shape = 'book'")
+    declared = with_fields(own).where("shape = 'layer'").select("doc", "pointer", get("id").alias("layer"), get("kind").alias("kind"), get("scheme").alias("scheme"), F.regexp_extract("pointer", "([0-9]+)$", 1).cast("long").alias("n"))
+    heads = own.select("doc", get("id").alias("book"), get("primaryLayer").alias("layer"), get("aliases", "map<string,string>").alias("aliases"))
+    declared, heads = materialize(declared, "layers"), materialize(heads, "heads")
     kinds = declared.groupBy("doc", "layer").agg(F.max_by("kind", "n").alias("kind"), F.array_sort(F.collect_list("n")).alias("places"))
     primary = heads.select("doc", "layer").join(kinds.select("doc", "layer", "kind"), ["doc", "layer"], "left")
     again = kinds.select("doc", F.explode(F.slice("places", F.lit(2), F.greatest(F.size("places") - 1, F.lit(0)))).alias("n"))
     verses = u.where("kind = 'verse'")
-    used = verses.select("doc", "ref", "glosses", F.explode(F.map_keys("values")).alias("layer")).join(kinds.select("doc", "layer", "kind"), ["doc", "layer"], "left")
+    # A document's layers are few: its verses meet them as one map, and their faults are found in one pass.
+    maps = kinds.where("layer IS NOT NULL").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("layer", "kind"))).alias("_kinds"))
+    known = primary.where("kind IS NOT NULL").select("doc", F.col("layer").alias("_primary"))
+    met = verses.join(maps.join(known, "doc", "left"), "doc", "left")
+    of_layer = lambda layer: F.try_element_at("_kinds", layer)
+    each = lambda cond, code: F.transform(F.filter(F.map_keys("values"), cond), lambda layer: F.lit(code))
+    one = lambda cond, code: F.when(cond, F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))
+    codes = F.concat(
+        each(lambda layer: of_layer(layer).isNull(), "undeclared-layer"),
+        each(lambda layer: (of_layer(layer) == "wordMeanings") != F.array_contains("glosses", layer), "layer-kind-mismatch"),
+        one(~F.array_contains(F.map_keys("values"), F.col("_primary")), "primary-layer-missing"),
+        one(F.col("hash").isNotNull() & (F.col("hash") != F.col("_hash")), "hash-mismatch"),
+    )
+    faults = met.withColumn("_hash", verse_hash(F.col("values"))).select("doc", "ref", F.explode(codes).alias("code"))
     siblings = u.groupBy("doc", "parent_ref", "id").agg(F.count("*").cast("int").alias("n")).where("n > 1").select("doc", "parent_ref", F.explode(F.sequence(F.lit(2), F.col("n"))))
-    known = primary.where("kind IS NOT NULL").select("doc", "layer")
-    lacking = verses.join(known, "doc").where(~F.array_contains(F.map_keys("values"), F.col("layer")))
     found = [
         _issues(again, "duplicate-layer-id", F.concat(F.lit("/layers/"), F.col("n").cast("string"))),
         _issues(primary.where("kind IS NULL"), "primary-layer-undeclared", F.lit("/primaryLayer")),
         _issues(primary.where("kind <> 'original'"), "primary-layer-not-original", F.lit("/primaryLayer")),
         _issues(declared.where("kind = 'transliteration' AND scheme IS NULL"), "transliteration-scheme-missing", F.col("pointer"), "warning"),
         _issues(siblings, "duplicate-sibling-id", F.col("parent_ref")),
-        _issues(used.where("kind IS NULL"), "undeclared-layer", F.col("ref")),
-        _issues(used.where((F.col("kind") == "wordMeanings") != F.array_contains("glosses", F.col("layer"))), "layer-kind-mismatch", F.col("ref")),
-        _issues(lacking, "primary-layer-missing", F.col("ref")),
-        _issues(verses.where(F.col("hash").isNotNull() & (F.col("hash") != verse_hash(F.col("values")))), "hash-mismatch", F.col("ref")),
+        faults.select("doc", F.lit("error").alias("severity"), "code", F.col("ref").alias("path")),
     ]
-    aliases = heads.select("doc", "book", F.explode("aliases").alias("source", "target"))
-    live = live_refs(nodes).withColumn("_live", F.lit(True))
-    for side, code, wanted in (("source", "alias-source-live", True), ("target", "alias-target-missing", False)):
-        j = aliases.select("doc", "book", F.col(side).alias("ref"), F.concat(F.lit("/aliases/"), "source").alias("path")).join(live, ["doc", "ref"], "left")
-        foreign = F.regexp_extract("ref", "^[^/#]*", 0) != F.col("book")
-        own = F.when(~is_ref(F.col("ref")), "alias-unparseable").when(foreign, "alias-foreign-book").when(F.col("_live").isNotNull() == F.lit(wanted), code)
-        found.append(j.select("doc", F.lit("error").alias("severity"), own.alias("code"), "path").where("code IS NOT NULL"))
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("ref")) for side in ("source", "target")))
+    aliases = heads.select("doc", "book", F.explode("aliases").alias("source", "target")).select("doc", "book", "source", F.inline(sides))
+    live = u.select("doc", "ref").unionByName(own.select("doc", "ref")).join(aliases.select("doc").distinct(), "doc", "left_semi").where("ref IS NOT NULL").distinct().withColumn("_live", F.lit(True))
+    j = aliases.join(live, ["doc", "ref"], "left")
+    wrong = F.when((F.col("side") == "source") & F.col("_live").isNotNull(), "alias-source-live").when((F.col("side") == "target") & F.col("_live").isNull(), "alias-target-missing")
+    code = F.when(~is_ref(F.col("ref")), "alias-unparseable").when(F.regexp_extract("ref", "^[^/#]*", 0) != F.col("book"), "alias-foreign-book").otherwise(wrong)
+    found.append(j.select("doc", F.lit("error").alias("severity"), code.alias("code"), F.concat(F.lit("/aliases/"), "source").alias("path")).where("code IS NOT NULL"))
     return reduce(DataFrame.unionByName, found)
 
 
 def validate_books(books: DataFrame, key: str, document: str = "document") -> DataFrame:
     """(doc, severity, code, path) of all issues of many documents: those of the schema, and beyond it for documents without any."""
-    nodes = materialize(walk(books, key, document), "walked")
-    broken = materialize(schema_issues(nodes), "schema-issues")
+    nodes = walk_units(books, key, document)
+    broken = materialize(schema_issues(with_fields(nodes)), "schema-issues")
     return broken.unionByName(integrity_issues(nodes.join(broken.select("doc").distinct(), "doc", "left_anti")))
 
 
@@ -227,9 +291,9 @@ def build_structures(rows: DataFrame) -> DataFrame:
     a verse's hash is made anew from ``values``.
     """
     done: DataFrame | None = None
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
     verse = F.col("kind") == "verse"
     rows = materialize(_normal(rows).withColumn("hash", F.when(verse, verse_hash(F.col("values")))).drop("values"), "hashed")
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
     for depth in range(deepest, 0, -1):
         own = rows.where(F.col("depth") == depth)
         own = own.join(done, ["doc", "ref"], "left") if done is not None else own.withColumn("children", F.lit(None).cast("string")).withColumn("verses", F.lit(None).cast("long"))

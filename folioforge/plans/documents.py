@@ -46,15 +46,15 @@ _UNITS = """, u AS (
 @query(with_tables(_UNITS.lstrip() + " SELECT book, parent_ref, ref, depth, kind, id, number, text, title FROM u"))
 def walked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The units of nested documents, walked level by level."""
-    u = docs.units(docs.walk(_documents(spark, sf_dir), "book"))
+    u = docs.units(docs.walk_units(_documents(spark, sf_dir), "book"))
     return u.select(F.col("doc").alias("book"), "parent_ref", "ref", "depth", "kind", "id", "number", F.col("values")["gu"].alias("text"), F.get_json_object("title", "$.en").alias("title"))
 
 
 @query(with_tables(_UNITS.lstrip() + " SELECT book, true AS same, count(*) FILTER (kind = 'verse') AS verses, count(*) FILTER (kind = 'section') AS sections FROM u GROUP BY book"))
 def rebuilt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walked documents built again: the same trees, with the same hashes made anew."""
-    before = _documents(spark, sf_dir)
-    nodes = docs.walk(before, "book")
+    before = materialize(_documents(spark, sf_dir), "documents")
+    nodes = docs.walk_units(before, "book")
     counts = docs.units(nodes).groupBy("doc").agg(F.count_if(F.col("kind") == "verse").alias("verses"), F.count_if(F.col("kind") == "section").alias("sections"))
     after = docs.rebuild_books(nodes).select(F.col("doc").alias("book"), F.col("document").alias("again"))
     same = F.to_json(F.parse_json("document")) == F.to_json(F.parse_json("again"))
@@ -81,7 +81,7 @@ def assembled_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draft packages of books whose orders are sections, and how many errors validation finds in them."""
     book = F.concat(F.lit("b"), F.col("book_id").cast("string")).alias("book")
     d = divisions(spark, sf_dir).select("book_id", F.col("id").alias("division_id"), (F.col("ordinal") + 1).alias("section"))
-    p = verses(spark, sf_dir).join(d, ["book_id", "division_id"]).select(book, "section", F.col("ordinal").alias("pos"), "number", "text", F.lit("prose").alias("form"), "pages")
+    p = materialize(verses(spark, sf_dir).join(d, ["book_id", "division_id"]).select(book, "section", F.col("ordinal").alias("pos"), "number", "text", F.lit("prose").alias("form"), "pages"), "passages")
     sections = p.groupBy("book", "section").agg(F.count("*").alias("passages")).withColumn("title", F.lit(None).cast("string"))
     books = p.select("book").distinct()
     manifests = books.select("book", F.lit("scan").alias("source"), F.lit("0").alias("sha256"), F.lit("none").alias("engine"))

@@ -156,3 +156,11 @@ def test_working_tables_become_a_tree(spark):
         v("top", "ઉપર"),
     ]
     assert row["verses"] == 5
+
+
+def test_a_walk_writes_a_table_for_each_level_of_units(spark, monkeypatch):
+    written = []
+    real = d.materialize
+    monkeypatch.setattr(d, "materialize", lambda df, what: written.append(what) or real(df, what))
+    d.walk(spark.createDataFrame([("a", json.dumps(book()))], SCHEMA), "key")
+    assert written == ["nodes"] * 5  # the book, three levels of units, and the empty one below
