@@ -1,16 +1,18 @@
-"""Where the passages of books end: a prefix scan over blocks, so that one book is read by many tasks.
+"""Where the passages of books end: a stream over each book's blocks, and a prefix scan over those of large ones.
 
 A number ends a passage, and whether it does depends on what was read before: the passage that is open and the last number
 that was accepted. Read as a function, a run of blocks turns one such state into another, and runs compose. So a book is
 cut into chunks of pages. Each chunk is read once for its function: what it makes of an open passage or none, and of a last
 number that is unknown, with the few numbers for which it acts otherwise as exceptions. The functions of a book's chunks
-are applied in order (a row for each chunk), and then each chunk is read with the state that it begins in.
+are applied in order (a row for each chunk), and then each chunk is read with the state that it begins in. A book of bounded
+size needs none of that: it is read once, in order, with its state in the stream.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -19,9 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scripts as s
+from ..sources.shared import dealt, materialize
 
 #: Pages of a chunk.
 PAGES = 64
+#: The size up to which a book is read as one stream: characters, and ``BLOCK`` more for each block.
+WHOLE, BLOCK = 1 << 22, 100
 _DANDA = "(?:॥|।।)"
 _NUMBER = re.compile(f"({_DANDA})\\s*([{''.join(f'{d[0]}-{d[9]}' for d in s.DIGITS.values())}]+)\\s*{_DANDA}")
 _SCRIPT_OF = {c: (k, v) for k, digits in s.DIGITS.items() for v, c in enumerate(digits)}
@@ -48,6 +53,7 @@ class Fragment(NamedTuple):
     recovered: bool
 
 
+@lru_cache(1 << 12)
 def numeral(digits: str) -> tuple[str, int] | None:
     """Script and value of a run of digits of one script, up to 2**53 - 1."""
     known = [_SCRIPT_OF[c] for c in digits]
@@ -152,81 +158,99 @@ def _rows_of(batches: Iterator[pa.RecordBatch], size: int = 2000) -> Iterator[tu
             yield from zip(*(c.to_pylist() for c in batch.slice(at, size).columns))
 
 
-def scan(blocks: DataFrame, script: str, pages: int = PAGES) -> DataFrame:
+def scan(blocks: DataFrame, script: str, pages: int = PAGES, whole: int = WHOLE) -> DataFrame:
     """Pieces of blocks (book, page, pos, kind, text): (book, page, pos, kind, k, section, text, start, value, recovered).
 
     ``kind`` is text, heading or end; places are unique and not null in a book. ``section`` counts the headings and ends
     before a piece (a heading itself stands in the section that it opens, an end in the one that it closes), ``start`` is the
     place of the first piece of the passage, and ``value`` the number that ends it with this piece. Null texts are empty.
+    Books beyond the size ``whole`` are cut into chunks of ``pages``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = blocks.select("book", F.floor(F.col("page") / pages).alias("chunk"), F.col("page").cast("long").alias("page"), F.col("pos").cast("long").alias("pos"), "kind", text.alias("text"))
+    rows = materialize(rows, "blocks")  # read for the sizes of books, for functions and for pieces
     book = rows.schema["book"]
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, chunks, breaks, lists = [], [], [], []
         own, f = None, None
-
-        def close() -> None:
-            if f is not None:
-                for column, value in zip((books, chunks, breaks, lists), (*own, f.breaks, _to_rows(f))):
-                    column.append(value)
-
-        kind_of_book = None
         for batch in batches:
-            kind_of_book = batch.schema.field(0).type
+            done = []
             for of, chunk, page, pos, kind, body in _rows_of([batch]):
                 if own != (of, chunk):
-                    close()
+                    if f is not None:
+                        done.append((*own, f.breaks, _to_rows(f)))
                     own, f = (of, chunk), Function(script)
                 f.read(page, pos, kind, body)
-        close()
-        if books:
-            yield pa.RecordBatch.from_arrays([pa.array(books, kind_of_book), pa.array(chunks, pa.int64()), pa.array(breaks, pa.int64()), pa.array(lists, _LISTS)], ["book", "chunk", "breaks", "function"])
+            yield batch_of(done, batch.schema.field(0).type)
+            last = batch.schema.field(0).type
+        if f is not None:
+            yield batch_of([(*own, f.breaks, _to_rows(f))], last)
 
-    def functions_of(rows: DataFrame) -> DataFrame:
-        schema = T.StructType([book, T.StructField("chunk", T.LongType()), T.StructField("breaks", T.LongType()), T.StructField("function", T._parse_datatype_string(_FUNCTION))])
-        return rows.repartition("book", "chunk").sortWithinPartitions("book", "chunk", "page", "pos").mapInArrow(functions, schema)
+    def batch_of(done: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*done)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (of, pa.int64(), pa.int64(), _LISTS))], ["book", "chunk", "breaks", "function"])
 
-    def begins(table: pa.Table) -> pa.Table:
+    def begins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The state in which each chunk of a book begins."""
-        order = table.sort_by("chunk")
-        state, section, out = State(), 0, []
-        for breaks, rows in zip(order["breaks"].to_pylist(), order["function"].to_pylist()):
-            out.append((dict(zip(("page", "pos", "k"), state.start)) if state.start else None, state.number, section))
-            state, section = _from_rows(rows)(state), section + breaks
-        starts, numbers, sections = zip(*out)
-        return pa.table([order["book"], order["chunk"], pa.array(starts, _PLACES), pa.array(numbers, pa.int64()), pa.array(sections, pa.int64())], names=["book", "chunk", "begin", "last", "before"])
-
-    # A chunk that is the first of its book begins without a state; only books of several chunks are read for their functions.
-    several = rows.groupBy("book").agg((F.min("chunk") != F.max("chunk")).alias("several")).where("several").select("book")
-    states = functions_of(rows.join(several, "book", "left_semi")).groupBy("book").applyInArrow(begins, T.StructType([book, *T._parse_datatype_string(f"chunk long, begin {_PLACE}, last long, before long").fields]))
+        own, state, section = None, State(), 0
+        for batch in batches:
+            starts, numbers, sections = [], [], []
+            for of, _, breaks, rows in _rows_of([batch], 500):
+                if own != (of,):
+                    own, state, section = (of,), State(), 0
+                starts.append(state.start)
+                numbers.append(state.number)
+                sections.append(section)
+                state, section = _from_rows(rows)(state), section + breaks
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _places(starts), pa.array(numbers, pa.int64()), pa.array(sections, pa.int64())], ["book", "chunk", "begin", "last", "before"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, state, section = None, State(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for at in range(0, batch.num_rows, 2000):
                 out = []
-                for of, chunk, page, pos, kind, body, begin, last, before in _rows_of([batch.slice(at, 500)]):
+                for of, chunk, page, pos, kind, body, *begun in _rows_of([batch.slice(at, 2000)]):
                     if own != (of, chunk):
-                        own, state, section = (of, chunk), State((begin["page"], begin["pos"], begin["k"]) if begin else None, last), before or 0
+                        own, state, section = (of, chunk), State(), 0
+                        if begun:
+                            begin, last, before = begun
+                            state, section = State((begin["page"], begin["pos"], begin["k"]) if begin else None, last), before or 0
                     section += kind == "heading"
                     if kind == "text":
                         found, state = read_block(page, pos, kind, body, state, script, set())
-                        out += [(of, page, pos, kind, x.k, section, x.text, dict(zip(("page", "pos", "k"), x.start)), x.value, x.recovered) for x in found]
+                        out += [(of, page, pos, kind, k, section, piece, start, value, recovered) for k, piece, start, value, recovered in found]
                     else:
                         state = State(None, state.number)
                         out.append((of, page, pos, kind, 0, section, body.strip(), None, None, False))
                         section += kind == "end"
                 columns = list(zip(*out)) or [()] * 10
-                types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), _PLACES, pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["book", "page", "pos", "kind", "k", "section", "text", "start", "value", "recovered"])
+                types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), None, pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) if t else _places(c) for c, t in zip(columns, types)], ["book", "page", "pos", "kind", "k", "section", "text", "start", "value", "recovered"])
 
-    schema = T.StructType([book, *T._parse_datatype_string(f"page long, pos long, kind string, k long, section long, text string, start {_PLACE}, value long, recovered boolean").fields])
-    return rows.join(states, ["book", "chunk"], "left").repartition("book", "chunk").sortWithinPartitions("book", "chunk", "page", "pos").mapInArrow(pieces, schema)
+    def fields(ddl: str) -> T.StructType:
+        return T.StructType([book, *T._parse_datatype_string(ddl).fields])
+
+    size = F.sum(F.length("text") + F.lit(BLOCK))
+    large = rows.groupBy("book").agg((size > whole).alias("large")).where("large").select("book")
+    found = fields(f"page long, pos long, kind string, k long, section long, text string, start {_PLACE}, value long, recovered boolean")
+    streams = dealt(rows, rows.count(), "book").join(large, "book", "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    streams = streams.sortWithinPartitions("book", "page", "pos").mapInArrow(pieces, found)
+    order = ["book", "chunk", "page", "pos"]
+    cut = rows.join(large, "book", "left_semi")
+    read = cut.repartition("book", "chunk").sortWithinPartitions(*order).mapInArrow(functions, fields(f"chunk long, breaks long, function {_FUNCTION}"))
+    # A row for each chunk: as many tasks as there are partitions, as a row costs more than its bytes tell.
+    states = dealt(read, 0, "book").sortWithinPartitions("book", "chunk").mapInArrow(begins, fields(f"chunk long, begin {_PLACE}, last long, before long"))
+    return streams.unionByName(cut.join(states, ["book", "chunk"], "left").repartition("book", "chunk").sortWithinPartitions(*order).mapInArrow(pieces, found))
 
 
 _PLACES = pa.struct([("page", pa.int64()), ("pos", pa.int64()), ("k", pa.int64())])
 _LISTS = pa.list_(
     pa.struct([("is_open", pa.bool_()), ("number", pa.int64()), ("any", pa.bool_()), ("start", _PLACES), ("keeps_start", pa.bool_()), ("last", pa.int64()), ("keeps_last", pa.bool_())])
 )
+
+
+def _places(starts: list[tuple[int, int, int] | None]) -> pa.StructArray:
+    """Places as an array, column by column."""
+    none = [x is None for x in starts]
+    columns = zip(*((x or (0, 0, 0) for x in starts) if any(none) else starts)) if starts else [()] * 3
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(_PLACES), mask=pa.array(none, pa.bool_()) if any(none) else None)

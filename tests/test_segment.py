@@ -122,6 +122,17 @@ def test_chunks_equal_one_pass(spark, pages):
         assert len(kept) == len(sections)
 
 
+def test_books_of_bounded_size_are_read_once_and_large_ones_in_chunks(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(b, *x) for b in range(12) for x in some_blocks(rng, 30)]
+    df = spark.createDataFrame(rows, "book int, page int, pos int, kind string, text string").repartition(3)
+    once = sorted(map(str, ps.scan(df, "gujr", 2).collect()))
+    assert len(once) > 100
+    sizes = sorted(sum(len(x[4]) + ps.BLOCK for x in rows if x[0] == b) for b in range(12))
+    for whole in (0, sizes[5]):  # all books in chunks; half of them
+        assert sorted(map(str, ps.scan(df, "gujr", 2, whole).collect())) == once
+
+
 def test_sections_have_titles_ends_and_forms(spark):
     text = "પહેલો ફકરો જે પૂરતો લાંબો છે કે ટૂંકો ન ગણાય તેવો છે"
     b = [
