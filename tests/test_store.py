@@ -124,6 +124,20 @@ def test_an_import_is_one_version_of_all_tables(spark, tmp_path, monkeypatch):
     assert json.dumps(texts(store, 2)) == json.dumps(before)
 
 
+def test_many_tasks_name_the_books_of_a_version_and_one_row_names_it(spark, tmp_path):
+    store = st.BookStore(spark, str(tmp_path / "s"), {"verses": "book_id string, text string"})
+    verses = spark.range(4000).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("book_id"), F.lit("x").alias("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert store.commit({"verses": verses}, verses, 0) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "s" / "books").rglob("part-*.parquet"))) == 4 and spark.read.parquet(str(tmp_path / "s" / "versions")).count() == 1
+    assert store.version() == 1 and store.read("verses").count() == 4000
+    assert store.delete_books(verses.where("book_id < 'b2'")) == 2 and store.read("verses").count() == verses.where("book_id >= 'b2'").count()
+    assert store.read("verses", 1).count() == 4000
+
+
 def test_a_version_has_one_writer(spark, tmp_path, monkeypatch):
     store = st.BookStore(spark, str(tmp_path / "s"), st.WORKING)
     st.import_drafts(store, draft(spark, "a", ["one"]))
