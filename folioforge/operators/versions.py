@@ -158,7 +158,9 @@ def nearest_live_ancestor(refs: DataFrame, live: DataFrame) -> DataFrame:
     deepest = F.when(F.contains("ref", F.lit("#")), F.size(parts)).otherwise(F.size(parts) - 1)
     prefixes = F.when(deepest >= 1, F.transform(F.sequence(F.lit(1), F.greatest(deepest, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
     tries = refs.select("ref", book.alias("book"), F.posexplode_outer(prefixes).alias("depth", "prefix"))
-    hits = tries.join(live.select(F.col("ref").alias("prefix"), F.lit(True).alias("alive")).distinct(), "prefix", "left")
+    # Many refs share a container: only the live refs that are containers are joined, which are few enough to be sent or dealt.
+    containers = live.select(F.col("ref").alias("prefix")).join(tries.select("prefix").distinct(), "prefix", "left_semi").distinct()
+    hits = tries.join(containers.withColumn("alive", F.lit(True)), "prefix", "left")
     return hits.groupBy("ref", "book").agg(F.max_by(F.when(F.col("alive"), F.col("prefix")), F.when(F.col("alive"), F.col("depth"))).alias("a")).select("ref", F.coalesce("a", "book").alias("ancestor"))
 
 

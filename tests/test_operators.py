@@ -296,3 +296,19 @@ def test_streaming_rollup_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((r["event_type"], r["n"], r["total"]) for r in df.collect())
     assert key(spark.table("rolled")) == key(rollup(e, "1 hour"))
+
+
+def test_refs_of_one_container_are_not_sorted_in_one_task(spark):
+    refs = spark.range(0, 20000, 1, 4).select(F.concat(F.lit("b/d"), (F.col("id") % 3).cast("string"), F.lit("#v"), F.col("id").cast("string")).alias("ref"))
+    live = refs.where("ref LIKE '%7'").unionByName(spark.createDataFrame([("b/d0",), ("b/d1",)], "ref string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        out = versions.nearest_live_ancestor(refs, live)
+        got = out.groupBy("ancestor").count().collect()
+        out.write.format("noop").mode("overwrite").save()
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["ancestor"], r["count"]) for r in got} == {("b/d0", 6667), ("b/d1", 6667), ("b", 6666)}
+    assert "SortMergeJoin [prefix" not in plan
