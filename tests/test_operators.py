@@ -9,7 +9,7 @@ from folioforge.operators import segment as seg
 from folioforge.operators import sequence as seq
 from folioforge.operators import structure as st
 from folioforge.operators import studio, triage, versions
-from folioforge.sources import pages
+from folioforge.sources import pages, shared
 
 
 def rows(df, *order):
@@ -312,3 +312,9 @@ def test_refs_of_one_container_are_not_sorted_in_one_task(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {(r["ancestor"], r["count"]) for r in got} == {("b/d0", 6667), ("b/d1", 6667), ("b", 6666)}
     assert "SortMergeJoin [prefix" not in plan
+
+
+def test_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    df = spark.range(1000)
+    assert shared.dealt(df, 1000, "id").rdd.getNumPartitions() == 20 and shared.dealt(df, 60, "id").rdd.getNumPartitions() == 4
