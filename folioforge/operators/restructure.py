@@ -29,25 +29,52 @@ def verse_id_for(number: Column, page: Column, ordinal: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit("v"), value.cast("string"))).otherwise(place)
 
 
-def free_ids(wanted: DataFrame, taken: DataFrame, order: str = "ordinal", most: int = MOST_SUFFIX) -> DataFrame:
-    """Adds new_id to wanted (book_id, division_id, wanted, …): the wanted id, else it with the least suffix from 2 that nobody has.
+def _met(verses: DataFrame, changes: DataFrame, key: str = "id", **found: Column) -> DataFrame:
+    """Verses and, for each, the aggregates ``found`` over the changes (book_id, division_id, key, …) to it; null where there are none.
 
-    taken: (book_id, division_id, id). Rows that want the same id get it and its suffixes in their order; null where none is
-    free up to ``most``.
+    Changes lie beside the verses as rows, not in a join by id: this and all that follows meets within a division, so tables
+    that are dealt by division already are dealt no more.
     """
-    group = [*DIVISION, "wanted"]
-    have = taken.select(*DIVISION, F.col("id").alias("wanted")).distinct().withColumn("_taken", F.lit(True))
-    rows = wanted.join(have, group, "left").withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
-    plain = rows.where("_taken IS NULL AND _n = 1").withColumn("new_id", F.col("wanted"))
-    rest = rows.where("_taken IS NOT NULL OR _n > 1")
-    # The suffixes that an id has already, from the ids that end in one.
-    end = "^(.+)-([2-9]|[1-9][0-9]+)$"
-    parts = taken.select(*DIVISION, F.regexp_extract("id", end, 1).alias("wanted"), F.regexp_extract("id", end, 2).try_cast("int").alias("_s")).where(F.col("_s") <= most)
-    rest = rest.join(parts.groupBy(*group).agg(F.collect_set("_s").alias("_used")), group, "left")
-    left = F.array_except(F.sequence(F.lit(2), F.lit(most)), F.coalesce("_used", F.array().cast("array<int>")))
-    suffix = F.get(left, F.col("_n") - F.when(F.col("_taken"), 1).otherwise(2))
-    found = rest.withColumn("new_id", F.concat(F.col("wanted"), F.lit("-"), suffix.cast("string"))).drop("_used")
-    return plain.unionByName(found).drop("_taken", "_n")
+    keys = [*DIVISION, key]
+    types = {k: verses.schema[k].dataType for k in keys}
+    named = changes.select(*(F.col(k).try_cast(types[k]).alias(k) for k in keys), *(c for c in changes.columns if c not in keys))
+    named = named.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    both = verses.withColumn("_own", F.lit(True)).unionByName(named, allowMissingColumns=True)
+    own = Window.partitionBy(*keys)
+    return both.select(*verses.columns, "_own", *(f.over(own).alias(n) for n, f in found.items())).where("_own").drop("_own")
+
+
+def free_ids(rows: DataFrame, wanted: str = "_wanted", order: str = "ordinal", most: int = MOST_SUFFIX) -> DataFrame:
+    """Adds new_id to rows (book_id, division_id, id, wanted, …): the wanted id, else it with the least suffix from 2 that nobody has.
+
+    Rows have an id (null: none yet) and may want one (null: they don't). Rows of a division that want the same id get it
+    and its suffixes in their order; null where none is free up to ``most``. An id is told to those that want it, and the
+    suffix it ends in to those that want what stands before, by rows of their own, so that no row is joined to others.
+    """
+    end = f"^(.+)-([2-9]|[1-9][0-9]{{1,{len(str(most)) - 1}}})$"
+    # Only digits are cast: a cast that fails costs more than all the rest.
+    wants, digits = F.col(wanted).isNotNull(), F.regexp_extract("id", end, 2)
+    suffix = F.when(digits != "", digits.cast("int"))
+
+    def told(key: Column, number: Column, own: bool) -> Column:
+        return F.struct(key.alias("key"), number.alias("suffix"), F.lit(own).alias("own"))
+
+    none = F.lit(None).cast("int")
+    facts = F.array(told(F.coalesce(wanted, "id"), none, True), F.when(wants & F.col("id").isNotNull(), told(F.col("id"), none, False)), F.when(suffix <= most, told(F.regexp_extract("id", end, 1), suffix, False)))
+    out = rows.withColumn("_fact", F.explode(facts)).where("_fact IS NOT NULL")
+    # Rows that only tell of an id carry nothing else.
+    out = out.select(*DIVISION, *(F.when(F.col("_fact.own"), F.col(c)).alias(c) for c in rows.columns if c not in DIVISION), "_fact").withColumn("_turn", F.col("_fact.own") & wants)
+    before = Window.partitionBy(*DIVISION, "_fact.key").orderBy("_turn", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.select(
+        *rows.columns, "_fact", "_turn",
+        F.max(F.when(~F.col("_turn") & F.col("_fact.suffix").isNull(), True)).over(before).alias("_taken"),
+        F.count(F.when(F.col("_turn"), 1)).over(before).cast("int").alias("_n"),
+        F.collect_set("_fact.suffix").over(before).alias("_used"),
+    ).where("_fact.own")
+    left = F.array_except(F.sequence(F.lit(2), F.lit(most)), F.col("_used"))
+    next_one = F.concat(F.col(wanted), F.lit("-"), F.get(left, F.col("_n") - F.when(F.col("_taken"), 1).otherwise(2)).cast("string"))
+    new = F.when(F.col("_turn"), F.when(F.col("_taken").isNull() & (F.col("_n") == 1), F.col(wanted)).otherwise(next_one))
+    return out.select(*rows.columns, new.alias("new_id"))
 
 
 def renumbered(verses: DataFrame, *order: str | Column) -> DataFrame:
@@ -70,16 +97,15 @@ def split(verses: DataFrame, cuts: DataFrame) -> DataFrame:
     A cut must leave text on both sides. The head keeps its id and number and is raw again; the tail has no number, the
     evidence of the whole, an id by its place, and the head in its lineage.
     """
-    head = t.trim_end(F.left("text", F.col("offset")))
-    tail = t.trim_start(F.substr("text", F.col("offset") + 1))
-    ok = F.col("offset").between(1, F.length("text") - 1) & (head != "") & (tail != "")
-    rows = verses.join(cuts.select(*KEYS, "offset"), KEYS, "left").withColumn("_cut", F.coalesce(ok, F.lit(False)))
-    wanted = rows.where("_cut").select(*KEYS, F.col("ordinal"), verse_id_for(F.lit(None).cast("string"), F.get("pages", F.lit(0)), F.col("ordinal") + 1).alias("wanted"))
-    named = free_ids(wanted, verses).select(*KEYS, "new_id")
-    rows = rows.join(named, KEYS, "left").withColumn("_cut", F.col("_cut") & F.col("new_id").isNotNull())
+    head = t.trim_end(F.left("text", F.col("_offset")))
+    tail = t.trim_start(F.substr("text", F.col("_offset") + 1))
+    ok = F.col("_offset").between(1, F.length("text") - 1) & (head != "") & (tail != "")
+    rows = _met(verses, cuts.select(*KEYS, F.col("offset").alias("_at")), _offset=F.max("_at"))
+    rows = free_ids(rows.withColumn("_wanted", F.when(ok, verse_id_for(F.lit(None).cast("string"), F.get("pages", F.lit(0)), F.col("ordinal") + 1))))
+    rows = rows.withColumn("_cut", F.col("new_id").isNotNull())
     rows = rows.withColumn("_part", F.explode(F.when(F.col("_cut"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     is_tail, is_head = F.col("_part") == 1, F.col("_cut") & (F.col("_part") == 0)
-    note = F.when(is_tail, F.concat(F.lit("Split off "), _ref("id"), F.lit("."))).when(is_head, F.concat(F.lit("Split at character "), F.col("offset").cast("string"), F.lit("; the rest became "), F.col("new_id"), F.lit(".")))
+    note = F.when(is_tail, F.concat(F.lit("Split off "), _ref("id"), F.lit("."))).when(is_head, F.concat(F.lit("Split at character "), F.col("_offset").cast("string"), F.lit("; the rest became "), F.col("new_id"), F.lit(".")))
     changes = {
         "id": F.when(is_tail, F.col("new_id")).otherwise(F.col("id")),
         "number": F.when(~is_tail, F.col("number")),
@@ -103,8 +129,7 @@ def merge(verses: DataFrame, merges: DataFrame) -> DataFrame:
     survivor is raw again. A verse without a neighbour on that side, in its division, stays as it is.
     """
     w = Window.partitionBy(*DIVISION).orderBy("ordinal")
-    marks = merges.groupBy(*KEYS).agg(F.bool_or(F.col("direction") == "next").alias("_next"), F.bool_or(F.col("direction") == "previous").alias("_prev"))
-    rows = verses.join(marks, KEYS, "left")
+    rows = _met(verses, merges.select(*KEYS, F.col("direction").alias("_way")), _next=F.bool_or(F.col("_way") == "next"), _prev=F.bool_or(F.col("_way") == "previous"))
     taken = F.coalesce(F.lag("_next").over(w), F.lit(False)) | (F.coalesce("_prev", F.lit(False)) & F.lag("id").over(w).isNotNull())
     rows = rows.withColumn("_taken", taken).withColumn("_group", F.sum(F.when(~F.col("_taken"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     fields = [c for c in verses.columns if c not in DIVISION]
@@ -139,37 +164,45 @@ def insert(verses: DataFrame, new: DataFrame) -> DataFrame:
     A new verse is raw, has no reading, and takes form and pages from the verse before it; without a number it is flagged.
     New rows whose ``after`` doesn't exist are refused.
     """
-    before = verses.select(*DIVISION, F.col("id").alias("after"), F.col("ordinal").alias("_o"), F.col("form").alias("_form"), F.col("pages").alias("_pages"), F.lit(True).alias("_known"))
-    rows = new.join(before, [*DIVISION, "after"], "left").where("after IS NULL OR _known")
-    at = F.coalesce(F.col("_o") + 1, F.lit(0)).cast("long")
-    pages = F.coalesce("_pages", F.array().cast(verses.schema["pages"].dataType.simpleString()))
-    rows = rows.withColumn("ordinal", at).withColumn("pages", pages).withColumn("wanted", verse_id_for(F.col("number").cast("string"), F.try_element_at("pages", F.lit(-1)), F.col("ordinal")))
-    rows = free_ids(rows.withColumn("_place", F.struct("ordinal", "place")), verses, "_place").where("new_id IS NOT NULL")
+    named = new.select(*(F.col(k).try_cast(verses.schema[k].dataType).alias(k) for k in DIVISION), *(F.struct(F.col("after").cast("string").alias("after"), F.col("place").cast("long").alias("place"), F.col("text").cast("string").alias("text"), F.col("number").cast("string").alias("number")).alias("_new"),))
+    rows = verses.withColumn("_new", F.lit(None).cast(named.schema["_new"].dataType)).unionByName(named, allowMissingColumns=True)
+    # The verse that a new one stands behind is the one with its key.
+    rows = rows.withColumn("_fresh", F.col("_new").isNotNull()).withColumn("_beside", F.coalesce("id", "_new.after"))
+    behind = F.max(F.when(~F.col("_fresh"), F.struct(F.col("ordinal"), F.col("form"), F.col("pages")))).over(Window.partitionBy(*DIVISION, "_beside"))
+    rows = rows.withColumn("_behind", F.when(F.col("_new.after").isNotNull(), behind)).where(~F.col("_fresh") | F.col("_new.after").isNull() | F.col("_behind").isNotNull())
+    no_pages = F.array().cast(verses.schema["pages"].dataType.simpleString())
+    rows = rows.withColumn("ordinal", F.when(F.col("_fresh"), F.coalesce(F.col("_behind.ordinal") + 1, F.lit(0)).cast("long")).otherwise(F.col("ordinal")))
+    rows = rows.withColumn("pages", F.when(F.col("_fresh"), F.coalesce("_behind.pages", no_pages)).otherwise(F.col("pages")))
+    wanted = F.when(F.col("_fresh"), verse_id_for(F.col("_new.number"), F.try_element_at("pages", F.lit(-1)), F.col("ordinal")))
+    # Fresh rows come before the verse whose place they take.
+    rows = free_ids(rows.withColumn("_wanted", wanted).withColumn("_place", F.struct("ordinal", F.when(F.col("_fresh"), 0).otherwise(1).alias("old"), "_new.place")), order="_place")
+    rows = rows.where(~F.col("_fresh") | F.col("new_id").isNotNull())
     bare = F.array().cast("array<string>")
     fresh = {
-        "book_id": F.col("book_id"), "division_id": F.col("division_id"), "id": F.col("new_id"), "ordinal": F.col("ordinal"), "number": F.col("number"), "form": F.coalesce("_form", F.lit("prose")), "text": F.col("text"),
-        "ocr_text": F.lit(""), "status": F.lit("raw"), "origin": F.lit("inserted"), "lineage": bare, "flags": F.when(F.col("number").isNull(), F.array(F.lit("no-number"))).otherwise(bare), "pages": F.col("pages"),
+        "book_id": F.col("book_id"), "division_id": F.col("division_id"), "id": F.col("new_id"), "ordinal": F.col("ordinal"), "number": F.col("_new.number"), "form": F.coalesce("_behind.form", F.lit("prose")), "text": F.col("_new.text"),
+        "ocr_text": F.lit(""), "status": F.lit("raw"), "origin": F.lit("inserted"), "lineage": bare, "flags": F.when(F.col("_new.number").isNull(), F.array(F.lit("no-number"))).otherwise(bare), "pages": F.col("pages"),
         "orphaned": F.lit(False), "ocr_changed": F.lit(False),
     }
     types = {f.name: f.dataType.simpleString() for f in verses.schema.fields}
-    added = rows.select(*(fresh.get(c, F.lit(None)).cast(types[c]).alias(c) for c in verses.columns), F.struct(F.lit(0).alias("old"), F.col("place").cast("long").alias("place")).alias("_place"), F.lit("insert").alias("action"), F.lit("Typed in by hand: the reading has no such passage.").alias("note"))
-    old = verses.withColumn("_place", F.struct(F.lit(1).alias("old"), F.lit(0).cast("long").alias("place"))).withColumn("action", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string"))
-    return renumbered(old.unionByName(added), "ordinal", "_place").select(*verses.columns, "action", "note")
+    kept = (F.when(F.col("_fresh"), fresh.get(c, F.lit(None)).cast(types[c])).otherwise(F.col(c)).alias(c) for c in verses.columns)
+    note = F.when(F.col("_fresh"), F.lit("Typed in by hand: the reading has no such passage.")).alias("note")
+    return renumbered(rows.select(*kept, "_place", F.when(F.col("_fresh"), F.lit("insert")).alias("action"), note), "_place").select(*verses.columns, "action", "note")
 
 
 def delete(verses: DataFrame, gone: DataFrame) -> DataFrame:
     """Verses without some of them (book_id, division_id, id); ordinals close up."""
-    return renumbered(verses.join(gone.select(*KEYS).distinct(), KEYS, "left_anti"), "ordinal").select(verses.columns)
+    rows = _met(verses, gone.select(*KEYS, F.lit(True).alias("_mark")), _gone=F.max("_mark")).where("_gone IS NULL")
+    return renumbered(rows, "ordinal").select(verses.columns)
 
 
 def renumber(verses: DataFrame, changes: DataFrame) -> DataFrame:
     """Verses after changes (book_id, division_id, id, number; null: it has none): ids follow the numbers, the old ids join the lineage."""
-    marks = changes.select(*KEYS, F.col("number").alias("_number"), F.lit(True).alias("_m"))
-    rows = verses.join(marks, KEYS, "left")
-    wanted = rows.where("_m").select(*KEYS, "ordinal", verse_id_for(F.col("_number").cast("string"), F.get("pages", F.lit(0)), F.col("ordinal")).alias("wanted"))
-    same = wanted.where("wanted = id").select(*KEYS, F.col("id").alias("new_id"))  # one's own id is free
-    named = free_ids(wanted.where("wanted <> id"), verses).select(*KEYS, "new_id").unionByName(same)
-    rows = rows.join(named, KEYS, "left").withColumn("_m", F.col("_m") & F.col("new_id").isNotNull())
+    marks = changes.select(*KEYS, F.col("number").cast("string").alias("_given"), F.lit(True).alias("_mark"))
+    rows = _met(verses, marks, _number=F.max("_given"), _m=F.max("_mark"))
+    rows = rows.withColumn("_id", F.when(F.col("_m"), verse_id_for(F.col("_number"), F.get("pages", F.lit(0)), F.col("ordinal"))))
+    rows = free_ids(rows.withColumn("_wanted", F.when(F.col("_id") != F.col("id"), F.col("_id"))))
+    rows = rows.withColumn("new_id", F.when(F.col("_id") == F.col("id"), F.col("id")).otherwise(F.col("new_id")))  # one's own id is free
+    rows = rows.withColumn("_m", F.col("_m") & F.col("new_id").isNotNull())
     flags = _without(F.col("flags"), "no-number")
     changed = {
         "id": F.coalesce("new_id", "id"),

@@ -85,10 +85,13 @@ SELECT book_id, division_id, id, row_number() OVER (PARTITION BY book_id, divisi
 def inserted_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verses with some that were typed in: behind others, two at a time, and at the beginning."""
     v = edited_verses(spark, sf_dir)
-    where = v.where("ordinal % 4 = 1").select("book_id", "division_id", F.col("id").alias("after"))
-    new = where.select("*", F.lit(0).alias("place"), F.lit("typed twelve").alias("text"), F.lit("12").alias("number"))
-    new = new.unionByName(where.select("*", F.lit(1).alias("place"), F.lit("typed").alias("text"), F.lit(None).cast("string").alias("number")))
-    new = new.unionByName(v.where("ordinal = 0").select("book_id", "division_id", F.lit(None).cast("string").alias("after"), F.lit(0).alias("place"), F.lit("first").alias("text"), F.lit(None).cast("string").alias("number")))
+
+    def typed(after: F.Column, place: int, text: str, number: str | None) -> F.Column:
+        return F.struct(after.cast("string").alias("after"), F.lit(place).alias("place"), F.lit(text).alias("text"), F.lit(number).cast("string").alias("number"))
+
+    behind = F.array(typed(F.col("id"), 0, "typed twelve", "12"), typed(F.col("id"), 1, "typed", None))
+    new = v.select("book_id", "division_id", F.explode(F.when(F.col("ordinal") % 4 == 1, behind).when(F.col("ordinal") == 0, F.array(typed(F.lit(None), 0, "first", None)))).alias("n"))
+    new = new.select("book_id", "division_id", "n.*")
     return _lists(rs.insert(v, new), "flags").select("book_id", "division_id", "id", "ordinal", "number", "text", "ocr_text", "status", "origin", "flags", "action")
 
 

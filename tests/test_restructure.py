@@ -151,3 +151,21 @@ def test_renumbering(spark):
         ("v2-2", "૨", ["x"], ["o#0", "d0#v1"]), ("v2", rows[1]["number"], [], ["o#0"]), ("p4-3", None, ["no-number"], ["o#0", "d0#v3"]), ("v2-3", "2", [], ["o#0", "d0#p4-4"])
     ]
     assert sorted(r["id"] for r in rs.revisions(out).collect()) == ["p4-3", "v2-2", "v2-3"]
+
+
+def test_ids_that_end_in_numbers_lend_their_suffixes(spark):
+    ids = ["p4-2", "p4-2-2", "p4-2-3", "p4-2-100", "p4-2-05", "p4-2-99999999999"]
+    rows = [{**book(1)[0], "id": i, "ordinal": k, "text": "ab cd", "pages": [4]} for k, i in enumerate(ids)]
+    got, _ = run(spark, rows, rs.split, [(1, "d0", "p4-2", 2)], "book_id int, division_id string, id string, offset int")
+    assert [r["id"] for r in got] == ["p4-2", "p4-2-4", *ids[1:]]
+
+
+@pytest.mark.parametrize("change", ["split", "merge", "insert", "delete", "renumber"])
+def test_verses_dealt_by_division_are_dealt_no_more(spark, change):
+    schema = {"split": "id string, offset int", "merge": "id string, direction string", "insert": "after string, place int, text string, number string", "delete": "id string", "renumber": "id string, number string"}[change]
+    verses = spark.createDataFrame([tuple(r[c] for c in NAMES) for r in book(1)], SCHEMA).repartition(3, "book_id", "division_id")
+    changes = spark.createDataFrame([], f"book_id int, division_id string, {schema}").repartition(3, "book_id", "division_id")
+    out = getattr(rs, change)(verses, changes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") == 2
+    assert out.count() == len(book(1))
