@@ -1,6 +1,7 @@
 """Text functions against slow folds and hand-written cases."""
 
 import random
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -161,3 +162,27 @@ def test_hashes_of_many_and_of_long_texts(spark):
     out = column(spark, texts).select("x", r.fnv1a64(F.col("x")).alias("h"))
     assert all(row["h"] == (None if row["x"] is None else fnv(row["x"])) for row in out.collect())
     assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()  # no fold by an expression, byte by byte
+
+
+def test_letters_of_classes_stand_for_their_characters(spark):
+    rng = random.Random(7)
+    few = "કખ\u0abc\u0acd\u0abe\u0abf\u0ac0\u093e\u094dकa.svcnmjz\u200c\u200d\n 𝒳"
+    texts = ["", *("".join(rng.choice(few) for _ in range(rng.randint(1, 60))) for _ in range(300)), *("".join(rng.choice(few[:8] + "\u200c\u200d") for _ in range(rng.randint(1, 40))) for _ in range(300)), None]
+    df = column(spark, texts)
+    assert values(df, t.akshara_summary(F.col("x"), 5)["aksharas"]) == values(df, t.count_aksharas(F.col("x")))
+    assert values(df, t.akshara_summary(F.col("x"), 5)["preview"]) == values(df, t.truncate_aksharas(F.col("x"), 5))
+    o = t.orthography(F.col("x"), "gujr")
+    got = values(df, F.struct(o["adjacent_vowel_signs"], o["vowel_sign_without_base"], o["virama_before_vowel_sign"], o["virama_without_base"], o["examined"]))
+    assert [list(g) for g in got[:-1]] == [by_classes(x) for x in texts[:-1]] and list(got[-1]) == [None] * 5
+
+
+def by_classes(text):
+    S, V, C, N = (f"[{''.join(f'{chr(a)}-{chr(b)}' for a, b in table)}]" for table in (s.VOWEL_SIGNS, s.VIRAMAS, s.CONSONANTS, s.NUKTAS))
+    patterns = (f"(?<={S}){S}", f"(?<!{S})(?<!{C})(?<!{C}{N})(?<!{V})(?<!{V}{N}){S}", f"{V}(?={S})", f"(?<!{C})(?<!{C}{N}){V}", f"{S}|{V}|{C}")
+    return [len(re.findall(p, text)) for p in patterns]
+
+
+def test_patterns_of_many_ranges_are_not_searched(spark):
+    df = column(spark, ["x"])
+    for c in (t.orthography(F.col("x"), "gujr"), t.akshara_summary(F.col("x"), 3)):
+        assert "x{93E}" not in df.select(c)._jdf.queryExecution().executedPlan().toString()
