@@ -117,7 +117,8 @@ def unique_ids(rows: DataFrame, keys: list[str], id_col: str, order: list[str])
     same = F.lit(True)
     for k in [*keys, root]:
         same &= F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}"))
-    own = own.alias("o").join(mixed.alias("s"), same).select("o.*", f"s.{several}")
+    # Both ways read it, one of them twice: to find its ranges and to deal by them.
+    own = materialize(own.alias("o").join(mixed.alias("s"), same).select("o.*", f"s.{several}"), "families")
     alone = ranked(own.where(~F.col(several)), [*keys, wanted], order, place)
     alone = alone.select(*names, F.when(F.col(place) > 1, F.concat_ws("-", wanted, F.col(place).cast("string"))).otherwise(F.col(wanted)).alias("unique_id"))
     folded = own.where(several).withColumn(family, F.to_json(F.struct(*keys, root), {"ignoreNullFields": "false"})).select(*names, wanted, family)

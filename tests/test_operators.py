@@ -101,6 +101,19 @@ def test_ids_are_unique_among_those_that_stand_and_those_given(spark):
     assert [out[k] for k in range(9)] == ["v1", "v1-2", "v1-2-2", "v1-3", "v1-2-3", "v1-3-2", "v1-2-2-2", "v2", None]
 
 
+def test_unique_ids_read_their_rows_a_few_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(k % 5, k, ["a", "a-2", "b", None][k % 4]) for k in range(400)], "division int, k int, id string")
+    assert seq.unique_ids(df.mapInArrow(counted, df.schema), ["division"], "id", ["k"]).count() == 400
+    assert seen.value <= 3 * 400
+
+
 def test_unique_ids_equal_one_pass_in_order(spark):
     rng = random.Random(9)
     some = lambda: rng.choice(["v1", "v1", "v2", ""]) + rng.choice(["", "", "-2", "-3", "-2-2", "-02", "-1", "-10", "-x", "-"])
