@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -91,3 +94,22 @@ def verse_hash(layers: Column) -> Column:
     """The content hash of a map of layers: entries by id, joined and hashed (texts must be in normal form C)."""
     entries = F.array_sort(F.map_entries(layers))
     return F.concat(F.lit("f1a64:"), fnv1a64(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(FIELD), e["value"])), RECORD)))
+
+
+def _normal_fnv1a64(texts: pa.Array, maps: pa.Array) -> pa.Array:
+    """The hashes of a batch of joined layers in normal form C; of those whose ids also need it, the maps as JSON."""
+    data = texts.buffers()[2]
+    if data is not None and data.size and np.frombuffer(data, np.int8).min() < 0:
+        texts = pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+    if maps.null_count < len(maps):
+        joined = lambda m: RECORD.join(f"{k}{FIELD}{v}" for k, v in sorted(json.loads(unicodedata.normalize("NFC", m)).items()))
+        texts = pa.array([t if m is None else joined(m) for t, m in zip(texts.to_pylist(), maps.to_pylist(), strict=True)], pa.string())
+    return _fnv1a64(texts)
+
+
+def normal_verse_hash(layers: Column) -> Column:
+    """``verse_hash`` of a map of layers in any normal form, in one step."""
+    # The separators compose with nothing, so the joined text is brought to normal form as a whole; ids that aren't ASCII may change their order.
+    entries, ids = F.array_sort(F.map_entries(layers)), F.array_join(F.map_keys(layers), "")
+    text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(FIELD), e["value"])), RECORD)
+    return F.concat(F.lit("f1a64:"), F.arrow_udf(_normal_fnv1a64, "string")(text, F.when(F.octet_length(ids) != F.length(ids), F.to_json(layers))))

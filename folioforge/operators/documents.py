@@ -1,9 +1,11 @@
 """Book documents as variants: walked level by level, checked by the rules of their schema and beyond it, and built again.
 
-A document is parsed once. Each level of its units is one table of nodes, the next one their exploded units, and a node
-carries its shape (what the schema expects there), its JSON pointer and, inside the structure, its ref. So documents of any
-depth and any number are walked in as many steps as the deepest has levels of units, and an issue names the place where it is.
-What a unit holds beside other units has a depth that the format fixes: it is opened in one pass over the units.
+Each level of the units of documents is one table of nodes, and a node carries its shape (what the schema expects there), its
+JSON pointer and, inside the structure, its ref. So documents of any depth and any number are walked in as many steps as the
+deepest has levels of units, and an issue names the place where it is. A node is kept without the units below it, which are
+read from the documents again, so that a text isn't written once for each level above it.
+What a unit holds beside other units has a depth that the format fixes: it is opened in one pass over those units whose types
+and values don't show at once that they keep the schema.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import nfc
-from ..functions.refs import GLOSS, SEGMENT, is_ref, verse_hash
-from ..sources.shared import materialize
+from ..functions.refs import GLOSS, SEGMENT, is_ref, normal_verse_hash
+from ..sources.shared import dealt
+from ..sources.shared import packed as materialize
 from .structure import CONTROL, CONTROL_OR_LINE, LANGUAGE_TAG, SEMVER
 
 #: The format of a package. Of each object its fields, their shapes, and whether they must be there (a star).
@@ -67,8 +69,9 @@ def _resolved(shape: Column, kind: Column, node: Column) -> Column:
 
 
 def _kind(node: Column) -> Column:
-    t = F.schema_of_variant(node)
-    return F.when(F.startswith(t, F.lit("OBJECT")), "object").when(F.startswith(t, F.lit("ARRAY")), "list").when(t == "STRING", "string").when(t.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(t, F.lit("DECIMAL")), "number").otherwise("other")
+    # What is large is told by a cast that opens one level: the schema of a variant would be that of all that it holds.
+    is_object, is_list, t = F.try_variant_get(node, "$", "struct<kind:variant>").isNotNull(), _items(node).isNotNull(), F.schema_of_variant(node)
+    return F.when(is_object, "object").when(is_list, "list").when(t == "STRING", "string").when(t.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(t, F.lit("DECIMAL")), "number").otherwise("other")
 
 
 # Members are asked for as lists of lists, which they aren't: they are counted, while as variants each would be built anew with all that it holds.
@@ -110,23 +113,71 @@ def _opened(nodes: DataFrame, opens: Column, *names: str) -> DataFrame:
     return sub.select("doc", F.col("_opens").alias("fresh"), F.explode(F.when(F.col("_opens"), child).otherwise(same)).alias("c")).select("doc", "c.*", "fresh")
 
 
-def walk_units(books: DataFrame, key: str, document: str = "document") -> DataFrame:
-    """The nodes of ``walk`` that are documents or units, a table for each level of units."""
+#: Levels of units that are opened at once, before what lies below is written anew.
+AT_ONCE = 4
+
+
+def _held(shape: Column, kind: Column, node: Column) -> Column:
+    """What should be the list of the units right below a book or division, null for other nodes."""
+    is_object = kind == "object"
+    return F.when(is_object & (shape == "book"), F.try_variant_get(node, "$.structure", "variant")).when(is_object & (shape == "division"), F.try_variant_get(node, "$.children", "variant"))
+
+
+def _below(level: DataFrame) -> DataFrame:
+    """The units right below those of a level, with all that they hold."""
+    # Nothing is filtered: Spark would move the filter below, where shape and kind would be found once for it and once for the rest.
+    above = level.withColumnsRenamed({c: f"_{c}" for c in _COLUMNS if c != "doc"})
+    sub = above.lateralJoin(level.sparkSession.tvf.variant_explode(_held(F.col("_shape"), F.col("_kind"), F.col("_node")).outer()))
+    place = F.col("pos").cast("string")
+    sub = sub.withColumn("kind", _kind(F.col("value"))).withColumn("shape", _resolved(F.lit("unit"), F.col("kind"), F.col("value")))
+    return sub.select(
+        "doc", F.concat("_pointer", F.when(F.col("_shape") == "book", "/structure/").otherwise("/children/"), F.coalesce("key", place)).alias("pointer"), "shape", "kind",
+        F.concat("_ref", F.when(F.col("shape") == "verse", "#").otherwise("/"), F.coalesce(F.try_variant_get("value", "$.id", "string"), F.lit(""))).alias("ref"), F.col("_ref").alias("parent_ref"),
+        F.concat_ws(".", F.when(F.col("_ord") != "", F.col("_ord")), F.lpad(place, 9, "0")).alias("ord"), (F.col("_depth") + 1).alias("depth"), F.col("value").alias("node"),
+    )
+
+
+def _alone(level: DataFrame, *whole: str) -> DataFrame:
+    """Nodes (and under another name, if one is given, those above others as they were) with the mark ``[true]`` for the units below them, if there are any; ``repeats`` and ``forks`` are the further children (and divisions) whose ids their siblings have."""
+    shape, node = F.col("shape"), F.col("node")
+    holds = shape.isin("book", "division") & (F.col("kind") == "object")
+    name = F.when(shape == "book", "structure").otherwise("children")
+    short = lambda k, v: F.when((k == name) & (F.size(_items(v)) > 0), F.parse_json(F.lit("[true]"))).otherwise(v)
+    own = F.to_variant_object(F.transform_values(F.try_variant_get(node, "$", "map<string,variant>"), short))
+    below = F.try_variant_get(_held(shape, F.col("kind"), node), "$", "array<struct<kind:string,id:string>>")
+    again = lambda units: F.size(units) - F.size(F.array_distinct(F.transform(units, lambda u: u["id"])))
+    marked = level.withColumn("_below", F.when(holds, below))
+    forks = again(F.filter("_below", lambda u: F.coalesce(u["kind"] != "verse", F.lit(True))))
+    repeats = F.when(F.col("_below").isNotNull(), again(F.col("_below"))).otherwise(0)
+    return marked.select(*(F.when(holds, own).otherwise(node).alias(c) if c == "node" else c for c in _COLUMNS), repeats.alias("repeats"), F.when(F.col("_below").isNotNull(), forks).otherwise(0).alias("forks"), *(F.when(holds, node).alias(w) for w in whole))
+
+
+def walk_units(books: DataFrame, key: str, document: str = "document", stored: bool = False) -> DataFrame:
+    """The nodes of ``walk`` that are documents or units, a table for each level of units, each without the units below it.
+
+    Books that are ``stored`` (a table that can be read again) are not written once more. ``repeats`` and ``forks`` are those of ``_alone``.
+    """
     parsed = books.select(F.col(key).alias("doc"), F.try_parse_json(document).alias("node"))
     kind = _kind(F.col("node"))
     level = parsed.select(
         "doc", F.lit("").alias("pointer"), F.when(F.col("node").isNull(), "unreadable").otherwise("book").alias("shape"), F.when(F.col("node").isNotNull(), kind).alias("kind"),
         F.try_variant_get("node", "$.id", "string").alias("ref"), F.lit(None).cast("string").alias("parent_ref"), F.lit("").alias("ord"), F.lit(0).alias("depth"), "node",
     )
-    levels = []
+    levels, since = [], 0 if stored else AT_ONCE
     while True:
-        level = materialize(level, "nodes")
-        if levels and level.isEmpty():
+        if since == AT_ONCE:
+            # What the documents hold below here is kept beside the nodes, and read from here on.
+            kept = materialize(_alone(level, "whole"), "nodes")
+            level, since = kept.drop("node").withColumnRenamed("whole", "node").select(_COLUMNS), 0
+            kept = kept.drop("whole")
+        else:
+            kept = materialize(_alone(level), "nodes")
+        if levels and kept.isEmpty():
             break
-        levels.append(level)
-        above = level.where(F.col("shape").isin("book", "division") & F.col("kind").isin("object", "list"))
-        lists = _opened(above, F.lit(True), "structure", "children").where("shape = 'units' AND kind IN ('object', 'list')")
-        level = _opened(lists.select(_COLUMNS), F.lit(True)).select(_COLUMNS)
+        levels.append(kept)
+        since += 1
+        # Without divisions there is nothing below, and the documents needn't be read for it.
+        level = _below(level if len(levels) == 1 or not kept.where("shape = 'division'").isEmpty() else kept)
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -156,6 +207,31 @@ def walk(books: DataFrame, key: str, document: str = "document") -> DataFrame:
     return with_fields(walk_units(books, key, document))
 
 
+#: What ``schema_of_variant`` tells of units that hold nothing but texts and maps of texts (an array would hide which of its items has what).
+_TEXTS = "OBJECT<`?[A-Za-z0-9-]++`?: STRING(?:, `?[A-Za-z0-9-]++`?: STRING){0,99}>"
+_PLAIN = {
+    "verse": f"^OBJECT<form: STRING, (?:hash: STRING, )?id: STRING, kind: STRING, layers: {_TEXTS}(?:, number: STRING)?(?:, title: {_TEXTS})?>\\z",
+    "division": f"^OBJECT<children: ARRAY<BOOLEAN>, id: STRING, kind: STRING(?:, number: STRING)?(?:, title: {_TEXTS})?>\\z",
+}
+
+
+def _keeps_schema() -> Column:
+    """Whether a unit of ``walk_units`` keeps the schema by its types and values; false also where that takes a closer look (glosses, for one)."""
+    get = lambda f, t="string": F.try_variant_get("node", f"$.{f}", t)
+    shape, types = F.col("shape"), F.schema_of_variant("node")
+    keeps = lambda f, rule: F.coalesce(_rule(rule, get(f)), F.lit(True))
+
+    def entries(f: str, name: str) -> Column:
+        m, (of_keys, of_values, _) = get(f, "map<string,string>"), MAPS[name]
+        of_values = "text" if of_values == "value" else of_values
+        return F.coalesce(F.forall(F.map_keys(m), lambda k: _rule(of_keys, k)) & F.forall(F.map_values(m), lambda v: _rule(of_values, v)), F.lit(True))
+
+    both = keeps("id", "segment") & keeps("number", "line") & entries("title", "localized")
+    verse = F.regexp_like(types, F.lit(_PLAIN["verse"])) & both & keeps("form", "form") & keeps("hash", "filled") & entries("layers", "values")
+    division = F.regexp_like(types, F.lit(_PLAIN["division"])) & both
+    return F.coalesce(F.when(shape == "verse", verse).when(shape == "division", division), F.lit(False))
+
+
 def _issues(rows: DataFrame, code: str, path: Column, severity: str = "error") -> DataFrame:
     return rows.select("doc", F.lit(severity).alias("severity"), F.lit(code).alias("code"), path.cast("string").alias("path"))
 
@@ -225,16 +301,9 @@ def live_refs(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("shape").isin("book", "division", "verse") & F.col("ref").isNotNull()).select("doc", "ref").distinct()
 
 
-def _normal(rows: DataFrame) -> DataFrame:
-    """Values in normal form C; only those that aren't ASCII go to Python."""
-    entries = rows.select("*", F.to_json("values").alias("_json"))
-    ascii_ = F.octet_length("_json") == F.length("_json")
-    return entries.withColumn("values", F.when(ascii_, F.col("values")).otherwise(F.from_json(nfc(F.when(~ascii_, F.col("_json"))), "map<string,string>"))).drop("_json")
-
-
 def integrity_issues(nodes: DataFrame) -> DataFrame:
-    """(doc, severity, code, path) of documents that keep the schema: what it can't see. Units are named by their refs."""
-    u = materialize(_normal(units(nodes)), "units")
+    """(doc, severity, code, path) of documents of ``walk_units`` that keep the schema: what it can't see. Units are named by their refs."""
+    u = units(nodes)
     get = lambda f, t="string": F.try_variant_get("node", f"$.{f}", t)
     own = nodes.where("shape = 'book'")
     declared = with_fields(own).where("shape = 'layer'").select("doc", "pointer", get("id").alias("layer"), get("kind").alias("kind"), get("scheme").alias("scheme"), F.regexp_extract("pointer", "([0-9]+)$", 1).cast("long").alias("n"))
@@ -243,33 +312,38 @@ def integrity_issues(nodes: DataFrame) -> DataFrame:
     kinds = declared.groupBy("doc", "layer").agg(F.max_by("kind", "n").alias("kind"), F.array_sort(F.collect_list("n")).alias("places"))
     primary = heads.select("doc", "layer").join(kinds.select("doc", "layer", "kind"), ["doc", "layer"], "left")
     again = kinds.select("doc", F.explode(F.slice("places", F.lit(2), F.greatest(F.size("places") - 1, F.lit(0)))).alias("n"))
-    verses = u.where("kind = 'verse'")
-    # A document's layers are few: its verses meet them as one map, and their faults are found in one pass.
+    verses = u.where("kind = 'verse'").withColumn("has", F.array_sort(F.map_keys("values"))).withColumn("glosses", F.array_sort("glosses"))
+    # A document's verses have few sets of layers: the sets are judged, and the verses of wrong ones looked for.
     maps = kinds.where("layer IS NOT NULL").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("layer", "kind"))).alias("_kinds"))
     known = primary.where("kind IS NOT NULL").select("doc", F.col("layer").alias("_primary"))
-    met = verses.join(maps.join(known, "doc", "left"), "doc", "left")
+    met = verses.select("doc", "has", "glosses").distinct().join(maps.join(known, "doc", "left"), "doc", "left")
     of_layer = lambda layer: F.try_element_at("_kinds", layer)
-    each = lambda cond, code: F.transform(F.filter(F.map_keys("values"), cond), lambda layer: F.lit(code))
-    one = lambda cond, code: F.when(cond, F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))
+    each = lambda cond, code: F.transform(F.filter("has", cond), lambda layer: F.lit(code))
     codes = F.concat(
         each(lambda layer: of_layer(layer).isNull(), "undeclared-layer"),
         each(lambda layer: (of_layer(layer) == "wordMeanings") != F.array_contains("glosses", layer), "layer-kind-mismatch"),
-        one(~F.array_contains(F.map_keys("values"), F.col("_primary")), "primary-layer-missing"),
-        one(F.col("hash").isNotNull() & (F.col("hash") != F.col("_hash")), "hash-mismatch"),
+        F.when(~F.array_contains("has", F.col("_primary")), F.array(F.lit("primary-layer-missing"))).otherwise(F.array().cast("array<string>")),
     )
-    faults = met.withColumn("_hash", verse_hash(F.col("values"))).select("doc", "ref", F.explode(codes).alias("code"))
-    siblings = u.groupBy("doc", "parent_ref", "id").agg(F.count("*").cast("int").alias("n")).where("n > 1").select("doc", "parent_ref", F.explode(F.sequence(F.lit(2), F.col("n"))))
+    wrong_sets = materialize(met.withColumn("codes", codes).where(F.size("codes") > 0).select("doc", "has", "glosses", "codes"), "sets")
+    faults = verses.select("doc", "ref", "has", "glosses").join(wrong_sets, ["doc", "has", "glosses"]).select("doc", "ref", F.explode("codes").alias("code"))
+    hashed = verses.where("hash IS NOT NULL").select("doc", "ref", "hash", "values").where(F.col("hash") != normal_verse_hash(F.col("values")))
+    # Siblings were compared when their parent was opened. Divisions of one ref share their children, so documents that have them are counted by refs.
+    forked = materialize(nodes.where("forks > 0").select("doc").distinct(), "forked")
+    repeats = nodes.where("repeats > 0").join(forked, "doc", "left_anti").select("doc", F.col("ref").alias("parent_ref"), "repeats")
+    shared = u.select("doc", "parent_ref", "id").join(forked, "doc", "left_semi").groupBy("doc", "parent_ref", "id").agg((F.count("*") - 1).cast("int").alias("repeats"))
+    siblings = repeats.unionByName(shared.where("repeats > 0").drop("id")).select("doc", "parent_ref", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     found = [
         _issues(again, "duplicate-layer-id", F.concat(F.lit("/layers/"), F.col("n").cast("string"))),
         _issues(primary.where("kind IS NULL"), "primary-layer-undeclared", F.lit("/primaryLayer")),
         _issues(primary.where("kind <> 'original'"), "primary-layer-not-original", F.lit("/primaryLayer")),
         _issues(declared.where("kind = 'transliteration' AND scheme IS NULL"), "transliteration-scheme-missing", F.col("pointer"), "warning"),
         _issues(siblings, "duplicate-sibling-id", F.col("parent_ref")),
+        _issues(hashed, "hash-mismatch", F.col("ref")),
         faults.select("doc", F.lit("error").alias("severity"), "code", F.col("ref").alias("path")),
     ]
     sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("ref")) for side in ("source", "target")))
-    aliases = heads.select("doc", "book", F.explode("aliases").alias("source", "target")).select("doc", "book", "source", F.inline(sides))
-    live = u.select("doc", "ref").unionByName(own.select("doc", "ref")).join(aliases.select("doc").distinct(), "doc", "left_semi").where("ref IS NOT NULL").distinct().withColumn("_live", F.lit(True))
+    aliases = materialize(heads.select("doc", "book", F.explode("aliases").alias("source", "target")).select("doc", "book", "source", F.inline(sides)), "aliases")
+    live = nodes.where(F.col("shape").isin("book", "division", "verse")).select("doc", "ref").join(aliases.select("doc").distinct(), "doc", "left_semi").where("ref IS NOT NULL").distinct().withColumn("_live", F.lit(True))
     j = aliases.join(live, ["doc", "ref"], "left")
     wrong = F.when((F.col("side") == "source") & F.col("_live").isNotNull(), "alias-source-live").when((F.col("side") == "target") & F.col("_live").isNull(), "alias-target-missing")
     code = F.when(~is_ref(F.col("ref")), "alias-unparseable").when(F.regexp_extract("ref", "^[^/#]*", 0) != F.col("book"), "alias-foreign-book").otherwise(wrong)
@@ -277,44 +351,55 @@ def integrity_issues(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def validate_books(books: DataFrame, key: str, document: str = "document") -> DataFrame:
-    """(doc, severity, code, path) of all issues of many documents: those of the schema, and beyond it for documents without any."""
-    nodes = walk_units(books, key, document)
-    broken = materialize(schema_issues(with_fields(nodes)), "schema-issues")
-    return broken.unionByName(integrity_issues(nodes.join(broken.select("doc").distinct(), "doc", "left_anti")))
+def validate_books(books: DataFrame, key: str, document: str = "document", stored: bool = False) -> DataFrame:
+    """(doc, severity, code, path) of all issues of many documents: those of the schema, and beyond it for documents without any. Books are ``stored`` as for ``walk_units``."""
+    nodes = walk_units(books, key, document, stored)
+    broken = materialize(schema_issues(with_fields(nodes.where(~_keeps_schema()))), "schema-issues")
+    return broken.unionByName(integrity_issues(nodes).join(broken.select("doc").distinct(), "doc", "left_anti"))
 
 
-def build_structures(rows: DataFrame) -> DataFrame:
+def build_structures(rows: DataFrame, stored: bool = False) -> DataFrame:
     """(doc, structure, verses): units nested again as JSON text, from the deepest up; divisions that have lost all verses are gone.
 
     rows: (doc, ref, parent_ref, place, depth, kind, id, number, title, form, layers, values); ``place`` orders siblings, and
-    a verse's hash is made anew from ``values``.
+    a verse's hash is made anew from ``values``. Rows that are not ``stored`` (in tables that can be read again) are written first.
     """
-    done: DataFrame | None = None
     verse = F.col("kind") == "verse"
-    rows = materialize(_normal(rows).withColumn("hash", F.when(verse, verse_hash(F.col("values")))).drop("values"), "hashed")
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    for depth in range(deepest, 0, -1):
-        own = rows.where(F.col("depth") == depth)
-        own = own.join(done, ["doc", "ref"], "left") if done is not None else own.withColumn("children", F.lit(None).cast("string")).withColumn("verses", F.lit(None).cast("long"))
-        own = own.where(verse | F.col("children").isNotNull())
-        plain = F.to_json(F.struct("kind", "id", "number"))
-        more = F.concat_ws(
-            ",", F.when(F.col("title").isNotNull(), F.concat(F.lit('"title":'), "title")), F.when(verse, F.regexp_replace(F.to_json(F.struct("form")), "^\\{|\\}$", "")),
-            F.when(verse, F.concat(F.lit('"layers":'), "layers")), F.when(verse, F.regexp_replace(F.to_json(F.struct("hash")), "^\\{|\\}$", "")), F.when(~verse, F.concat(F.lit('"children":'), "children")),
-        )
-        node = F.concat(F.regexp_replace(plain, "\\}$", ","), more, F.lit("}"))
-        count = F.when(verse, F.lit(1)).otherwise(F.col("verses")).cast("long")
-        grouped = own.select("doc", F.col("parent_ref").alias("ref"), F.struct("place", node.alias("json")).alias("x"), count.alias("v")).groupBy("doc", "ref")
-        done = grouped.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["json"]), ","), F.lit("]")).alias("children"), F.sum("v").alias("verses"))
+    rows = rows.withColumn("hash", F.when(verse, normal_verse_hash(F.col("values")))).drop("values")
+    rows = rows if stored else materialize(rows, "hashed")
+    size = rows.agg(F.max("depth").alias("deepest"), F.count("*").alias("n")).first()
+
+    def node(more: Column, *fields: str) -> Column:
+        plain = F.to_json(F.struct("kind", "id", "number", *fields))
+        return F.concat(F.concat_ws(",", F.left(plain, F.length(plain) - 1), F.concat(F.lit('"title":'), "title"), more), F.lit("}"))
+
+    leaf = node(F.concat(F.lit('"layers":'), "layers"), "form", "hash")
+    verses = rows.where(verse).select("doc", F.col("parent_ref").alias("ref"), F.struct("place", leaf.alias("json")).alias("x"), F.lit(1).cast("long").alias("v"), "depth")
+    own = F.struct("parent_ref", "place", "kind", "id", "number", "title").alias("own")
+    divisions = rows.where(~verse & F.col("ref").isNotNull()).select("doc", "ref", own, "depth")
+    # A document's rows are dealt once, by the document: what is found for a level lies where the next one needs it.
+    deal = lambda df: dealt(df, size["n"], "doc")
+    done: DataFrame | None = None
+    for depth in range(size["deepest"] or 0, 0, -1):
+        members = deal(verses.where(F.col("depth") == depth).drop("depth"))
+        members = members if done is None else members.unionByName(done)
+        if depth > 1:
+            members = members.unionByName(deal(divisions.where(F.col("depth") == depth - 1).drop("depth")), allowMissingColumns=True)
+        else:
+            members = members.withColumn("own", F.lit(None).cast(divisions.schema["own"].dataType))
+        children = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["json"]), ","), F.lit("]"))
+        done = members.groupBy("doc", "ref").agg(children.alias("children"), F.sum("v").alias("verses"), F.collect_list("own").alias("own")).where("verses > 0")
+        if depth > 1:
+            done = done.select("doc", "children", F.col("verses").alias("v"), F.inline("own"))
+            done = done.select("doc", F.col("parent_ref").alias("ref"), F.struct("place", node(F.concat(F.lit('"children":'), "children")).alias("json")).alias("x"), "v")
     if done is None:
         return rows.select("doc", F.lit("").alias("structure"), F.lit(0).cast("long").alias("verses")).limit(0)
     return done.select("doc", F.col("children").alias("structure"), "verses")
 
 
 def rebuild_books(nodes: DataFrame) -> DataFrame:
-    """(doc, document): walked documents put together again, with hashes made anew."""
-    built = build_structures(units(nodes).withColumnRenamed("ord", "place"))
+    """(doc, document): documents of ``walk`` or ``walk_units`` put together again, with hashes made anew."""
+    built = build_structures(units(nodes).withColumnRenamed("ord", "place"), stored=True)
     heads = nodes.where("shape = 'book'").select("doc", F.to_json(F.map_filter(F.try_variant_get("node", "$", "map<string,variant>"), lambda k, v: k != "structure")).alias("head"))
     whole = F.concat(F.regexp_replace("head", "\\}$", F.when(F.col("head") == "{}", "").otherwise(",")), F.lit('"structure":'), F.coalesce("structure", F.lit("[]")), F.lit("}"))
     return heads.join(built, "doc", "left").select("doc", whole.alias("document"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble
 from ..operators import documents as docs
-from ..sources.shared import materialize
+from ..sources.shared import packed as materialize
 from .derived import divisions, verses
 from .registry import query, with_tables
 
@@ -86,6 +86,6 @@ def assembled_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = p.select("book").distinct()
     manifests = books.select("book", F.lit("scan").alias("source"), F.lit("0").alias("sha256"), F.lit("none").alias("engine"))
     made = materialize(assemble.packages(p, sections, assemble.default_metadata(books), manifests), "assembled")
-    errors = docs.validate_books(made, "book").where("severity = 'error'").groupBy(F.col("doc").alias("book")).agg(F.count("*").alias("errors"))
+    errors = docs.validate_books(made, "book", stored=True).where("severity = 'error'").groupBy(F.col("doc").alias("book")).agg(F.count("*").alias("errors"))
     n = F.size(F.from_json(F.get_json_object("document", "$.structure"), "array<struct<id:string>>")).cast("long")
     return made.join(errors, "book", "left").select("book", "verses", F.coalesce("errors", F.lit(0).cast("long")).alias("errors"), n.alias("sections"))
