@@ -88,29 +88,19 @@ def _items(node: Column) -> Column:
 _COLUMNS = ["doc", "pointer", "shape", "kind", "ref", "parent_ref", "ord", "depth", "node"]
 
 
-def _opened(nodes: DataFrame, opens: Column, *names: str) -> DataFrame:
-    """The children that the format knows (of objects only those of some ``names``, if any are given) of the nodes that ``opens`` chooses, and the other nodes as they are; ``fresh`` tells the children."""
-    old = nodes.withColumn("_opens", opens & F.col("kind").isin("object", "list")).withColumnsRenamed({c: f"_{c}" for c in _COLUMNS if c != "doc"})
-    sub = old.lateralJoin(old.sparkSession.tvf.variant_explode_outer(F.when(F.col("_opens"), F.col("_node")).outer()))
-    if names:
-        sub = sub.where(F.col("key").isNull() | F.col("key").isin(*names))
-    value, place = F.col("value"), F.col("pos").cast("string")
-    expected = _map(_NEXT)[F.concat("_shape", F.lit("/"), F.when(F.col("_shape").isin(*MAPS, *LISTS), "*").otherwise(F.coalesce("key", F.lit(""))))]
-    # Functions of arrays of one: each value is found once, and the code that Spark writes stays so small that it is compiled.
-    found = F.filter(F.array(F.struct(expected.alias("expected"))), lambda c: c["expected"].isNotNull() & value.isNotNull())
-    found = F.transform(found, lambda c: F.struct(c["expected"].alias("expected"), _kind(value).alias("kind")))
-    found = F.transform(found, lambda c: F.struct((c["expected"] == "unit").alias("unit"), c["kind"].alias("kind"), _resolved(c["expected"], c["kind"], value).alias("shape"), F.try_variant_get(value, "$.id", "string").alias("id")))
-    child = F.transform(
-        found,
-        lambda c: F.struct(
-            F.concat("_pointer", F.lit("/"), F.coalesce("key", place)).alias("pointer"), c["shape"].alias("shape"), c["kind"].alias("kind"),
-            F.when(c["unit"], F.concat("_ref", F.when(c["shape"] == "verse", "#").otherwise("/"), F.coalesce(c["id"], F.lit("")))).otherwise(F.col("_ref")).alias("ref"), F.when(c["unit"], F.col("_ref")).alias("parent_ref"),
-            F.when(c["unit"], F.concat_ws(".", F.when(F.col("_ord") != "", F.col("_ord")), F.lpad(place, 9, "0"))).otherwise(F.col("_ord")).alias("ord"),
-            F.when(c["unit"], F.col("_depth") + 1).otherwise(F.col("_depth")).alias("depth"), value.alias("node"),
-        ),
+def _opened(nodes: DataFrame, opens: Column) -> DataFrame:
+    """The children that the format knows of the nodes that ``opens`` chooses (no units), and the other nodes as they are; ``fresh`` tells the children."""
+    old = nodes.withColumn("fresh", opens & F.col("kind").isin("object", "list")).withColumnsRenamed({c: f"_{c}" for c in _COLUMNS if c != "doc"})
+    sub = old.lateralJoin(old.sparkSession.tvf.variant_explode_outer(F.when(F.col("fresh"), F.col("_node")).outer()))
+    fresh, value = F.col("fresh"), F.col("value")
+    name = F.when(F.col("_shape").isin(*MAPS, *LISTS), "*").otherwise(F.coalesce("key", F.lit("")))
+    sub = sub.withColumn("expected", F.when(fresh, _map(_NEXT)[F.concat("_shape", F.lit("/"), name)])).where(~fresh | (F.col("expected").isNotNull() & value.isNotNull()))
+    sub = sub.withColumn("kind", F.when(fresh, _kind(value)).otherwise(F.col("_kind")))
+    return sub.select(
+        "doc", F.when(fresh, F.concat("_pointer", F.lit("/"), F.coalesce("key", F.col("pos").cast("string")))).otherwise(F.col("_pointer")).alias("pointer"),
+        F.when(fresh, _resolved(F.col("expected"), F.col("kind"), value)).otherwise(F.col("_shape")).alias("shape"), "kind", F.col("_ref").alias("ref"), F.when(~fresh, F.col("_parent_ref")).alias("parent_ref"),
+        F.col("_ord").alias("ord"), F.col("_depth").alias("depth"), F.when(fresh, value).otherwise(F.col("_node")).alias("node"), "fresh",
     )
-    same = F.array(F.struct(*(F.col(f"_{c}").alias(c) for c in _COLUMNS if c != "doc")))
-    return sub.select("doc", F.col("_opens").alias("fresh"), F.explode(F.when(F.col("_opens"), child).otherwise(same)).alias("c")).select("doc", "c.*", "fresh")
 
 
 #: Levels of units that are opened at once, before what lies below is written anew.
